@@ -59,13 +59,13 @@ def write_bytes(path: str, data: bytes) -> None:
     parent = p.rsplit("/", 1)[0]
     if parent:
         fs.create_dir(parent, recursive=True)
-    with fs.open_output_stream(p) as f:
+    with fs.open_output_stream(p, compression=None) as f:
         f.write(data)
 
 
 def read_bytes(path: str) -> bytes:
     fs, p = resolve(path)
-    with fs.open_input_stream(p) as f:
+    with fs.open_input_stream(p, compression=None) as f:
         return f.read()
 
 

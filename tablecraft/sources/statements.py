@@ -47,7 +47,8 @@ def detect_codec(path: str) -> str | None:
 
 
 def open_stream(path: str, codec: str | None):
-    f = fs.resolve(path)[0].open_input_stream(fs.resolve(path)[1])
+    fsys, p = fs.resolve(path)
+    f = fsys.open_input_stream(p, compression=None)
     if codec is None:
         return f
     if codec == "gzip":
