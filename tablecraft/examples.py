@@ -351,3 +351,191 @@ REGISTRY = {
     "privilege_map": q_privilege_map,
     "grant_report": q_grant_report,
 }
+
+
+# -- dump / load keys --------------------------------------------------------------
+from pyspark.sql import types as T  # noqa: E402
+
+from .functions.dialect import insert_prefix, row_tuple, sql_literal  # noqa: E402
+from .operators.statements import batch_outcomes, classify_statements, filter_statements  # noqa: E402
+from .plans.dump import render_inserts_ordered, write_dump  # noqa: E402
+from .plans.load import load_dump  # noqa: E402
+from .plans.textsink import write_text  # noqa: E402
+from .sources.statements import read_statements, read_statements_lines  # noqa: E402
+
+ORDER_TEXT_COLS = ["o_orderkey", "o_custkey", "o_orderstatus", "o_orderdate", "o_orderpriority"]
+WS_TRIM = r"^\s+|\s+$"
+
+
+def _trim_ws(c):
+    return F.regexp_replace(c, WS_TRIM, "")
+
+
+def q_sql_literals(spark, sf_dir):
+    e = load(spark, sf_dir, "events")
+    t = F.nullif(F.col("event_type"), F.lit("error"))
+    return e.select(
+        "event_id",
+        sql_literal(t, T.StringType(), "mysql").alias("type_mysql"),
+        sql_literal(F.col("props"), T.StringType(), "mysql").alias("props_mysql"),
+        sql_literal(F.col("props"), T.StringType(), "postgres").alias("props_pg"),
+        sql_literal(F.col("ts"), T.TimestampNTZType(), "mysql").alias("ts_lit"),
+        sql_literal(F.col("user_id"), T.LongType(), "mysql").alias("user_lit"),
+    )
+
+
+def q_sql_literals_pages(spark, sf_dir):
+    p = load(spark, sf_dir, "pages")
+    return p.select(
+        "page_id",
+        sql_literal(F.col("url"), T.StringType(), "mysql").alias("url_mysql"),
+        sql_literal(F.col("html"), T.StringType(), "mysql").alias("html_mysql"),
+        sql_literal(F.col("html"), T.StringType(), "postgres").alias("html_pg"),
+    )
+
+
+def q_insert_batches(spark, sf_dir):
+    o = load(spark, sf_dir, "orders").select(*ORDER_TEXT_COLS)
+    return render_inserts_ordered(o, "orders", "o_orderkey", "mysql", 1000)
+
+
+def q_dump_lines_orders(spark, sf_dir):
+    o = load(spark, sf_dir, "orders").select(*ORDER_TEXT_COLS)
+    out = staging_path(spark, "dump-lines") + "/dump"
+    write_dump(TableSet({"orders": o}), out, "mysql")
+    st = read_statements(spark, out, "mysql")
+    ins = st.where(_trim_ws(F.col("stmt")).startswith("INSERT"))
+    lines = ins.select(F.explode(F.split("stmt", "\n")).alias("line")).where(F.col("line").startswith("("))
+    return lines.select(F.regexp_replace("line", r"[,;]$", "").alias("line"))
+
+
+def _page_statements(spark, sf_dir, dialect):
+    p = load(spark, sf_dir, "pages")
+    prefix = insert_prefix("pages", p.columns, dialect)
+    return p.select("page_id", F.concat(F.lit(prefix), row_tuple(p.schema, dialect), F.lit(";")).alias("stmt"))
+
+
+def _statement_file(spark, sf_dir, dialect, extra=None):
+    stm = _page_statements(spark, sf_dir, dialect).select("stmt")
+    if extra is not None:
+        stm = extra.unionByName(stm)
+    out = staging_path(spark, "stmts")
+    write_text(stm, out, None)
+    return out
+
+
+def q_dump_statements(dialect):
+    def build(spark, sf_dir):
+        path = _statement_file(spark, sf_dir, dialect)
+        st = read_statements(spark, path, dialect, chunk_bytes=1 << 16)
+        t = _trim_ws(F.col("stmt"))
+        return st.select(t.alias("stmt")).where(F.col("stmt") != "")
+    return build
+
+
+def q_dump_statements_line(spark, sf_dir):
+    path = _statement_file(spark, sf_dir, "mysql")
+    return read_statements_lines(spark, path).select("stmt")
+
+
+def q_stmt_filter(spark, sf_dir):
+    n = load(spark, sf_dir, "nation")
+    extra = n.select(F.concat(F.lit("CREATE DATABASE IF NOT EXISTS `"), F.lower("n_name"), F.lit("`;\nuse `"), F.lower("n_name"), F.lit("`;\n;\n\n;")).alias("stmt"))
+    path = _statement_file(spark, sf_dir, "mysql", extra)
+    st = filter_statements(read_statements(spark, path, "mysql", chunk_bytes=1 << 16), rename=True)
+    return st.select(_trim_ws(F.col("stmt")).alias("stmt"))
+
+
+# Statement text per event type for the classification example.
+CLASSIFY_TEXT = {
+    "click": "SELECT * FROM orders WHERE o_custkey = ",
+    "view": "  show tables -- ",
+    "purchase": "WITH x AS (SELECT 1) SELECT * FROM x, orders WHERE o_orderkey = ",
+    "signup": "update customer SET c_acctbal = 0 WHERE c_custkey = ",
+    "error": "explain SELECT ",
+}
+
+
+def q_stmt_classify(spark, sf_dir):
+    e = load(spark, sf_dir, "events")
+    txt = F.lit(None).cast("string")
+    for k, v in CLASSIFY_TEXT.items():
+        txt = F.when(F.col("event_type") == k, F.lit(v)).otherwise(txt)
+    st = e.select("event_id", F.concat(txt, F.col("user_id").cast("string")).alias("stmt"))
+    a = classify_statements(st).select("event_id", "kind")
+    b = classify_statements(st, cte_as_read=True).select("event_id", F.col("kind").alias("kind_cte"))
+    return a.join(b, "event_id")
+
+
+def _roundtrip(table, dialect, codec, chunk=1 << 16):
+    def build(spark, sf_dir):
+        df = load(spark, sf_dir, table)
+        out = staging_path(spark, f"rt-{table}") + "/dump"
+        write_dump(TableSet({table: df}), out, dialect, codec=codec)
+        return load_dump(spark, out, dialect, chunk_bytes=chunk).tables[table]
+    return build
+
+
+def q_dump_resume(spark, sf_dir):
+    o = load(spark, sf_dir, "orders")
+    out = staging_path(spark, "resume") + "/dump"
+    write_dump(TableSet({"orders": o}), out, "mysql", order_by={"orders": "o_orderkey"}, parts=1)
+    data_dir = f"{out}/000001_orders/data"
+    st = read_statements(spark, data_dir, "mysql")
+    ins = st.where(_trim_ws(F.col("stmt")).startswith("INSERT")).select("byte_start").orderBy("byte_start")
+    starts = [r.byte_start for r in ins.collect()]  # one number per statement: resume points
+    resume_at = starts[len(starts) // 2]
+    stmts = read_statements(spark, data_dir, "mysql", start_byte=resume_at, chunk_bytes=1 << 16)
+    from .sources.inserts import decode_inserts
+
+    return decode_inserts(stmts, "orders", o.schema, "mysql")
+
+
+def q_dump_table_subset(spark, sf_dir):
+    ts = TableSet.from_dir(spark, sf_dir, SHOP + REF)
+    st = write_dump(ts, staging_path(spark, "subset") + "/dump", "mysql", tables=["orders", "customer"])
+    return spark.createDataFrame([(t.table, t.rows) for t in st.tables], "table_name string, rows long")
+
+
+def q_export_stats(spark, sf_dir):
+    st = write_dump(shop(spark, sf_dir), staging_path(spark, "export") + "/dump", "postgres", codec="gzip")
+    return spark.createDataFrame([(t.table, t.rows) for t in st.tables], "table_name string, rows long")
+
+
+def q_load_batch_outcomes(spark, sf_dir):
+    e = load(spark, sf_dir, "events").select(F.col("event_id").alias("stmt_no"), (F.col("event_type") == "error").alias("bad"))
+    return batch_outcomes(e, seq="stmt_no", bad="bad", size=100)
+
+
+def q_load_skip_bad_batches(spark, sf_dir):
+    e = load(spark, sf_dir, "events")
+    corrupt = e.withColumn("value", F.when(F.col("value") > 300, F.lit("bad")).otherwise(F.col("value").cast("string")))
+    out = staging_path(spark, "badload") + "/dump"
+    write_dump(TableSet({"events": corrupt}), out, "mysql", batch=10, order_by={"events": "event_id"}, parts=1)
+    res = load_dump(spark, out, "mysql", schemas={"events": e.schema}, batch=5, on_error="skip")
+    return res.tables["events"]
+
+
+REGISTRY.update({
+    "sql_literals": q_sql_literals,
+    "sql_literals_pages": q_sql_literals_pages,
+    "insert_batches": q_insert_batches,
+    "dump_lines_orders": q_dump_lines_orders,
+    "dump_statements": q_dump_statements("mysql"),
+    "dump_statements_pg": q_dump_statements("postgres"),
+    "dump_statements_line": q_dump_statements_line,
+    "stmt_filter": q_stmt_filter,
+    "stmt_classify": q_stmt_classify,
+    "dump_roundtrip_orders": _roundtrip("orders", "mysql", None),
+    "dump_roundtrip_gz": _roundtrip("orders", "postgres", "gzip"),
+    "dump_roundtrip_zst": _roundtrip("events", "mysql", "zstd"),
+    "dump_roundtrip_xz": _roundtrip("pages", "postgres", "xz"),
+    "dump_roundtrip_pages": _roundtrip("pages", "mysql", None, 1 << 14),
+    "dump_roundtrip_documents": _roundtrip("documents", "mysql", None),
+    "dump_roundtrip_customer": _roundtrip("customer", "postgres", None),
+    "dump_resume": q_dump_resume,
+    "dump_table_subset": q_dump_table_subset,
+    "export_stats": q_export_stats,
+    "load_batch_outcomes": q_load_batch_outcomes,
+    "load_skip_bad_batches": q_load_skip_bad_batches,
+})

@@ -60,8 +60,17 @@ def looks_binary(col: Column) -> Column:
     return F.hex(col).rlike("^(..)*?(0[0-8BCEF]|1[0-9A-F])")
 
 
-def timestamp_text(col: Column) -> Column:
-    """``yyyy-MM-dd HH:mm:ss`` plus ``.SSSSSS`` when the fraction is non-zero."""
+def timestamp_text(col: Column, ntz: bool = False) -> Column:
+    """``yyyy-MM-dd HH:mm:ss`` plus ``.SSSSSS`` when the fraction is non-zero.
+
+    Zoned timestamps render in the session time zone; timestamp_ntz values
+    render from their own fields, so no zone (or DST gap) can shift them.
+    """
+    if ntz:
+        micros = (F.extract(F.lit("SECOND"), col) * 1000000).cast("long") % 1000000
+        base = F.format_string("%04d-%02d-%02d %02d:%02d:%02d", F.year(col), F.month(col), F.dayofmonth(col), F.hour(col), F.minute(col), F.second(col))
+        frac = F.format_string("%06d", micros)
+        return F.concat(base, F.when(micros != 0, F.concat(F.lit("."), frac)).otherwise(F.lit("")))
     frac = F.date_format(col, "SSSSSS")
     return F.concat(F.date_format(col, "yyyy-MM-dd HH:mm:ss"), F.when(frac != "000000", F.concat(F.lit("."), frac)).otherwise(F.lit("")))
 
@@ -88,7 +97,7 @@ def sql_literal(col: Column, dtype: T.DataType, dialect: str = "mysql") -> Colum
     elif isinstance(dtype, T.BooleanType):
         v = F.when(col, F.lit("1" if d == "mysql" else "true")).otherwise(F.lit("0" if d == "mysql" else "false"))
     elif isinstance(dtype, (T.TimestampType, T.TimestampNTZType)):
-        v = _q(timestamp_text(col))
+        v = _q(timestamp_text(col, ntz=isinstance(dtype, T.TimestampNTZType)))
     elif isinstance(dtype, T.DateType):
         v = _q(F.date_format(col, "yyyy-MM-dd"))
     elif isinstance(dtype, T.StringType):

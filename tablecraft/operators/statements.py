@@ -10,6 +10,11 @@ STATEMENTS_PER_BATCH_LARGE = 500  # fixed value: used when the file is over 100
 LARGE_FILE = 100 << 20
 
 
+def _trim_space(c):
+    """Trim all white space (spaces, tabs, line feeds), not only blanks."""
+    return F.regexp_replace(c, r"^\s+|\s+$", "")
+
+
 def batch_size_for(file_bytes: int) -> int:
     return STATEMENTS_PER_BATCH_LARGE if file_bytes > LARGE_FILE else STATEMENTS_PER_BATCH
 
@@ -17,7 +22,7 @@ def batch_size_for(file_bytes: int) -> int:
 def filter_statements(stmts: DataFrame, rename: bool = False, col: str = "stmt") -> DataFrame:
     """Drop blank and ``;``-only statements; when renaming, also drop any
     statement containing CREATE DATABASE or starting with USE (upper-cased)."""
-    t = F.trim(F.col(col))
+    t = _trim_space(F.col(col))
     keep = (t != "") & (t != ";")
     if rename:
         u = F.upper(t)
@@ -28,7 +33,7 @@ def filter_statements(stmts: DataFrame, rename: bool = False, col: str = "stmt")
 def classify_statements(stmts: DataFrame, col: str = "stmt", cte_as_read: bool = False) -> DataFrame:
     """``kind`` = read when the trimmed, upper-cased text starts with
     SELECT / SHOW / DESCRIBE / EXPLAIN (and WITH when ``cte_as_read``), else write."""
-    u = F.upper(F.trim(F.col(col)))
+    u = F.upper(_trim_space(F.col(col)))
     read = u.startswith("SELECT") | u.startswith("SHOW") | u.startswith("DESCRIBE") | u.startswith("EXPLAIN")
     if cte_as_read:
         read = read | u.startswith("WITH")

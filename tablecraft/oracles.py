@@ -189,3 +189,92 @@ ORACLES: dict[str, str] = {
         UNION ALL
         SELECT grantee, 'CONNECT', database, '*', database || '.*' FROM dg""",
 }
+
+
+# ---------------------------------------------------------------------------
+# dump / load twins
+# ---------------------------------------------------------------------------
+def esc_mysql(x: str) -> str:
+    # backslash first, then quote, double quote, LF, CR, TAB, NUL, 0x1A
+    e = f"replace({x}, '\\', '\\\\')"
+    e = f"replace({e}, '''', '\\''')"
+    e = f"replace({e}, '\"', '\\\"')"
+    e = f"replace({e}, chr(10), '\\n')"
+    e = f"replace({e}, chr(13), '\\r')"
+    e = f"replace({e}, chr(9), '\\t')"
+    e = f"replace({e}, chr(26), '\\Z')"
+    return e
+
+
+def lit_str(x: str, dialect: str = "mysql") -> str:
+    body = esc_mysql(x) if dialect == "mysql" else f"replace({x}, '''', '''''')"
+    return f"(CASE WHEN {x} IS NULL THEN 'NULL' ELSE '''' || {body} || '''' END)"
+
+
+def lit_ts(x: str) -> str:
+    return (f"(CASE WHEN {x} IS NULL THEN 'NULL' ELSE '''' || strftime({x}, '%Y-%m-%d %H:%M:%S') || "
+            f"CASE WHEN strftime({x}, '%f') <> '000000' THEN '.' || strftime({x}, '%f') ELSE '' END || '''' END)")
+
+
+def lit_num(x: str) -> str:
+    return f"(CASE WHEN {x} IS NULL THEN 'NULL' ELSE CAST({x} AS VARCHAR) END)"
+
+
+def q_ident(name: str, dialect: str) -> str:
+    return f"`{name}`" if dialect == "mysql" else f'"{name}"'
+
+
+def prefix_sql(table: str, cols: list[str], dialect: str) -> str:
+    c = ", ".join(q_ident(x, dialect) for x in cols)
+    text = f"INSERT INTO {q_ident(table, dialect)} ({c}) VALUES"
+    return "'" + text.replace("'", "''") + "' || chr(10)"
+
+
+ORDER_TEXT_COLS = ["o_orderkey", "o_custkey", "o_orderstatus", "o_orderdate", "o_orderpriority"]
+ORDER_TUPLE = ("'(' || " + " || ', ' || ".join([lit_num("o_orderkey"), lit_num("o_custkey"), lit_str("o_orderstatus"), lit_ts("o_orderdate"), lit_str("o_orderpriority")]) + " || ')'")
+
+
+def page_stmt(dialect: str) -> str:
+    tup = "'(' || " + " || ', ' || ".join([lit_num("page_id"), lit_str("url", dialect), lit_str("html", dialect)]) + " || ')'"
+    return f"{prefix_sql('pages', ['page_id', 'url', 'html'], dialect)} || {tup} || ';'"
+
+
+EVENTS_COLS = "event_id, ts, user_id, event_type, value, props"
+
+ORACLES.update({
+    "sql_literals": f"""SELECT event_id, {lit_str("nullif(event_type, 'error')")} AS type_mysql, {lit_str('props')} AS props_mysql,
+                               {lit_str('props', 'postgres')} AS props_pg, {lit_ts('ts')} AS ts_lit, {lit_num('user_id')} AS user_lit FROM events""",
+    "sql_literals_pages": f"""SELECT page_id, {lit_str('url')} AS url_mysql, {lit_str('html')} AS html_mysql, {lit_str('html', 'postgres')} AS html_pg FROM pages""",
+    "insert_batches": f"""
+        WITH t AS (SELECT {ORDER_TUPLE} AS tup, row_number() OVER (ORDER BY o_orderkey) - 1 AS seq FROM orders)
+        SELECT CAST(seq // 1000 AS BIGINT) AS batch_id, CAST(count(*) AS INTEGER) AS rows,
+               {prefix_sql('orders', ORDER_TEXT_COLS, 'mysql')} || string_agg(tup, ',' || chr(10) ORDER BY seq) || ';' || chr(10) AS stmt
+        FROM t GROUP BY seq // 1000""",
+    "dump_lines_orders": f"SELECT {ORDER_TUPLE} AS line FROM orders",
+    "dump_statements": f"SELECT {page_stmt('mysql')} AS stmt FROM pages",
+    "dump_statements_pg": f"SELECT {page_stmt('postgres')} AS stmt FROM pages",
+    "dump_statements_line": f"SELECT rtrim({page_stmt('mysql')}, ';') AS stmt FROM pages",
+    "stmt_filter": f"SELECT {page_stmt('mysql')} AS stmt FROM pages",
+    "stmt_classify": """SELECT event_id, CASE WHEN event_type IN ('click', 'view', 'error') THEN 'read' ELSE 'write' END AS kind,
+                               CASE WHEN event_type IN ('click', 'view', 'error', 'purchase') THEN 'read' ELSE 'write' END AS kind_cte FROM events""",
+    "dump_roundtrip_orders": "SELECT * FROM orders",
+    "dump_roundtrip_gz": "SELECT * FROM orders",
+    "dump_roundtrip_zst": "SELECT * FROM events",
+    "dump_roundtrip_xz": "SELECT * FROM pages",
+    "dump_roundtrip_pages": "SELECT * FROM pages",
+    "dump_roundtrip_documents": "SELECT * FROM documents",
+    "dump_roundtrip_customer": "SELECT * FROM customer",
+    "dump_resume": """
+        WITH t AS (SELECT *, row_number() OVER (ORDER BY o_orderkey) - 1 AS seq FROM orders)
+        SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderdate, o_orderpriority FROM t
+        WHERE seq >= 1000 * ((SELECT CAST(ceil(count(*) / 1000.0) AS BIGINT) FROM orders) // 2)""",
+    "dump_table_subset": "SELECT 'orders' AS table_name, count(*) AS rows FROM orders UNION ALL SELECT 'customer', count(*) FROM customer",
+    "export_stats": "\nUNION ALL\n".join(f"SELECT '{t}' AS table_name, count(*) AS rows FROM {t}" for t in SHOP),
+    "load_batch_outcomes": """SELECT CAST(event_id // 100 AS BIGINT) AS batch_id, count(*) AS statements,
+                                     coalesce(bool_or(event_type = 'error'), false) AS failed,
+                                     min(event_id) FILTER (WHERE event_type = 'error') AS first_error_stmt
+                              FROM events GROUP BY event_id // 100""",
+    "load_skip_bad_batches": f"""
+        WITH t AS (SELECT *, (row_number() OVER (ORDER BY event_id) - 1) // 50 AS b FROM events)
+        SELECT {EVENTS_COLS} FROM t WHERE b NOT IN (SELECT b FROM t WHERE value > 300)""",
+})

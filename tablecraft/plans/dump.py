@@ -176,11 +176,14 @@ def write_dump(ts: TableSet, path: str, dialect: str = "mysql", tables=None, dat
         fs.write_bytes(f"{d}/_schema.json", json.dumps({"table": name, "schema": json.loads(df.schema.json())}).encode())
         if data:
             if name in order_by:
-                stm = render_inserts_ordered(df, name, order_by[name], dialect, batch).select("rows", "stmt")
+                # key-ordered dump: files hold contiguous batch ranges, each file in order
+                stm = render_inserts_ordered(df, name, order_by[name], dialect, batch)
+                n = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+                stm = stm.repartitionByRange(n, "batch_id").sortWithinPartitions("batch_id").select("rows", "stmt")
             else:
                 stm = render_inserts(df, name, dialect, batch)
-            if parts:
-                stm = stm.coalesce(parts)
+                if parts:
+                    stm = stm.coalesce(parts)
             obs = Observation(f"dump_{name}_{i}")
             stm = stm.observe(obs, F.coalesce(F.sum("rows"), F.lit(0)).alias("rows"), F.count(F.lit(1)).alias("statements"))
             write_text(stm.select("stmt"), f"{d}/data", codec)
