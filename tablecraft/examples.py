@@ -539,3 +539,174 @@ REGISTRY.update({
     "load_batch_outcomes": q_load_batch_outcomes,
     "load_skip_bad_batches": q_load_skip_bad_batches,
 })
+
+
+# -- backup / retention / schedule / health / format keys ----------------------------
+from .functions import formats as fmt  # noqa: E402
+from .operators import health, retention  # noqa: E402
+from .plans import backup  # noqa: E402
+
+
+def q_backup_manifest(spark, sf_dir):
+    man = backup.create_backup([shop(spark, sf_dir), ref(spark, sf_dir)], staging_path(spark, "backups"))
+    return spark.createDataFrame([(f["database"], f["filename"], f["tables"], f["rows"]) for f in man["files"]],
+                                 "database string, filename string, tables int, rows long")
+
+
+def q_backup_catalog(spark, sf_dir):
+    root = staging_path(spark, "catalog")
+    backup.create_backup([shop(spark, sf_dir)], root, description="shop only")
+    backup.create_backup([ref(spark, sf_dir), shop(spark, sf_dir)], root, description="everything", codec="gzip")
+    fs_bad = root + "/broken/metadata.json"
+    from .sources import fs as _fs
+
+    _fs.write_bytes(fs_bad, b"{not json")  # unreadable manifests are skipped
+    cat = backup.read_backups(spark, root)
+    return cat.select(
+        "description",
+        F.size("databases").alias("n_databases"),
+        F.aggregate("files", F.lit(0).cast("long"), lambda acc, f: acc + f["rows"]).alias("total_rows"),
+        "compression",
+    )
+
+
+def q_backup_restore_roundtrip(spark, sf_dir):
+    root = staging_path(spark, "restore")
+    man = backup.create_backup([shop(spark, sf_dir)], root, codec="zstd")
+    restored = backup.restore_backup(spark, root, man["id"], databases=["shop"], rename={"shop": "shop_copy"})
+    return restored["shop_copy"]["orders"]
+
+
+def q_restore_missing(spark, sf_dir):
+    root = staging_path(spark, "missing")
+    man = backup.create_backup([shop(spark, sf_dir)], root)
+    files = spark.createDataFrame([(f["database"],) for f in man["files"]], "database string")
+    requested = load(spark, sf_dir, "nation").select(F.lower("n_name").alias("name")).unionByName(spark.createDataFrame([("shop",)], "name string"))
+    return backup.missing_databases(spark, requested, files)
+
+
+def _backups(spark, sf_dir):
+    e = load(spark, sf_dir, "events")
+    return e.select(F.col("event_id").alias("id"), F.col("ts").alias("timestamp"), F.array("event_type", F.lit("view")).alias("databases"))
+
+
+def q_retention_plan(spark, sf_dir):
+    return retention.retention_plan(_backups(spark, sf_dir), 3)
+
+
+def q_retention_plan_per_db(spark, sf_dir):
+    per = load(spark, sf_dir, "events").select("event_type").distinct().select(
+        F.col("event_type").alias("database"), (F.length("event_type") - 3).alias("retain"))
+    return retention.retention_plan(_backups(spark, sf_dir), per)
+
+
+# Schedule intervals cycled over the example schedules.
+SCHEDULE_INTERVALS = ["hourly", "daily", "weekly", "monthly", "other"]
+SCHEDULE_NOW = "2024-01-15 12:00:00"
+
+
+def q_due_rows(spark, sf_dir):
+    e = load(spark, sf_dir, "events")
+    iv = F.array(*[F.lit(x) for x in SCHEDULE_INTERVALS])
+    sched = e.select(
+        F.col("event_id").alias("id"),
+        F.col("event_type").alias("database"),
+        (F.col("user_id") % 4 != 0).alias("enabled"),
+        F.element_at(iv, (F.col("event_id") % 5 + 1).cast("int")).alias("interval"),
+        F.col("ts").alias("next_run"),
+    )
+    due = retention.due_schedules(sched, F.lit(SCHEDULE_NOW).cast("timestamp_ntz"))
+    return due.select("id", "database", "interval", "next_run", "following_run")
+
+
+def q_health_levels(spark, sf_dir):
+    e = load(spark, sf_dir, "events")
+    last = e.select(F.max("ts")).scalar()
+    per = e.groupBy("user_id").agg(F.max("ts").alias("last_ts"))
+    per = per.select("user_id", fmt.seconds_between(F.col("last_ts"), last).alias("lag_seconds"))
+    return health.health_levels(per)
+
+
+def server_aggregates(spark, sf_dir):
+    e = load(spark, sf_dir, "events")
+    return e.groupBy((F.col("user_id") % 5).cast("int").alias("server")).agg(
+        F.max("ts").alias("ts"),
+        F.countDistinct("user_id").alias("users"),
+        F.count_if(F.col("event_type") == "error").alias("errors"),
+        F.count_if(F.col("event_type") == "click").alias("clicks"),
+        F.max("user_id").alias("maxu"),
+        F.min("user_id").alias("minu"),
+        F.max("event_id").alias("maxe"),
+    )
+
+
+def cluster_status_rows(spark, sf_dir):
+    """Long-form status rows per server: servers 0-1 galera, 2-3 replicas, 4 streaming primary."""
+    a = server_aggregates(spark, sf_dir)
+    s = F.col("server")
+
+    def kv(name, value, when):
+        return F.when(when, F.struct(F.lit(name).alias("name"), value.cast("string").alias("value")))
+
+    hexs = lambda c: F.upper(F.hex(c))
+    items = F.array(
+        kv("wsrep_cluster_size", F.col("users"), s <= 1),
+        kv("wsrep_ready", F.when(F.col("errors") < F.col("clicks"), "ON").otherwise("OFF"), s <= 1),
+        kv("wsrep_connected", F.lit("ON"), s <= 1),
+        kv("Slave_IO_Running", F.lit("Yes"), s.isin(2, 3)),
+        kv("Slave_SQL_Running", F.when(s == 3, "No").otherwise("Yes"), s.isin(2, 3)),
+        kv("Seconds_Behind_Master", F.col("errors") % 100, s.isin(2, 3)),
+        kv("current_lsn", F.concat(hexs(F.col("maxu")), F.lit("/"), hexs(F.col("maxe"))), s == 4),
+        kv("replay_lsn", F.concat(hexs(F.col("minu")), F.lit("/"), hexs(F.col("maxe") - F.col("errors"))), s == 4),
+        kv("replay_lag_seconds", F.col("errors") % 100, s == 4),
+        kv("replicas", F.lit(2), s == 4),
+    )
+    return a.select("server", "ts", F.explode(F.filter(items, lambda x: x.isNotNull())).alias("kv")).select("server", "ts", "kv.name", "kv.value")
+
+
+def q_cluster_health(spark, sf_dir):
+    return health.cluster_health(cluster_status_rows(spark, sf_dir))
+
+
+def q_format_sizes(spark, sf_dir):
+    s = _sizes(spark, sf_dir)
+    return s.select(
+        "ns", "name",
+        fmt.format_size(F.col("data_size")).alias("size_text"),
+        fmt.format_bytes(F.col("data_size") * 1000).alias("bytes_text"),
+        fmt.format_uptime(F.col("row_count") * 7).alias("uptime_text"),
+    )
+
+
+def q_lsn_numbers(spark, sf_dir):
+    e = load(spark, sf_dir, "events")
+    lsn = F.concat(F.upper(F.hex("user_id")), F.lit("/"), F.upper(F.hex("event_id")))
+    return e.select("event_id", lsn.alias("lsn"), fmt.lsn_to_number(lsn).cast("long").alias("lsn_number"))
+
+
+def q_name_formats(spark, sf_dir):
+    e = load(spark, sf_dir, "events")
+    return e.select(
+        "event_id",
+        fmt.output_name(F.col("event_type"), F.col("ts")).alias("output_name"),
+        fmt.backup_id(F.col("ts")).alias("backup_id"),
+        fmt.database_from_path(F.concat(F.lit("/dumps/"), F.col("event_type"), F.lit(".sql.gz"))).alias("database"),
+        fmt.ellipsis(F.col("props"), 8, 6, "..").alias("props_short"),
+        fmt.text_to_long(F.col("props").substr(7, 4)).alias("k_value"),
+    )
+
+
+REGISTRY.update({
+    "backup_manifest": q_backup_manifest,
+    "backup_catalog": q_backup_catalog,
+    "backup_restore_roundtrip": q_backup_restore_roundtrip,
+    "restore_missing": q_restore_missing,
+    "retention_plan": q_retention_plan,
+    "retention_plan_per_db": q_retention_plan_per_db,
+    "due_rows": q_due_rows,
+    "health_levels": q_health_levels,
+    "cluster_health": q_cluster_health,
+    "format_sizes": q_format_sizes,
+    "lsn_numbers": q_lsn_numbers,
+    "name_formats": q_name_formats,
+})

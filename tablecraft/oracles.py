@@ -278,3 +278,93 @@ ORACLES.update({
         WITH t AS (SELECT *, (row_number() OVER (ORDER BY event_id) - 1) // 50 AS b FROM events)
         SELECT {EVENTS_COLS} FROM t WHERE b NOT IN (SELECT b FROM t WHERE value > 300)""",
 })
+
+
+# ---------------------------------------------------------------------------
+# backup / retention / schedule / health / format twins
+# ---------------------------------------------------------------------------
+SHOP_ROWS = "((SELECT count(*) FROM customer) + (SELECT count(*) FROM orders) + (SELECT count(*) FROM lineitem))"
+REF_ROWS = "((SELECT count(*) FROM region) + (SELECT count(*) FROM nation) + (SELECT count(*) FROM part) + (SELECT count(*) FROM supplier))"
+RET_EX = """(SELECT DISTINCT event_id AS id, ts AS timestamp, d AS database FROM (SELECT event_id, ts, unnest([event_type, 'view']) AS d FROM events))"""
+
+
+def _fmt2(x: str, div: int, unit: str) -> str:
+    return f"printf('%.2f {unit}', round({x} / {float(div)}, 2))"
+
+
+def _fmt1(x: str, div: int, unit: str) -> str:
+    return f"printf('%.1f {unit}', round({x} / {float(div)}, 1))"
+
+
+def _format_bytes(x: str) -> str:
+    parts = [f"WHEN {x} >= {1024 ** (i + 1)} THEN {_fmt1(x, 1024 ** (i + 1), letter + 'B')}" for i, letter in reversed(list(enumerate("KMGTPE")))]
+    return f"CASE {' '.join(parts)} ELSE printf('%d B', {x}) END"
+
+
+def _format_size(x: str) -> str:
+    return (f"CASE WHEN {x} >= {1024**3} THEN {_fmt2(x, 1024**3, 'GB')} WHEN {x} >= {1024**2} THEN {_fmt2(x, 1024**2, 'MB')} "
+            f"WHEN {x} >= 1024 THEN {_fmt2(x, 1024, 'KB')} ELSE printf('%d B', {x}) END")
+
+
+def _format_uptime(x: str) -> str:
+    d, h, m = f"({x} // 86400)", f"(({x} // 3600) % 24)", f"(({x} // 60) % 60)"
+    return f"CASE WHEN {d} > 0 THEN printf('%dd %dh %dm', {d}, {h}, {m}) WHEN {h} > 0 THEN printf('%dh %dm', {h}, {m}) ELSE printf('%dm', {m}) END"
+
+
+ORACLES.update({
+    "backup_manifest": f"""SELECT 'shop' AS database, 'shop.sql' AS filename, CAST(3 AS INTEGER) AS tables, CAST({SHOP_ROWS} AS BIGINT) AS rows
+                           UNION ALL SELECT 'ref', 'ref.sql', CAST(4 AS INTEGER), CAST({REF_ROWS} AS BIGINT)""",
+    "backup_catalog": f"""SELECT 'shop only' AS description, CAST(1 AS INTEGER) AS n_databases, CAST({SHOP_ROWS} AS BIGINT) AS total_rows, 'none' AS compression
+                          UNION ALL SELECT 'everything', CAST(2 AS INTEGER), CAST({SHOP_ROWS} + {REF_ROWS} AS BIGINT), 'gzip'""",
+    "backup_restore_roundtrip": "SELECT * FROM orders",
+    "restore_missing": "SELECT lower(n_name) AS name FROM nation",
+    "retention_plan": f"""
+        WITH r AS (SELECT *, row_number() OVER (PARTITION BY database ORDER BY timestamp DESC, id DESC) AS rn FROM {RET_EX})
+        SELECT id, timestamp, CASE WHEN bool_and(rn > 3) THEN 'delete' ELSE 'keep' END AS action FROM r GROUP BY id, timestamp""",
+    "retention_plan_per_db": f"""
+        WITH r AS (SELECT *, row_number() OVER (PARTITION BY database ORDER BY timestamp DESC, id DESC) AS rn FROM {RET_EX}),
+             per AS (SELECT DISTINCT event_type AS database, length(event_type) - 3 AS retain FROM events)
+        SELECT id, timestamp, CASE WHEN bool_and(coalesce(p.retain, 0) > 0 AND rn > p.retain) THEN 'delete' ELSE 'keep' END AS action
+        FROM r LEFT JOIN per p USING (database) GROUP BY id, timestamp""",
+    "due_rows": """
+        WITH s AS (SELECT event_id AS id, event_type AS database, user_id % 4 <> 0 AS enabled,
+                          ['hourly','daily','weekly','monthly','other'][event_id % 5 + 1] AS interval, ts AS next_run FROM events)
+        SELECT id, database, interval, next_run,
+               CASE interval WHEN 'hourly' THEN next_run + INTERVAL 1 HOUR WHEN 'daily' THEN next_run + INTERVAL 24 HOUR
+                    WHEN 'weekly' THEN next_run + INTERVAL 168 HOUR
+                    WHEN 'monthly' THEN date_trunc('month', next_run) + INTERVAL 1 MONTH + (day(next_run) - 1) * INTERVAL 1 DAY
+                                        + (next_run - date_trunc('day', next_run))
+                    ELSE next_run + INTERVAL 24 HOUR END AS following_run
+        FROM s WHERE enabled AND next_run IS NOT NULL AND next_run < TIMESTAMP '2024-01-15 12:00:00'""",
+    "health_levels": """
+        WITH per AS (SELECT user_id, max(ts) AS last_ts FROM events GROUP BY user_id),
+             l AS (SELECT user_id, (epoch_us((SELECT max(ts) FROM events)) - epoch_us(last_ts)) / 1e6 AS lag_seconds FROM per)
+        SELECT user_id, lag_seconds, CASE WHEN lag_seconds > 60 THEN 'unhealthy' WHEN lag_seconds > 10 THEN 'warning' ELSE 'healthy' END AS level,
+               lag_seconds <= 60 AS is_healthy FROM l""",
+    "cluster_health": """
+        WITH a AS (SELECT CAST(user_id % 5 AS INTEGER) AS server, count(DISTINCT user_id) AS users,
+                          count(*) FILTER (WHERE event_type = 'error') AS errors, count(*) FILTER (WHERE event_type = 'click') AS clicks,
+                          max(user_id) AS maxu, min(user_id) AS minu, max(event_id) AS maxe FROM events GROUP BY 1)
+        SELECT server,
+               CASE WHEN server <= 1 THEN 'galera' WHEN server IN (2, 3) THEN 'replication' ELSE 'postgres_streaming' END AS type,
+               CASE WHEN server <= 1 THEN 'node' WHEN server IN (2, 3) THEN 'replica' ELSE 'primary' END AS role,
+               server NOT IN (2, 3) AS is_primary,
+               CASE WHEN server <= 1 THEN errors < clicks WHEN server = 2 THEN errors % 100 <= 60 WHEN server = 3 THEN false
+                    ELSE errors % 100 <= 60 END AS is_healthy,
+               CAST(CASE WHEN server <= 1 THEN users WHEN server IN (2, 3) THEN 1 ELSE 3 END AS BIGINT) AS node_count,
+               CAST(CASE WHEN server = 4 THEN (maxu * 4294967296 + maxe) - (minu * 4294967296 + maxe - errors) ELSE 0 END AS BIGINT) AS lag_bytes,
+               CAST(CASE WHEN server <= 1 THEN 0 ELSE errors % 100 END AS DOUBLE) AS lag_seconds
+        FROM a""",
+    "format_sizes": f"""
+        WITH s AS ({SIZES})
+        SELECT ns, name, {_format_size('data_size')} AS size_text, {_format_bytes('data_size * 1000')} AS bytes_text,
+               {_format_uptime('row_count * 7')} AS uptime_text FROM s""",
+    "lsn_numbers": """SELECT event_id, upper(hex(user_id)) || '/' || upper(hex(event_id)) AS lsn,
+                             CAST(user_id * 4294967296 + event_id AS BIGINT) AS lsn_number FROM events""",
+    "name_formats": """
+        SELECT event_id, event_type || '_' || strftime(ts, '%Y%m%d_%H%M%S') || '.sql' AS output_name,
+               strftime(ts, '%Y%m%d-%H%M%S') AS backup_id, event_type AS database,
+               CASE WHEN length(props) > 8 THEN substr(props, 1, 6) || '..' ELSE props END AS props_short,
+               coalesce(try_cast(regexp_extract(trim(substr(props, 7, 4)), '^[+-]?[0-9]+', 0) AS BIGINT), 0) AS k_value
+        FROM events""",
+})
