@@ -710,3 +710,51 @@ REGISTRY.update({
     "lsn_numbers": q_lsn_numbers,
     "name_formats": q_name_formats,
 })
+
+
+# -- streaming keys ---------------------------------------------------------------------
+import uuid as _uuid  # noqa: E402
+
+from .streaming import jobs as streams  # noqa: E402
+
+
+def events_stream(spark, sf_dir):
+    """The events table as a file stream (schema from the batch reader, no inference)."""
+    path = os.path.join(sf_dir, "events.parquet")
+    schema = spark.read.parquet(path).schema
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+
+
+def q_stream_latest_metrics(spark, sf_dir):
+    s = events_stream(spark, sf_dir).select(
+        (F.col("user_id") % 5).cast("int").alias("server"), F.col("ts").cast("timestamp").alias("ts"), "event_id", "event_type", "value"
+    )
+    latest = streams.latest_metrics(s, "server", "ts", watermark=None)
+    name = f"latest_{_uuid.uuid4().hex[:8]}"
+    out = streams.run_to_table(latest, name, "complete", staging_path(spark, "ckpt-latest"))
+    return out.select("server", F.col("ts").cast("timestamp_ntz").alias("ts"), "event_id", "event_type", "value")
+
+
+def q_stream_health_levels(spark, sf_dir):
+    s = events_stream(spark, sf_dir).select("event_id", F.col("value").alias("lag_seconds"))
+    name = f"health_{_uuid.uuid4().hex[:8]}"
+    return streams.run_to_table(streams.stream_health(s), name, "append", staging_path(spark, "ckpt-health"))
+
+
+def q_stream_load(spark, sf_dir):
+    o = load(spark, sf_dir, "orders")
+    incoming = staging_path(spark, "incoming")
+    write_dump(TableSet({"orders": o}), incoming + "/first", "mysql", parts=3)
+    out, ckpt = staging_path(spark, "stream-out"), staging_path(spark, "stream-ckpt")
+    q = streams.stream_load(spark, incoming, "orders", o.schema, out, ckpt, max_files=2)
+    q.awaitTermination()
+    q = streams.stream_load(spark, incoming, "orders", o.schema, out, ckpt, max_files=2)  # restart: nothing new
+    q.awaitTermination()
+    return spark.read.parquet(out).drop("batch")
+
+
+REGISTRY.update({
+    "stream_latest_metrics": q_stream_latest_metrics,
+    "stream_health_levels": q_stream_health_levels,
+    "stream_load": q_stream_load,
+})

@@ -368,3 +368,12 @@ ORACLES.update({
                coalesce(try_cast(regexp_extract(trim(substr(props, 7, 4)), '^[+-]?[0-9]+', 0) AS BIGINT), 0) AS k_value
         FROM events""",
 })
+
+ORACLES.update({
+    "stream_latest_metrics": """SELECT CAST(user_id % 5 AS INTEGER) AS server, max(ts) AS ts, arg_max(event_id, ts) AS event_id,
+                                       arg_max(event_type, ts) AS event_type, arg_max(value, ts) AS value FROM events GROUP BY 1""",
+    "stream_health_levels": """SELECT event_id, value AS lag_seconds,
+                                      CASE WHEN value > 60 THEN 'unhealthy' WHEN value > 10 THEN 'warning' ELSE 'healthy' END AS level,
+                                      value <= 60 AS is_healthy FROM events""",
+    "stream_load": "SELECT * FROM orders",
+})

@@ -59,6 +59,8 @@ def load_dump(spark: SparkSession, path: str, dialect: str = "mysql", tables=Non
     if on_error not in ("skip", "fail"):
         raise ValueError("on_error is 'skip' or 'fail'")
     schemas = schemas or dump_schemas(path)
+    if tables:
+        schemas = {t: schemas[t] for t in tables}
     names = list(tables) if tables else list(schemas)
     stmts = read_statements(spark, path, dialect, chunk_bytes=chunk_bytes, max_stmt_bytes=max_stmt_bytes, start_byte=start_byte)
     stmts = filter_statements(stmts, rename=bool(rename))

@@ -237,7 +237,10 @@ def _pass2(dialect: str, max_bytes: int | None):
     return run
 
 
-def list_dump_files(path: str) -> list[tuple[str, int]]:
+def list_dump_files(path) -> list[tuple[str, int]]:
+    """(path, size) of the statement files under ``path`` (a folder, a file or a list of files)."""
+    if isinstance(path, (list, tuple)):
+        return sorted((fs.resolve(p)[1], fs.file_size(p)) for p in path)
     return [(p, s) for p, s in fs.list_files(path) if not p.endswith(".json") and not p.endswith(".crc")]
 
 
