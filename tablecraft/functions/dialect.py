@@ -67,10 +67,9 @@ def timestamp_text(col: Column, ntz: bool = False) -> Column:
     render from their own fields, so no zone (or DST gap) can shift them.
     """
     if ntz:
-        micros = (F.extract(F.lit("SECOND"), col) * 1000000).cast("long") % 1000000
-        base = F.format_string("%04d-%02d-%02d %02d:%02d:%02d", F.year(col), F.month(col), F.dayofmonth(col), F.hour(col), F.minute(col), F.second(col))
-        frac = F.format_string("%06d", micros)
-        return F.concat(base, F.when(micros != 0, F.concat(F.lit("."), frac)).otherwise(F.lit("")))
+        # the string cast of timestamp_ntz is zone-free and drops trailing zeros of the fraction
+        s = col.cast("string")
+        return F.when(s.contains("."), F.rpad(s, 26, "0")).otherwise(s)
     frac = F.date_format(col, "SSSSSS")
     return F.concat(F.date_format(col, "yyyy-MM-dd HH:mm:ss"), F.when(frac != "000000", F.concat(F.lit("."), frac)).otherwise(F.lit("")))
 

@@ -70,9 +70,19 @@ def _join_batches(prefix: str, batch: int):
     return run
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Inputs with fewer partitions than cores (one small file) are spread
+    round-robin first; big inputs already have enough splits and keep them."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < cores:
+        return df.repartition(cores)
+    return df
+
+
 def render_inserts(df: DataFrame, table: str, dialect: str = "mysql", batch: int = ROWS_PER_INSERT) -> DataFrame:
     """K3, partition-local: DataFrame(rows, stmt); no shuffle, no Python per row."""
     prefix = insert_prefix(table, df.columns, dialect)
+    df = spread(df)
     tuples = df.select(row_tuple(df.schema, dialect).alias("t"))
     return tuples.mapInArrow(_join_batches(prefix, batch), "rows int, stmt string")
 

@@ -21,7 +21,7 @@ from ..operators.statements import STATEMENTS_PER_BATCH, batch_outcomes, filter_
 from ..session import staging_path
 from ..sources import fs
 from ..sources.inserts import decode_inserts
-from ..sources.statements import DEFAULT_CHUNK, MAX_STATEMENT, read_statements
+from ..sources.statements import MAX_STATEMENT, read_statements
 from ..tableset import TableSet
 
 
@@ -49,7 +49,7 @@ def dump_schemas(path: str) -> dict[str, T.StructType]:
 
 def load_dump(spark: SparkSession, path: str, dialect: str = "mysql", tables=None, schemas: dict | None = None,
               rename: dict | None = None, batch: int = STATEMENTS_PER_BATCH, on_error: str = "skip",
-              chunk_bytes: int = DEFAULT_CHUNK, max_stmt_bytes: int = MAX_STATEMENT, start_byte: int = 0,
+              chunk_bytes: int | None = None, max_stmt_bytes: int = MAX_STATEMENT, start_byte: int = 0,
               stage: bool = True) -> LoadResult:
     """Load a dump directory (or file) into typed DataFrames.
 

@@ -244,7 +244,16 @@ def list_dump_files(path) -> list[tuple[str, int]]:
     return [(p, s) for p, s in fs.list_files(path) if not p.endswith(".json") and not p.endswith(".crc")]
 
 
-def read_statements(spark: SparkSession, path: str, dialect: str = "mysql", chunk_bytes: int = DEFAULT_CHUNK,
+MIN_CHUNK = 1 << 20
+
+
+def auto_chunk(spark: SparkSession, total_bytes: int) -> int:
+    """64 MB chunks for big inputs; smaller ones (>= 1 MB) so small inputs still use every core."""
+    cores = spark.sparkContext.defaultParallelism
+    return int(max(MIN_CHUNK, min(DEFAULT_CHUNK, total_bytes // max(2 * cores, 1) + 1)))
+
+
+def read_statements(spark: SparkSession, path, dialect: str = "mysql", chunk_bytes: int | None = None,
                     max_stmt_bytes: int | None = MAX_STATEMENT, start_byte: int = 0) -> DataFrame:
     """S3: DataFrame(file, stmt_no, byte_start, byte_end, stmt) over every file under ``path``.
 
@@ -258,6 +267,8 @@ def read_statements(spark: SparkSession, path: str, dialect: str = "mysql", chun
     if start_byte and (len(files) != 1 or detect_codec(files[0][0])):
         raise ValueError("start_byte needs exactly one uncompressed file")
     plain = [(p, s) for p, s in files if not detect_codec(p)]
+    if chunk_bytes is None:
+        chunk_bytes = auto_chunk(spark, sum(s for _, s in plain))
     packed = [(p, s, detect_codec(p)) for p, s in files if detect_codec(p)]
     parts = []
     if plain:
