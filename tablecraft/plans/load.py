@@ -13,6 +13,7 @@ from __future__ import annotations
 import json
 from dataclasses import dataclass
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -20,7 +21,7 @@ from pyspark.sql import types as T
 from ..operators.statements import STATEMENTS_PER_BATCH, batch_outcomes, filter_statements, good_rows
 from ..session import staging_path
 from ..sources import fs
-from ..sources.inserts import decode_inserts
+from ..sources.inserts import decode_all, typed_rows
 from ..sources.statements import MAX_STATEMENT, read_statements
 from ..tableset import TableSet
 
@@ -64,16 +65,15 @@ def load_dump(spark: SparkSession, path: str, dialect: str = "mysql", tables=Non
     names = list(tables) if tables else list(schemas)
     stmts = read_statements(spark, path, dialect, chunk_bytes=chunk_bytes, max_stmt_bytes=max_stmt_bytes, start_byte=start_byte)
     stmts = filter_statements(stmts, rename=bool(rename))
-    decoded = {}
-    for name in names:
-        decoded[name] = decode_inserts(stmts, name, schemas[name], dialect, keep_meta=True)
+    # one pass over the statements for every table, staged once (partitioned by table)
+    generic = decode_all(stmts, {n: schemas[n] for n in names}, dialect)
     if stage:
-        staged = {}
-        for name, df in decoded.items():
-            p = staging_path(spark, f"load-{name}")
-            df.write.parquet(p)
-            staged[name] = spark.read.parquet(p)
-        decoded = staged
+        p = staging_path(spark, "load")
+        generic.write.partitionBy("_table").parquet(p)
+        generic = spark.read.parquet(p)
+    else:
+        generic = generic.persist(StorageLevel.MEMORY_AND_DISK)
+    decoded = {n: typed_rows(generic.where(F.col("_table") == n), schemas[n], dialect) for n in names}
     flags = None
     for name, df in decoded.items():
         f = df.groupBy("_file", "_stmt_no").agg(F.bool_or("_bad").alias("bad"), F.min("_error").alias("error"))

@@ -154,6 +154,74 @@ def _tokenize(names: list[str], dialect: str):
     return run
 
 
+_TABLE = re.compile(r"\s*INSERT\s+INTO\s+(?:`((?:[^`]|``)+)`|\"((?:[^\"]|\"\")+)\"|([\w.$]+))", re.I | re.S)
+
+GENERIC_DDL = "_table string, _file string, _stmt_no long, _bad boolean, _error string, _vals array<string>"
+
+
+def _tokenize_all(columns: dict[str, list[str]], dialect: str):
+    """One pass over all statements: rows of every wanted table as text arrays."""
+    schema = pa.schema([("_table", pa.string()), ("_file", pa.string()), ("_stmt_no", pa.int64()), ("_bad", pa.bool_()),
+                        ("_error", pa.string()), ("_vals", pa.list_(pa.string()))])
+
+    def run(batches):
+        for b in batches:
+            out = {k: [] for k in schema.names}
+            for f, no, s in zip(b.column("file").to_pylist(), b.column("stmt_no").to_pylist(), b.column("stmt").to_pylist()):
+                m = _TABLE.match(s)
+                if not m:
+                    continue
+                a, q, plain = m.groups()
+                table = a.replace("``", "`") if a is not None else q.replace('""', '"') if q is not None else plain
+                names = columns.get(table)
+                if names is None:
+                    continue
+                try:
+                    given, rows = parse_insert(s, dialect)
+                    if given is not None and len(given) != len(set(given)):
+                        raise ValueError("duplicate column in INSERT")
+                    idx = list(range(len(names))) if given is None else [given.index(c) if c in given else -1 for c in names]
+                    width = len(given) if given is not None else len(names)
+                    for r in rows:
+                        if len(r) != width:
+                            raise ValueError(f"row has {len(r)} values, expected {width}")
+                    rows = [[r[i] if i >= 0 else None for i in idx] for r in rows]
+                    err = None
+                except ValueError as e:
+                    rows, err = [None], str(e)
+                for r in rows:
+                    out["_table"].append(table)
+                    out["_file"].append(f)
+                    out["_stmt_no"].append(no)
+                    out["_bad"].append(err is not None)
+                    out["_error"].append(err)
+                    out["_vals"].append(r)
+                if len(out["_table"]) >= 4096:
+                    yield pa.RecordBatch.from_pydict(out, schema=schema)
+                    out = {k: [] for k in schema.names}
+            if out["_table"]:
+                yield pa.RecordBatch.from_pydict(out, schema=schema)
+
+    return run
+
+
+def decode_all(stmts: DataFrame, schemas: dict[str, T.StructType], dialect: str = "mysql") -> DataFrame:
+    """S5 for many tables in one pass: DataFrame(_table, _file, _stmt_no, _bad, _error, _vals)."""
+    cols = {t: [f.name for f in s.fields] for t, s in schemas.items()}
+    return stmts.select("file", "stmt_no", "stmt").mapInArrow(_tokenize_all(cols, norm_dialect(dialect)), GENERIC_DDL)
+
+
+def typed_rows(generic: DataFrame, schema: T.StructType, dialect: str = "mysql") -> DataFrame:
+    """Typed columns of one table from the generic decoded rows (+ _file, _stmt_no, _bad, _error)."""
+    raw = [F.col("_vals")[i] for i in range(len(schema.fields))]
+    vals = [typed(r, f.dataType, dialect).alias(f.name) for r, f in zip(raw, schema.fields)]
+    bad = F.col("_bad")
+    for r, f in zip(raw, schema.fields):
+        bad = bad | (r.isNotNull() & typed(r, f.dataType, dialect).isNull())
+    err = F.coalesce(F.col("_error"), F.when(bad, F.lit("value does not convert to the column type")))
+    return generic.select("_file", "_stmt_no", bad.alias("_bad"), err.alias("_error"), *vals)
+
+
 def typed(raw: Column, dtype: T.DataType, dialect: str) -> Column:
     """Raw literal text -> value of ``dtype`` (null when it does not convert)."""
     if isinstance(dtype, T.StringType):

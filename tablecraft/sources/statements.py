@@ -277,10 +277,12 @@ def read_statements(spark: SparkSession, path, dialect: str = "mysql", chunk_byt
         chunks = fdf.select("path", "size", F.explode(F.sequence(F.lit(0).cast("long"), nchunks - 1)).alias("j"))
         total_chunks = sum(max(-(-(s - start_byte) // chunk_bytes), 1) for _, s in plain)
         chunks = chunks.repartition(max(1, min(total_chunks, 100000)))
-        p1 = chunks.mapInArrow(_pass1(dialect, chunk_bytes, start_byte), _P1_DDL).collect()  # five numbers per chunk
-        plan = _compose(p1, dict(plain))
-        pdf = spark.createDataFrame(plan, _P2_IN)
-        parts.append(pdf.repartition(max(1, min(len(plan), 100000))))
+        p1 = chunks.mapInArrow(_pass1(dialect, chunk_bytes, start_byte), _P1_DDL)
+        sizes = fdf.select(F.col("path").alias("_p"), "size")
+        p1 = p1.join(sizes, p1.path == sizes._p).drop("_p")
+        # fold the five-number vectors of each file in chunk order, inside Spark
+        plan = p1.groupBy("path").applyInPandas(_fold_file, _P2_IN)
+        parts.append(plan.repartition(max(1, min(total_chunks, 100000))))
     if packed:
         rows = [(p, s, 0, 0, s, N, 0, c) for p, s, c in packed]
         parts.append(spark.createDataFrame(rows, _P2_IN).repartition(max(1, len(rows))))
@@ -288,25 +290,21 @@ def read_statements(spark: SparkSession, path, dialect: str = "mysql", chunk_byt
     return inp.mapInArrow(_pass2(dialect, max_stmt_bytes), STMT_SCHEMA)
 
 
-def _compose(p1_rows, sizes: dict) -> list[tuple]:
-    """Driver: fold the per-chunk state vectors of each file in chunk order."""
-    by_file: dict[str, list] = {}
-    for r in p1_rows:
-        by_file.setdefault(r["path"], []).append(r)
-    plan = []
+def _fold_file(pdf):
+    """One file's pass-1 rows -> pass-2 plan rows (true start state, first statement number)."""
+    import pandas as pd
+
+    pdf = pdf.sort_values("j")
     index = {s: i for i, s in enumerate(BOUNDARY_STATES)}
-    for path, rows in by_file.items():
-        rows.sort(key=lambda r: r["j"])
-        st, count = N, 0
-        for r in rows:
-            if r["a_end"] <= r["a_start"]:
-                continue  # empty chunk (no line feed after its nominal start)
-            k = index[st]
-            offset = count + (1 if r["j"] > 0 else 0)
-            plan.append((path, sizes[path], r["j"], r["a_start"], r["a_end"], st, offset, None))
-            st = r["ends"][k]
-            count += r["semis"][k]
-    return plan
+    st, count, out = N, 0, []
+    for r in pdf.itertuples(index=False):
+        if r.a_end <= r.a_start:
+            continue  # empty chunk (no line feed after its nominal start)
+        k = index[st]
+        out.append((r.path, r.size, r.j, r.a_start, r.a_end, st, count + (1 if r.j > 0 else 0), None))
+        st = int(r.ends[k])
+        count += int(r.semis[k])
+    return pd.DataFrame(out, columns=["path", "size", "j", "a_start", "a_end", "state", "stmt_offset", "codec"])
 
 
 # ---------------------------------------------------------------------------

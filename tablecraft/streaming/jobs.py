@@ -40,7 +40,7 @@ def stream_load(spark: SparkSession, src_dir: str, table: str, schema: T.StructT
         paths = [r.path for r in batch.select("path").collect()]  # file names of this micro-batch only
         if not paths:
             return
-        res = load_dump(spark, paths, dialect, tables=[table], schemas={table: schema}, stage=False)
+        res = load_dump(spark, paths, dialect, tables=[table], schemas={table: schema})
         res.tables[table].write.mode("overwrite").parquet(f"{out.rstrip('/')}/batch={batch_id}")
 
     w = files.writeStream.foreachBatch(load_batch).option("checkpointLocation", checkpoint)
