@@ -483,7 +483,7 @@ def q_dump_resume(spark, sf_dir):
     data_dir = f"{out}/000001_orders/data"
     st = read_statements(spark, data_dir, "mysql")
     # the data file holds only INSERTs, in key order: resume at the middle statement
-    n = st.count()
+    n = filter_statements(st).count()
     resume_at = st.where(F.col("stmt_no") == n // 2).select("byte_start").first()[0]
     stmts = read_statements(spark, data_dir, "mysql", start_byte=resume_at, chunk_bytes=1 << 16)
     from .sources.inserts import decode_inserts
