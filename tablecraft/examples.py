@@ -427,7 +427,7 @@ def _statement_file(spark, sf_dir, dialect, extra=None):
 def q_dump_statements(dialect):
     def build(spark, sf_dir):
         path = _statement_file(spark, sf_dir, dialect)
-        st = read_statements(spark, path, dialect, chunk_bytes=1 << 16)
+        st = read_statements(spark, path, dialect)
         t = _trim_ws(F.col("stmt"))
         return st.select(t.alias("stmt")).where(F.col("stmt") != "")
     return build
@@ -526,13 +526,13 @@ REGISTRY.update({
     "dump_statements_line": q_dump_statements_line,
     "stmt_filter": q_stmt_filter,
     "stmt_classify": q_stmt_classify,
-    "dump_roundtrip_orders": _roundtrip("orders", "mysql", None),
-    "dump_roundtrip_gz": _roundtrip("orders", "postgres", "gzip"),
-    "dump_roundtrip_zst": _roundtrip("events", "mysql", "zstd"),
+    "dump_roundtrip_orders": _roundtrip("orders", "mysql", None, None),
+    "dump_roundtrip_gz": _roundtrip("orders", "postgres", "gzip", None),
+    "dump_roundtrip_zst": _roundtrip("events", "mysql", "zstd", None),
     "dump_roundtrip_xz": _roundtrip("pages", "postgres", "xz"),
     "dump_roundtrip_pages": _roundtrip("pages", "mysql", None, 1 << 14),
-    "dump_roundtrip_documents": _roundtrip("documents", "mysql", None),
-    "dump_roundtrip_customer": _roundtrip("customer", "postgres", None),
+    "dump_roundtrip_documents": _roundtrip("documents", "mysql", None, None),
+    "dump_roundtrip_customer": _roundtrip("customer", "postgres", None, None),
     "dump_resume": q_dump_resume,
     "dump_table_subset": q_dump_table_subset,
     "export_stats": q_export_stats,
