@@ -60,6 +60,11 @@ def seconds_between(start: Column, end: Column) -> Column:
     return F.timestamp_diff("MICROSECOND", start, end) / 1e6
 
 
+def uptime_seconds(start: Column, now: Column) -> Column:
+    """F16: whole seconds since ``start``, rounded like ``EXTRACT(EPOCH ...)::integer``."""
+    return F.round(seconds_between(start, now)).cast("int")
+
+
 def lsn_to_number(lsn: Column) -> Column:
     """Postgres LSN text ``HI/LO`` (hex) -> HI * 2^32 + LO as decimal(20,0)."""
     hi = F.conv(F.split(lsn, "/").getItem(0), 16, 10).cast("decimal(20,0)")

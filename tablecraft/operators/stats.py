@@ -12,6 +12,7 @@ from collections.abc import Iterable, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.formats import text_to_long
 from ..functions.sizes import row_bytes
 from ..tableset import TableSet
 
@@ -103,11 +104,6 @@ def hit_ratio(df: DataFrame, hit: Column | str, read: Column | str, by: Sequence
     return df.groupBy(*by).agg(ratio) if by else df.agg(ratio)
 
 
-def text_to_long(col: Column) -> Column:
-    """leading integer of a text value, 0 when there is none (``Sscanf("%d")``)."""
-    return F.coalesce(F.regexp_extract(F.trim(col), r"^[+-]?[0-9]+", 0).try_cast("bigint"), F.lit(0).cast("long"))
-
-
 def kv_hit_ratio(status: DataFrame, requests_name: str, reads_name: str, by: Sequence[str] = ("server",)) -> DataFrame:
     """``(1 - reads / NULLIF(requests, 0)) * 100`` from key/value status rows (null when unknown)."""
     req = F.max(F.when(F.col("name") == requests_name, text_to_long(F.col("value"))))
@@ -197,6 +193,11 @@ def tables_with_stats(tables: DataFrame, stats: DataFrame, keys: Sequence[str] =
     return out.orderBy(*keys)
 
 
+def base_tables(catalog: DataFrame, schema: str = "public") -> DataFrame:
+    """Catalog rows of plain tables in one schema (type BASE TABLE), sorted by name."""
+    return catalog.where((F.col("table_schema") == schema) & (F.col("table_type") == "BASE TABLE")).orderBy("table_name")
+
+
 def primary_key_columns(indexes: DataFrame, attributes: DataFrame, key_array: str = "keys", on: str = "table") -> DataFrame:
     """Attribute number = ANY(key array) as posexplode + equi join (keeps key order).
 

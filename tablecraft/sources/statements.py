@@ -268,9 +268,17 @@ def read_statements(spark: SparkSession, path, dialect: str = "mysql", chunk_byt
         raise ValueError("start_byte needs exactly one uncompressed file")
     plain = [(p, s) for p, s in files if not detect_codec(p)]
     if chunk_bytes is None:
-        chunk_bytes = auto_chunk(spark, sum(s for _, s in plain))
+        cores = spark.sparkContext.defaultParallelism
+        # enough files to fill the cores: keep files whole up to the largest chunk size
+        chunk_bytes = DEFAULT_CHUNK if len(plain) >= 2 * cores else auto_chunk(spark, sum(s for _, s in plain))
     packed = [(p, s, detect_codec(p)) for p, s in files if detect_codec(p)]
     parts = []
+    # a file that fits in one chunk starts in the normal state: no pass 1 needed
+    single = [(p, s) for p, s in plain if s - start_byte <= chunk_bytes]
+    plain = [(p, s) for p, s in plain if s - start_byte > chunk_bytes]
+    if single:
+        rows = [(p, s, 0, start_byte, s, N, 0, None) for p, s in single]
+        parts.append(spark.createDataFrame(rows, _P2_IN).repartition(max(1, min(len(rows), 100000))))
     if plain:
         fdf = spark.createDataFrame(plain, "path string, size long")
         nchunks = F.greatest(F.ceil((F.col("size") - F.lit(start_byte)) / F.lit(chunk_bytes)), F.lit(1)).cast("long")
@@ -286,7 +294,9 @@ def read_statements(spark: SparkSession, path, dialect: str = "mysql", chunk_byt
     if packed:
         rows = [(p, s, 0, 0, s, N, 0, c) for p, s, c in packed]
         parts.append(spark.createDataFrame(rows, _P2_IN).repartition(max(1, len(rows))))
-    inp = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+    inp = parts[0]
+    for extra in parts[1:]:
+        inp = inp.unionByName(extra)
     return inp.mapInArrow(_pass2(dialect, max_stmt_bytes), STMT_SCHEMA)
 
 

@@ -81,3 +81,18 @@ def test_jdbc_options():
     assert o["url"] == "jdbc:postgresql://db:5432/shop" and o["numPartitions"] == "4"
     with pytest.raises(ValueError):
         jdbc_options("mysql", "t", partition_column="id")
+
+
+def test_base_tables_and_column_keys(spark):
+    cat = spark.createDataFrame(
+        [("public", "b", "BASE TABLE", "nextval('b_id_seq')"), ("public", "a", "BASE TABLE", None), ("public", "v", "VIEW", "0"), ("other", "c", "BASE TABLE", "1")],
+        "table_schema string, table_name string, table_type string, dflt string",
+    )
+    assert [r.table_name for r in stats.base_tables(cat).collect()] == ["a", "b"]
+    keys = {r.table_name: r.k for r in cat.select("table_name", fmt.column_key(F.col("dflt")).alias("k")).collect()}
+    assert keys == {"b": "PRI", "a": "", "v": "MUL", "c": "MUL"}
+
+
+def test_uptime_seconds(spark):
+    df = spark.createDataFrame([(dt.datetime(2024, 1, 1, 0, 0, 0), dt.datetime(2024, 1, 1, 0, 1, 1, 600000))], "a timestamp_ntz, b timestamp_ntz")
+    assert df.select(fmt.uptime_seconds(F.col("a"), F.col("b"))).first()[0] == 62
