@@ -270,6 +270,7 @@ def q_four_way_join_sizes(spark, sf_dir):
     r = load(spark, sf_dir, "region").select("r_regionkey", "r_name")
     j = (
         per_cust.join(c, per_cust.o_custkey == c.c_custkey, "inner")
+        # nation (25 rows) and region (5 rows) have a fixed size at every scale factor
         .join(F.broadcast(n), c.c_nationkey == n.n_nationkey, "inner")
         .join(F.broadcast(r), n.n_regionkey == r.r_regionkey, "inner")
     )

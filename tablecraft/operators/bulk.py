@@ -163,28 +163,38 @@ def check_unique(df: DataFrame, keys: Sequence[str], what: str = "table") -> Non
 def sync_changes(src: DataFrame, tgt: DataFrame, keys: Sequence[str], mode: str = "full", verify_keys: bool = False) -> DataFrame:
     """Per key, what turns ``tgt`` into ``src``.
 
-    Output: keys, ``action`` (insert / update / delete / same), ``new_row`` and
+    Output: keys, ``action`` (insert / update / delete / same, or duplicate
+    when a key occurs more than once on either side), ``new_row`` and
     ``old_row`` structs of the non-key columns. Non-key values compare
-    null-safely. Both sides shuffle once on the key (full outer join).
-    ``mode='structure'`` yields no row changes.
+    null-safely.
+
+    Each side is first aggregated by key (one row and a count per key), so a
+    repeated key never multiplies into all pairs; the aggregate's hash
+    partitioning on the key is reused by the full outer join (no second
+    shuffle). ``verify_keys`` raises on a duplicate key. ``mode='structure'``
+    yields no row changes.
     """
     if mode not in ("structure", "data", "full"):
         raise ValueError(f"bad sync mode {mode}")
-    if verify_keys:
-        check_unique(src, keys, "source")
-        check_unique(tgt, keys, "target")
     keys = list(keys)
-    vals = [c for c in src.columns if c not in keys]
-    s = src.select(*keys, F.struct(*vals).alias("new_row"), F.lit(True).alias("_s"))
-    t = tgt.select(*keys, F.struct(*[c for c in tgt.columns if c not in keys]).alias("old_row"), F.lit(True).alias("_t"))
-    j = s.join(t, keys, "full_outer")
+
+    def side(df: DataFrame, tag: str, row: str) -> DataFrame:
+        vals = [c for c in df.columns if c not in keys]
+        return df.groupBy(*keys).agg(F.count(F.lit(1)).alias(tag), F.first(F.struct(*vals)).alias(row))
+
+    j = side(src, "_s", "new_row").join(side(tgt, "_t", "old_row"), keys, "full_outer")
     action = (
-        F.when(F.col("_t").isNull(), "insert")
+        F.when((F.col("_s") > 1) | (F.col("_t") > 1), "duplicate")
+        .when(F.col("_t").isNull(), "insert")
         .when(F.col("_s").isNull(), "delete")
         .when(F.col("new_row").eqNullSafe(F.col("old_row")), "same")
         .otherwise("update")
     )
     out = j.select(*keys, action.alias("action"), "new_row", "old_row")
+    if verify_keys:
+        dup = out.where(F.col("action") == "duplicate").select(*keys).limit(1).take(1)
+        if dup:
+            raise ValueError(f"duplicate key {dup[0].asDict()} in sync input")
     if mode == "structure":
         out = out.limit(0)
     return out
@@ -196,8 +206,9 @@ def sync_counts(changes: DataFrame) -> DataFrame:
 
 
 def sync_apply(changes: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """The target after the sync: every row whose action is not delete, new values."""
-    return changes.where(F.col("action") != "delete").select(*keys, "new_row.*")
+    """The target after the sync: every row whose action is not delete, new values.
+    Keys flagged duplicate are left out (they have no single new row)."""
+    return changes.where(~F.col("action").isin("delete", "duplicate")).select(*keys, "new_row.*")
 
 
 def table_changes(a: TableSet, b: TableSet) -> dict:

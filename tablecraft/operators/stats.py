@@ -41,7 +41,7 @@ def table_sizes(sets: Iterable[TableSet], index_sizes: DataFrame | None = None)
             )
     out = _union_all(parts)
     if index_sizes is not None:
-        out = out.join(F.broadcast(index_sizes.select("ns", "name", "index_size")), ["ns", "name"], "left")
+        out = out.join(index_sizes.select("ns", "name", "index_size"), ["ns", "name"], "left")  # AQE broadcasts it when small
         out = out.withColumn("index_size", F.coalesce(F.col("index_size").cast("long"), F.lit(0).cast("long")))
     else:
         out = out.withColumn("index_size", F.lit(0).cast("long"))
