@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import fs
+from ..session import ensure_checkpoint_dir
 from .splitter import BOUNDARY_STATES, B, L, N, Automaton, strip_comments
 
 DEFAULT_CHUNK = 64 << 20
@@ -176,33 +177,46 @@ def _stream_blocks(stream, size=8 << 20):
 # Spark jobs
 # ---------------------------------------------------------------------------
 
-def _pass1(dialect: str, chunk_bytes: int, origin: int):
+def _pass1(dialect: str, chunk_bytes: int, origin: int, states=BOUNDARY_STATES, aligned: bool = False):
+    """Per chunk: end state and statement count when starting in each of ``states``.
+
+    ``aligned`` rows already carry their line-feed aligned ``a_start``/``a_end``.
+    """
+
     def run(batches):
         aut = Automaton(dialect)
         for b in batches:
-            paths, sizes, idxs = b.column("path").to_pylist(), b.column("size").to_pylist(), b.column("j").to_pylist()
-            out = {k: [] for k in ("path", "j", "a_start", "a_end", "ends", "semis")}
-            for path, size, j in zip(paths, sizes, idxs):
-                a0 = _aligned_start(path, size, origin + j * chunk_bytes, origin)
-                a1 = _aligned_start(path, size, origin + (j + 1) * chunk_bytes, origin)
+            out = {k: [] for k in _P1_SCHEMA.names}
+            for r in b.to_pylist():
+                path, size, j = r["path"], r["size"], r["j"]
+                if aligned:
+                    a0, a1 = r["a_start"], r["a_end"]
+                else:
+                    a0 = _aligned_start(path, size, origin + j * chunk_bytes, origin)
+                    a1 = _aligned_start(path, size, origin + (j + 1) * chunk_bytes, origin)
                 data = fs.read_range(path, a0, a1 - a0) if a1 > a0 else b""
                 ends, semis = [], []
-                for s in BOUNDARY_STATES:
-                    _, st, ns = aut.advance(data, 0, s, len(data), True)
-                    ends.append(st)
+                for st in states:
+                    _, e, ns = aut.advance(data, 0, st, len(data), True)
+                    ends.append(e)
                     semis.append(ns)
-                for k, v in (("path", path), ("j", j), ("a_start", a0), ("a_end", a1), ("ends", ends), ("semis", semis)):
-                    out[k].append(v)
+                row = {"path": path, "size": size, "j": j, "a_start": a0, "a_end": a1, "ends": ends, "semis": semis,
+                       "miss_state": r.get("miss_state"), "miss_count": r.get("miss_count")}
+                for k in out:
+                    out[k].append(row[k])
             yield pa.RecordBatch.from_pydict(out, schema=_P1_SCHEMA)
 
     return run
 
 
 _P1_SCHEMA = pa.schema(
-    [("path", pa.string()), ("j", pa.int64()), ("a_start", pa.int64()), ("a_end", pa.int64()),
-     ("ends", pa.list_(pa.int32())), ("semis", pa.list_(pa.int64()))]
+    [("path", pa.string()), ("size", pa.int64()), ("j", pa.int64()), ("a_start", pa.int64()), ("a_end", pa.int64()),
+     ("ends", pa.list_(pa.int32())), ("semis", pa.list_(pa.int64())), ("miss_state", pa.int32()), ("miss_count", pa.int64())]
 )
-_P1_DDL = "path string, j long, a_start long, a_end long, ends array<int>, semis array<long>"
+_P1_DDL = ("path string, size long, j long, a_start long, a_end long, ends array<int>, semis array<long>, "
+           "miss_state int, miss_count long")
+_F1_DDL = ("path string, size long, j long, a_start long, a_end long, state int, stmt_offset long, resolved boolean, "
+           "miss_state int, miss_count long")
 _P2_IN = "path string, size long, j long, a_start long, a_end long, state int, stmt_offset long, codec string"
 
 
@@ -285,12 +299,18 @@ def read_statements(spark: SparkSession, path, dialect: str = "mysql", chunk_byt
         chunks = fdf.select("path", "size", F.explode(F.sequence(F.lit(0).cast("long"), nchunks - 1)).alias("j"))
         total_chunks = sum(max(-(-(s - start_byte) // chunk_bytes), 1) for _, s in plain)
         chunks = chunks.repartition(max(1, min(total_chunks, 100000)))
-        p1 = chunks.mapInArrow(_pass1(dialect, chunk_bytes, start_byte), _P1_DDL)
-        sizes = fdf.select(F.col("path").alias("_p"), "size")
-        p1 = p1.join(sizes, p1.path == sizes._p).drop("_p")
-        # fold the five-number vectors of each file in chunk order, inside Spark
-        plan = p1.groupBy("path").applyInPandas(_fold_file, _P2_IN)
-        parts.append(plan.repartition(max(1, min(total_chunks, 100000))))
+        # pass 1a: one scan per chunk, from the normal state only (right for nearly every
+        # line-aligned chunk); the per-file fold keeps the chain while it stays normal
+        ensure_checkpoint_dir(spark)
+        p1 = chunks.mapInArrow(_pass1(dialect, chunk_bytes, start_byte, (N,)), _P1_DDL)
+        f1 = p1.groupBy("path").applyInPandas(_fold_normal, _F1_DDL).checkpoint(eager=True)  # one small row per chunk
+        plan_cols = ["path", "size", "j", "a_start", "a_end", "state", "stmt_offset", F.lit(None).cast("string").alias("codec")]
+        done = f1.where("resolved").select(*plan_cols)
+        # pass 1b: chunks after a file's chain left the normal state, scanned from all five states
+        tail = f1.where(~F.col("resolved")).repartition(max(1, min(total_chunks, 100000)))
+        p1b = tail.mapInArrow(_pass1(dialect, chunk_bytes, start_byte, BOUNDARY_STATES, aligned=True), _P1_DDL)
+        rest = p1b.groupBy("path").applyInPandas(_fold_tail, _P2_IN)
+        parts.append(done.unionByName(rest).repartition(max(1, min(total_chunks, 100000))))
     if packed:
         rows = [(p, s, 0, 0, s, N, 0, c) for p, s, c in packed]
         parts.append(spark.createDataFrame(rows, _P2_IN).repartition(max(1, len(rows))))
@@ -300,16 +320,40 @@ def read_statements(spark: SparkSession, path, dialect: str = "mysql", chunk_byt
     return inp.mapInArrow(_pass2(dialect, max_stmt_bytes), STMT_SCHEMA)
 
 
-def _fold_file(pdf):
-    """One file's pass-1 rows -> pass-2 plan rows (true start state, first statement number)."""
+def _fold_normal(pdf):
+    """Pass-1a rows of one file (end state from the normal state only), in chunk order.
+
+    While the chain stays in the normal state each chunk gets its plan row;
+    from the first chunk that starts elsewhere on, rows are marked unresolved
+    and carry that chunk's start state and statement count for pass 1b.
+    """
     import pandas as pd
 
     pdf = pdf.sort_values("j")
-    index = {s: i for i, s in enumerate(BOUNDARY_STATES)}
-    st, count, out = N, 0, []
+    st, count, out, miss = N, 0, [], None
     for r in pdf.itertuples(index=False):
         if r.a_end <= r.a_start:
             continue  # empty chunk (no line feed after its nominal start)
+        if miss is None and st == N:
+            out.append((r.path, r.size, r.j, r.a_start, r.a_end, N, count + (1 if r.j > 0 else 0), True, None, None))
+            st = int(r.ends[0])
+            count += int(r.semis[0])
+        else:
+            if miss is None:
+                miss = (st, count)
+            out.append((r.path, r.size, r.j, r.a_start, r.a_end, -1, -1, False, miss[0], miss[1]))
+    cols = ["path", "size", "j", "a_start", "a_end", "state", "stmt_offset", "resolved", "miss_state", "miss_count"]
+    return pd.DataFrame(out, columns=cols)
+
+
+def _fold_tail(pdf):
+    """Pass-1b rows of one file (all five start states) from its first unresolved chunk on."""
+    import pandas as pd
+
+    pdf = pdf.sort_values("j")
+    index = {s: i for i, s in enumerate(BOUNDARY_STATES)}
+    st, count, out = int(pdf["miss_state"].iloc[0]), int(pdf["miss_count"].iloc[0]), []
+    for r in pdf.itertuples(index=False):
         k = index[st]
         out.append((r.path, r.size, r.j, r.a_start, r.a_end, st, count + (1 if r.j > 0 else 0), None))
         st = int(r.ends[k])

@@ -77,3 +77,19 @@ def test_line_mode_reader(spark):
         f.write("SELECT 1;\n# c\nSELECT 2\n;\n")
     rows = read_statements_lines(spark, d).orderBy("stmt_no").collect()
     assert [(r.start_line, r.stmt) for r in rows] == [(1, "SELECT 1"), (3, "SELECT 2")]
+
+
+@pytest.mark.parametrize("dialect", ["mysql", "postgres"])
+def test_chunks_inside_long_multiline_strings(spark, dialect):
+    """Chunk starts inside a string (rescan path) and clean files (one-scan path) in one read."""
+    root = tempfile.mkdtemp(prefix="split-")
+    body = "\n".join(f"line {i}; -- not a comment ' still text" if i % 7 else f"# {i} /* x" for i in range(400))
+    texty = f"INSERT INTO t VALUES (1, '{body.replace(chr(39), chr(39) * 2)}');\nSELECT 2;\n".encode()
+    clean = b"".join(b"INSERT INTO t VALUES (%d, 'a\\nb');\n" % i for i in range(300))
+    for name, data in (("a.sql", texty), ("b.sql", clean)):
+        with open(os.path.join(root, name), "wb") as f:
+            f.write(data)
+    for chunk in (97, 1000):
+        got = sorted((r.file.rsplit("/", 1)[-1], r.byte_start, r.byte_end, r.stmt) for r in read_statements(spark, root, dialect, chunk_bytes=chunk).collect())
+        exp = sorted((n, s, e, t.decode()) for n, d in (("a.sql", texty), ("b.sql", clean)) for s, e, t in split_all(d, dialect))
+        assert got == exp
