@@ -763,3 +763,24 @@ REGISTRY.update({
     "stream_health_levels": q_stream_health_levels,
     "stream_load": q_stream_load,
 })
+
+
+# -- section 3.1: SQL text over a registered table set ------------------------------------
+from .tableset import run_sql  # noqa: E402
+
+QUERY_TEXT = """
+    WITH o AS (SELECT o_custkey, o_orderstatus, o_totalprice FROM shop_orders)
+    SELECT c.c_mktsegment, o.o_orderstatus, count(*) AS orders, round(sum(o.o_totalprice), 2) AS total
+    FROM o JOIN shop_customer c ON o.o_custkey = c.c_custkey
+    GROUP BY c.c_mktsegment, o.o_orderstatus
+"""
+
+
+def q_sql_query(spark, sf_dir):
+    shop(spark, sf_dir).register("shop_")
+    kind, df = run_sql(spark, QUERY_TEXT)
+    assert kind == "read"
+    return df
+
+
+REGISTRY["sql_query"] = q_sql_query

@@ -377,3 +377,9 @@ ORACLES.update({
                                       value <= 60 AS is_healthy FROM events""",
     "stream_load": "SELECT * FROM orders",
 })
+
+ORACLES["sql_query"] = """
+    WITH o AS (SELECT o_custkey, o_orderstatus, o_totalprice FROM orders)
+    SELECT c.c_mktsegment, o.o_orderstatus, count(*) AS orders, round(sum(o.o_totalprice), 2) AS total
+    FROM o JOIN customer c ON o.o_custkey = c.c_custkey
+    GROUP BY c.c_mktsegment, o.o_orderstatus"""

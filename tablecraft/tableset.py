@@ -86,6 +86,12 @@ class TableSet(Mapping):
         rows = [(self.name, n, i) for i, n in enumerate(self._tables)]
         return spark.createDataFrame(rows, "ns string, name string, pos int")
 
+    def register(self, prefix: str = "") -> "TableSet":
+        """Expose every table to ``spark.sql`` as a temporary view ``<prefix><name>``."""
+        for n, df in self._tables.items():
+            df.createOrReplaceTempView(f"{prefix}{n}")
+        return self
+
     def save(self, root: str, mode: str = "errorifexists") -> None:
         """K7 for every table: ``<root>/<table>.parquet``."""
         for n, df in self._tables.items():
@@ -129,3 +135,22 @@ def save_table(df: DataFrame, path: str, mode: str = "errorifexists", fmt: str =
     if mode not in ("errorifexists", "error", "overwrite", "append", "ignore"):
         raise ValueError(f"bad mode {mode}")
     df.write.mode(mode).format(fmt).save(path)
+
+
+# ---------------------------------------------------------------------------
+# Section 3.1: plain SQL text
+# ---------------------------------------------------------------------------
+_READ_PREFIXES = ("SELECT", "SHOW", "DESCRIBE", "EXPLAIN")
+
+
+def is_read(text: str, cte_as_read: bool = False) -> bool:
+    """P8 on one statement: reads start with SELECT / SHOW / DESCRIBE / EXPLAIN (and WITH if asked)."""
+    u = text.strip().upper()
+    return u.startswith(_READ_PREFIXES) or (cte_as_read and u.startswith("WITH"))
+
+
+def run_sql(spark: SparkSession, text: str, cte_as_read: bool = True) -> tuple[str, DataFrame]:
+    """Run one SQL statement through Catalyst: ``("read", rows)`` for a read, ``("write", result)``
+    for anything else (DDL / DML run eagerly, as ``spark.sql`` does). Nothing is collected here."""
+    df = spark.sql(text)
+    return ("read" if is_read(text, cte_as_read) else "write"), df

@@ -96,3 +96,12 @@ def test_base_tables_and_column_keys(spark):
 def test_uptime_seconds(spark):
     df = spark.createDataFrame([(dt.datetime(2024, 1, 1, 0, 0, 0), dt.datetime(2024, 1, 1, 0, 1, 1, 600000))], "a timestamp_ntz, b timestamp_ntz")
     assert df.select(fmt.uptime_seconds(F.col("a"), F.col("b"))).first()[0] == 62
+
+
+def test_run_sql_classifies(spark):
+    from tablecraft.tableset import is_read, run_sql
+
+    assert is_read("  select 1") and is_read("WITH x AS (SELECT 1) SELECT * FROM x", cte_as_read=True)
+    assert not is_read("WITH x AS (SELECT 1) SELECT * FROM x") and not is_read("insert into t values (1)")
+    kind, df = run_sql(spark, "SELECT 41 + 1 AS v")
+    assert kind == "read" and df.first().v == 42
