@@ -106,3 +106,40 @@ def test_bad_batches_are_dropped_whole(spark):
 
     with pytest.raises(ValueError):
         load_dump(spark, out, "mysql", schemas={"t": schema}, batch=2, on_error="fail")
+
+
+FOREIGN_DUMP = r"""-- MySQL-style dump of database `shop`
+/*!40101 SET @OLD_CHARACTER_SET_CLIENT=@@CHARACTER_SET_CLIENT */;
+/*!40101 SET NAMES utf8mb4 */;
+DROP TABLE IF EXISTS `t`;
+CREATE TABLE `t` (
+  `id` bigint NOT NULL,
+  `name` varchar(20) DEFAULT NULL, -- trailing comment; with a semicolon
+  `price` double DEFAULT NULL,
+  `made` datetime DEFAULT NULL,
+  PRIMARY KEY (`id`)
+);
+LOCK TABLES `t` WRITE;
+INSERT INTO `t` (`price`, `id`, `name`, `made`) VALUES (1.5,1,'it\'s; -- not a comment','2024-01-31 10:00:00'),(NULL,2,'line\nbreak',NULL),
+(-2e3,3,'back\\slash "q"','2024-02-29 23:59:59.5');
+INSERT INTO `t` VALUES (4,'four',4,'2024-03-01 00:00:00');
+UNLOCK TABLES;
+# done
+"""
+
+
+def test_load_foreign_style_dump(spark):
+    d = tempfile.mkdtemp(prefix="foreign-")
+    with open(os.path.join(d, "shop.sql"), "w") as f:
+        f.write(FOREIGN_DUMP)
+    schema = T.StructType([T.StructField("id", T.LongType()), T.StructField("name", T.StringType()),
+                           T.StructField("price", T.DoubleType()), T.StructField("made", T.TimestampNTZType())])
+    res = load_dump(spark, d, "mysql", schemas={"t": schema}, chunk_bytes=64)
+    rows = sorted(tuple(r) for r in res.tables["t"].collect())
+    assert rows == [
+        (1, "it's; -- not a comment", 1.5, dt.datetime(2024, 1, 31, 10, 0)),
+        (2, "line\nbreak", None, None),
+        (3, 'back\\slash "q"', -2000.0, dt.datetime(2024, 2, 29, 23, 59, 59, 500000)),
+        (4, "four", 4.0, dt.datetime(2024, 3, 1)),
+    ]
+    assert res.outcomes.where("failed").count() == 0

@@ -105,3 +105,29 @@ def test_run_sql_classifies(spark):
     assert not is_read("WITH x AS (SELECT 1) SELECT * FROM x") and not is_read("insert into t values (1)")
     kind, df = run_sql(spark, "SELECT 41 + 1 AS v")
     assert kind == "read" and df.first().v == 42
+
+
+def test_backup_is_atomic_and_restores(spark, sf, tmp_path):
+    from tablecraft.plans import backup
+    from tablecraft.sources import fs
+
+    o = spark.read.parquet(f"{sf}/orders.parquet")
+    good = TableSet({"orders": o}, name="shop")
+    bad = TableSet({"broken": o.select(F.raise_error(F.lit("boom")).alias("x"))}, name="broken")
+    root = str(tmp_path / "backups")
+    with pytest.raises(Exception):
+        backup.create_backup([good, bad], root)
+    assert fs.list_dirs(root) == []  # the half-written set was removed
+    man = backup.create_backup([good], root, description="ok")
+    assert [r.id for r in backup.read_backups(spark, root).collect()] == [man["id"]]
+    back = backup.restore_backup(spark, root, man["id"], rename={"shop": "copy"})["copy"]["orders"]
+    assert back.exceptAll(o).count() == 0 and o.exceptAll(back).count() == 0
+    with pytest.raises(KeyError):
+        backup.restore_backup(spark, root, man["id"], databases=["nope"])
+
+
+def test_table_changes(spark):
+    a = TableSet({"t": spark.createDataFrame([(1,)], "id int"), "new": spark.createDataFrame([(1,)], "x int"),
+                  "same": spark.createDataFrame([(1,)], "y int")}, name="a")
+    b = TableSet({"t": spark.createDataFrame([(1,)], "id long"), "same": spark.createDataFrame([(2,)], "y int")}, name="b")
+    assert bulk.table_changes(a, b) == {"created": ["new"], "modified": ["t"], "skipped": ["same"]}
