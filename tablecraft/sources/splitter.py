@@ -8,8 +8,9 @@ feed is swallowed) and ``/* ... */`` is a block comment (not nested);
 comment becomes one space. Dialect ``postgres``: backslash is no escape and
 ``#`` is no comment.
 
-The automaton is driven by compiled regular expressions that jump from one
-special byte to the next, so plain text costs no Python per byte.
+The automaton is driven by compiled regular expressions: in the normal state
+one possessive match consumes plain text and whole string literals, so Python
+runs once per statement end or comment, not per byte or per quote.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ N, Q1, Q2, Q3, B, L = 0, 1, 2, 3, 4, 5
 BOUNDARY_STATES = (N, Q1, Q2, Q3, B)
 STATE_NAMES = {N: "normal", Q1: "single_quote", Q2: "double_quote", Q3: "backtick", B: "block_comment", L: "line_comment"}
 
-_SEMI, _HASH, _DASH, _SLASH, _BSL = ord(";"), ord("#"), ord("-"), ord("/"), ord("\\")
+_SEMI, _HASH, _DASH, _SLASH, _STAR, _BSL = ord(";"), ord("#"), ord("-"), ord("/"), ord("*"), ord("\\")
 _QUOTE_STATE = {ord("'"): Q1, ord('"'): Q2, ord("`"): Q3}
 
 
@@ -29,10 +30,15 @@ class Automaton:
     def __init__(self, dialect: str = "mysql"):
         d = dialect.lower()
         if d in ("mysql", "mariadb"):
-            self.re_n = re.compile(rb"['\"`;#]|--|/\*")
+            # one match consumes plain text and whole string literals; it stops at ; # -- /* or at
+            # a string that does not close inside the window (possessive: no backtracking)
+            self.re_bulk = re.compile(
+                rb"""(?:[^'"`;#/\-]++|'(?:[^'\\]++|\\.)*+'|"(?:[^"\\]++|\\.)*+"|`(?:[^`\\]++|\\.)*+`|-(?=[^-])|/(?=[^*]))*+""",
+                re.S,
+            )
             self.re_q = {Q1: re.compile(rb"[\\']"), Q2: re.compile(rb'[\\"]'), Q3: re.compile(rb"[\\`]")}
         elif d in ("postgres", "postgresql", "pg"):
-            self.re_n = re.compile(rb"['\"`;]|--|/\*")
+            self.re_bulk = re.compile(rb"""(?:[^'"`;/\-]++|'[^']*+'|"[^"]*+"|`[^`]*+`|-(?=[^-])|/(?=[^*]))*+""", re.S)
             self.re_q = {Q1: re.compile(rb"'"), Q2: re.compile(rb'"'), Q3: re.compile(rb"`")}
         else:
             raise ValueError(f"unknown dialect {dialect}")
@@ -48,36 +54,39 @@ class Automaton:
         """
         n = len(buf)
         stop = min(stop, n if final else n - 1)
-        re_n, re_q = self.re_n, self.re_q
+        re_bulk, re_q = self.re_bulk, self.re_q
         nsemi = 0
         while pos < stop:
             if st == N:
-                m = re_n.search(buf, pos, min(stop + 1, n))
-                if m is None or m.start() >= stop:
-                    pos = stop
+                p = re_bulk.match(buf, pos, min(stop + 1, n)).end()
+                if p >= stop:
+                    pos = p
                     break
-                p = m.start()
                 c = buf[p]
                 if c == _SEMI:
                     nsemi += 1
                     if semis is not None:
                         semis.append(base + p)
                     pos = p + 1
-                elif c in _QUOTE_STATE:
+                elif c in _QUOTE_STATE:  # a string that does not close inside the window
                     st = _QUOTE_STATE[c]
                     pos = p + 1
                 elif c == _HASH:
                     if comments is not None:
                         comments.append(base + p)
                     st, pos = L, p + 1
-                elif c == _DASH:
-                    if comments is not None:
-                        comments.append(base + p)
-                    st, pos = L, p + 2
-                else:  # "/*"
-                    if comments is not None:
-                        comments.append(base + p)
-                    st, pos = B, p + 2
+                elif c == _DASH or c == _SLASH:
+                    nxt = buf[p + 1] if p + 1 < n else -1
+                    if c == _DASH and nxt == _DASH:
+                        if comments is not None:
+                            comments.append(base + p)
+                        st, pos = L, p + 2
+                    elif c == _SLASH and nxt == _STAR:
+                        if comments is not None:
+                            comments.append(base + p)
+                        st, pos = B, p + 2
+                    else:  # a lone - or / as the very last byte of the input
+                        pos = p + 1
             elif st == L:
                 p = buf.find(b"\n", pos, stop)
                 if p < 0:
