@@ -55,8 +55,66 @@ def _unescape_mysql(s: str) -> str:
     return s.replace("''", "'") if "''" in s else s
 
 
-def parse_insert(stmt: str, dialect: str = "mysql"):
-    """(columns or None, list of tuples of raw text / None). Raises ValueError on bad text."""
+# One value token (no groups inside) per dialect, for the whole-tuple fast path.
+_TOKEN = {
+    "mysql": r"""(NULL\b|'(?:[^'\\]++|\\.)*+'|[xX]'[0-9A-Fa-f]*+'|[-+]?(?:\d+\.?\d*|\.\d+)(?:[eE][-+]?\d+)?|TRUE\b|FALSE\b|"(?:[^"\\]++|\\.)*+")""",
+    "postgres": r"""(NULL\b|'(?:[^']++|'')*+'|[xX]'[0-9A-Fa-f]*+'|[-+]?(?:\d+\.?\d*|\.\d+)(?:[eE][-+]?\d+)?|TRUE\b|FALSE\b)""",
+}
+_TUPLES: dict = {}
+_SEP = re.compile(r"\s*(,|;|$)\s*", re.S)
+
+
+def _tuple_re(dialect: str, width: int):
+    key = (dialect, width)
+    if key not in _TUPLES:
+        t = _TOKEN[dialect]
+        _TUPLES[key] = re.compile(r"\s*\(\s*" + r"\s*,\s*".join([t] * width) + r"\s*\)", re.S | re.I)
+    return _TUPLES[key]
+
+
+_NEEDS_CONVERSION = frozenset("'\"xXnN")
+
+
+def _value(tok: str, mysql: bool):
+    c = tok[0]
+    if c == "'" or c == '"':
+        raw = tok[1:-1]
+        if mysql:
+            return _unescape_mysql(raw) if ("\\" in raw or "''" in raw or '""' in raw) else raw
+        return raw.replace("''", "'") if "''" in raw else raw
+    if c == "x" or c == "X":
+        return "\\x" + tok[2:-1].upper()
+    if c == "N" or c == "n":
+        return None
+    return tok
+
+
+def _fast_rows(stmt: str, pos: int, width: int, d: str):
+    """All tuples with one regex match each, or None when the text needs the general parser."""
+    tre, mysql, rows, n = _tuple_re(d, width), d == "mysql", [], len(stmt)
+    while True:
+        m = tre.match(stmt, pos)
+        if m is None:
+            return None
+        rows.append([_value(g, mysql) if g[0] in _NEEDS_CONVERSION else g for g in m.groups()])
+        sm = _SEP.match(stmt, m.end())
+        if sm is None:
+            return None
+        sep = sm.group(1)
+        pos = sm.end()
+        if sep == ",":
+            continue
+        if pos >= n:
+            return rows
+        return None
+
+
+def parse_insert(stmt: str, dialect: str = "mysql", width: int | None = None):
+    """(columns or None, list of tuples of raw text / None). Raises ValueError on bad text.
+
+    With a known tuple width (column list or ``width``) whole tuples are matched
+    in one regex each; anything unusual falls back to the value-by-value parser.
+    """
     d = norm_dialect(dialect)
     m = _HEAD.match(stmt)
     if not m:
@@ -67,6 +125,11 @@ def parse_insert(stmt: str, dialect: str = "mysql"):
         for im in _IDENT.finditer(m.group("cols")):
             a, b, c = im.groups()
             cols.append(a.replace("``", "`") if a is not None else b.replace('""', '"') if b is not None else c)
+    w = len(cols) if cols is not None else width
+    if w:
+        fast = _fast_rows(stmt, m.end(), w, d)
+        if fast is not None:
+            return cols, fast
     vre = _VALUE[d]
     pos, n, rows = m.end(), len(stmt), []
     while True:
@@ -177,7 +240,7 @@ def _tokenize_all(columns: dict[str, list[str]], dialect: str):
                 if names is None:
                     continue
                 try:
-                    given, rows = parse_insert(s, dialect)
+                    given, rows = parse_insert(s, dialect, width=len(names))
                     if given is not None and len(given) != len(set(given)):
                         raise ValueError("duplicate column in INSERT")
                     idx = list(range(len(names))) if given is None else [given.index(c) if c in given else -1 for c in names]
