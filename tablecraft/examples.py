@@ -784,3 +784,14 @@ def q_sql_query(spark, sf_dir):
 
 
 REGISTRY["sql_query"] = q_sql_query
+
+
+def q_uptime_report(spark, sf_dir):
+    """F16 + F10: per user, whole seconds between the first and last event and their text form."""
+    e = load(spark, sf_dir, "events")
+    per = e.groupBy("user_id").agg(F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
+    secs = fmt.uptime_seconds(F.col("first_ts"), F.col("last_ts"))
+    return per.select("user_id", "first_ts", "last_ts", secs.alias("uptime_seconds"), fmt.format_uptime(secs).alias("uptime_text"))
+
+
+REGISTRY["uptime_report"] = q_uptime_report

@@ -383,3 +383,8 @@ ORACLES["sql_query"] = """
     SELECT c.c_mktsegment, o.o_orderstatus, count(*) AS orders, round(sum(o.o_totalprice), 2) AS total
     FROM o JOIN customer c ON o.o_custkey = c.c_custkey
     GROUP BY c.c_mktsegment, o.o_orderstatus"""
+
+ORACLES["uptime_report"] = f"""
+    WITH p AS (SELECT user_id, min(ts) AS first_ts, max(ts) AS last_ts FROM events GROUP BY user_id),
+         s AS (SELECT *, CAST(round((epoch_us(last_ts) - epoch_us(first_ts)) / 1e6) AS INTEGER) AS uptime_seconds FROM p)
+    SELECT user_id, first_ts, last_ts, uptime_seconds, {_format_uptime('uptime_seconds')} AS uptime_text FROM s"""
