@@ -686,7 +686,8 @@ def q_format_sizes(spark, sf_dir):
 def q_lsn_numbers(spark, sf_dir):
     e = load(spark, sf_dir, "events")
     lsn = F.concat(F.upper(F.hex("user_id")), F.lit("/"), F.upper(F.hex("event_id")))
-    return e.select("event_id", lsn.alias("lsn"), fmt.lsn_to_number(lsn).cast("long").alias("lsn_number"))
+    num = fmt.lsn_to_number(lsn)
+    return e.select("event_id", lsn.alias("lsn"), num.cast("long").alias("lsn_number"), fmt.number_to_lsn(num).alias("lsn_back"))
 
 
 def q_name_formats(spark, sf_dir):

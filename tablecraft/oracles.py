@@ -360,7 +360,8 @@ ORACLES.update({
         SELECT ns, name, {_format_size('data_size')} AS size_text, {_format_bytes('data_size * 1000')} AS bytes_text,
                {_format_uptime('row_count * 7')} AS uptime_text FROM s""",
     "lsn_numbers": """SELECT event_id, upper(hex(user_id)) || '/' || upper(hex(event_id)) AS lsn,
-                             CAST(user_id * 4294967296 + event_id AS BIGINT) AS lsn_number FROM events""",
+                             CAST(user_id * 4294967296 + event_id AS BIGINT) AS lsn_number,
+                             upper(hex(user_id)) || '/' || upper(hex(event_id)) AS lsn_back FROM events""",
     "name_formats": """
         SELECT event_id, event_type || '_' || strftime(ts, '%Y%m%d_%H%M%S') || '.sql' AS output_name,
                strftime(ts, '%Y%m%d-%H%M%S') AS backup_id, event_type AS database,
