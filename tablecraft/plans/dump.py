@@ -41,31 +41,50 @@ ROWS_PER_INSERT = 1000  # fixed value: default rows per INSERT statement
 # K3
 # ---------------------------------------------------------------------------
 
-def _join_batches(prefix: str, batch: int):
+MAX_STATEMENT_TEXT = 16 << 20  # bytes of tuple text per INSERT, well under the loader's 64 MB statement limit
+
+
+def _cuts(lengths: np.ndarray, batch: int, max_bytes: int) -> list[int]:
+    """Statement end offsets: at most ``batch`` rows and, past one row, at most ``max_bytes`` of tuple text."""
+    csum = np.concatenate([[0], np.cumsum(lengths + 2)])  # each tuple plus its ",\n"
+    cuts, start, n = [], 0, len(lengths)
+    while start < n:
+        end = min(start + batch, n)
+        if csum[end] - csum[start] > max_bytes:
+            end = max(start + 1, int(np.searchsorted(csum, csum[start] + max_bytes, side="right")) - 1)
+        cuts.append(end)
+        start = end
+    return cuts
+
+
+def _join_batches(prefix: str, batch: int, max_bytes: int = MAX_STATEMENT_TEXT):
     suffix = ";\n"
+    large = pa.large_string()
 
-    def emit(arr: pa.Array):
-        n = len(arr)
-        offs = np.arange(0, n, batch, dtype=np.int64)
-        offs = np.append(offs, n)
-        lists = pa.LargeListArray.from_arrays(pa.array(offs, pa.int64()), arr)
-        body = pc.binary_join(lists, pa.scalar(",\n", pa.large_string()))
-        stmt = pc.binary_join_element_wise(pa.scalar(prefix, pa.large_string()), body, pa.scalar(suffix, pa.large_string()), pa.scalar("", pa.large_string()))
+    def emit(arr: pa.Array, ends: list[int]):
+        offs = np.array([0] + ends, dtype=np.int64)
+        lists = pa.LargeListArray.from_arrays(pa.array(offs, pa.int64()), arr.slice(0, ends[-1]))
+        body = pc.binary_join(lists, pa.scalar(",\n", large))
+        stmt = pc.binary_join_element_wise(pa.scalar(prefix, large), body, pa.scalar(suffix, large), pa.scalar("", large))
         rows = pa.array(np.diff(offs).astype(np.int32))
         return pa.RecordBatch.from_arrays([rows, stmt.cast(pa.string())], names=["rows", "stmt"])
 
     def run(batches):
         carry = None
         for b in batches:
-            arr = b.column(0).cast(pa.large_string())
+            arr = b.column(0).cast(large)
             if carry is not None and len(carry):
                 arr = pa.concat_arrays([carry, arr])
-            full = len(arr) // batch * batch
-            if full:
-                yield emit(arr.slice(0, full))
-            carry = arr.slice(full)
+            ends = _cuts(pc.binary_length(arr).to_numpy(zero_copy_only=False), batch, max_bytes)
+            # the last statement stays open (carried into the next Arrow batch) unless it is full
+            last_start = ends[-2] if len(ends) > 1 else 0
+            if ends and ends[-1] == len(arr) and ends[-1] - last_start < batch:
+                ends = ends[:-1]
+            if ends:
+                yield emit(arr, ends)
+            carry = arr.slice(ends[-1] if ends else 0)
         if carry is not None and len(carry):
-            yield emit(carry)
+            yield emit(carry, _cuts(pc.binary_length(carry).to_numpy(zero_copy_only=False), batch, max_bytes))
 
     return run
 
@@ -79,12 +98,18 @@ def spread(df: DataFrame) -> DataFrame:
     return df
 
 
-def render_inserts(df: DataFrame, table: str, dialect: str = "mysql", batch: int = ROWS_PER_INSERT) -> DataFrame:
-    """K3, partition-local: DataFrame(rows, stmt); no shuffle, no Python per row."""
+def render_inserts(df: DataFrame, table: str, dialect: str = "mysql", batch: int = ROWS_PER_INSERT,
+                   max_bytes: int = MAX_STATEMENT_TEXT) -> DataFrame:
+    """K3, partition-local: DataFrame(rows, stmt); no shuffle, no Python per row.
+
+    A statement holds at most ``batch`` rows and, once it has more than one
+    row, at most ``max_bytes`` of tuple text, so wide rows never produce a
+    statement the loader would refuse.
+    """
     prefix = insert_prefix(table, df.columns, dialect)
     df = spread(df)
     tuples = df.select(row_tuple(df.schema, dialect).alias("t"))
-    return tuples.mapInArrow(_join_batches(prefix, batch), "rows int, stmt string")
+    return tuples.mapInArrow(_join_batches(prefix, batch, max_bytes), "rows int, stmt string")
 
 
 def render_inserts_ordered(df: DataFrame, table: str, order_by: str, dialect: str = "mysql", batch: int = ROWS_PER_INSERT) -> DataFrame:

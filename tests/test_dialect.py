@@ -143,3 +143,11 @@ def test_load_foreign_style_dump(spark):
         (4, "four", 4.0, dt.datetime(2024, 3, 1)),
     ]
     assert res.outcomes.where("failed").count() == 0
+
+
+def test_wide_rows_cut_statements_by_bytes(spark):
+    wide = spark.range(0, 40, numPartitions=2).select(F.col("id"), F.expr("repeat('x', 100000)").alias("doc"))
+    st = render_inserts(wide, "t", "mysql", batch=1000, max_bytes=300000).collect()
+    assert sum(r.rows for r in st) == 40
+    assert max(len(r.stmt) for r in st) < 300000 + 200000  # never more than the cap plus one row
+    assert max(r.rows for r in st) <= 3
