@@ -5,6 +5,8 @@ from __future__ import annotations
 from .bpe import op10_bpe
 from .chat import OP3_SQL, op3_chat
 from .mixing import OP1_SQL, op1_mixing
+from .pii import op8_pii
+from .secrets import op4_secrets
 
-REGISTRY = {f.__name__: f for f in (op1_mixing, op3_chat, op10_bpe)}
+REGISTRY = {f.__name__: f for f in (op1_mixing, op3_chat, op4_secrets, op8_pii, op10_bpe)}
 ORACLES = {"op1_mixing": OP1_SQL, "op3_chat": OP3_SQL}
