@@ -31,7 +31,7 @@ WEIGHTS = (5, 2, 1)
 SHARE = 1.5
 CAP = 2.0
 SEED = "mix-1"
-BLOCK_ROWS = 4096
+BLOCK_ROWS = 1024
 RESULT = ("size", "source_size", "target", "copies")
 
 
