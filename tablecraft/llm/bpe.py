@@ -5,9 +5,9 @@ may be cut between them: the fragments are encoded independently and their ids c
 computed from the vocabulary when it is loaded. They are used twice:
 
 * on the text: a space after a non-space character is such a pair in vocabularies whose pre-tokeniser keeps
-  leading spaces (this is verified against the pairs, else the text stays whole). A pre-token never crosses such
-  a place and the white space that the pattern looks ahead for lies right of it, so these cuts change no
-  pre-token. A fragment is mostly one word with its punctuation;
+  leading spaces, and so are a line feed and its neighbours (both are verified against the pairs, else the text
+  stays whole). A pre-token never crosses such a place, and the white space that the pattern looks ahead for
+  lies right of it, so these cuts change no pre-token. A fragment is mostly one word with its punctuation;
 * inside each pre-token of a fragment, between any two bytes that form such a pair.
 
 What is left is merged by rank. Ids of fragments are remembered in each task up to ``CACHE`` fragments, after
@@ -24,18 +24,18 @@ from __future__ import annotations
 import hashlib
 import heapq
 import json
-from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import read, stage
+from .common import read
 
 #: The pre-tokeniser's pattern of byte-level BPE vocabularies of this kind.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-CACHE = 500_000
+CACHE = 800_000
 #: Rank of a pair that is never merged.
 NEVER = (1 << 60, -1)
 #: Fragments longer than this are merged with a heap.
@@ -61,6 +61,7 @@ class Bpe:
         ids = {to_bytes(t): i for t, i in model["vocab"].items()}
         self.special = {t["content"]: t["id"] for t in spec.get("added_tokens", []) if t["special"]}
         self.bytes_of = {i: t for t, i in ids.items()} | {i: s.encode() for s, i in self.special.items()}
+        self.name_of = {i: str(i) for i in self.bytes_of}
         self.byte_ids = [ids[bytes([b])] for b in range(256)]
         merges = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
         #: (left id, right id): (rank, merged id)
@@ -72,9 +73,14 @@ class Bpe:
         self.alone = {t: i for t, i in ids.items() if len(t) <= HEAP_FROM and self._merge(t) == [i]}
         space = ord(" ")
         self.cut_at_space = not any(b == space and a not in b"\t\n\v\f\r \x1c\x1d\x1e\x1f\x85\xa0" and a < 0x80 for a, b in self.inside)
+        line, white = ord("\n"), b"\t\n\v\f\r "
+        self.cut_at_line = not any(line in (a, b) and max(a, b) < 0x80 and {a, b} - {*white} for a, b in self.inside)
         self.pattern = regex.compile(PATTERN)
         #: A space after white space: there a look-ahead of the pattern would cross the cut.
-        self.unsafe = [chr(c) + " " for c in range(0x3001) if regex.match(r"\s", chr(c))]
+        blanks = [chr(c) for c in range(0x3001) if regex.match(r"\s", chr(c))]
+        self.unsafe = [c + " " for c in blanks]
+        #: A line feed beside other white space: it belongs to a longer pre-token.
+        self.unsafe_line = [*[c + "\n" for c in blanks], *["\n" + c for c in blanks]]
         self.safe_cut = regex.compile(r"(?<=\S)(?= )")
         self.specials = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
         self.known: dict[str, tuple[str, bytes]] = {}
@@ -125,34 +131,51 @@ class Bpe:
                 offer(left[i])
         return [x for x in ids if x >= 0]
 
-    def _pieces(self, token: bytes) -> Iterator[bytes]:
+    def _pieces(self, token: bytes) -> list[bytes]:
         """A pre-token, cut at its forced boundaries."""
-        begin, inside = 0, self.inside
-        for i in range(1, len(token)):
-            if (token[i - 1], token[i]) not in inside:
-                yield token[begin:i]
-                begin = i
-        yield token[begin:]
-
-    def _fragment(self, text: str) -> list[int]:
-        return [i for token in self.pattern.findall(text) for piece in self._pieces(token.encode("utf-8", "replace")) for i in self._merge(piece)]
+        inside = self.inside
+        cuts = [i for i, pair in enumerate(zip(token, token[1:]), 1) if pair not in inside]
+        if not cuts:
+            return [token]
+        return [token[a:b] for a, b in zip([0, *cuts], [*cuts, len(token)])]
+
+    def _token(self, text: str) -> tuple[str, bytes]:
+        """Of a pre-token: its ids as comma-joined decimals, and what they decode to."""
+        ids = [i for piece in self._pieces(text.encode("utf-8", "replace")) for i in self._merge(piece)]
+        name = self.name_of
+        return ",".join([name[i] for i in ids]), self.decode_bytes(ids)
 
     def _fragments(self, text: str) -> list[str]:
-        """``text`` cut before each space that follows a non-space character."""
+        """``text`` cut before each space that follows a non-space character, and around lone line feeds."""
         if not self.cut_at_space:
             return [text]
         if any([x in text for x in self.unsafe]):
             return self.safe_cut.split(text)
-        return text.replace(" ", "\0 ").split("\0") if "\0" not in text else self.safe_cut.split(text)
+        if "\0" in text:
+            return self.safe_cut.split(text)
+        cut = text.replace(" ", "\0 ")
+        if self.cut_at_line and not any([x in text for x in self.unsafe_line]):
+            cut = cut.replace("\n", "\0\n\0")
+        return cut.split("\0")
 
     def _learn(self, text: str) -> tuple[str, bytes]:
-        """Of a fragment: its ids as comma-joined decimals, and what they decode to."""
-        ids = self._fragment(text)
-        found = (",".join(map(str, ids)), self.decode_bytes(ids))
-        if len(self.known) >= CACHE:
-            self.known.clear()
+        """The same of a fragment, joined from its pre-tokens; both are remembered."""
+        tokens, known = self.pattern.findall(text), self.known
+        if len(known) >= CACHE:
+            known.clear()
+        if len(tokens) == 1:
+            found = self._token(text)
+        else:
+            each = []
+            for t in tokens:
+                if (one := known.get(t)) is None:
+                    one = self._token(t)
+                    if len(t) <= LONG:
+                        known[t] = one
+                each.append(one)
+            found = (",".join([x[0] for x in each]), b"".join([x[1] for x in each]))
         if len(text) <= LONG:
-            self.known[text] = found
+            known[text] = found
         return found
 
     def parts(self, text: str | None) -> list[tuple[str, bytes]]:
@@ -168,7 +191,11 @@ class Bpe:
         return out
 
     def encode(self, text: str | None) -> list[int]:
-        return [int(i) for ids, _ in self.parts(text) for i in ids.split(",") if i]
+        return self.encode_array(text).tolist()
+
+    def encode_array(self, text: str | None) -> np.ndarray:
+        joined = ",".join([ids for ids, _ in self.parts(text) if ids])
+        return np.fromstring(joined, np.int32, sep=",") if joined else np.zeros(0, np.int32)
 
     def decode_bytes(self, ids) -> bytes:
         get = self.bytes_of.get
@@ -201,7 +228,7 @@ def encode(docs: DataFrame, path: str | None = None, text: str = "text", out: st
 
     @F.pandas_udf("array<int>")
     def ids(texts: pd.Series) -> pd.Series:
-        return pd.Series([tokenizer(path).encode(t) for t in texts], dtype=object)
+        return pd.Series([tokenizer(path).encode_array(t) for t in texts], dtype=object)
 
     return docs.withColumn(out, ids(F.col(f"`{text}`")))
 
