@@ -202,7 +202,10 @@ class Bpe:
         return b"".join([get(i, b"") for i in ids])
 
     def decode(self, ids) -> str | None:
-        return None if ids is None else self.decode_bytes(int(i) for i in ids if i is not None).decode("utf-8", "replace")
+        if ids is None:
+            return None
+        ids = np.asarray(ids)
+        return self.decode_bytes(ids[~np.isnan(ids)].astype(int).tolist() if ids.dtype.kind == "f" else ids.tolist()).decode("utf-8", "replace")
 
 
 _LOADED: dict[str, Bpe] = {}

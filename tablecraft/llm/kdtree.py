@@ -35,6 +35,10 @@ LOWEST = -(2**63) - 1
 MOST_ID = 2**63
 
 
+def _clip(score: int) -> int:
+    return min(max(int(score), -(2**63)), 2**63 - 1)
+
+
 class Tree:
     """A KD-tree over the rows of ``points`` (integers) with their ids."""
 
@@ -74,7 +78,7 @@ class Tree:
             bounds = (self.floats[2] @ up + self.floats[1] @ down).tolist()
         else:
             q = query.astype(object)
-            bounds = [int(x) for x in np.maximum(self.low.astype(object) * q, self.high.astype(object) * q).sum(1)]
+            bounds = [_clip(x) for x in np.maximum(self.low.astype(object) * q, self.high.astype(object) * q).sum(1)]
         kept: list[tuple[int, int]] = []  # a heap of (score, -id)
         score, last = floor
         queue = [(-bounds[0], self.least[0], 0)]
@@ -92,7 +96,7 @@ class Tree:
                 scores = points @ q
             else:
                 ids = self.ids[self.rows[node]]
-                scores = np.array([int(x) for x in self.points[self.rows[node]].astype(object) @ q], dtype=object)
+                scores = np.array([_clip(x) for x in self.points[self.rows[node]].astype(object) @ q], dtype=object)
             for i in np.nonzero(scores >= score)[0]:
                 found = (int(scores[i]), -int(ids[i]))
                 if found > (score, -last) and ids[i] != own:
@@ -108,7 +112,7 @@ def _search(k: int):
         out = []
         for own, v, s, i in zip(queries["id"], queries["v"], queries["floor_score"], queries["floor_id"], strict=True):
             floor = (LOWEST, MOST_ID) if pd.isna(i) else (int(s), int(i))
-            out += [(own, i, min(max(s, -(2**63)), 2**63 - 1)) for s, i in tree.search(np.asarray(v), own, k, floor)]
+            out += [(own, i, s) for s, i in tree.search(np.asarray(v), own, k, floor)]
         return pd.DataFrame(out, columns=["query_id", "vec_id", "score"]).astype(np.int64)
 
     return run

@@ -3,8 +3,8 @@
 Rules name a host (all its subdomains count) and the beginning of a path; the longest fitting one decides. All
 other urls are judged by their template. For each host a tree over the first DEPTH path segments is built level
 by level: numbers and long hex strings are wildcards from the start, and at each node the branches whose labelled
-rate of bad pages does not differ significantly from that of their siblings merge into the wildcard ``*``. Only
-branches that differ, and single branches, keep their name. A template is rejected when its share of bad pages
+rate of bad pages is not significantly above that of their siblings merge into the wildcard ``*``. Only branches
+that are worse, and single branches, keep their name. A template is rejected when its share of bad pages
 among the labelled ones, smoothed towards the share of all pages, reaches REJECT.
 
 At scale: pages are first counted by pattern, the levels work on these counts, and pages meet the tree again in a
@@ -29,7 +29,7 @@ from .common import lookup, read, stage
 #: (verdict, host, path)
 RULES = (("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/"))
 DEPTH = 4
-#: Standard errors by which a branch's rate differs from its siblings'.
+#: Standard errors by which a branch's rate must exceed its siblings'.
 DIFFERENT = 2.6
 #: Labelled pages that the share of all pages weighs in a template's purity, and the purity that rejects.
 PRIOR_WEIGHT, REJECT = 10.0, 0.5
@@ -67,8 +67,8 @@ def _grown(rows: DataFrame, seg: str, different: float) -> DataFrame:
     both = lookup(stage(children, "url-children"), stage(nodes, "url-nodes"), ["_host", "tpl"])
     rest_l, rest_b, p = F.col("all_l") - F.col("l"), F.col("all_b") - F.col("b"), F.try_divide("all_b", "all_l")
     error = F.sqrt(p * (1 - p) * (F.try_divide(F.lit(1.0), F.col("l")) + F.try_divide(F.lit(1.0), rest_l)))
-    differs = (F.col("l") > 0) & (rest_l > 0) & (F.abs(F.try_divide("b", "l") - F.try_divide(rest_b, rest_l)) > different * error)
-    name = F.when((F.col("n") == 1) | F.coalesce(differs, F.lit(False)), F.col(seg)).otherwise(F.lit("*"))
+    worse = (F.col("l") > 0) & (rest_l > 0) & (F.try_divide("b", "l") - F.try_divide(rest_b, rest_l) > different * error)
+    name = F.when((F.col("n") == 1) | F.coalesce(worse, F.lit(False)), F.col(seg)).otherwise(F.lit("*"))
     names = stage(both.select("_host", "tpl", seg, name.alias("name")), "url-names")
     return lookup(rows, names, ["_host", "tpl", seg]).withColumn("tpl", F.concat("tpl", F.lit("/"), "name")).drop("name")
 
@@ -121,7 +121,7 @@ def _level_sql(i: int) -> str:
     return f"""
 n{i} AS (SELECT host, tpl, {seg}, sum(l) AS l, sum(b) AS b FROM g{i} GROUP BY ALL),
 w{i} AS (SELECT *, sum(l) OVER q AS al, sum(b) OVER q AS ab, count(*) OVER q AS n FROM n{i} WINDOW q AS (PARTITION BY host, tpl)),
-k{i} AS (SELECT host, tpl, {seg}, CASE WHEN n = 1 OR (l > 0 AND al > l AND abs(b / l - (ab - b) / (al - l)) > {DIFFERENT}::DOUBLE * sqrt((ab / al) * (1 - ab / al) * (1.0::DOUBLE / l + 1.0::DOUBLE / (al - l)))) THEN {seg} ELSE '*' END AS name FROM w{i}),
+k{i} AS (SELECT host, tpl, {seg}, CASE WHEN n = 1 OR (l > 0 AND al > l AND b / l - (ab - b) / (al - l) > {DIFFERENT}::DOUBLE * sqrt((ab / al) * (1 - ab / al) * (1.0::DOUBLE / l + 1.0::DOUBLE / (al - l)))) THEN {seg} ELSE '*' END AS name FROM w{i}),
 g{i + 1} AS (SELECT g.* REPLACE (g.tpl || '/' || k.name AS tpl) FROM g{i} g JOIN k{i} k ON g.host = k.host AND g.tpl = k.tpl AND g.{seg} = k.{seg}),"""
 
 
