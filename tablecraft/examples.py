@@ -34,21 +34,33 @@ def ref(spark, sf_dir) -> TableSet:
 
 # -- derived frames ----------------------------------------------------------
 
+SHIFT = 100_000_000  # added to some keys of a second version of a table
+
+
 def orders_a(spark, sf_dir):
-    return load(spark, sf_dir, "orders").where(F.col("o_orderstatus").isin("F", "O"))
+    return load(spark, sf_dir, "orders")
 
 
 def orders_b(spark, sf_dir):
-    return load(spark, sf_dir, "orders").where(F.col("o_orderstatus").isin("O", "P"))
+    """All orders again: every third key shifted, every second customer's price changed."""
+    o = load(spark, sf_dir, "orders")
+    key = F.when(F.col("o_orderkey") % 3 == 0, F.col("o_orderkey") + SHIFT).otherwise(F.col("o_orderkey"))
+    return o.withColumns({"o_orderkey": key, "o_totalprice": F.col("o_totalprice") + F.col("o_custkey") % 2})
 
 
-def sync_src(spark, sf_dir):
-    o = load(spark, sf_dir, "orders").where(F.col("o_orderpriority") != "1-URGENT")
-    return o.withColumn("o_totalprice", F.when(F.col("o_orderstatus") == "F", F.col("o_totalprice") + 1).otherwise(F.col("o_totalprice")))
+SYNC_KEYS = ["o_orderkey", "o_orderpriority"]
 
 
 def sync_tgt(spark, sf_dir):
-    return load(spark, sf_dir, "orders").where(F.col("o_orderpriority") != "5-LOW")
+    """All orders; the second key column is null for urgent ones."""
+    return load(spark, sf_dir, "orders").withColumn("o_orderpriority", F.nullif(F.col("o_orderpriority"), F.lit("1-URGENT")))
+
+
+def sync_src(spark, sf_dir):
+    """The same with every seventh key shifted and the prices of finished orders changed."""
+    key = F.when(F.col("o_orderkey") % 7 == 0, F.col("o_orderkey") + SHIFT).otherwise(F.col("o_orderkey"))
+    price = F.when(F.col("o_orderstatus") == "F", F.col("o_totalprice") + 1).otherwise(F.col("o_totalprice"))
+    return sync_tgt(spark, sf_dir).withColumns({"o_orderkey": key, "o_totalprice": price})
 
 
 def metric_samples(spark, sf_dir):
@@ -110,12 +122,48 @@ def q_copy_where(spark, sf_dir):
 
 
 def q_clone_table(spark, sf_dir):
-    out = bulk.clone(shop(spark, sf_dir), staging_path(spark, "clone"), data=True)
-    return out["customer"]
+    return shop_rows(bulk.clone(shop(spark, sf_dir), staging_path(spark, "clone"), data=True))
+
+
+def shop_rows(ts: TableSet) -> DataFrame:
+    """All rows of the shop's tables in common columns."""
+    pick = {"customer": ("c_custkey", "c_nationkey", "c_acctbal", "c_mktsegment"), "orders": ("o_orderkey", "o_custkey", "o_totalprice", "o_orderpriority"), "lineitem": ("l_orderkey", "l_linenumber", "l_extendedprice", "l_returnflag")}
+    out = None
+    for t, (a, b, c, d) in pick.items():
+        rows = ts[t].select(F.lit(t).alias("name"), F.col(a).cast("long").alias("k1"), F.col(b).cast("long").alias("k2"), F.col(c).alias("amount"), F.col(d).alias("word"))
+        out = rows if out is None else out.unionByName(rows)
+    return out
 
 
 def q_clone_structure(spark, sf_dir):
-    return bulk.copy_table(load(spark, sf_dir, "orders"), data=False)
+    """Structure copies, read back, beside the row counts of what they were copied from."""
+    src = shop(spark, sf_dir)
+    copies = bulk.clone(src, staging_path(spark, "structure"), data=False)
+    copied, whole = stats.row_counts(copies), stats.row_counts(src)
+    columns = bulk.schema_rows(spark, copies).groupBy(F.col("table_name").alias("name")).agg(F.count(F.lit(1)).alias("columns"))
+    return whole.select("name", F.col("row_count").alias("source_rows")).join(copied.select("name", F.col("row_count").alias("copied_rows")), "name").join(columns, "name")
+
+
+def q_copy_renamed(spark, sf_dir):
+    root = staging_path(spark, "renamed")
+    bulk.copy_into(load(spark, sf_dir, "nation"), root, "dear_lines")
+    return bulk.copy_into(load(spark, sf_dir, "lineitem"), root, "dear_lines", "l_extendedprice > 30000", if_exists="replace")
+
+
+def q_merge_two_sources(spark, sf_dir):
+    """A fold over two sources: the second one also meets the table that the first one added."""
+    target = TableSet({"orders": orders_a(spark, sf_dir)}, name="shop")
+    first = TableSet({"orders": orders_b(spark, sf_dir), "nation": load(spark, sf_dir, "nation")}, name="archive")
+    second = TableSet({"nation": load(spark, sf_dir, "nation"), "orders": orders_b(spark, sf_dir)}, name="backup")
+    return stats.row_counts(bulk.merge(target, [first, second], "append")).select("name", "row_count")
+
+
+def q_merge_into_target(spark, sf_dir):
+    """Append into the table that is read: staged, then swapped."""
+    root = staging_path(spark, "target")
+    target = bulk.clone(TableSet({"orders": orders_a(spark, sf_dir)}), root)
+    merged = bulk.merge(target, [TableSet({"orders": orders_b(spark, sf_dir)}, name="archive")], "append")
+    return bulk.write_tables(dict(merged.items()), root, if_exists="replace")["orders"]
 
 
 def q_like_filter(spark, sf_dir):
@@ -180,17 +228,17 @@ def q_conflicting(spark, sf_dir):
 
 
 def q_sync_changes(spark, sf_dir):
-    ch = bulk.sync_changes(sync_src(spark, sf_dir), sync_tgt(spark, sf_dir), ["o_orderkey"])
-    return ch.select("o_orderkey", "action", F.col("new_row.o_totalprice").alias("new_price"), F.col("old_row.o_totalprice").alias("old_price"))
+    ch = bulk.sync_changes(sync_src(spark, sf_dir), sync_tgt(spark, sf_dir), SYNC_KEYS)
+    return ch.select(*SYNC_KEYS, "action", F.col("new_row.o_totalprice").alias("new_price"), F.col("old_row.o_totalprice").alias("old_price"))
 
 
 def q_sync_counts(spark, sf_dir):
-    return bulk.sync_counts(bulk.sync_changes(sync_src(spark, sf_dir), sync_tgt(spark, sf_dir), ["o_orderkey"]))
+    return bulk.sync_counts(bulk.sync_changes(sync_src(spark, sf_dir), sync_tgt(spark, sf_dir), SYNC_KEYS))
 
 
 def q_sync_apply(spark, sf_dir):
-    ch = bulk.sync_changes(sync_src(spark, sf_dir), sync_tgt(spark, sf_dir), ["o_orderkey"])
-    return bulk.sync_apply(ch, ["o_orderkey"])
+    ch = bulk.sync_changes(sync_src(spark, sf_dir), sync_tgt(spark, sf_dir), SYNC_KEYS)
+    return bulk.sync_apply(ch, SYNC_KEYS)
 
 
 # -- A keys ----------------------------------------------------------------------
@@ -274,9 +322,8 @@ def q_four_way_join_sizes(spark, sf_dir):
     r = load(spark, sf_dir, "region").select("r_regionkey", "r_name")
     j = (
         per_cust.join(c, per_cust.o_custkey == c.c_custkey, "inner")
-        # nation (25 rows) and region (5 rows) have a fixed size at every scale factor
-        .join(F.broadcast(n), c.c_nationkey == n.n_nationkey, "inner")
-        .join(F.broadcast(r), n.n_regionkey == r.r_regionkey, "inner")
+        .join(n, c.c_nationkey == n.n_nationkey, "inner")
+        .join(r, n.n_regionkey == r.r_regionkey, "inner")
     )
     out = j.groupBy(F.col("r_name").alias("table_name"), F.col("n_name").alias("index_name")).agg(
         F.round(F.sum("spent"), 2).alias("size"), F.sum("n").alias("orders")
@@ -285,14 +332,12 @@ def q_four_way_join_sizes(spark, sf_dir):
 
 
 def q_array_member_join(spark, sf_dir):
-    o = load(spark, sf_dir, "orders")
-    # key arrays per (customer, key block of 64): bounded however many orders a customer has
-    keys = o.groupBy(F.col("o_custkey").alias("table"), F.floor(F.col("o_orderkey") / 64).alias("block")).agg(
-        F.array_sort(F.collect_list("o_orderkey")).alias("keys")
-    )
-    attrs = o.select(F.col("o_custkey").alias("table"), F.col("o_orderkey").alias("attnum"), "o_totalprice")
-    j = stats.primary_key_columns(keys.select("table", "keys"), attrs, on="table")
-    return j.select(F.col("table").alias("c_custkey"), "pos", F.col("attnum").alias("o_orderkey"), "o_totalprice")
+    l = load(spark, sf_dir, "lineitem")
+    # an order's line numbers: an array that is short by nature, as a table's key columns are
+    keys = l.groupBy(F.col("l_orderkey").alias("table")).agg(F.array_sort(F.collect_set("l_linenumber"), lambda a, b: b - a).alias("keys"))
+    attrs = l.select(F.col("l_orderkey").alias("table"), F.col("l_linenumber").alias("attnum"), "l_extendedprice")
+    j = stats.primary_key_columns(keys, attrs, on="table")
+    return j.select(F.col("table").alias("l_orderkey"), "pos", F.col("attnum").alias("l_linenumber"), "l_extendedprice")
 
 
 # Privilege lists cycled over customers for the grant examples.
@@ -315,7 +360,7 @@ def q_grant_report(spark, sf_dir):
     ).distinct()
     n = load(spark, sf_dir, "nation")
     r = load(spark, sf_dir, "region")
-    dg = n.join(F.broadcast(r), n.n_regionkey == r.r_regionkey).select(F.col("n_name").alias("grantee"), F.lower("r_name").alias("database"))
+    dg = n.join(r, n.n_regionkey == r.r_regionkey).select(F.col("n_name").alias("grantee"), F.lower("r_name").alias("database"))
     return stats.grant_report(tg, dg)
 
 
@@ -325,6 +370,9 @@ REGISTRY = {
     "copy_where": q_copy_where,
     "clone_table": q_clone_table,
     "clone_structure": q_clone_structure,
+    "copy_renamed": q_copy_renamed,
+    "merge_two_sources": q_merge_two_sources,
+    "merge_into_target": q_merge_into_target,
     "like_filter": q_like_filter,
     "exists_check": q_exists_check,
     "user_namespaces": q_user_namespaces,
@@ -401,7 +449,7 @@ def q_sql_literals_pages(spark, sf_dir):
 
 def q_insert_batches(spark, sf_dir):
     o = load(spark, sf_dir, "orders").select(*ORDER_TEXT_COLS)
-    return render_inserts_ordered(o, "orders", "o_orderkey", "mysql", 1000)
+    return render_inserts_ordered(o, "orders", "o_orderkey", "mysql", 1000).select("batch_id", "rows", "stmt")
 
 
 def q_dump_lines_orders(spark, sf_dir):
@@ -467,9 +515,8 @@ def q_stmt_classify(spark, sf_dir):
     for k, v in CLASSIFY_TEXT.items():
         txt = F.when(F.col("event_type") == k, F.lit(v)).otherwise(txt)
     st = e.select("event_id", F.concat(txt, F.col("user_id").cast("string")).alias("stmt"))
-    a = classify_statements(st).select("event_id", "kind")
-    b = classify_statements(st, cte_as_read=True).select("event_id", F.col("kind").alias("kind_cte"))
-    return a.join(b, "event_id")
+    plain = classify_statements(st).withColumnRenamed("kind", "plain")
+    return classify_statements(plain, cte_as_read=True).select("event_id", F.col("plain").alias("kind"), F.col("kind").alias("kind_cte"))
 
 
 def _roundtrip(table, dialect, codec, chunk=1 << 16):
@@ -484,16 +531,18 @@ def _roundtrip(table, dialect, codec, chunk=1 << 16):
 def q_dump_resume(spark, sf_dir):
     o = load(spark, sf_dir, "orders")
     out = staging_path(spark, "resume") + "/dump"
-    write_dump(TableSet({"orders": o}), out, "mysql", order_by={"orders": "o_orderkey"}, parts=1)
+    write_dump(TableSet({"orders": o}), out, "mysql", order_by={"orders": "o_orderkey"}, batch=100)
     data_dir = f"{out}/000001_orders/data"
-    st = read_statements(spark, data_dir, "mysql")
-    # the data file holds only INSERTs, in key order: resume at the middle statement
-    n = filter_statements(st).count()
-    resume_at = st.where(F.col("stmt_no") == n // 2).select("byte_start").first()[0]
-    stmts = read_statements(spark, data_dir, "mysql", start_byte=resume_at, chunk_bytes=1 << 16)
+    # every data file holds only INSERTs, in key order: resume each at its middle statement
+    st = filter_statements(read_statements(spark, data_dir, "mysql", chunk_bytes=1 << 16))
+    half = st.groupBy("file").agg(F.floor(F.count(F.lit(1)) / 2).alias("half"))
+    at = st.join(half, "file").where(F.col("stmt_no") >= F.col("half")).groupBy("file").agg(F.min("byte_start").alias("at"))
+    resume = {r["file"]: r["at"] for r in at.collect()}  # one number per file
     from .sources.inserts import decode_inserts
 
-    return decode_inserts(stmts, "orders", o.schema, "mysql")
+    resumed = decode_inserts(read_statements(spark, data_dir, "mysql", start_byte=resume, chunk_bytes=1 << 16), "orders", o.schema, "mysql")
+    first = decode_inserts(st.join(half, "file").where(F.col("stmt_no") < F.col("half")), "orders", o.schema, "mysql")
+    return first.unionByName(resumed)  # what was loaded before the stop, and the rest
 
 
 def q_dump_table_subset(spark, sf_dir):
@@ -516,11 +565,122 @@ def q_load_skip_bad_batches(spark, sf_dir):
     e = load(spark, sf_dir, "events")
     corrupt = e.withColumn("value", F.when(F.col("value") > 300, F.lit("bad")).otherwise(F.col("value").cast("string")))
     out = staging_path(spark, "badload") + "/dump"
-    write_dump(TableSet({"events": corrupt}), out, "mysql", batch=10, order_by={"events": "event_id"}, parts=1)
-    res = load_dump(spark, out, "mysql", schemas={"events": e.schema}, batch=5, on_error="skip")
+    write_dump(TableSet({"events": corrupt}), out, "mysql", batch=10, order_by={"events": "event_id"})
+    res = load_dump(spark, out, "mysql", schemas={"events": e.schema}, batch=1, on_error="skip")
     return res.tables["events"]
 
 
+def _corrupt_dump(spark, sf_dir, batch):
+    e = load(spark, sf_dir, "events")
+    corrupt = e.withColumn("value", F.when(F.col("value") > 300, F.lit("bad")).otherwise(F.col("value").cast("string")))
+    out = staging_path(spark, "rejects") + "/dump"
+    write_dump(TableSet({"events": corrupt}), out, "mysql", batch=batch, order_by={"events": "event_id"})
+    return e, out
+
+
+def q_load_rejects(spark, sf_dir):
+    """One statement per event: every one that does not load is a reject with its text."""
+    e, out = _corrupt_dump(spark, sf_dir, 1)
+    res = load_dump(spark, out, "mysql", schemas={"events": e.schema}, batch=1, on_error="skip")
+    return res.rejects.select("table", "error", F.regexp_extract("stmt", r"\((\d+),", 1).cast("long").alias("event_id"))
+
+
+def q_load_fail_stops(spark, sf_dir):
+    """The default stops at a statement that does not load; per event type, whether its load stopped."""
+    e = load(spark, sf_dir, "events")
+    types = [r["event_type"] for r in e.select("event_type").distinct().orderBy("event_type").collect()]  # five types
+    rows = []
+    for t in types:
+        part = e.where(F.col("event_type") == t)
+        out = staging_path(spark, "stops") + "/dump"
+        write_dump(TableSet({"events": part.withColumn("user_id", F.when(F.col("event_type") == "error", F.lit("x")).otherwise(F.col("user_id").cast("string")))}), out, "mysql")
+        try:
+            n, stopped = load_dump(spark, out, "mysql", schemas={"events": e.schema}).tables["events"].count(), False
+        except ValueError:
+            n, stopped = 0, True
+        rows.append((t, n, stopped))
+    return spark.createDataFrame(rows, "event_type string, rows long, stopped boolean")
+
+
+def _foreign(spark, sf_dir, head, prefix, dialect, table, cols):
+    """A dump in another writer's style: its own DDL, one statement per row."""
+    df = load(spark, sf_dir, table)
+    from .functions.dialect import sql_literal
+
+    values = F.concat_ws(", ", *[sql_literal(F.col(c), df.schema[c].dataType, dialect) for c in cols])
+    out = staging_path(spark, "foreign")
+    from .sources import fs as _fs
+
+    _fs.write_bytes(f"{out}/00_head.sql", head.encode())
+    write_text(df.select(F.concat(F.lit(prefix), F.lit(" ("), values, F.lit(");")).alias("stmt")), f"{out}/data")
+    return out
+
+
+def q_load_by_ddl(spark, sf_dir):
+    """No schema but the dump's own CREATE TABLE."""
+    head = """-- dump
+CREATE TABLE `supplier` (
+  `s_suppkey` bigint NOT NULL AUTO_INCREMENT,
+  `s_name` varchar(25) DEFAULT NULL COMMENT 'a, (b)',
+  `s_nationkey` int(11) DEFAULT '0',
+  `s_acctbal` double DEFAULT NULL,
+  PRIMARY KEY (`s_suppkey`),
+  KEY `by_nation` (`s_nationkey`)
+) ENGINE=InnoDB;
+"""
+    return load_dump(spark, _foreign(spark, sf_dir, head, "INSERT IGNORE INTO `supplier` VALUES", "mysql", "supplier", ["s_suppkey", "s_name", "s_nationkey", "s_acctbal"]), "mysql").tables["supplier"]
+
+
+def q_load_qualified(spark, sf_dir):
+    """Schema-qualified names, columns in another order, a conflict clause, a cast."""
+    head = """CREATE TABLE public.customer (
+    c_custkey bigint DEFAULT nextval('public.seq'::regclass) NOT NULL,
+    c_name character varying(25),
+    c_nationkey integer,
+    c_acctbal double precision,
+    c_mktsegment text
+);
+"""
+    out = _foreign(spark, sf_dir, head, "INSERT INTO public.customer (c_mktsegment, c_custkey, c_name, c_nationkey, c_acctbal) VALUES", "postgres", "customer", ["c_mktsegment", "c_custkey", "c_name", "c_nationkey", "c_acctbal"])
+    return load_dump(spark, out, "postgres").tables["customer"]
+
+
+def q_roundtrip_empty(spark, sf_dir):
+    """A dump of an empty table, and a structure-only dump, beside a full one: row counts as loaded."""
+    o, n = load(spark, sf_dir, "orders"), load(spark, sf_dir, "nation")
+    out = staging_path(spark, "empty")
+    write_dump(TableSet({"orders": o.where("o_orderkey < 0"), "nation": n}), f"{out}/a", "mysql")
+    write_dump(TableSet({"orders": o}), f"{out}/b", "postgres", data=False)
+    a, b = load_dump(spark, f"{out}/a", "mysql").tables, load_dump(spark, f"{out}/b", "postgres").tables
+    return stats.row_counts(TableSet({"empty_orders": a["orders"], "nation": a["nation"], "structure_orders": b["orders"]})).select("name", "row_count")
+
+
+def q_load_hex_text(spark, sf_dir):
+    """Texts written as hex literals load as the texts; the same literals in a binary column as their bytes."""
+    n = load(spark, sf_dir, "pages").select("page_id", "url")
+    out = staging_path(spark, "hex")
+    stmt = F.concat(F.lit("INSERT INTO t VALUES ("), F.col("page_id").cast("string"), F.lit(", X'"), F.hex("url"), F.lit("', 0x"), F.hex("url"), F.lit(");"))
+    write_text(n.select(stmt.alias("stmt")), out)
+    schema = T.StructType([T.StructField("page_id", T.LongType()), T.StructField("url", T.StringType()), T.StructField("raw", T.BinaryType())])
+    t = load_dump(spark, out, "mysql", schemas={"t": schema}).tables["t"]
+    return t.select("page_id", "url", F.hex("raw").alias("raw_hex"))
+
+
+def q_typed_literals(spark, sf_dir):
+    """Double, boolean, date, decimal, binary and null literals, read back from both dialects."""
+    e = load(spark, sf_dir, "events").select(
+        "event_id", "value", (F.col("user_id") % 2 == 0).alias("even"), F.col("ts").cast("date").alias("day"),
+        F.round("value", 2).cast("decimal(18,2)").alias("amount"), F.encode("event_type", "UTF-8").alias("raw"), F.when(F.col("user_id") % 3 == 0, F.col("props")).alias("maybe"),
+    )
+    out = staging_path(spark, "literals")
+    parts = []
+    for dialect in ("mysql", "postgres"):
+        write_dump(TableSet({"t": e}), f"{out}/{dialect}", dialect)
+        t = load_dump(spark, f"{out}/{dialect}", dialect).tables["t"]
+        parts.append(t.select(F.lit(dialect).alias("dialect"), "event_id", "value", "even", "day", "amount", F.hex("raw").alias("raw_hex"), "maybe"))
+    return parts[0].unionByName(parts[1])
+
+
 REGISTRY.update({
     "sql_literals": q_sql_literals,
     "sql_literals_pages": q_sql_literals_pages,
@@ -543,6 +703,13 @@ REGISTRY.update({
     "export_stats": q_export_stats,
     "load_batch_outcomes": q_load_batch_outcomes,
     "load_skip_bad_batches": q_load_skip_bad_batches,
+    "load_rejects": q_load_rejects,
+    "load_fail_stops": q_load_fail_stops,
+    "load_by_ddl": q_load_by_ddl,
+    "load_qualified": q_load_qualified,
+    "roundtrip_empty": q_roundtrip_empty,
+    "load_hex_text": q_load_hex_text,
+    "typed_literals": q_typed_literals,
 })
 
 
@@ -579,7 +746,39 @@ def q_backup_restore_roundtrip(spark, sf_dir):
     root = staging_path(spark, "restore")
     man = backup.create_backup([shop(spark, sf_dir)], root, codec="zstd")
     restored = backup.restore_backup(spark, root, man["id"], databases=["shop"], rename={"shop": "shop_copy"})
-    return restored["shop_copy"]["orders"]
+    return shop_rows(restored["shop_copy"])
+
+
+def q_restore_checks_rows(spark, sf_dir):
+    """A restore compares rows with the manifest: per table set, whether a manifest off by one row is noticed."""
+    import json
+
+    from .sources import fs as _fs
+
+    root = staging_path(spark, "checked")
+    man = backup.create_backup([shop(spark, sf_dir), ref(spark, sf_dir)], root)
+    rows = []
+    for f in man["files"]:
+        good = sum(t.count() for t in backup.restore_backup(spark, root, man["id"], databases=[f["database"]])[f["database"]].values())
+        wrong = {**man, "files": [{**x, "rows": x["rows"] + (x["database"] == f["database"])} for x in man["files"]]}
+        _fs.write_bytes(f"{root}/{man['id']}/metadata.json", json.dumps(wrong).encode())
+        try:
+            backup.restore_backup(spark, root, man["id"], databases=[f["database"]])
+            noticed = False
+        except ValueError:
+            noticed = True
+        rows.append((f["database"], good, noticed))
+    return spark.createDataFrame(rows, "database string, rows long, noticed boolean")
+
+
+def q_retention_apply(spark, sf_dir):
+    """Four sets, the newest two of each database kept; what the catalog holds afterwards."""
+    root = staging_path(spark, "retain")
+    for k, sets in enumerate(([shop(spark, sf_dir)], [ref(spark, sf_dir)], [shop(spark, sf_dir), ref(spark, sf_dir)], [shop(spark, sf_dir)])):
+        backup.create_backup(sets, root, description=f"set {k}")
+    backup.apply_retention(spark, root, 2)
+    left = backup.read_backups(spark, root)
+    return left.select("description", F.aggregate("files", F.lit(0).cast("long"), lambda acc, f: acc + f["rows"]).alias("total_rows"))
 
 
 def q_restore_missing(spark, sf_dir):
@@ -666,7 +865,11 @@ def cluster_status_rows(spark, sf_dir):
         kv("replay_lag_seconds", F.col("errors") % 100, s == 4),
         kv("replicas", F.lit(2), s == 4),
     )
-    return a.select("server", "ts", F.explode(F.filter(items, lambda x: x.isNotNull())).alias("kv")).select("server", "ts", "kv.name", "kv.value")
+    now = a.select("server", "ts", F.explode(F.filter(items, lambda x: x.isNotNull())).alias("kv")).select("server", "ts", "kv.name", "kv.value")
+    # an older snapshot of every server, with other values and a name that the new one lacks
+    old = now.withColumns({"ts": F.col("ts") - F.expr("INTERVAL 1 DAY"), "value": F.when(F.col("name").isin("Seconds_Behind_Master", "replay_lag_seconds"), F.lit("999")).otherwise(F.lit("zzz"))})
+    gone = a.where(s != 4).select("server", (F.col("ts") - F.expr("INTERVAL 1 DAY")).alias("ts"), F.lit("current_lsn").alias("name"), F.lit("0/1").alias("value"))
+    return now.unionByName(old).unionByName(gone)
 
 
 def q_cluster_health(spark, sf_dir):
@@ -707,6 +910,8 @@ REGISTRY.update({
     "backup_catalog": q_backup_catalog,
     "backup_restore_roundtrip": q_backup_restore_roundtrip,
     "restore_missing": q_restore_missing,
+    "restore_checks_rows": q_restore_checks_rows,
+    "retention_apply": q_retention_apply,
     "retention_plan": q_retention_plan,
     "retention_plan_per_db": q_retention_plan_per_db,
     "due_rows": q_due_rows,
@@ -719,8 +924,6 @@ REGISTRY.update({
 
 
 # -- streaming keys ---------------------------------------------------------------------
-import uuid as _uuid  # noqa: E402
-
 from .streaming import jobs as streams  # noqa: E402
 
 
@@ -736,15 +939,13 @@ def q_stream_latest_metrics(spark, sf_dir):
         (F.col("user_id") % 5).cast("int").alias("server"), F.col("ts").cast("timestamp").alias("ts"), "event_id", "event_type", "value"
     )
     latest = streams.latest_metrics(s, "server", "ts", watermark=None)
-    name = f"latest_{_uuid.uuid4().hex[:8]}"
-    out = streams.run_to_table(latest, name, "complete", staging_path(spark, "ckpt-latest"))
+    out = streams.run_to_table(latest, staging_path(spark, "latest"), "complete", staging_path(spark, "ckpt-latest"))
     return out.select("server", F.col("ts").cast("timestamp_ntz").alias("ts"), "event_id", "event_type", "value")
 
 
 def q_stream_health_levels(spark, sf_dir):
     s = events_stream(spark, sf_dir).select("event_id", F.col("value").alias("lag_seconds"))
-    name = f"health_{_uuid.uuid4().hex[:8]}"
-    return streams.run_to_table(streams.stream_health(s), name, "append", staging_path(spark, "ckpt-health"))
+    return streams.run_to_table(streams.stream_health(s), staging_path(spark, "health"), "append", staging_path(spark, "ckpt-health"))
 
 
 def q_stream_load(spark, sf_dir):

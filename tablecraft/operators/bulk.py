@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import staging_path
+from ..sources import fs
 from ..tableset import TableSet, save_table
 
 # ---------------------------------------------------------------------------
@@ -37,22 +39,46 @@ def append(a: DataFrame, b: DataFrame) -> DataFrame:
     return a.union(b)
 
 
-def clone(ts: TableSet, target_root: str, data: bool = True, if_exists: str = "error", tables: Iterable[str] | None = None) -> TableSet:
-    """Copy every table of ``ts`` (list order) under ``target_root``.
+def write_tables(tables: dict[str, DataFrame], root: str, if_exists: str = "error") -> TableSet:
+    """Write tables under ``root`` and read them back.
 
-    Fails when the target table exists unless ``if_exists='replace'``. Returns
-    the cloned set read back from the target.
+    With ``error`` nothing is written when any target exists, and what was
+    written is removed when a later table fails. With ``replace`` every table
+    is first written to the shared staging folder and only then over its
+    target, so a target may be among the tables that are read.
     """
-    mode = {"error": "errorifexists", "replace": "overwrite"}[if_exists]
-    src = ts.select(tables)
-    spark = None
-    out = OrderedDict()
-    for name, df in src.items():
-        path = f"{target_root.rstrip('/')}/{name}.parquet"
-        save_table(copy_table(df, data=data), path, mode=mode)
-        spark = spark or df.sparkSession
-        out[name] = spark.read.parquet(path)
-    return TableSet(out, name=target_root.rstrip("/").rsplit("/", 1)[-1])
+    if if_exists not in ("error", "replace"):
+        raise ValueError("if_exists is 'error' or 'replace'")
+    root = root.rstrip("/")
+    paths = {name: f"{root}/{name}.parquet" for name in tables}
+    if if_exists == "error" and (there := [n for n, p in paths.items() if fs.exists(p)]):
+        raise FileExistsError(f"tables exist in {root}: {there}")
+    out, staged = OrderedDict(), OrderedDict()
+    if if_exists == "replace":
+        for name, df in tables.items():
+            held = staging_path(df.sparkSession, f"swap-{name}")
+            df.write.parquet(held)
+            staged[name] = df.sparkSession.read.schema(df.schema).parquet(held)
+    try:
+        for name, df in (staged or tables).items():
+            save_table(df, paths[name], mode="overwrite" if staged else "errorifexists")
+            out[name] = df.sparkSession.read.schema(df.schema).parquet(paths[name])
+    except BaseException:
+        if if_exists == "error":
+            for p in paths.values():
+                fs.delete_dir(p)
+        raise
+    return TableSet(out, name=root.rsplit("/", 1)[-1])
+
+
+def clone(ts: TableSet, target_root: str, data: bool = True, if_exists: str = "error", tables: Iterable[str] | None = None) -> TableSet:
+    """Copy every table of ``ts`` (list order) under ``target_root``; see ``write_tables``."""
+    return write_tables({n: copy_table(df, data=data) for n, df in ts.select(tables).items()}, target_root, if_exists)
+
+
+def copy_into(src: DataFrame, target_root: str, name: str, where: str | Column | None = None, data: bool = True, if_exists: str = "error") -> DataFrame:
+    """P2 into a table of its own name under ``target_root``."""
+    return write_tables({name: copy_table(src, where, data)}, target_root, if_exists)[name]
 
 
 # ---------------------------------------------------------------------------
@@ -155,49 +181,46 @@ def missing(requested: DataFrame, available: DataFrame, on: str = "name") -> Dat
 # ---------------------------------------------------------------------------
 
 def check_unique(df: DataFrame, keys: Sequence[str], what: str = "table") -> None:
+    """Raise on a key that occurs more than once (nulls are values); one hash aggregate over the keys alone."""
     dup = df.groupBy(*keys).count().where(F.col("count") > 1).limit(1).take(1)
     if dup:
         raise ValueError(f"duplicate key {dup[0].asDict()} in {what}")
 
 
-def sync_changes(src: DataFrame, tgt: DataFrame, keys: Sequence[str], mode: str = "full", verify_keys: bool = False) -> DataFrame:
+def sync_changes(src: DataFrame, tgt: DataFrame, keys: Sequence[str], mode: str = "full", verify_keys: bool = True) -> DataFrame:
     """Per key, what turns ``tgt`` into ``src``.
 
-    Output: keys, ``action`` (insert / update / delete / same, or duplicate
-    when a key occurs more than once on either side), ``new_row`` and
-    ``old_row`` structs of the non-key columns. Non-key values compare
-    null-safely.
-
-    Each side is first aggregated by key (one row and a count per key), so a
-    repeated key never multiplies into all pairs; the aggregate's hash
-    partitioning on the key is reused by the full outer join (no second
-    shuffle). ``verify_keys`` raises on a duplicate key. ``mode='structure'``
-    yields no row changes.
+    Output: keys, ``action`` (insert / update / delete / same), ``new_row`` and
+    ``old_row`` structs of the non-key columns. Keys and values compare
+    null-safely. A key that repeats on either side is an error, found before
+    anything is joined; ``verify_keys=False`` is for keys that the caller
+    knows to be unique. One shuffle per side for the full outer join on the
+    keys. ``mode='structure'`` yields no row changes.
     """
     if mode not in ("structure", "data", "full"):
         raise ValueError(f"bad sync mode {mode}")
     keys = list(keys)
+    if verify_keys and mode != "structure":
+        check_unique(src, keys, "the source")
+        check_unique(tgt, keys, "the target")
 
     def side(df: DataFrame, tag: str, row: str) -> DataFrame:
         vals = [c for c in df.columns if c not in keys]
-        return df.groupBy(*keys).agg(F.count(F.lit(1)).alias(tag), F.first(F.struct(*vals)).alias(row))
+        return df.select(*[F.col(f"`{k}`").alias(f"{tag}{i}") for i, k in enumerate(keys)], F.struct(*[F.col(f"`{v}`") for v in vals]).alias(row))
 
-    j = side(src, "_s", "new_row").join(side(tgt, "_t", "old_row"), keys, "full_outer")
+    on = F.lit(True)
+    for i in range(len(keys)):
+        on = on & F.col(f"_s{i}").eqNullSafe(F.col(f"_t{i}"))
+    j = side(src, "_s", "new_row").join(side(tgt, "_t", "old_row"), on, "full_outer")
     action = (
-        F.when((F.col("_s") > 1) | (F.col("_t") > 1), "duplicate")
-        .when(F.col("_t").isNull(), "insert")
-        .when(F.col("_s").isNull(), "delete")
+        F.when(F.col("old_row").isNull(), "insert")
+        .when(F.col("new_row").isNull(), "delete")
         .when(F.col("new_row").eqNullSafe(F.col("old_row")), "same")
         .otherwise("update")
     )
-    out = j.select(*keys, action.alias("action"), "new_row", "old_row")
-    if verify_keys:
-        dup = out.where(F.col("action") == "duplicate").select(*keys).limit(1).take(1)
-        if dup:
-            raise ValueError(f"duplicate key {dup[0].asDict()} in sync input")
-    if mode == "structure":
-        out = out.limit(0)
-    return out
+    named = [F.when(F.col("new_row").isNull(), F.col(f"_t{i}")).otherwise(F.col(f"_s{i}")).alias(k) for i, k in enumerate(keys)]
+    out = j.select(*named, action.alias("action"), "new_row", "old_row")
+    return out.limit(0) if mode == "structure" else out
 
 
 def sync_counts(changes: DataFrame) -> DataFrame:
@@ -206,9 +229,8 @@ def sync_counts(changes: DataFrame) -> DataFrame:
 
 
 def sync_apply(changes: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """The target after the sync: every row whose action is not delete, new values.
-    Keys flagged duplicate are left out (they have no single new row)."""
-    return changes.where(~F.col("action").isin("delete", "duplicate")).select(*keys, "new_row.*")
+    """The target after the sync: every row whose action is not delete, new values."""
+    return changes.where(F.col("action") != "delete").select(*keys, "new_row.*")
 
 
 def table_changes(a: TableSet, b: TableSet) -> dict:

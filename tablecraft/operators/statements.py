@@ -6,8 +6,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 STATEMENTS_PER_BATCH = 100  # fixed value: statements per transaction on load
-STATEMENTS_PER_BATCH_LARGE = 500  # fixed value: used when the file is over 100 MB
-LARGE_FILE = 100 << 20
 
 
 def _trim_space(c):
@@ -15,10 +13,6 @@ def _trim_space(c):
     return F.regexp_replace(c, r"^\s+|\s+$", "")
 
 
-def batch_size_for(file_bytes: int) -> int:
-    return STATEMENTS_PER_BATCH_LARGE if file_bytes > LARGE_FILE else STATEMENTS_PER_BATCH
-
-
 def filter_statements(stmts: DataFrame, rename: bool = False, col: str = "stmt") -> DataFrame:
     """Drop blank and ``;``-only statements; when renaming, also drop any
     statement containing CREATE DATABASE or starting with USE (upper-cased)."""
@@ -40,17 +34,6 @@ def classify_statements(stmts: DataFrame, col: str = "stmt", cte_as_read: bool =
     return stmts.withColumn("kind", F.when(read, "read").otherwise("write"))
 
 
-def statement_kind(col: str = "stmt"):
-    """Loader routing: ddl / insert / session / other."""
-    u = F.upper(F.ltrim(F.regexp_replace(F.col(col), r"^\s+", "")))
-    return (
-        F.when(u.startswith("INSERT"), "insert")
-        .when(u.startswith("CREATE") | u.startswith("DROP") | u.startswith("ALTER"), "ddl")
-        .when(u.startswith("SET") | u.startswith("USE"), "session")
-        .otherwise("other")
-    )
-
-
 def batch_outcomes(stmts: DataFrame, seq: str = "stmt_no", bad: str = "bad", size: int = STATEMENTS_PER_BATCH,
                    by: tuple[str, ...] = (), error: str | None = None) -> DataFrame:
     """Statements grouped into batches of ``size`` consecutive numbers;

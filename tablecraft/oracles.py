@@ -53,25 +53,30 @@ def sizes_sql(tables_by_ns: dict[str, list[str]]) -> str:
 
 SIZES = sizes_sql({"shop": SHOP, "ref": REF})
 
-ORDERS_A = "(SELECT * FROM orders WHERE o_orderstatus IN ('F', 'O'))"
-ORDERS_B = "(SELECT * FROM orders WHERE o_orderstatus IN ('O', 'P'))"
+ORDERS_A = "(SELECT * FROM orders)"
+ORDERS_B = ("(SELECT CASE WHEN o_orderkey % 3 = 0 THEN o_orderkey + 100000000 ELSE o_orderkey END AS o_orderkey, o_custkey, o_orderstatus, "
+            "o_totalprice + o_custkey % 2 AS o_totalprice, o_orderdate, o_orderpriority FROM orders)")
 SYNC_SRC = (
-    "(SELECT o_orderkey, o_custkey, o_orderstatus, CASE WHEN o_orderstatus = 'F' THEN o_totalprice + 1 ELSE o_totalprice END AS o_totalprice, "
-    "o_orderdate, o_orderpriority FROM orders WHERE o_orderpriority <> '1-URGENT')"
+    "(SELECT CASE WHEN o_orderkey % 7 = 0 THEN o_orderkey + 100000000 ELSE o_orderkey END AS o_orderkey, o_custkey, o_orderstatus, "
+    "CASE WHEN o_orderstatus = 'F' THEN o_totalprice + 1 ELSE o_totalprice END AS o_totalprice, o_orderdate, nullif(o_orderpriority, '1-URGENT') AS o_orderpriority FROM orders)"
 )
-SYNC_TGT = "(SELECT * FROM orders WHERE o_orderpriority <> '5-LOW')"
+SYNC_TGT = "(SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderdate, nullif(o_orderpriority, '1-URGENT') AS o_orderpriority FROM orders)"
 SYNC_JOIN = f"""
 SELECT coalesce(s.o_orderkey, t.o_orderkey) AS o_orderkey,
        CASE WHEN t.o_orderkey IS NULL THEN 'insert'
             WHEN s.o_orderkey IS NULL THEN 'delete'
             WHEN s.o_custkey IS NOT DISTINCT FROM t.o_custkey AND s.o_orderstatus IS NOT DISTINCT FROM t.o_orderstatus
                  AND s.o_totalprice IS NOT DISTINCT FROM t.o_totalprice AND s.o_orderdate IS NOT DISTINCT FROM t.o_orderdate
-                 AND s.o_orderpriority IS NOT DISTINCT FROM t.o_orderpriority THEN 'same'
+                 THEN 'same'
             ELSE 'update' END AS action,
        s.o_totalprice AS new_price, t.o_totalprice AS old_price,
-       s.o_custkey, s.o_orderstatus, s.o_totalprice, s.o_orderdate, s.o_orderpriority
-FROM {SYNC_SRC} s FULL OUTER JOIN {SYNC_TGT} t ON s.o_orderkey = t.o_orderkey
+       s.o_custkey, s.o_orderstatus, s.o_totalprice, s.o_orderdate, CASE WHEN s.o_orderkey IS NULL THEN t.o_orderpriority ELSE s.o_orderpriority END AS o_orderpriority
+FROM {SYNC_SRC} s FULL OUTER JOIN {SYNC_TGT} t ON s.o_orderkey = t.o_orderkey AND s.o_orderpriority IS NOT DISTINCT FROM t.o_orderpriority
 """
+SHOP_ALL = """
+SELECT 'customer' AS name, c_custkey AS k1, CAST(c_nationkey AS BIGINT) AS k2, c_acctbal AS amount, c_mktsegment AS word FROM customer
+UNION ALL SELECT 'orders', o_orderkey, o_custkey, o_totalprice, o_orderpriority FROM orders
+UNION ALL SELECT 'lineitem', l_orderkey, CAST(l_linenumber AS BIGINT), l_extendedprice, l_returnflag FROM lineitem"""
 METRICS = "(SELECT CAST(user_id % 5 AS INTEGER) AS server, ts, CAST(event_type = 'view' AS INTEGER) AS hit, CAST(event_type = 'error' AS INTEGER) AS read FROM events)"
 SESSIONS = "(SELECT event_id, user_id, CASE WHEN event_type = 'click' THEN 'active' ELSE 'idle' END AS state, value * 10 AS ms FROM events)"
 from .examples import PRIVILEGE_LISTS  # noqa: E402  (shared fixed values)
@@ -96,8 +101,11 @@ ORACLES: dict[str, str] = {
     "scan_table": "SELECT * FROM orders",
     "page_rows": "SELECT * FROM orders ORDER BY o_orderkey LIMIT 50 OFFSET 150",
     "copy_where": "SELECT * FROM lineitem WHERE l_quantity > 25 AND l_returnflag = 'R'",
-    "clone_table": "SELECT * FROM customer",
-    "clone_structure": "SELECT * FROM orders LIMIT 0",
+    "clone_table": SHOP_ALL,
+    "clone_structure": "\nUNION ALL\n".join(f"SELECT '{t}' AS name, count(*) AS source_rows, CAST(0 AS BIGINT) AS copied_rows, CAST({len(COLUMNS[t])} AS BIGINT) AS columns FROM {t}" for t in SHOP),
+    "copy_renamed": "SELECT * FROM lineitem WHERE l_extendedprice > 30000",
+    "merge_two_sources": "SELECT 'orders' AS name, 3 * count(*) AS row_count FROM orders UNION ALL SELECT 'nation', 2 * count(*) FROM nation",
+    "merge_into_target": f"SELECT * FROM {ORDERS_A} UNION ALL SELECT * FROM {ORDERS_B}",
     "like_filter": "SELECT p_partkey, p_name, p_type FROM part WHERE p_name LIKE '%red%'",
     "exists_check": """SELECT n_nationkey, n_name, EXISTS (SELECT 1 FROM customer c WHERE c.c_nationkey = n.n_nationkey AND c_acctbal > 9000) AS has_rich_customers
                        FROM nation n""",
@@ -126,7 +134,7 @@ ORACLES: dict[str, str] = {
         FROM a FULL OUTER JOIN b ON a.table_name = b.table_name""",
     "only_in_first": f"SELECT * FROM {ORDERS_A} a WHERE NOT EXISTS (SELECT 1 FROM {ORDERS_B} b WHERE a.o_orderkey = b.o_orderkey)",
     "conflicting": f"SELECT * FROM {ORDERS_A} a WHERE EXISTS (SELECT 1 FROM {ORDERS_B} b WHERE a.o_orderkey = b.o_orderkey)",
-    "sync_changes": f"SELECT o_orderkey, action, new_price, old_price FROM ({SYNC_JOIN})",
+    "sync_changes": f"SELECT o_orderkey, o_orderpriority, action, new_price, old_price FROM ({SYNC_JOIN})",
     "sync_counts": f"SELECT action, count(*) AS rows FROM ({SYNC_JOIN}) GROUP BY action",
     "sync_apply": f"SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderdate, o_orderpriority FROM ({SYNC_JOIN}) WHERE action <> 'delete'",
     "table_stats_total": f"""
@@ -178,9 +186,8 @@ ORACLES: dict[str, str] = {
         FROM pc JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey
         GROUP BY r_name, n_name""",
     "array_member_join": """
-        SELECT o_custkey AS c_custkey,
-               CAST(row_number() OVER (PARTITION BY o_custkey, floor(o_orderkey / 64) ORDER BY o_orderkey) - 1 AS INTEGER) AS pos,
-               o_orderkey, o_totalprice FROM orders""",
+        SELECT l_orderkey, CAST(dense_rank() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber DESC) - 1 AS INTEGER) AS pos,
+               l_linenumber, l_extendedprice FROM lineitem""",
     "privilege_map": f"SELECT * FROM {PRIV_EXPLODED}",
     "grant_report": f"""
         WITH tg AS (SELECT DISTINCT grantee, privilege, 'public' AS schema_name, 'orders' AS table_name FROM {PRIV_EXPLODED}),
@@ -264,18 +271,24 @@ ORACLES.update({
     "dump_roundtrip_pages": "SELECT * FROM pages",
     "dump_roundtrip_documents": "SELECT * FROM documents",
     "dump_roundtrip_customer": "SELECT * FROM customer",
-    "dump_resume": """
-        WITH t AS (SELECT *, row_number() OVER (ORDER BY o_orderkey) - 1 AS seq FROM orders)
-        SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderdate, o_orderpriority FROM t
-        WHERE seq >= 1000 * ((SELECT CAST(ceil(count(*) / 1000.0) AS BIGINT) FROM orders) // 2)""",
+    "dump_resume": "SELECT * FROM orders",
     "dump_table_subset": "SELECT 'orders' AS table_name, count(*) AS rows FROM orders UNION ALL SELECT 'customer', count(*) FROM customer",
     "export_stats": "\nUNION ALL\n".join(f"SELECT '{t}' AS table_name, count(*) AS rows FROM {t}" for t in SHOP),
+    "load_rejects": "SELECT 'events' AS \"table\", 'value does not convert to the column type' AS error, event_id FROM events WHERE value > 300",
+    "load_fail_stops": """SELECT event_type, CASE WHEN event_type = 'error' THEN 0 ELSE count(*) END AS rows, event_type = 'error' AS stopped FROM events GROUP BY event_type""",
+    "load_by_ddl": "SELECT * FROM supplier",
+    "load_qualified": "SELECT * FROM customer",
+    "roundtrip_empty": "SELECT 'empty_orders' AS name, CAST(0 AS BIGINT) AS row_count UNION ALL SELECT 'nation', count(*) FROM nation UNION ALL SELECT 'structure_orders', CAST(0 AS BIGINT)",
+    "load_hex_text": "SELECT page_id, url, hex(encode(url)) AS raw_hex FROM pages",
+    "typed_literals": """SELECT dialect, event_id, value, user_id % 2 = 0 AS even, CAST(ts AS DATE) AS day, CAST(round(value, 2) AS DECIMAL(18,2)) AS amount,
+                                hex(encode(event_type)) AS raw_hex, CASE WHEN user_id % 3 = 0 THEN props END AS maybe
+                         FROM events, (VALUES ('mysql'), ('postgres')) d(dialect)""",
     "load_batch_outcomes": """SELECT CAST(event_id // 100 AS BIGINT) AS batch_id, count(*) AS statements,
                                      coalesce(bool_or(event_type = 'error'), false) AS failed,
                                      min(event_id) FILTER (WHERE event_type = 'error') AS first_error_stmt
                               FROM events GROUP BY event_id // 100""",
     "load_skip_bad_batches": f"""
-        WITH t AS (SELECT *, (row_number() OVER (ORDER BY event_id) - 1) // 50 AS b FROM events)
+        WITH t AS (SELECT *, (row_number() OVER (ORDER BY event_id) - 1) // 10 AS b FROM events)
         SELECT {EVENTS_COLS} FROM t WHERE b NOT IN (SELECT b FROM t WHERE value > 300)""",
 })
 
@@ -316,7 +329,9 @@ ORACLES.update({
                            UNION ALL SELECT 'ref', 'ref.sql', CAST(4 AS INTEGER), CAST({REF_ROWS} AS BIGINT)""",
     "backup_catalog": f"""SELECT 'shop only' AS description, CAST(1 AS INTEGER) AS n_databases, CAST({SHOP_ROWS} AS BIGINT) AS total_rows, 'none' AS compression
                           UNION ALL SELECT 'everything', CAST(2 AS INTEGER), CAST({SHOP_ROWS} + {REF_ROWS} AS BIGINT), 'gzip'""",
-    "backup_restore_roundtrip": "SELECT * FROM orders",
+    "backup_restore_roundtrip": SHOP_ALL,
+    "restore_checks_rows": f"SELECT 'shop' AS database, CAST({SHOP_ROWS} AS BIGINT) AS rows, true AS noticed UNION ALL SELECT 'ref', CAST({REF_ROWS} AS BIGINT), true",
+    "retention_apply": f"SELECT 'set 1' AS description, CAST({REF_ROWS} AS BIGINT) AS total_rows UNION ALL SELECT 'set 2', CAST({SHOP_ROWS} + {REF_ROWS} AS BIGINT) UNION ALL SELECT 'set 3', CAST({SHOP_ROWS} AS BIGINT)",
     "restore_missing": "SELECT lower(n_name) AS name FROM nation",
     "retention_plan": f"""
         WITH r AS (SELECT *, row_number() OVER (PARTITION BY database ORDER BY timestamp DESC, id DESC) AS rn FROM {RET_EX})

@@ -1,9 +1,10 @@
 """K6 backup sets, S7 backup catalog, S8 restore.
 
 A backup set is a folder ``<root>/<id>/`` holding one dump per database and
-a ``metadata.json`` manifest. It is built in ``<root>/_tmp_<id>`` and moved
-into place only when every dump succeeded; on any error the staging folder
-is removed. The manifest numbers (tables, rows, bytes) come from the dump
+a ``metadata.json`` manifest. The manifest is written last and commits the
+set: a folder without one is no backup set to any reader here, and no rename
+is needed, which object stores do not have. On any error the folder is
+removed. The manifest numbers (tables, rows, bytes) come from the dump
 jobs' observed metrics, not from extra scans.
 """
 
@@ -17,6 +18,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators.bulk import missing as missing_names
+from ..operators.retention import retention_plan
 from ..operators.stats import SYSTEM_NAMESPACES
 from ..sources import fs
 from ..tableset import TableSet
@@ -57,7 +60,7 @@ CODEC_SUFFIX = {None: "", "gzip": ".gz", "zstd": ".zst", "xz": ".xz"}
 def _new_id(root: str, now: dt.datetime) -> str:
     base = now.strftime("%Y%m%d-%H%M%S")
     bid, n = base, 1
-    while fs.exists(f"{root}/{bid}") or fs.exists(f"{root}/_tmp_{bid}"):
+    while fs.exists(f"{root}/{bid}"):
         n += 1
         bid = f"{base}-{n}"  # D19: one-second ids get a suffix on collision
     return bid
@@ -77,7 +80,7 @@ def create_backup(sets: list[TableSet], root: str, databases: list[str] | None =
         names = list(databases)
     now = dt.datetime.now(dt.timezone.utc).replace(microsecond=0)
     bid = _new_id(root, now)
-    stage = f"{root}/_tmp_{bid}"
+    stage = f"{root}/{bid}"
     files = []
     try:
         for name in names:
@@ -99,7 +102,6 @@ def create_backup(sets: list[TableSet], root: str, databases: list[str] | None =
         if description:
             manifest["description"] = description
         fs.write_bytes(f"{stage}/metadata.json", json.dumps(manifest, indent=2).encode())
-        fs.move(stage, f"{root}/{bid}")
     except BaseException:
         fs.delete_dir(stage)
         raise
@@ -107,12 +109,18 @@ def create_backup(sets: list[TableSet], root: str, databases: list[str] | None =
 
 
 def read_backups(spark: SparkSession, root: str) -> DataFrame:
-    """Every ``<root>/*/metadata.json``; unreadable or invalid ones are skipped; newest first."""
+    """Every ``<root>/*/metadata.json``; unreadable or invalid ones are skipped; newest first.
+
+    An empty or absent root has no backups.
+    """
+    manifests = [f"{d}/metadata.json" for d in fs.list_dirs(root.rstrip("/")) if fs.exists(f"{d}/metadata.json")]
+    if not manifests:
+        return spark.createDataFrame([], MANIFEST_SCHEMA)
     df = (
         spark.read.schema(MANIFEST_SCHEMA)
         .option("multiLine", True)
         .option("mode", "PERMISSIVE")
-        .json(f"{root.rstrip('/')}/*/metadata.json")
+        .json(manifests)
     )
     return df.where(F.col("id").isNotNull()).orderBy(F.desc("timestamp"), F.desc("id"))
 
@@ -123,12 +131,32 @@ def get_backup(root: str, backup_id: str) -> dict:
 
 def missing_databases(spark: SparkSession, requested: DataFrame, manifest_files: DataFrame) -> DataFrame:
     """J5 restore pre-check: requested database names without a file in the set."""
-    return requested.join(manifest_files.select(F.col("database").alias("name")), ["name"], "left_anti")
+    return missing_names(requested, manifest_files.select(F.col("database").alias("name")))
+
+
+def delete_backup(root: str, backup_id: str) -> None:
+    """Remove a backup set; an unknown id is an error."""
+    folder = f"{root.rstrip('/')}/{backup_id}"
+    if not backup_id or "/" in backup_id or not fs.exists(f"{folder}/metadata.json"):
+        raise KeyError(f"no backup {backup_id!r}")
+    fs.delete_dir(folder)
+
+
+def apply_retention(spark: SparkSession, root: str, retain: int) -> list[str]:
+    """Delete the sets that the retention plan (W1) expires; returns their ids."""
+    plan = retention_plan(read_backups(spark, root).select("id", "timestamp", "databases"), retain)
+    expired = sorted(r["id"] for r in plan.where("action = 'delete'").select("id").collect())
+    for backup_id in expired:
+        delete_backup(root, backup_id)
+    return expired
 
 
 def restore_backup(spark: SparkSession, root: str, backup_id: str, databases: list[str] | None = None,
                    rename: dict | None = None, dialect: str = "mysql") -> dict[str, TableSet]:
-    """Load the chosen databases (default all) of a backup set, optionally renamed."""
+    """Load the chosen databases (default all) of a backup set, optionally renamed.
+
+    Raises when a statement does not load, or when a database's rows differ from the manifest's number.
+    """
     man = get_backup(root, backup_id)
     wanted = list(databases) if databases else list(man["databases"])
     have = {f["database"]: f for f in man["files"]}
@@ -139,5 +167,8 @@ def restore_backup(spark: SparkSession, root: str, backup_id: str, databases: li
     for d in wanted:
         target = (rename or {}).get(d, d)
         res = load_dump(spark, f"{root.rstrip('/')}/{backup_id}/{have[d]['filename']}", dialect)
+        rows = sum(df.count() for df in res.tables.values())
+        if rows != have[d]["rows"]:
+            raise ValueError(f"backup {backup_id}: {d} has {rows} rows, its manifest says {have[d]['rows']}")
         out[target] = res.tables.renamed(target)
     return out

@@ -25,7 +25,7 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from ..functions.dialect import create_table_sql, drop_table_sql, insert_prefix, norm_dialect, quote_ident, row_tuple
@@ -89,15 +89,6 @@ def _join_batches(prefix: str, batch: int, max_bytes: int = MAX_STATEMENT_TEXT):
     return run
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Inputs with fewer partitions than cores (one small file) are spread
-    round-robin first; big inputs already have enough splits and keep them."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < cores:
-        return df.repartition(cores)
-    return df
-
-
 def render_inserts(df: DataFrame, table: str, dialect: str = "mysql", batch: int = ROWS_PER_INSERT,
                    max_bytes: int = MAX_STATEMENT_TEXT) -> DataFrame:
     """K3, partition-local: DataFrame(rows, stmt); no shuffle, no Python per row.
@@ -107,24 +98,27 @@ def render_inserts(df: DataFrame, table: str, dialect: str = "mysql", batch: int
     statement the loader would refuse.
     """
     prefix = insert_prefix(table, df.columns, dialect)
-    df = spread(df)
     tuples = df.select(row_tuple(df.schema, dialect).alias("t"))
     return tuples.mapInArrow(_join_batches(prefix, batch, max_bytes), "rows int, stmt string")
 
 
-def render_inserts_ordered(df: DataFrame, table: str, order_by: str, dialect: str = "mysql", batch: int = ROWS_PER_INSERT) -> DataFrame:
-    """K3, global batches in key order: DataFrame(batch_id, rows, stmt).
+def render_inserts_ordered(df: DataFrame, table: str, order_by: str, dialect: str = "mysql", batch: int = ROWS_PER_INSERT,
+                           max_bytes: int = MAX_STATEMENT_TEXT) -> DataFrame:
+    """K3, global batches in key order: DataFrame(batch_id, part, rows, stmt).
 
-    Groups hold at most ``batch`` rows each, whatever the key distribution.
+    Batches hold at most ``batch`` rows each, whatever the key distribution. A batch of wide rows is cut into
+    parts, each begun after at most ``max_bytes`` of tuple text.
     """
     prefix = insert_prefix(table, df.columns, dialect)
     t = df.select(F.col(order_by).alias("_k"), row_tuple(df.schema, dialect).alias("_t"))
-    seq = with_sequence(t, "_k", out="_seq")
-    g = seq.groupBy(F.floor(F.col("_seq") / batch).alias("batch_id")).agg(
+    seq = with_sequence(t, "_k", out="_seq").withColumn("batch_id", F.floor(F.col("_seq") / batch))
+    before = Window.partitionBy("batch_id").orderBy("_seq").rowsBetween(Window.unboundedPreceding, -1)
+    seq = seq.withColumn("part", F.floor(F.coalesce(F.sum(F.octet_length("_t") + 2).over(before), F.lit(0)) / max_bytes).cast("int"))
+    g = seq.groupBy("batch_id", "part").agg(
         F.count(F.lit(1)).cast("int").alias("rows"),
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_seq", "_t"))), lambda x: x["_t"]), ",\n").alias("body"),
     )
-    return g.select("batch_id", "rows", F.concat(F.lit(prefix), F.col("body"), F.lit(";\n")).alias("stmt"))
+    return g.select("batch_id", "part", "rows", F.concat(F.lit(prefix), F.col("body"), F.lit(";\n")).alias("stmt"))
 
 
 # ---------------------------------------------------------------------------
@@ -214,7 +208,7 @@ def write_dump(ts: TableSet, path: str, dialect: str = "mysql", tables=None, dat
                 # key-ordered dump: files hold contiguous batch ranges, each file in order
                 stm = render_inserts_ordered(df, name, order_by[name], dialect, batch)
                 n = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-                stm = stm.repartitionByRange(n, "batch_id").sortWithinPartitions("batch_id").select("rows", "stmt")
+                stm = stm.repartitionByRange(n, "batch_id", "part").sortWithinPartitions("batch_id", "part").select("rows", "stmt")
             else:
                 stm = render_inserts(df, name, dialect, batch)
                 if parts:
@@ -239,7 +233,3 @@ def write_dump(ts: TableSet, path: str, dialect: str = "mysql", tables=None, dat
         infos = [one(x) for x in items]
     fs.write_bytes(f"{root}/999999_footer.sql", _footer(dialect).encode())
     return JobStats(tables=infos, seconds=time.time() - t0)
-
-
-def dump_manifest_rows(stats: JobStats) -> list[tuple]:
-    return stats.to_rows()

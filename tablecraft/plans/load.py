@@ -4,13 +4,19 @@ The statements are split in parallel, filtered, and the INSERTs of each
 table decoded in parallel into typed rows. Decoded rows are staged once in
 the shared checkpoint folder (so failures do not re-parse and lost executors
 recompute from files, not lineage); batch outcomes are computed from the
-staged flags and only rows of good batches are kept. ``on_error='fail'``
-raises on the first failed batch (D10: with the failing statement).
+staged flags and only rows of good batches are kept.
+
+Nothing is lost silently: every statement that should give rows and does not
+(unreadable, of an unknown kind or table, a value that does not convert) is
+a reject row, and by default (``on_error='fail'``) the load raises on the
+first failed batch with its statement. ``on_error='skip'`` leaves out failed
+batches and reports them in ``rejects`` and ``outcomes``.
 """
 
 from __future__ import annotations
 
 import json
+import time
 from dataclasses import dataclass
 
 from pyspark import StorageLevel
@@ -18,28 +24,44 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.ddl import parse_create_table
+from ..functions.dialect import norm_dialect
 from ..operators.statements import STATEMENTS_PER_BATCH, batch_outcomes, filter_statements, good_rows
 from ..session import staging_path
 from ..sources import fs
-from ..sources.inserts import decode_all, typed_rows
+from ..sources.inserts import GENERIC_DDL, decode_all, typed_rows
 from ..sources.statements import MAX_STATEMENT, read_statements
 from ..tableset import TableSet
 
 
 @dataclass
 class LoadResult:
+    """Loaded tables; outcomes per batch; rejects (table, file, batch_id, stmt_no, error, stmt); the statements."""
+
     tables: TableSet
     outcomes: DataFrame
     rejects: DataFrame
     statements: DataFrame
+    seconds: float = 0.0
+
+    def totals(self) -> DataFrame:
+        """One row: statements, bytes of statement text, batches, failed batches, rejected statements."""
+        text = self.statements.agg(F.count(F.lit(1)).alias("statements"), F.coalesce(F.sum(F.octet_length("stmt")), F.lit(0)).alias("bytes"))
+        batches = self.outcomes.agg(F.count(F.lit(1)).alias("batches"), F.count_if("failed").alias("failed_batches"))
+        errors = self.rejects.agg(F.count(F.lit(1)).alias("errors"))
+        on = F.lit(1).alias("_one")
+        out = text.select("*", on).join(batches.select("*", on), "_one").join(errors.select("*", on), "_one").drop("_one")
+        return out.withColumn("seconds", F.lit(self.seconds))
 
 
 def dump_schemas(path: str) -> dict[str, T.StructType]:
     """Schemas from the ``_schema.json`` files of a dump written by ``write_dump``."""
     out = {}
-    fsys, root = fs.resolve(path)
+    fsys, root = fs.resolve(fs.qualify(path))
     import pyarrow.fs as pafs
 
+    if fsys.get_file_info(root).type != pafs.FileType.Directory:
+        return out
     for fi in fsys.get_file_info(pafs.FileSelector(root, recursive=True, allow_not_found=True)):
         if fi.base_name == "_schema.json":
             with fsys.open_input_stream(fi.path) as f:
@@ -48,51 +70,60 @@ def dump_schemas(path: str) -> dict[str, T.StructType]:
     return out
 
 
+def ddl_schemas(stmts: DataFrame, dialect: str = "mysql") -> dict[str, T.StructType]:
+    """Schemas from the CREATE TABLE statements of a dump (one small row per table reaches the driver)."""
+    texts = stmts.where(F.col("stmt").rlike(r"(?i)^\s*CREATE\s+([A-Z]+\s+)*TABLE\b")).orderBy("file", "stmt_no").select("stmt").collect()
+    tables = [parse_create_table(r["stmt"], norm_dialect(dialect)) for r in texts]
+    return {t.name: t.schema for t in tables if t is not None}
+
+
 def load_dump(spark: SparkSession, path: str, dialect: str = "mysql", tables=None, schemas: dict | None = None,
-              rename: dict | None = None, batch: int = STATEMENTS_PER_BATCH, on_error: str = "skip",
-              chunk_bytes: int | None = None, max_stmt_bytes: int = MAX_STATEMENT, start_byte: int = 0,
-              stage: bool = True) -> LoadResult:
+              rename: dict | None = None, batch: int = STATEMENTS_PER_BATCH, on_error: str = "fail",
+              chunk_bytes: int | None = None, max_stmt_bytes: int = MAX_STATEMENT, start_byte: int | dict = 0,
+              stage: bool = True, encoding: str = "utf-8") -> LoadResult:
     """Load a dump directory (or file) into typed DataFrames.
 
-    ``schemas``: {table: StructType}; defaults to the dump's own schema files.
-    ``rename``: {old table: new table} applied to the result names.
+    ``schemas``: {table: StructType}; defaults to the dump's own schema files,
+    and without such to its CREATE TABLE statements. ``tables`` restricts the
+    load to some; INSERTs of all others are then passed over, else an INSERT
+    of a table without a schema is a reject. ``rename``: {old: new} names.
     """
     if on_error not in ("skip", "fail"):
         raise ValueError("on_error is 'skip' or 'fail'")
-    schemas = schemas or dump_schemas(path)
+    began = time.time()
+    stmts = read_statements(spark, path, dialect, chunk_bytes=chunk_bytes, max_stmt_bytes=max_stmt_bytes, start_byte=start_byte, encoding=encoding)
+    stmts = filter_statements(stmts, rename=bool(rename))
+    schemas = schemas or (dump_schemas(path) if isinstance(path, str) else {}) or ddl_schemas(stmts, dialect)
     if tables:
+        if missing := [t for t in tables if t not in schemas]:
+            raise KeyError(f"no schema for tables {missing}")
         schemas = {t: schemas[t] for t in tables}
-    names = list(tables) if tables else list(schemas)
-    stmts = read_statements(spark, path, dialect, chunk_bytes=chunk_bytes, max_stmt_bytes=max_stmt_bytes, start_byte=start_byte)
-    stmts = filter_statements(stmts, rename=bool(rename))
+    names = list(schemas)
     # one pass over the statements for every table, staged once (partitioned by table)
-    generic = decode_all(stmts, {n: schemas[n] for n in names}, dialect)
+    generic = decode_all(stmts, schemas, dialect, skip_others=bool(tables))
     if stage:
         p = staging_path(spark, "load")
         generic.write.partitionBy("_table").parquet(p)
-        generic = spark.read.parquet(p)
+        generic = spark.read.schema(GENERIC_DDL).parquet(p)  # a table may be named 01: its name stays a string
     else:
         generic = generic.persist(StorageLevel.MEMORY_AND_DISK)
     decoded = {n: typed_rows(generic.where(F.col("_table") == n), schemas[n], dialect) for n in names}
-    flags = None
+    flag = lambda df, name: df.groupBy("_file", "_stmt_no").agg(F.bool_or("_bad").alias("bad"), F.min("_error").alias("error")).withColumn("table", name)
+    flags = flag(generic.where("_table IS NULL"), F.lit(None).cast("string"))
     for name, df in decoded.items():
-        f = df.groupBy("_file", "_stmt_no").agg(F.bool_or("_bad").alias("bad"), F.min("_error").alias("error"))
-        flags = f if flags is None else flags.unionByName(f)
-    if flags is None:
-        flags = spark.createDataFrame([], "_file string, _stmt_no long, bad boolean, error string")
+        flags = flags.unionByName(flag(df, F.lit(name)))
     outcomes = batch_outcomes(flags, seq="_stmt_no", bad="bad", size=batch, by=("_file",), error="error")
     if on_error == "fail":
         first = outcomes.where("failed").orderBy("_file", "batch_id").limit(1).take(1)
         if first:
             r = first[0]
-            raise ValueError(f"batch {r.batch_id} of {r._file} failed at statement {r.first_error_stmt}: {r.first_error}")
+            text = stmts.where((F.col("file") == r._file) & (F.col("stmt_no") == r.first_error_stmt)).select("stmt").take(1)
+            raise ValueError(f"batch {r.batch_id} of {r._file} failed at statement {r.first_error_stmt}: {r.first_error}: {text[0].stmt[:200] if text else ''}")
     out = {}
     for name, df in decoded.items():
         good = good_rows(df.where(~F.col("_bad")), outcomes, seq="_stmt_no", size=batch, by=("_file",))
         target = (rename or {}).get(name, name)
         out[target] = good.select(*[f.name for f in schemas[name].fields])
-    rejects = None
-    for name, df in decoded.items():
-        r = df.where("_bad").select(F.lit(name).alias("table"), F.col("_file").alias("file"), F.col("_stmt_no").alias("stmt_no"), F.col("_error").alias("error"))
-        rejects = r if rejects is None else rejects.unionByName(r)
-    return LoadResult(TableSet(out), outcomes, rejects.distinct() if rejects is not None else flags.limit(0), stmts)
+    bad = flags.where("bad").select("table", F.col("_file").alias("file"), F.floor(F.col("_stmt_no") / batch).cast("long").alias("batch_id"), F.col("_stmt_no").alias("stmt_no"), "error")
+    rejects = bad.join(stmts.select("file", "stmt_no", "stmt"), ["file", "stmt_no"], "left").select("table", "file", "batch_id", "stmt_no", "error", "stmt")
+    return LoadResult(TableSet(out), outcomes, rejects, stmts, time.time() - began)

@@ -11,6 +11,7 @@ therefore leaves no partial file behind.
 
 from __future__ import annotations
 
+import itertools
 import lzma
 import uuid
 from dataclasses import dataclass
@@ -63,6 +64,11 @@ class _CompressedWriter(DataSourceArrowWriter):
         ext = EXT[self.codec]
         tmp = f"{self.path}/_temporary/{self.job}/part-{pid:05d}-{uuid.uuid4().hex}{ext}"
         final = f"{self.path}/part-{pid:05d}{ext}"
+        first = next(iterator, None)
+        while first is not None and first.num_rows == 0:
+            first = next(iterator, None)
+        if first is None:
+            return None  # no file for an empty partition
         fsys, p = fs.resolve(tmp)
         fsys.create_dir(p.rsplit("/", 1)[0], recursive=True)
         n = 0
@@ -75,7 +81,7 @@ class _CompressedWriter(DataSourceArrowWriter):
                 out = lzma.LZMAFile(raw, "wb", preset=XZ_LEVEL)
             else:
                 raise ValueError(f"codec {self.codec} is written by Spark's text writer")
-            for batch in iterator:
+            for batch in itertools.chain([first], iterator):
                 n += batch.num_rows
                 out.write(_lines(batch.column(0)))
             out.close()

@@ -1,13 +1,12 @@
 """Session helpers: a local session for tests and the shared staging folder.
 
 On a cluster the staging folder is whatever ``spark.checkpoint.dir`` names
-(a shared file system). Only when it is unset (local tests) do we pick a
-fresh folder under the system temp dir.
+(a shared file system); without it staging is refused. Only with a local
+master do we pick a fresh folder under the system temp dir.
 """
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 
@@ -48,6 +47,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current
     conf = spark.conf.get("spark.checkpoint.dir", None)
     if not conf:
+        if sc.master != "local" and not sc.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         conf = tempfile.mkdtemp(prefix="tablecraft-ckpt-")
         spark.conf.set("spark.checkpoint.dir", conf)
     sc.setCheckpointDir(conf)
@@ -55,6 +56,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 
 def staging_path(spark: SparkSession, name: str) -> str:
-    """A fresh path under the shared checkpoint folder for staged tables."""
-    base = ensure_checkpoint_dir(spark)
-    return os.path.join(base, f"{name}-{uuid.uuid4().hex[:12]}")
+    """A fresh path under the shared checkpoint folder, removed when the session's file system closes."""
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
+    return path

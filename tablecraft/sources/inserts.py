@@ -18,17 +18,28 @@ from pyspark.sql import types as T
 
 from ..functions.dialect import norm_dialect
 
+_NAME = r"(?:`(?:[^`]|``)+`|\"(?:[^\"]|\"\")+\"|[\w$]+)"
+#: INSERT or REPLACE with their modifiers, a table name with up to two qualifiers, the columns, VALUES.
+_INTO = rf"""\s*(?:INSERT|REPLACE)(?:\s+(?:LOW_PRIORITY|DELAYED|HIGH_PRIORITY))?(?:\s+IGNORE)?(?:\s+INTO)?\s+(?P<name>{_NAME}(?:\s*\.\s*{_NAME}){{0,2}})"""
 _HEAD = re.compile(
-    r"\s*INSERT\s+INTO\s+(?:`(?:[^`]|``)+`|\"(?:[^\"]|\"\")+\"|[\w.$]+)\s*(?:\((?P<cols>(?:`(?:[^`]|``)*`|\"(?:[^\"]|\"\")*\"|[^)`\"])*)\))?\s*VALUES\s*",
+    _INTO + r"""\s*(?:\((?P<cols>(?:`(?:[^`]|``)*`|\"(?:[^\"]|\"\")*\"|[^)`\"])*)\))?\s*(?:OVERRIDING\s+(?:SYSTEM|USER)\s+VALUE\s+)?VALUES?\s*""",
     re.I | re.S,
 )
+_PART = re.compile(_NAME, re.S)
+#: What may follow the tuples: it concerns rows that are already in the target.
+_TAIL = re.compile(r"\s*(?:AS\s+\w+\s+)?ON\s+(?:DUPLICATE\s+KEY\s+UPDATE|CONFLICT)\b", re.I)
+#: Statements that hold no rows: definitions, session settings, transactions, locks.
+_NO_ROWS = re.compile(r"\s*(?:(?:CREATE|DROP|ALTER|SET|USE|LOCK|UNLOCK|START|BEGIN|COMMIT|ROLLBACK|ANALYZE|GRANT|REVOKE|COMMENT|SELECT\s+pg_catalog|TRUNCATE|DELIMITER|VACUUM|OPTIMIZE|FLUSH)\b|;|$)", re.I)
+#: Marks the raw text of a hex literal; other text that starts with MARK has it doubled.
+MARK, HEX = "\x01", "\x01x"
 _IDENT = re.compile(r"\s*(?:`((?:[^`]|``)*)`|\"((?:[^\"]|\"\")*)\"|([^,\s]+))\s*(?:,|$)", re.S)
 
 _VALUE = {
     "mysql": re.compile(
         r"""\s*(?:(?P<null>NULL)\b
-        |'(?P<s>(?:[^'\\]+|\\.|'')*)'
-        |[xX]'(?P<hex>[0-9A-Fa-f]*)'
+        |(?:_\w+\s*)?'(?P<s>(?:[^'\\]+|\\.|'')*)'
+        |(?:_\w+\s*)?[xX]'(?P<hex>[0-9A-Fa-f]*)'
+        |(?:_\w+\s+)?0x(?P<hex0>[0-9A-Fa-f]+)\b
         |(?P<num>[-+]?(?:\d+\.?\d*|\.\d+)(?:[eE][-+]?\d+)?)
         |(?P<bool>TRUE|FALSE)\b
         |"(?P<d>(?:[^"\\]+|\\.|"")*)")\s*""",
@@ -37,9 +48,10 @@ _VALUE = {
     "postgres": re.compile(
         r"""\s*(?:(?P<null>NULL)\b
         |'(?P<s>(?:[^']+|'')*)'
+        |E'(?P<e>(?:[^'\\]+|\\.|'')*)'
         |[xX]'(?P<hex>[0-9A-Fa-f]*)'
         |(?P<num>[-+]?(?:\d+\.?\d*|\.\d+)(?:[eE][-+]?\d+)?)
-        |(?P<bool>TRUE|FALSE)\b)\s*""",
+        |(?P<bool>TRUE|FALSE)\b)\s*(?:::\s*[\w" ]+(?:\(\s*\d+\s*(?:,\s*\d+\s*)?\))?(?:\[\])*\s*)*""",
         re.X | re.S | re.I,
     ),
 }
@@ -55,6 +67,33 @@ def _unescape_mysql(s: str) -> str:
     return s.replace("''", "'") if "''" in s else s
 
 
+# Escapes of Postgres E-strings beside octal, \\x and \\u ones.
+_PG_ESCAPES = {"b": "\b", "f": "\f", "n": "\n", "r": "\r", "t": "\t"}
+_PG_ESCAPE = re.compile(r"\\(?:([0-7]{1,3})|x([0-9A-Fa-f]{1,2})|u([0-9A-Fa-f]{4})|U([0-9A-Fa-f]{8})|(.))|''", re.S)
+
+
+def _unescape_pg(s: str) -> str:
+    def one(m: re.Match) -> str:
+        octal, byte, short, long, char = m.groups()
+        if char:
+            return _PG_ESCAPES.get(char, char)
+        code = int(octal, 8) if octal else int(byte or short or long or "27", 16)
+        return chr(code)
+
+    return _PG_ESCAPE.sub(one, s)
+
+
+def _text(s: str) -> str:
+    return MARK + s if s.startswith(MARK) else s
+
+
+def table_name(qualified: str) -> str:
+    """The last part of a possibly qualified and quoted name."""
+    part = _PART.findall(qualified)[-1]
+    quote = part[0] if part[0] in "`\"" else ""
+    return part[1:-1].replace(quote * 2, quote) if quote else part
+
+
 # One value token (no groups inside) per dialect, for the whole-tuple fast path.
 _TOKEN = {
     "mysql": r"""(NULL\b|'(?:[^'\\]++|\\.)*+'|[xX]'[0-9A-Fa-f]*+'|[-+]?(?:\d+\.?\d*|\.\d+)(?:[eE][-+]?\d+)?|TRUE\b|FALSE\b|"(?:[^"\\]++|\\.)*+")""",
@@ -80,10 +119,10 @@ def _value(tok: str, mysql: bool):
     if c == "'" or c == '"':
         raw = tok[1:-1]
         if mysql:
-            return _unescape_mysql(raw) if ("\\" in raw or "''" in raw or '""' in raw) else raw
-        return raw.replace("''", "'") if "''" in raw else raw
+            return _text(_unescape_mysql(raw) if ("\\" in raw or "''" in raw or '""' in raw) else raw)
+        return _text(raw.replace("''", "'") if "''" in raw else raw)
     if c == "x" or c == "X":
-        return "\\x" + tok[2:-1].upper()
+        return HEX + tok[2:-1]
     if c == "N" or c == "n":
         return None
     return tok
@@ -144,18 +183,17 @@ def parse_insert(stmt: str, dialect: str = "mysql", width: int | None = None):
             if not vm or vm.end() == pos:
                 raise ValueError(f"bad value at offset {pos}")
             g = vm.lastgroup
+            raw = vm.group(g)
             if g == "null":
                 vals.append(None)
             elif g == "s" or g == "d":
-                raw = vm.group(g)
-                if d == "mysql":
-                    vals.append(_unescape_mysql(raw))
-                else:
-                    vals.append(raw.replace("''", "'"))
-            elif g == "hex":
-                vals.append("\\x" + vm.group("hex").upper())
+                vals.append(_text(_unescape_mysql(raw) if d == "mysql" else raw.replace("''", "'")))
+            elif g == "e":
+                vals.append(_text(_unescape_pg(raw)))
+            elif g == "hex" or g == "hex0":
+                vals.append(HEX + raw)
             else:
-                vals.append(vm.group(g))
+                vals.append(raw)
             pos = vm.end()
             if pos < n and stmt[pos] == ",":
                 pos += 1
@@ -175,103 +213,82 @@ def parse_insert(stmt: str, dialect: str = "mysql", width: int | None = None):
             if rest:
                 raise ValueError("text after the statement end")
             return cols, rows
+        if _TAIL.match(stmt, pos):
+            return cols, rows
         raise ValueError(f"expected ',' or ';' at offset {pos}")
 
 
-def insert_pattern(table: str) -> str:
-    t = re.escape(table)
-    return rf"(?is)^\s*INSERT\s+INTO\s+(`{t}`|\"{t}\"|{t})\s*[(\s]"
-
-
-def _tokenize(names: list[str], dialect: str):
-    schema = pa.schema([("_file", pa.string()), ("_stmt_no", pa.int64()), ("_bad", pa.bool_()), ("_error", pa.string())] + [(f"_v{i}", pa.string()) for i in range(len(names))])
+GENERIC_DDL = "_table string, _file string, _stmt_no long, _bad boolean, _error string, _vals array<string>"
 
-    def run(batches):
-        for b in batches:
-            files = b.column("file").to_pylist()
-            nos = b.column("stmt_no").to_pylist()
-            stmts = b.column("stmt").to_pylist()
-            cols = {k: [] for k in schema.names}
-            for f, no, s in zip(files, nos, stmts):
-                try:
-                    given, rows = parse_insert(s, dialect)
-                    idx = list(range(len(names))) if given is None else [given.index(c) if c in given else -1 for c in names]
-                    if given is not None and len(given) != len(set(given)):
-                        raise ValueError("duplicate column in INSERT")
-                    width = len(given) if given is not None else len(names)
-                    for r in rows:
-                        if len(r) != width:
-                            raise ValueError(f"row has {len(r)} values, expected {width}")
-                    err = None
-                except ValueError as e:
-                    rows, err = [None], str(e)
-                for r in rows:
-                    cols["_file"].append(f)
-                    cols["_stmt_no"].append(no)
-                    cols["_bad"].append(err is not None)
-                    cols["_error"].append(err)
-                    for i in range(len(names)):
-                        cols[f"_v{i}"].append(None if r is None or idx[i] < 0 else r[idx[i]])
-            yield pa.RecordBatch.from_pydict(cols, schema=schema)
 
-    return run
+#: Rows, and characters of their values, that a task holds before it passes them on.
+FLUSH_ROWS, FLUSH_CHARS = 4096, 16 << 20
 
 
-_TABLE = re.compile(r"\s*INSERT\s+INTO\s+(?:`((?:[^`]|``)+)`|\"((?:[^\"]|\"\")+)\"|([\w.$]+))", re.I | re.S)
+def _rows_of(stmt: str, names: list[str], dialect: str) -> list[list]:
+    """The statement's rows in the order of ``names``; absent columns are null."""
+    given, rows = parse_insert(stmt, dialect, width=len(names))
+    if given is not None and len(given) != len(set(given)):
+        raise ValueError("duplicate column in INSERT")
+    if given is not None and (unknown := [c for c in given if c not in names]):
+        raise ValueError(f"unknown column {unknown[0]}")
+    width = len(given) if given is not None else len(names)
+    for r in rows:
+        if len(r) != width:
+            raise ValueError(f"row has {len(r)} values, expected {width}")
+    if given is None or given == names:
+        return rows
+    at = [given.index(c) if c in given else -1 for c in names]
+    return [[r[i] if i >= 0 else None for i in at] for r in rows]
 
-GENERIC_DDL = "_table string, _file string, _stmt_no long, _bad boolean, _error string, _vals array<string>"
 
+def _tokenize_all(columns: dict[str, list[str]], dialect: str, skip_others: bool):
+    """One pass over all statements: rows of every wanted table as text arrays.
 
-def _tokenize_all(columns: dict[str, list[str]], dialect: str):
-    """One pass over all statements: rows of every wanted table as text arrays."""
+    A statement that yields no rows although it should (unreadable, of an unknown table or kind) gives one bad row.
+    """
     schema = pa.schema([("_table", pa.string()), ("_file", pa.string()), ("_stmt_no", pa.int64()), ("_bad", pa.bool_()),
                         ("_error", pa.string()), ("_vals", pa.list_(pa.string()))])
+    into = re.compile(_INTO, re.I | re.S)
+
+    def decoded(stmt: str):
+        """(table, rows, error); no table and no error for a statement without rows."""
+        m = into.match(stmt)
+        if not m:
+            return None, [], None if _NO_ROWS.match(stmt) else f"statement kind {stmt.split(None, 1)[0][:20]} is not loaded"
+        table = table_name(m.group("name"))
+        if table not in columns:
+            return None, [], None if skip_others else f"no schema for table {table}"
+        try:
+            return table, _rows_of(stmt, columns[table], dialect), None
+        except ValueError as e:
+            return table, [], str(e)
 
     def run(batches):
+        out, held = {k: [] for k in schema.names}, 0
         for b in batches:
-            out = {k: [] for k in schema.names}
             for f, no, s in zip(b.column("file").to_pylist(), b.column("stmt_no").to_pylist(), b.column("stmt").to_pylist()):
-                m = _TABLE.match(s)
-                if not m:
-                    continue
-                a, q, plain = m.groups()
-                table = a.replace("``", "`") if a is not None else q.replace('""', '"') if q is not None else plain
-                names = columns.get(table)
-                if names is None:
-                    continue
-                try:
-                    given, rows = parse_insert(s, dialect, width=len(names))
-                    if given is not None and len(given) != len(set(given)):
-                        raise ValueError("duplicate column in INSERT")
-                    idx = list(range(len(names))) if given is None else [given.index(c) if c in given else -1 for c in names]
-                    width = len(given) if given is not None else len(names)
-                    for r in rows:
-                        if len(r) != width:
-                            raise ValueError(f"row has {len(r)} values, expected {width}")
-                    rows = [[r[i] if i >= 0 else None for i in idx] for r in rows]
-                    err = None
-                except ValueError as e:
-                    rows, err = [None], str(e)
-                for r in rows:
-                    out["_table"].append(table)
-                    out["_file"].append(f)
-                    out["_stmt_no"].append(no)
-                    out["_bad"].append(err is not None)
-                    out["_error"].append(err)
-                    out["_vals"].append(r)
-                if len(out["_table"]) >= 4096:
+                table, rows, error = decoded(s)
+                for r in rows if error is None else [None]:
+                    for k, v in zip(schema.names, (table, f, no, error is not None, error, r)):
+                        out[k].append(v)
+                held += len(s)
+                if len(out["_table"]) >= FLUSH_ROWS or held >= FLUSH_CHARS:
                     yield pa.RecordBatch.from_pydict(out, schema=schema)
-                    out = {k: [] for k in schema.names}
-            if out["_table"]:
-                yield pa.RecordBatch.from_pydict(out, schema=schema)
+                    out, held = {k: [] for k in schema.names}, 0
+        if out["_table"]:
+            yield pa.RecordBatch.from_pydict(out, schema=schema)
 
     return run
 
 
-def decode_all(stmts: DataFrame, schemas: dict[str, T.StructType], dialect: str = "mysql") -> DataFrame:
-    """S5 for many tables in one pass: DataFrame(_table, _file, _stmt_no, _bad, _error, _vals)."""
+def decode_all(stmts: DataFrame, schemas: dict[str, T.StructType], dialect: str = "mysql", skip_others: bool = False) -> DataFrame:
+    """S5 for many tables in one pass: DataFrame(_table, _file, _stmt_no, _bad, _error, _vals).
+
+    ``skip_others`` passes over INSERTs of tables without a schema; otherwise they are bad.
+    """
     cols = {t: [f.name for f in s.fields] for t, s in schemas.items()}
-    return stmts.select("file", "stmt_no", "stmt").mapInArrow(_tokenize_all(cols, norm_dialect(dialect)), GENERIC_DDL)
+    return stmts.select("file", "stmt_no", "stmt").mapInArrow(_tokenize_all(cols, norm_dialect(dialect), skip_others), GENERIC_DDL)
 
 
 def typed_rows(generic: DataFrame, schema: T.StructType, dialect: str = "mysql") -> DataFrame:
@@ -286,16 +303,27 @@ def typed_rows(generic: DataFrame, schema: T.StructType, dialect: str = "mysql")
 
 
 def typed(raw: Column, dtype: T.DataType, dialect: str) -> Column:
-    """Raw literal text -> value of ``dtype`` (null when it does not convert)."""
-    if isinstance(dtype, T.StringType):
-        return raw
+    """Raw literal text -> value of ``dtype`` (null when it does not convert).
+
+    A hex literal is bytes: as they are in a binary column, their UTF-8 text in any other. Text in a binary column is
+    its UTF-8 bytes, but for Postgres' own hex form.
+    """
+    is_hex = raw.startswith(HEX)
+    bytes_ = F.try_to_binary(F.substring(raw, F.lit(len(HEX) + 1), F.length(raw)), F.lit("hex"))
+    plain = F.when(raw.startswith(MARK), F.substring(raw, F.lit(2), F.length(raw))).otherwise(raw)
     if isinstance(dtype, T.BinaryType):
-        return F.when(raw.startswith("\\x"), F.try_to_binary(F.substring(raw, 3, 1 << 30), F.lit("hex"))).otherwise(F.encode(raw, "UTF-8"))
+        text = F.encode(plain, "UTF-8")
+        if norm_dialect(dialect) == "postgres":
+            text = F.when(plain.startswith("\\x"), F.try_to_binary(F.substring(plain, F.lit(3), F.length(plain)), F.lit("hex"))).otherwise(text)
+        return F.when(is_hex, bytes_).otherwise(text)
+    text = F.when(is_hex, F.try_validate_utf8(bytes_.cast("string"))).otherwise(plain)
+    if isinstance(dtype, T.StringType):
+        return text
     if isinstance(dtype, (T.ArrayType, T.MapType, T.StructType)):
-        return F.from_json(raw, dtype)
+        return F.from_json(text, dtype)
     if isinstance(dtype, T.BooleanType):
-        return F.lower(raw).try_cast("boolean")
-    return raw.try_cast(dtype)
+        return F.lower(text).try_cast("boolean")
+    return text.try_cast(dtype)
 
 
 def decode_inserts(stmts: DataFrame, table: str, schema: T.StructType, dialect: str = "mysql", keep_meta: bool = False) -> DataFrame:
@@ -304,17 +332,5 @@ def decode_inserts(stmts: DataFrame, table: str, schema: T.StructType, dialect:
     ``stmts`` needs (file, stmt_no, stmt). With ``keep_meta`` the result also
     has ``_file``, ``_stmt_no``, ``_bad`` (tokenising or conversion failed) and ``_error``.
     """
-    names = [f.name for f in schema.fields]
-    mine = stmts.where(F.col("stmt").rlike(insert_pattern(table))).select("file", "stmt_no", "stmt")
-    ddl = "_file string, _stmt_no long, _bad boolean, _error string, " + ", ".join(f"_v{i} string" for i in range(len(names)))
-    raw = mine.mapInArrow(_tokenize(names, dialect), ddl)
-    vals = [typed(F.col(f"_v{i}"), f.dataType, dialect).alias(f.name) for i, f in enumerate(schema.fields)]
-    conv_bad = [F.col(f"_v{i}").isNotNull() & typed(F.col(f"_v{i}"), f.dataType, dialect).isNull() for i, f in enumerate(schema.fields)]
-    bad = F.col("_bad")
-    for c in conv_bad:
-        bad = bad | c
-    out = raw.select("_file", "_stmt_no", bad.alias("_bad"),
-                     F.coalesce(F.col("_error"), F.when(bad, F.lit("value does not convert to the column type"))).alias("_error"), *vals)
-    if keep_meta:
-        return out
-    return out.where(~F.col("_bad")).select(*names)
+    rows = typed_rows(decode_all(stmts, {table: schema}, dialect, skip_others=True).where(F.col("_table") == table), schema, dialect)
+    return rows if keep_meta else rows.where(~F.col("_bad")).select(*[f.name for f in schema.fields])

@@ -4,8 +4,8 @@ Uncompressed files are cut into byte chunks whose starts are moved to just
 after a line feed. Pass 1 (one Spark task per chunk) runs the automaton of
 ``splitter`` over its chunk from every state that is possible right after a
 line feed and reports the end state and the number of statement ends for
-each. The driver composes these small vectors per file (metadata only:
-five numbers per chunk) to learn the true start state of every chunk.
+each. A grouped task per file composes these small vectors (five numbers per
+chunk) to learn the true start state of every chunk.
 Pass 2 starts each chunk in its true state and emits the statements that
 *begin* in it, reading past the chunk end only to finish the last one.
 
@@ -17,6 +17,8 @@ is sequential per file because its delimiter is data.
 from __future__ import annotations
 
 import gzip
+import io
+import itertools
 import lzma
 import re
 
@@ -31,6 +33,7 @@ from .splitter import BOUNDARY_STATES, B, L, N, Automaton, strip_comments
 DEFAULT_CHUNK = 64 << 20
 MAX_STATEMENT = 64 << 20  # fixed value: largest statement accepted on load
 READ_BLOCK = 1 << 20
+FLUSH_BYTES = 16 << 20  # statement text that a task holds before it passes it on
 
 STMT_SCHEMA = "file string, stmt_no long, byte_start long, byte_end long, stmt string"
 LINE_SCHEMA = "file string, stmt_no long, start_line long, stmt string"
@@ -220,12 +223,20 @@ _F1_DDL = ("path string, size long, j long, a_start long, a_end long, state int,
 _P2_IN = "path string, size long, j long, a_start long, a_end long, state int, stmt_offset long, codec string"
 
 
-def _pass2(dialect: str, max_bytes: int | None):
+def _decoded(text: bytes, path: str, at: int, encoding: str) -> str:
+    """The statement as text; bytes that are none in ``encoding`` are an error, never replaced."""
+    try:
+        return text.decode(encoding)
+    except UnicodeDecodeError as e:
+        raise ValueError(f"statement at byte {at} of {path} is not {encoding}: {e}") from None
+
+
+def _pass2(dialect: str, max_bytes: int | None, encoding: str = "utf-8"):
     def run(batches):
         aut = Automaton(dialect)
         for b in batches:
             rows = b.to_pylist()
-            out = {"file": [], "stmt_no": [], "byte_start": [], "byte_end": [], "stmt": []}
+            out, held = {"file": [], "stmt_no": [], "byte_start": [], "byte_end": [], "stmt": []}, 0
             for r in rows:
                 path, j = r["path"], r["j"]
                 if r["codec"]:
@@ -240,11 +251,11 @@ def _pass2(dialect: str, max_bytes: int | None):
                     out["stmt_no"].append(no)
                     out["byte_start"].append(s)
                     out["byte_end"].append(e)
-                    out["stmt"].append(text.decode("utf-8", "replace"))
-                    no += 1
-                    if len(out["stmt"]) >= 2048:
+                    out["stmt"].append(_decoded(text, path, s, encoding))
+                    no, held = no + 1, held + len(text)
+                    if len(out["stmt"]) >= 2048 or held >= FLUSH_BYTES:
                         yield pa.RecordBatch.from_pydict(out)
-                        out = {k: [] for k in out}
+                        out, held = {k: [] for k in out}, 0
             if out["stmt"]:
                 yield pa.RecordBatch.from_pydict(out)
 
@@ -254,37 +265,45 @@ def _pass2(dialect: str, max_bytes: int | None):
 def list_dump_files(path) -> list[tuple[str, int]]:
     """(path, size) of the statement files under ``path`` (a folder, a file or a list of files)."""
     if isinstance(path, (list, tuple)):
-        return sorted((fs.resolve(p)[1], fs.file_size(p)) for p in path)
-    return [(p, s) for p, s in fs.list_files(path) if not p.endswith(".json") and not p.endswith(".crc")]
-
-
-MIN_CHUNK = 1 << 20
-
-
-def auto_chunk(spark: SparkSession, total_bytes: int) -> int:
-    """64 MB chunks for big inputs; smaller ones (>= 1 MB) so small inputs still use every core."""
-    cores = spark.sparkContext.defaultParallelism
-    return int(max(MIN_CHUNK, min(DEFAULT_CHUNK, total_bytes // max(2 * cores, 1) + 1)))
+        return sorted((fs.prefix_of(q) + fs.resolve(q)[1], fs.file_size(q)) for q in map(fs.qualify, path))
+    return fs.list_files(path)
 
 
 def read_statements(spark: SparkSession, path, dialect: str = "mysql", chunk_bytes: int | None = None,
-                    max_stmt_bytes: int | None = MAX_STATEMENT, start_byte: int = 0) -> DataFrame:
+                    max_stmt_bytes: int | None = MAX_STATEMENT, start_byte: int | dict[str, int] = 0,
+                    encoding: str = "utf-8") -> DataFrame:
     """S3: DataFrame(file, stmt_no, byte_start, byte_end, stmt) over every file under ``path``.
 
-    ``start_byte`` (S10) resumes an uncompressed single-file load at a byte
-    position that begins a statement. Comments become one space; statements
-    keep their terminating ``;`` and surrounding white space.
+    ``start_byte`` (S10) resumes an uncompressed load at byte positions that
+    begin a statement: a number for a single file, or {file: byte}; files
+    that are not in the dict are left out. Comments become one space;
+    statements keep their terminating ``;`` and surrounding white space.
     """
     files = list_dump_files(path)
     if not files:
         return spark.createDataFrame([], STMT_SCHEMA)
+    chunk_bytes = chunk_bytes or DEFAULT_CHUNK
+    if isinstance(start_byte, dict):
+        sizes = dict(files)
+        if missing := sorted(set(start_byte) - set(sizes)):
+            raise ValueError(f"no such files to resume: {missing}")
+        if packed := [p for p in start_byte if detect_codec(p)]:
+            raise ValueError(f"compressed files cannot be resumed: {packed}")
+        parts = [_read_files(spark, [(p, sizes[p])], dialect, chunk_bytes, max_stmt_bytes, at, encoding) for p, at in sorted(start_byte.items()) if at > 0]
+        if whole := [(p, sizes[p]) for p, at in sorted(start_byte.items()) if at <= 0]:
+            parts.append(_read_files(spark, whole, dialect, chunk_bytes, max_stmt_bytes, 0, encoding))
+        out = parts[0] if parts else spark.createDataFrame([], STMT_SCHEMA)
+        for more in parts[1:]:
+            out = out.unionByName(more)
+        return out
     if start_byte and (len(files) != 1 or detect_codec(files[0][0])):
-        raise ValueError("start_byte needs exactly one uncompressed file")
+        raise ValueError("start_byte as a number needs exactly one uncompressed file")
+    return _read_files(spark, files, dialect, chunk_bytes, max_stmt_bytes, start_byte, encoding)
+
+
+def _read_files(spark: SparkSession, files: list[tuple[str, int]], dialect: str, chunk_bytes: int, max_stmt_bytes: int | None,
+                start_byte: int, encoding: str) -> DataFrame:
     plain = [(p, s) for p, s in files if not detect_codec(p)]
-    if chunk_bytes is None:
-        cores = spark.sparkContext.defaultParallelism
-        # enough files to fill the cores: keep files whole up to the largest chunk size
-        chunk_bytes = DEFAULT_CHUNK if len(plain) >= 2 * cores else auto_chunk(spark, sum(s for _, s in plain))
     packed = [(p, s, detect_codec(p)) for p, s in files if detect_codec(p)]
     parts = []
     # a file that fits in one chunk starts in the normal state: no pass 1 needed
@@ -292,13 +311,13 @@ def read_statements(spark: SparkSession, path, dialect: str = "mysql", chunk_byt
     plain = [(p, s) for p, s in plain if s - start_byte > chunk_bytes]
     if single:
         rows = [(p, s, 0, start_byte, s, N, 0, None) for p, s in single]
-        parts.append(spark.createDataFrame(rows, _P2_IN).repartition(max(1, min(len(rows), 100000))))
+        parts.append(spark.createDataFrame(rows, _P2_IN).repartition(max(1, len(rows))))
     if plain:
         fdf = spark.createDataFrame(plain, "path string, size long")
         nchunks = F.greatest(F.ceil((F.col("size") - F.lit(start_byte)) / F.lit(chunk_bytes)), F.lit(1)).cast("long")
         chunks = fdf.select("path", "size", F.explode(F.sequence(F.lit(0).cast("long"), nchunks - 1)).alias("j"))
         total_chunks = sum(max(-(-(s - start_byte) // chunk_bytes), 1) for _, s in plain)
-        chunks = chunks.repartition(max(1, min(total_chunks, 100000)))
+        chunks = chunks.repartition(max(1, total_chunks))
         # pass 1a: one scan per chunk, from the normal state only (right for nearly every
         # line-aligned chunk); the per-file fold keeps the chain while it stays normal
         ensure_checkpoint_dir(spark)
@@ -307,17 +326,17 @@ def read_statements(spark: SparkSession, path, dialect: str = "mysql", chunk_byt
         plan_cols = ["path", "size", "j", "a_start", "a_end", "state", "stmt_offset", F.lit(None).cast("string").alias("codec")]
         done = f1.where("resolved").select(*plan_cols)
         # pass 1b: chunks after a file's chain left the normal state, scanned from all five states
-        tail = f1.where(~F.col("resolved")).repartition(max(1, min(total_chunks, 100000)))
+        tail = f1.where(~F.col("resolved")).repartition(max(1, total_chunks))
         p1b = tail.mapInArrow(_pass1(dialect, chunk_bytes, start_byte, BOUNDARY_STATES, aligned=True), _P1_DDL)
         rest = p1b.groupBy("path").applyInPandas(_fold_tail, _P2_IN)
-        parts.append(done.unionByName(rest).repartition(max(1, min(total_chunks, 100000))))
+        parts.append(done.unionByName(rest).repartition(max(1, total_chunks)))
     if packed:
         rows = [(p, s, 0, 0, s, N, 0, c) for p, s, c in packed]
         parts.append(spark.createDataFrame(rows, _P2_IN).repartition(max(1, len(rows))))
     inp = parts[0]
     for extra in parts[1:]:
         inp = inp.unionByName(extra)
-    return inp.mapInArrow(_pass2(dialect, max_stmt_bytes), STMT_SCHEMA)
+    return inp.mapInArrow(_pass2(dialect, max_stmt_bytes, encoding), STMT_SCHEMA)
 
 
 def _fold_normal(pdf):
@@ -364,82 +383,73 @@ def _fold_tail(pdf):
 # ---------------------------------------------------------------------------
 # S4 line mode
 # ---------------------------------------------------------------------------
-_LINE_TOKENS = re.compile(r"[\\'\"`]")
+#: Runs that leave the quote state as it is: outside quotes, and inside each kind.
+_OUTSIDE = re.compile(r"(?:[^\\'\"`]|\\.)*+")
+_INSIDE = {q: re.compile(rf"(?:[^\\{q}]|\\.)*+") for q in "'\"`"}
+
+
+def _open_quote(line: str, quote: str, at: int) -> tuple[str, int]:
+    """The quote that is open behind ``line`` ('' for none), and how many characters of the next line are escaped."""
+    while True:
+        at = (_INSIDE[quote] if quote else _OUTSIDE).match(line, at).end()
+        if at >= len(line):
+            return quote, 0
+        if line[at] == "\\":
+            return quote, 1
+        quote, at = "" if quote else line[at], at + 1
 
 
 def split_lines(lines, delimiter: str = ";"):
-    """Line-oriented splitter: yields (start_line, statement) per statement.
+    """Line-oriented splitter: (first line number, statement) per statement.
 
-    Blank lines and lines starting with ``--`` or ``#`` are skipped between
-    statements; ``DELIMITER xx`` switches the delimiter; a statement ends when
-    the trimmed text ends with the delimiter outside a string (the delimiter
-    is removed). A backslash escapes the next character anywhere.
+    Rules: between statements, blank lines and lines starting with ``--`` or ``#`` are passed over and
+    ``DELIMITER xx`` sets the delimiter. Any other line opens a statement, which takes lines until one ends with
+    the delimiter (white space aside) outside quotes. A backslash escapes the next character anywhere. The
+    delimiter is cut off; what is open at the end of the input is a statement as well.
     """
-    buf: list[str] = []
-    start = 0
-    in_str, qch, esc = False, "", False
-    lineno = 0
-    for raw in lines:
-        lineno += 1
-        line = raw[:-1] if raw.endswith("\n") else raw
-        t = line.strip()
-        if not buf:
-            if not t or t.startswith("--") or t.startswith("#"):
-                continue
-            start = lineno
-            if t.upper().startswith("DELIMITER "):
-                nd = t[10:].strip()
-                if nd:
-                    delimiter = nd
-                continue
-        buf.append(line)
-        i = 0
-        if esc:
-            esc = False
-            i = 1
-        for m in _LINE_TOKENS.finditer(line, i):
-            p = m.start()
-            if p < i:
-                continue
-            c = line[p]
-            if c == "\\":
-                i = p + 2
-                if p + 1 >= len(line):
-                    esc = True
-                continue
-            if in_str:
-                if c == qch:
-                    in_str = False
-            else:
-                in_str, qch = True, c
-        if not in_str:
-            content = "\n".join(buf).strip()
-            if content.endswith(delimiter):
-                yield start, content[: -len(delimiter)].strip()
-                buf = []
-    if buf:
-        content = "\n".join(buf).strip()
-        if content:
-            yield start, content
-
-
-def _line_task(batches):
-    import io
-
-    for b in batches:
-        out = {"file": [], "stmt_no": [], "start_line": [], "stmt": []}
-        for path in b.column("path").to_pylist():
-            stream = io.TextIOWrapper(open_stream(path, detect_codec(path)), encoding="utf-8", errors="replace", newline="\n")
-            for no, (ln, stmt) in enumerate(split_lines(stream)):
-                out["file"].append(path)
-                out["stmt_no"].append(no)
-                out["start_line"].append(ln)
-                out["stmt"].append(stmt)
-        yield pa.RecordBatch.from_pydict(out, schema=pa.schema([("file", pa.string()), ("stmt_no", pa.int64()), ("start_line", pa.int64()), ("stmt", pa.string())]))
-
-
-def read_statements_lines(spark: SparkSession, path: str) -> DataFrame:
+    numbered = ((no, raw.removesuffix("\n")) for no, raw in enumerate(lines, 1))
+    for first, opening in numbered:
+        head = opening.strip()
+        if not head or head.startswith(("--", "#")):
+            continue
+        command, _, value = head.partition(" ")
+        if command.upper() == "DELIMITER" and value:
+            delimiter = value.strip()
+            continue
+        taken, quote, skip = [], "", 0
+        for line in itertools.chain([opening], (text for _, text in numbered)):
+            taken.append(line)
+            quote, skip = _open_quote(line, quote, skip)
+            if not quote and line.rstrip().endswith(delimiter):
+                yield first, "\n".join(taken).strip()[: -len(delimiter)].strip()
+                break
+        else:
+            if rest := "\n".join(taken).strip():
+                yield first, rest
+
+
+_LINE_ARROW = pa.schema([("file", pa.string()), ("stmt_no", pa.int64()), ("start_line", pa.int64()), ("stmt", pa.string())])
+
+
+def _line_task(encoding: str):
+    def run(batches):
+        for path in (p for b in batches for p in b.column("path").to_pylist()):
+            out, held = [], 0
+            stream = io.TextIOWrapper(open_stream(path, detect_codec(path)), encoding=encoding, newline="\n")
+            for no, (line, stmt) in enumerate(split_lines(stream)):
+                out.append({"file": path, "stmt_no": no, "start_line": line, "stmt": stmt})
+                held += len(stmt)
+                if held >= FLUSH_BYTES or len(out) >= 2048:
+                    yield pa.RecordBatch.from_pylist(out, schema=_LINE_ARROW)
+                    out, held = [], 0
+            if out:
+                yield pa.RecordBatch.from_pylist(out, schema=_LINE_ARROW)
+
+    return run
+
+
+def read_statements_lines(spark: SparkSession, path: str, encoding: str = "utf-8") -> DataFrame:
     """DataFrame(file, stmt_no, start_line, stmt), one task per file."""
     files = list_dump_files(path)
     fdf = spark.createDataFrame([(p,) for p, _ in files], "path string").repartition(max(1, len(files)))
-    return fdf.mapInArrow(_line_task, LINE_SCHEMA)
+    return fdf.mapInArrow(_line_task(encoding), LINE_SCHEMA)

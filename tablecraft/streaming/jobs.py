@@ -24,8 +24,16 @@ BINARY_FILE_SCHEMA = "path string, modificationTime timestamp, length long, cont
 
 def stream_load(spark: SparkSession, src_dir: str, table: str, schema: T.StructType, out: str, checkpoint: str,
                 dialect: str = "mysql", available_now: bool = True, max_files: int = 100,
-                glob: str = "part-*") -> StreamingQuery:
-    """Incremental, resumable, batch-atomic load of dump files into parquet."""
+                glob: str = "*", on_error: str = "fail", rejects: str | None = None) -> StreamingQuery:
+    """Incremental, resumable, batch-atomic load of dump files into parquet.
+
+    A statement that does not load fails the query before the micro-batch writes
+    anything. With ``on_error='skip'`` failed batches are left out and every
+    rejected statement is written to ``<rejects>/batch=<id>`` (default
+    ``<out>-rejects``). Files whose names start with ``_`` or ``.`` are hidden
+    to Spark's file stream.
+    """
+    rejects = (rejects or f"{out.rstrip('/')}-rejects").rstrip("/")
     files = (
         spark.readStream.format("binaryFile")
         .schema(BINARY_FILE_SCHEMA)
@@ -40,7 +48,10 @@ def stream_load(spark: SparkSession, src_dir: str, table: str, schema: T.StructT
         paths = [r.path for r in batch.select("path").collect()]  # file names of this micro-batch only
         if not paths:
             return
-        res = load_dump(spark, paths, dialect, tables=[table], schemas={table: schema})
+        paths = [p for p in paths if p.rsplit("/", 1)[-1] not in ("metadata.json",)]
+        res = load_dump(spark, paths, dialect, tables=[table], schemas={table: schema}, on_error=on_error)
+        if on_error == "skip":
+            res.rejects.write.mode("overwrite").parquet(f"{rejects}/batch={batch_id}")
         res.tables[table].write.mode("overwrite").parquet(f"{out.rstrip('/')}/batch={batch_id}")
 
     w = files.writeStream.foreachBatch(load_batch).option("checkpointLocation", checkpoint)
@@ -58,14 +69,19 @@ def latest_metrics(stream: DataFrame, key: str = "server", ts: str = "ts", water
     return s.groupBy(key).agg(F.max_by(F.struct(*cols), F.col(ts)).alias("latest")).select(key, "latest.*")
 
 
-def run_to_table(df: DataFrame, name: str, mode: str = "complete", checkpoint: str | None = None) -> DataFrame:
-    """Drive a streaming frame to completion (availableNow) into a memory table and return it."""
-    w = df.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True)
+def run_to_table(df: DataFrame, path: str, mode: str = "complete", checkpoint: str | None = None) -> DataFrame:
+    """Drive a streaming frame to completion (availableNow) into Parquet at ``path`` and return that table.
+
+    Append mode uses the file sink; complete mode overwrites the table with each micro-batch's whole result.
+    """
+    w = df.writeStream.outputMode(mode).trigger(availableNow=True)
     if checkpoint:
         w = w.option("checkpointLocation", checkpoint)
-    q = w.start()
-    q.awaitTermination()
-    return df.sparkSession.table(name)
+    if mode == "append":
+        w.format("parquet").option("path", path).start().awaitTermination()
+    else:
+        w.foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(path)).start().awaitTermination()
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def stream_health(stream: DataFrame, lag: str = "lag_seconds") -> DataFrame:

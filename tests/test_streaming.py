@@ -28,6 +28,6 @@ def test_latest_metrics_stream_matches_batch(spark, sf):
     schema = spark.read.parquet(path).schema
     s = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf)
     s = s.select((F.col("user_id") % 3).alias("server"), F.col("ts").cast("timestamp").alias("ts"), "event_id")
-    got = jobs.run_to_table(jobs.latest_metrics(s, "server", "ts"), "latest_test", "complete", tempfile.mkdtemp(prefix="ck-"))
+    got = jobs.run_to_table(jobs.latest_metrics(s, "server", "ts"), tempfile.mkdtemp(prefix="out-") + "/t", "complete", tempfile.mkdtemp(prefix="ck-"))
     batch = spark.read.parquet(path).groupBy((F.col("user_id") % 3).alias("server")).agg(F.max_by("event_id", "ts").alias("event_id"))
     assert sorted(r.event_id for r in got.collect()) == sorted(r.event_id for r in batch.collect())
