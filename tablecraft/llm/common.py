@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,17 +24,27 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet into the shared checkpoint folder and read it back.
 
-    It cuts the lineage and lets several plans read one result. The files outlive any executor and are
-    removed when the session's file system closes.
+    It cuts the lineage and lets several plans read one result. The files outlive any executor;
+    ``staging_path`` has them removed when the session's file system closes.
     """
     spark = df.sparkSession
     path = staging_path(spark, f"llm-{name}")
     df.write.parquet(path)
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def small_batches(spark: SparkSession, size: str = "8m") -> Iterator[None]:
+    """Jobs started inside pass at most ``size`` to Python at once, which bounds the memory of a task."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, size)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def fresh(taken: Iterable[str], name: str) -> str:
     """``name``, lengthened by underscores until no column in ``taken`` has it (case is ignored)."""
     low = {c.lower() for c in taken}
