@@ -247,6 +247,19 @@ def decode(tokens: DataFrame, path: str | None = None, ids: str = "ids", out: st
     return tokens.withColumn(out, texts(F.col(f"`{ids}`")))
 
 
+def checked(docs: DataFrame, path: str | None = None, text: str = "text", out: str = "coded") -> DataFrame:
+    """``docs`` with a struct ``out``: the ids of ``text``, and whether they decode to it (null: empty)."""
+    path = path or vocabulary()
+
+    @F.pandas_udf("ids array<int>, exact boolean")
+    def coded(texts: pd.Series) -> pd.DataFrame:
+        bpe = tokenizer(path)
+        ids = [bpe.encode_array(t) for t in texts]
+        return pd.DataFrame({"ids": pd.Series(ids, dtype=object), "exact": [bpe.decode(i) == (t or "") for i, t in zip(ids, texts, strict=True)]})
+
+    return docs.withColumn(out, coded(F.col(f"`{text}`")))
+
+
 def digests(docs: DataFrame, path: str | None = None, text: str = "text", out: str = "coded") -> DataFrame:
     """``docs`` with a struct ``out``: n_tokens, ids_sha256 and decoded_sha256 of its encoded and decoded text.
 
