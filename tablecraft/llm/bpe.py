@@ -54,7 +54,8 @@ def _byte_letters() -> dict[str, int]:
 class Bpe:
     """The vocabulary in a tokenizers JSON file and the encoder and decoder over it."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, cache: int | None = None):
+        self.cache = CACHE if cache is None else cache
         spec = json.loads(open(path, encoding="utf-8").read())
         byte_of, model = _byte_letters(), spec["model"]
         to_bytes = lambda token: bytes(byte_of[c] for c in token)
@@ -161,7 +162,7 @@ class Bpe:
     def _learn(self, text: str) -> tuple[str, bytes]:
         """The same of a fragment, joined from its pre-tokens; both are remembered."""
         tokens, known = self.pattern.findall(text), self.known
-        if len(known) >= CACHE:
+        if len(known) >= self.cache:
             known.clear()
         if len(tokens) == 1:
             found = self._token(text)
@@ -208,14 +209,14 @@ class Bpe:
         return self.decode_bytes(ids[~np.isnan(ids)].astype(int).tolist() if ids.dtype.kind == "f" else ids.tolist()).decode("utf-8", "replace")
 
 
-_LOADED: dict[str, Bpe] = {}
+_LOADED: dict[tuple[str, int], Bpe] = {}
 
 
-def tokenizer(path: str) -> Bpe:
+def tokenizer(path: str, cache: int = CACHE) -> Bpe:
     """The tokenizer of a file, loaded once in each Python process."""
-    if path not in _LOADED:
-        _LOADED[path] = Bpe(path)
-    return _LOADED[path]
+    if (path, cache) not in _LOADED:
+        _LOADED[path, cache] = Bpe(path, cache)
+    return _LOADED[path, cache]
 
 
 def vocabulary() -> str:
@@ -247,13 +248,16 @@ def decode(tokens: DataFrame, path: str | None = None, ids: str = "ids", out: st
     return tokens.withColumn(out, texts(F.col(f"`{ids}`")))
 
 
-def checked(docs: DataFrame, path: str | None = None, text: str = "text", out: str = "coded") -> DataFrame:
-    """``docs`` with a struct ``out``: the ids of ``text``, and whether they decode to it (null: empty)."""
+def checked(docs: DataFrame, path: str | None = None, text: str = "text", out: str = "coded", cache: int = CACHE) -> DataFrame:
+    """``docs`` with a struct ``out``: the ids of ``text``, and whether they decode to it (null: empty).
+
+    ``cache``: fragments that a task remembers.
+    """
     path = path or vocabulary()
 
     @F.pandas_udf("ids array<int>, exact boolean")
     def coded(texts: pd.Series) -> pd.DataFrame:
-        bpe = tokenizer(path)
+        bpe = tokenizer(path, cache)
         ids = [bpe.encode_array(t) for t in texts]
         return pd.DataFrame({"ids": pd.Series(ids, dtype=object), "exact": [bpe.decode(i) == (t or "") for i, t in zip(ids, texts, strict=True)]})
 
