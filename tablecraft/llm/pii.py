@@ -1,7 +1,7 @@
 """Personal data: patterns propose spans, checksums confirm them, words nearby adjust their score.
 
 Emails, addresses (ip), payment cards (Luhn) and phone numbers are always kept once their pattern and check
-hold. The method adds account numbers (IBAN, confirmed by mod 97) and numbers in the form of US social security
+hold. The method adds account numbers (IBAN, of their country's length, confirmed by mod 97) and numbers in the form of US social security
 numbers, which no checksum confirms and which therefore need a word such as "ssn" nearby. Every span has a score:
 its kind's prior, more with a word of its kind within REACH characters. Added kinds need MIN_SCORE.
 
@@ -56,9 +56,21 @@ BASE = (
     spans.Kind("phone", r"\+[0-9][\x20().0-9-]+[0-9]", lambda m: _between(m, 10, 15)),
 )
 ADDED = (
-    spans.Kind("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}(?![A-Za-z0-9])", mod97),
+    spans.Kind("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?=(?:\x20?[A-Z0-9]){11})"),  # its head; _account() finds its end
     spans.Kind("ssn", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"),
 )
+#: Characters of an account number by country, registered or in use without that.
+LENGTHS = {
+    c: n
+    for n, countries in {
+        15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL",
+        24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "AO CV GW LY MZ PT ST", 26: "DZ IR IS TR", 27: "BI CF CG CM DJ FR GA GQ GR IT KM MC MG MR SM TD", 28: "AL AZ BF BJ BY CI CY DO GT HN HU LB MA ML NE NI PL SN SV TG", 29: "BR EG PS QA UA", 30: "JO KW MU YE",
+        31: "MT SC", 32: "LC", 33: "RU",
+    }.items()
+    for c in countries.split()
+}
+#: Characters that an account number of any other country may have.
+LEAST, MOST = 15, 34
 #: Each kind's prior score, and the words that speak for it (fixed values).
 PRIOR = {"email": 0.9, "ip": 0.6, "card": 0.8, "phone": 0.6, "iban": 0.9, "ssn": 0.4}
 WORDS = {
@@ -67,6 +79,21 @@ WORDS = {
 }
 
 
+def _account(head: Column, text: Column) -> Column:
+    """The span of the account number that begins with ``head``, null if none does.
+
+    Words and numbers may follow, so its end is that of its country's length; without one, the last end that has the remainder 1.
+    """
+    country, known = F.substring(head["match"], 1, 2), F.create_map(*[F.lit(x) for pair in LENGTHS.items() for x in pair])
+    own = F.try_element_at(known, country)
+    lengths = F.when(own.isNotNull(), F.array(own)).otherwise(F.sequence(F.lit(MOST), F.lit(LEAST), F.lit(-1)))
+    cut = lambda ahead, n: F.regexp_substr(ahead, F.concat(F.lit(r"^[A-Z0-9](?:\x20?[A-Z0-9]){"), (n - 1).cast("string"), F.lit("}(?![A-Za-z0-9])")))
+    tried = lambda ahead: F.filter(F.transform(lengths, lambda n: cut(ahead, n)), lambda m: m.isNotNull() & mod97(m))
+    matches = F.flatten(F.transform(F.array(F.substring(text, head["start"] + 1, F.lit(2 * MOST))), tried))
+    span = lambda m: F.struct(head["start"].alias("start"), head["ord"].alias("ord"), head["kind"].alias("kind"), (head["start"] + F.length(m)).alias("end"), m.alias("match"))
+    return F.get(F.transform(matches, span), F.lit(0))
+
+
 def score(span: Column, text: Column) -> Column:
     """The kind's prior, plus NEARBY if one of its words is within REACH characters; 1 at most."""
     begin = F.greatest(span["start"] - REACH, F.lit(0))
@@ -83,6 +110,8 @@ def scan(docs: DataFrame, text: str = "text", out: str = "spans") -> DataFrame:
     every = fresh(docs.columns, "_spans")
     found = spans.find(docs, text, [*BASE, *ADDED], every)
     whole = F.coalesce(F.col(f"`{text}`"), F.lit(""))
+    ended = F.transform(every, lambda s: F.when(s["kind"] == "iban", _account(s, whole)).otherwise(s))
+    found = found.withColumn(every, F.filter(ended, lambda s: s.isNotNull()))
     scored = F.transform(every, lambda s: F.struct(s["start"].alias("start"), s["ord"].alias("ord"), s["kind"].alias("kind"), s["end"].alias("end"), s["match"].alias("match"), score(s, whole).alias("score")))
     none = F.filter(scored, lambda s: F.lit(False))
     kept = F.filter(scored, lambda s: (s["ord"] < len(BASE)) | (s["score"] >= MIN_SCORE))

@@ -75,3 +75,18 @@ def test_checksums_and_words_nearby(spark):
     assert kinds[texts[4]] == [("card", 1.0)]
     assert pii.redact(df).where("text like '%[PII]%'").count() == 3
     assert pii.scan(df.limit(0)).collect() == []
+
+
+def test_text_after_account_numbers(spark):
+    de, be, no, unlisted = "DE89 3704 0044 0532 0130 00", "BE68539007547034", "NO9386011117947", "ZZ90539007547000000"
+    cases = [
+        (f"IBAN: {de} BIC COBADEFF", [de]), (f"{de} 100 EUR", [de]), (f"{be} {no} OSLO", [be, no]), (f"GB12 {de} AND {be} 7", [de, be]), ("IBAN GB82 WEST 1234 5698 7654 33 BIC X", []),
+        (f"{unlisted} BIC ABCDEFGH", [unlisted]), (f"x{be} {be}X {be}", [be]), (f"\u00e9\U0001f389 {no} {de}", [no, de]), ("AB12 " * 500 + "- " + be, [be]),
+    ]
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(cases)], "i int, t string")
+    for r in pii.scan(df, "t").collect():
+        text, want = cases[r["i"]]
+        spans = [s for s in r["spans"] if s["kind"] == "iban"]
+        assert [s["match"] for s in spans] == want and all(text[s["start"] : s["end"]] == s["match"] for s in spans)
+    out = {r["i"]: r["t"] for r in pii.redact(df, "t").collect()}
+    assert out[0] == "IBAN: [PII] BIC COBADEFF"
