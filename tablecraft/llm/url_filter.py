@@ -2,9 +2,10 @@
 
 Rules name a host (all its subdomains count) and the beginning of a path; the longest fitting one decides. All
 other urls are judged by their template. For each host a tree over the first DEPTH path segments is built level
-by level: numbers and long hex strings are wildcards from the start, and at each node the branches whose labelled
-rate of bad pages is not significantly above that of their siblings merge into the wildcard ``*``. Only branches
-that are worse, and single branches, keep their name. A template is rejected when its share of bad pages
+by level: numbers and long hex strings are wildcards from the start, and at each node similar branches merge into
+the wildcard ``*``. Branches whose labelled rate of bad pages is significantly above that of their siblings keep
+their name, and so do those of the others that differ from the others, in either direction; single branches too.
+A template is rejected when its share of bad pages
 among the labelled ones, smoothed towards the share of all pages, reaches REJECT.
 
 At scale: pages are first counted by pattern, the levels work on these counts, and pages meet the tree again in a
@@ -29,7 +30,7 @@ from .common import lookup, read, stage
 #: (verdict, host, path)
 RULES = (("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/"))
 DEPTH = 4
-#: Standard errors by which a branch's rate must exceed its siblings'.
+#: Standard errors by which a branch's rate differs from its siblings'.
 DIFFERENT = 2.6
 #: Labelled pages that the share of all pages weighs in a template's purity, and the purity that rejects.
 PRIOR_WEIGHT, REJECT = 10.0, 0.5
@@ -60,17 +61,27 @@ def patterns(path: Column, depth: int = DEPTH) -> list[Column]:
     return [F.concat(F.coalesce(name(F.get(segments, F.lit(i))), F.lit("")), more if i == depth - 1 else F.lit("")) for i in range(depth)]
 
 
+def _differs(l: Column, b: Column, all_l: Column, all_b: Column, different: float, measure=F.abs) -> Column:
+    """Whether the rate of ``b`` in ``l`` differs significantly from that of the rest, by ``measure`` of the difference."""
+    rest_l, rest_b, p = all_l - l, all_b - b, F.try_divide(all_b, all_l)
+    error = F.sqrt(p * (1 - p) * (F.try_divide(F.lit(1.0), l) + F.try_divide(F.lit(1.0), rest_l)))
+    differs = (l > 0) & (rest_l > 0) & (measure(F.try_divide(b, l) - F.try_divide(rest_b, rest_l)) > different * error)
+    return F.coalesce(differs, F.lit(False))
+
+
 def _grown(rows: DataFrame, seg: str, different: float) -> DataFrame:
     """One level down: ``tpl`` of each row gets its segment's name, or ``*`` if its branch merged."""
-    children = rows.groupBy("_host", "tpl", seg).agg(F.sum("l").alias("l"), F.sum("b").alias("b"))
-    nodes = children.groupBy("_host", "tpl").agg(F.sum("l").alias("all_l"), F.sum("b").alias("all_b"), F.count("*").alias("n"))
-    both = lookup(stage(children, "url-children"), stage(nodes, "url-nodes"), ["_host", "tpl"])
-    rest_l, rest_b, p = F.col("all_l") - F.col("l"), F.col("all_b") - F.col("b"), F.try_divide("all_b", "all_l")
-    error = F.sqrt(p * (1 - p) * (F.try_divide(F.lit(1.0), F.col("l")) + F.try_divide(F.lit(1.0), rest_l)))
-    worse = (F.col("l") > 0) & (rest_l > 0) & (F.try_divide("b", "l") - F.try_divide(rest_b, rest_l) > different * error)
-    name = F.when((F.col("n") == 1) | F.coalesce(worse, F.lit(False)), F.col(seg)).otherwise(F.lit("*"))
-    names = stage(both.select("_host", "tpl", seg, name.alias("name")), "url-names")
-    return lookup(rows, names, ["_host", "tpl", seg]).withColumn("tpl", F.concat("tpl", F.lit("/"), "name")).drop("name")
+    l, b, at = F.col("l"), F.col("b"), ["_host", "tpl"]
+    children = rows.groupBy(*at, seg).agg(F.sum("l").alias("l"), F.sum("b").alias("b"))
+    nodes = children.groupBy(*at).agg(F.sum("l").alias("all_l"), F.sum("b").alias("all_b"), F.count("*").alias("n"))
+    both = lookup(stage(children, "url-children"), stage(nodes, "url-nodes"), at)
+    both = stage(both.withColumn("worse", _differs(l, b, F.col("all_l"), F.col("all_b"), different, lambda d: d)), "url-worse")
+    others = both.groupBy(*at).agg(*[F.coalesce(F.sum(F.when(~F.col("worse"), c)), F.lit(0)).alias(f"other_{n}") for n, c in (("l", l), ("b", b))])
+    both = lookup(both, stage(others, "url-others"), at)
+    differs = F.col("worse") | _differs(l, b, F.col("other_l"), F.col("other_b"), different)
+    name = F.when((F.col("n") == 1) | differs, F.col(seg)).otherwise(F.lit("*"))
+    names = stage(both.select(*at, seg, name.alias("name")), "url-names")
+    return lookup(rows, names, [*at, seg]).withColumn("tpl", F.concat("tpl", F.lit("/"), "name")).drop("name")
 
 
 def templates(pages: DataFrame, labels: DataFrame, depth: int = DEPTH, different: float = DIFFERENT, prior_weight: float = PRIOR_WEIGHT) -> DataFrame:

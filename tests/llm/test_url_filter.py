@@ -53,3 +53,9 @@ def test_odd_inputs(spark):
     out = url_filter.judge(pages, spark.createDataFrame([(None, True), (1, None), (1, True), (1, False), (1, False)], LABELS), F.col("page_id"))
     assert out.columns == ["page_id", "url", "tpl", "s0", "_host", "host", "path", "rule", "verdict"]
     assert out.count() == 4 and {r["verdict"] for r in out.collect()} == {"allow"}
+
+
+def test_clean_branches_among_mostly_bad_ones(spark):
+    rows = [(10 * b + i, f"http://h.org/{'abcdefghij'[b]}/x") for b in range(10) for i in range(10)]
+    out = judge(spark, rows, [(i, i < 80) for i, _ in rows])
+    assert {i for i, v in out.items() if v[3] == "block"} == set(range(80))
