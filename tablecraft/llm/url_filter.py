@@ -1,7 +1,7 @@
 """URL filters: rules first, then a path-template tree with smoothed labelled purity.
 
 Rules name a host (all its subdomains count) and the beginning of a path; the longest fitting one decides. All
-other urls are judged by their template. For each host a tree over the first DEPTH path segments is built level
+other urls are judged by their template. For each host a tree over all path segments is built level
 by level: numbers and long hex strings are wildcards from the start, and at each node similar branches merge into
 the wildcard ``*``. Branches whose labelled rate of bad pages is significantly above that of their siblings keep
 their name, and so do those of the others that differ from the others, in either direction; single branches too.
@@ -29,6 +29,7 @@ from .common import lookup, read, stage
 
 #: (verdict, host, path)
 RULES = (("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/"))
+#: Columns of a pattern; the last holds all segments from there on.
 DEPTH = 4
 #: Standard errors by which a branch's rate differs from its siblings'.
 DIFFERENT = 2.6
@@ -54,11 +55,11 @@ def matched_rule(host: Column, path: Column, rules: Sequence[tuple[str, str, str
 
 
 def patterns(path: Column, depth: int = DEPTH) -> list[Column]:
-    """The pattern of each of the first ``depth`` segments; '' where there is none, the last says if more follow."""
+    """The patterns of a path's segments in ``depth`` columns; '' where there is none, the last holds all that follow."""
     segments = F.filter(F.split(path, "/"), lambda s: s != "")
-    name = lambda s: F.regexp_replace(F.regexp_replace(s, "[0-9a-f]{16,}", "{x}"), "[0-9]+", "{n}")
-    more = F.when(F.size(segments) > depth, F.lit("/+")).otherwise(F.lit(""))
-    return [F.concat(F.coalesce(name(F.get(segments, F.lit(i))), F.lit("")), more if i == depth - 1 else F.lit("")) for i in range(depth)]
+    names = F.transform(segments, lambda s: F.regexp_replace(F.regexp_replace(s, "[0-9a-f]{16,}", "{x}"), "[0-9]+", "{n}"))
+    rest = F.array_join(F.slice(names, depth, F.greatest(F.size(names), F.lit(1))), "/")
+    return [*[F.coalesce(F.get(names, F.lit(i)), F.lit("")) for i in range(depth - 1)], rest]
 
 
 def _differs(l: Column, b: Column, all_l: Column, all_b: Column, different: float, measure=F.abs) -> Column:
@@ -84,6 +85,32 @@ def _grown(rows: DataFrame, seg: str, different: float) -> DataFrame:
     return lookup(rows, names, [*at, seg]).withColumn("tpl", F.concat("tpl", F.lit("/"), "name")).drop("name")
 
 
+def _deepened(rows: DataFrame, seg: str, different: float) -> DataFrame:
+    """``rows`` (_host, tpl, l, b) with ``tpl`` grown through all segments that ``seg`` holds.
+
+    Nodes that cannot split are done: those of one pattern, those whose labelled pages are all bad or all good, and
+    those of too few labels, as no branch of ``l`` labels differs by more than sqrt(l) standard errors. The others
+    go down to the first segment in which their patterns differ, and one level further.
+    """
+    at, columns = ["_host", "tpl"], [c for c in rows.columns if c != "tpl"]
+    left, done = rows.withColumn("_rest", F.array_remove(F.split(seg, "/"), "")), None
+    while True:
+        nodes = left.groupBy(*at).agg(F.sum("l").alias("all_l"), F.sum("b").alias("all_b"), F.min("_rest").alias("_lo"), F.max("_rest").alias("_hi"))
+        splits = (F.col("_lo") != F.col("_hi")) & (F.col("all_b") > 0) & (F.col("all_b") < F.col("all_l")) & (F.col("all_l") > different**2)
+        same = F.array_position(F.zip_with("_lo", "_hi", lambda x, y: x.eqNullSafe(y)), False).cast("int") - 1
+        nodes = stage(nodes.select(*at, F.when(splits, same).alias("_same")), "url-open")
+        left = stage(lookup(left, nodes, at), "url-deep")
+        closed = left.where("_same IS NULL").select(*columns, "tpl")
+        done = closed if done is None else done.unionByName(closed)
+        left = left.where("_same IS NOT NULL")
+        if not left.take(1):
+            return done
+        shared = F.array_join(F.concat(F.array("tpl"), F.slice("_rest", 1, F.col("_same"))), "/")
+        tail = F.slice("_rest", F.col("_same") + 2, F.greatest(F.size("_rest"), F.lit(1)))
+        down = left.select(*columns, shared.alias("tpl"), F.coalesce(F.get("_rest", F.col("_same")), F.lit("")).alias("_seg"), tail.alias("_rest"))
+        left = stage(_grown(down, "_seg", different).drop("_seg"), "url-level")
+
+
 def templates(pages: DataFrame, labels: DataFrame, depth: int = DEPTH, different: float = DIFFERENT, prior_weight: float = PRIOR_WEIGHT) -> DataFrame:
     """The template of every (host, pattern): _host, s0.., tpl, purity (smoothed share of bad labelled pages).
 
@@ -93,8 +120,9 @@ def templates(pages: DataFrame, labels: DataFrame, depth: int = DEPTH, different
     marked = pages.join(labels.where("_doc IS NOT NULL AND bad IS NOT NULL"), "_doc", "left")
     rows = stage(marked.groupBy("_host", *segs).agg(F.count("bad").alias("l"), F.coalesce(F.sum(F.col("bad").cast("long")), F.lit(0)).alias("b")), "url-patterns")
     grown = rows.withColumn("tpl", F.lit(""))
-    for seg in segs:
+    for seg in segs[:-1]:
         grown = stage(_grown(grown, seg, different), "url-level")
+    grown = stage(_deepened(grown, segs[-1], different), "url-grown")
     total = rows.agg(F.coalesce(F.try_divide(F.sum("b"), F.sum("l")), F.lit(0.0)).alias("share")).collect()[0]["share"]
     purity = grown.groupBy("_host", "tpl").agg(((F.sum("b") + prior_weight * total) / (F.sum("l") + prior_weight)).alias("purity"))
     return lookup(grown.select("_host", *segs, "tpl"), stage(purity, "url-purity"), ["_host", "tpl"])

@@ -59,3 +59,17 @@ def test_clean_branches_among_mostly_bad_ones(spark):
     rows = [(10 * b + i, f"http://h.org/{'abcdefghij'[b]}/x") for b in range(10) for i in range(10)]
     out = judge(spark, rows, [(i, i < 80) for i, _ in rows])
     assert {i for i, v in out.items() if v[3] == "block"} == set(range(80))
+
+
+def test_bad_branches_below_the_first_segments(spark):
+    rows, labels = [], []
+    for i in range(600):
+        section = ("news", "blog/x", "spam", "")[i % 4]
+        rows.append((i, f"http://h.org/a/b/c/d/e/{section}/{i}.html"))
+        labels.append((i, section == "spam"))
+    rows += [(1000 + i, f"http://h.org/a/b/c/d/e/{'spam' * (i % 2)}") for i in range(4)]
+    out = judge(spark, rows, labels[::2] + labels[1::4])
+    assert all((out[i][3] == "block") == (i % 4 == 2) for i in range(600))
+    sub = [(i, f"http://h.org/1/2/3/4/{'xy'[i // 30 % 2]}/6/{'pq'[i // 60]}/8") for i in range(120)]
+    out = judge(spark, sub, [(i, i < 90) for i in range(120)])
+    assert {i for i, v in out.items() if v[3] == "block"} == set(range(90))
