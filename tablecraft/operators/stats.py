@@ -1,4 +1,4 @@
-"""Size, count, usage and catalog analytics.
+"""Size, count, usage and catalog analytics (A1-A11, J1, J3, J7 without its rename map, U1, W2, P4, P5).
 
 Every function takes and returns DataFrames. Per-table work is one partial
 aggregate per table (map-side combine) and the union of the one-row results
