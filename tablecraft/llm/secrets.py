@@ -3,7 +3,7 @@
 Assignments, access keys and long hex strings are found by pattern. Other secrets are runs of 20 or more token
 characters holding letters and digits that look random: two Markov models of the first order, one of random
 strings, one of ordinary identifiers, are trained on labelled samples, and a run is a secret when its
-log-likelihood ratio reaches THRESHOLD. Runs that overlap a span of a pattern are left to it.
+log-likelihood ratio reaches THRESHOLD. Runs that spans of patterns cover completely are left to them.
 
 Training is a group-by over the samples' character pairs; the model is a table of ALPHABET ** 2 ratios whatever
 the sample. Scanning is a chain of DataFrame functions over each row by itself: no shuffle, no Python.
@@ -108,7 +108,9 @@ def scan(docs: DataFrame, text: str = "text", model: list[float] | None = None,
     every = fresh(docs.columns, "_spans")
     found = spans.find(docs, text, [*BASE, markov_kind(model)], every)
     base = F.filter(every, lambda s: s["ord"] < len(BASE))
-    kept = F.filter(every, lambda s: (s["ord"] < len(BASE)) | ~F.exists(base, lambda b: spans.overlaps(s, b)))
+    # base spans come by start, so what they cover of a run from its start on only grows
+    covered = lambda s: F.aggregate(base, s["start"], lambda pos, b: F.when(b["start"] <= pos, F.greatest(pos, b["end"])).otherwise(pos)) >= s["end"]
+    kept = F.filter(every, lambda s: (s["ord"] < len(BASE)) | ~covered(s))
     return found.withColumn(out, kept).drop(every)
 
 

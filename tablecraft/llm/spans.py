@@ -48,10 +48,6 @@ def find(docs: DataFrame, text: str, kinds: Sequence[Kind], out: str) -> DataFra
     return rows.withColumn(out, F.sort_array(F.concat(*names))).drop(*names)
 
 
-def overlaps(a: Column, b: Column) -> Column:
-    return (a["start"] < b["end"]) & (b["start"] < a["end"])
-
-
 def joined(spans: Column) -> Column:
     """kind:start:end, joined by commas."""
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")

@@ -67,6 +67,13 @@ def test_added_secrets_and_masking(spark):
     assert secrets.scan(df.limit(0)).collect() == []
 
 
+def test_runs_longer_than_the_pattern_inside(spark):
+    run = "Zq7Xk0Pv" + "0123456789abcdef" * 2 + "Rw9TbY3Lm5GhJ2"
+    rows = [(1, f"x {run} y"), (2, f"x {'0123456789abcdef' * 2} y"), (3, "aGVsbG8gd29ybGQx/AKIAABCDEFGHIJKL/MjM0NTY3ODkwYWJjZA9x")]
+    out = {r["i"]: r["t"] for r in secrets.redact(spark.createDataFrame(rows, "i int, t string"), "t").collect()}
+    assert out == {1: "x [SECRET] y", 2: "x [SECRET] y", 3: "[SECRET]"}
+
+
 def test_checksums_and_words_nearby(spark):
     texts = ["IBAN GB82 WEST 1234 5698 7654 32.", "IBAN GB82 WEST 1234 5698 7654 33.", "ssn 123-45-6789", "order 123-45-6789", "card 4111111111111111"]
     df = spark.createDataFrame([(t,) for t in texts], "text string")
