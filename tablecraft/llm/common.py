@@ -14,6 +14,8 @@ from tablecraft.session import staging_path
 BROADCAST_ROWS = 50_000
 #: Copies of a lookup table in the salted join, and so the number of tasks that share a hot key.
 SALTS = 32
+#: Bytes of a table that may be broadcast after they were measured.
+BROADCAST_BYTES = 16 << 20
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -65,3 +67,9 @@ def lookup(big: DataFrame, small: DataFrame, keys: list[str]) -> DataFrame:
     spread = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in big.columns if c not in keys]), F.lit(SALTS)).cast("int")
     copies = small.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     return big.withColumn(salt, spread).join(copies, [*keys, salt]).drop(salt)
+
+
+def within_bytes(table: DataFrame, limit: int = BROADCAST_BYTES) -> bool:
+    """Whether a staged table of scalar columns has at most ``limit`` bytes (16 a row and column, and its texts)."""
+    width = sum((F.coalesce(F.octet_length(F.col(f"`{c}`").cast("string")), F.lit(0)) for c in table.columns), F.lit(16 * len(table.columns)))
+    return (table.agg(F.sum(width.cast("long"))).first()[0] or 0) <= limit
