@@ -73,3 +73,13 @@ def within_bytes(table: DataFrame, limit: int = BROADCAST_BYTES) -> bool:
     """Whether a staged table of scalar columns has at most ``limit`` bytes (16 a row and column, and its texts)."""
     width = sum((F.coalesce(F.octet_length(F.col(f"`{c}`").cast("string")), F.lit(0)) for c in table.columns), F.lit(16 * len(table.columns)))
     return (table.agg(F.sum(width.cast("long"))).first()[0] or 0) <= limit
+
+
+def measured_lookup(big: DataFrame, small: DataFrame, keys: list[str]) -> DataFrame:
+    """As ``lookup``, broadcasting by the measured bytes of ``small``, a staged table of scalar columns."""
+    if within_bytes(small):
+        return big.join(F.broadcast(small), keys)
+    salt = fresh([*big.columns, *small.columns], "_salt")
+    spread = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in big.columns if c not in keys]), F.lit(SALTS)).cast("int")
+    copies = small.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return big.withColumn(salt, spread).join(copies, [*keys, salt]).drop(salt)

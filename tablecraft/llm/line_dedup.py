@@ -21,14 +21,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, read, stage, within_bytes
+from .common import measured_lookup, read, stage
 
 MIN_CHARS, MIN_DOCS = 40, 5
 #: The ASCII white space.
 SPACE = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Tasks that share the rows of a hot key where the decided keys are not broadcast.
-SALTS = 16
 
 
 def ascii_lower(text: Column) -> Column:
@@ -62,11 +60,7 @@ def repeated_lines(docs: DataFrame, key: str, text: str, min_chars: int = MIN_CH
     lines = stage(keyed.select(key, "t1", "t2", "pos", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), F.col("line")).alias("h2")), "line-keys")
     counted = lines.groupBy("h1", "h2").agg(F.count_distinct(F.struct(key)).alias("n"), F.max(key).alias("last"))
     decided = stage(counted.where(F.col("n") >= min_docs).select("h1", "h2", "last"), "line-decided")
-    if within_bytes(decided):
-        met = lines.join(F.broadcast(decided), ["h1", "h2"])
-    else:
-        salt = F.pmod(F.xxhash64("t1", "pos"), F.lit(SALTS)).cast("int")
-        met = lines.withColumn("salt", salt).join(decided.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["h1", "h2", "salt"])
+    met = measured_lookup(lines, decided, ["h1", "h2"])
     # a set, as rows that repeat an id and text give the same positions
     return met.where(~F.col(key).eqNullSafe(F.col("last"))).groupBy(key, "t1", "t2").agg(F.sort_array(F.collect_set("pos")).alias("dropped"))
 

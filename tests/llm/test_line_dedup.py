@@ -4,7 +4,7 @@ from collections import defaultdict
 
 from pyspark.sql import functions as F
 
-from tablecraft.llm import line_dedup
+from tablecraft.llm import common, line_dedup
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 SPACE = " \t\n\x0b\x0c\r"
@@ -60,7 +60,7 @@ def test_repeated_rows_are_one_document(spark):
 
 
 def test_without_broadcast(spark, monkeypatch):
-    monkeypatch.setattr(line_dedup, "within_bytes", lambda table: False)
+    monkeypatch.setattr(common, "within_bytes", lambda table: False)
     assert got(frame(spark, ROWS)) == by_hand(ROWS)
 
 
