@@ -27,10 +27,15 @@ _WIDER = {"tinyint": T.ShortType(), "smallint": T.IntegerType(), "mediumint": T.
 
 @dataclass
 class TableDef:
+    """``filled``: columns whose value the server makes up (counters, sequences, generated ones); ``required``: not null, no default."""
+
     name: str
     schema: T.StructType
     defaults: dict[str, str] = field(default_factory=dict)
     primary_key: list[str] = field(default_factory=list)
+    namespace: str | None = None
+    filled: set[str] = field(default_factory=set)
+    required: set[str] = field(default_factory=set)
 
 
 def _plain(name: str) -> str:
@@ -38,6 +43,16 @@ def _plain(name: str) -> str:
     return name[1:-1].replace(quote * 2, quote) if quote else name
 
 
+def name_parts(qualified: str) -> list[str]:
+    """The parts of a possibly qualified and quoted name, unquoted."""
+    return [_plain(x) for x in re.findall(_WORD, qualified)]
+
+
+def _qualified(qualified: str) -> tuple[str | None, str]:
+    parts = name_parts(qualified)
+    return (parts[-2] if len(parts) > 1 else None), parts[-1]
+
+
 def _items(text: str) -> list[str]:
     """The comma-separated items up to the closing parenthesis; quotes and inner parentheses are skipped."""
     out, depth, begin = [], 0, 0
@@ -77,8 +92,8 @@ def parse_create_table(stmt: str, dialect: str = "mysql") -> TableDef | None:
     m = _CREATE.match(stmt)
     if not m:
         return None
-    name = _plain(re.findall(_WORD, m.group("name"))[-1])
-    fields, defaults, key = [], {}, []
+    namespace, name = _qualified(m.group("name"))
+    fields, defaults, key, filled, needed = [], {}, [], set(), set()
     for item in _items(stmt[m.end() :]):
         if pk := _KEY.match(item):
             key = [_plain(c) for c in re.findall(_WORD, pk.group("cols"))]
@@ -93,5 +108,63 @@ def parse_create_table(stmt: str, dialect: str = "mysql") -> TableDef | None:
         if d := re.search(r"\bDEFAULT\s+('(?:[^'\\]|\\.|'')*'|[^\s,]+)", rest, re.I):
             if not d.group(1).lower().startswith("nextval("):
                 defaults[column] = d.group(1)
+        if _FILLED.search(rest) or "serial" in c.group("type").lower():
+            filled.add(column)
+        if re.search(r"\bNOT\s+NULL\b", rest, re.I):
+            needed.add(column)
         fields.append(T.StructField(column, spark_type(c.group("type"), c.group("args"), rest, dialect)))
-    return TableDef(name, T.StructType(fields), defaults, key)
+    return TableDef(name, T.StructType(fields), defaults, key, namespace, filled, needed - set(defaults) - filled)
+
+
+# ---------------------------------------------------------------------------
+# statements that decide which rows of a dump stay, and where they go
+# ---------------------------------------------------------------------------
+_NAME = rf"{_WORD}(?:\s*\.\s*{_WORD})*"
+_NAMES = rf"(?P<names>(?:ONLY\s+)?{_NAME}(?:\s*\*)?(?:\s*,\s*(?:ONLY\s+)?{_NAME}(?:\s*\*)?)*)"
+_END = r"\s*;?\s*$"
+_SCOPES = [
+    ("use", re.compile(rf"\s*USE\s+(?P<names>{_WORD}){_END}", re.I)),
+    ("use", re.compile(rf"\s*SET\s+(?:SESSION\s+|LOCAL\s+)?search_path\s*(?:=|\bTO\b)\s*(?P<names>'[^']*'|{_WORD})(?:\s*,.*)?{_END}", re.I | re.S)),
+    ("use", re.compile(rf"\s*SELECT\s+pg_catalog\.set_config\(\s*'search_path'\s*,\s*(?P<names>'[^']*').*{_END}", re.I | re.S)),
+    ("drop", re.compile(rf"\s*DROP\s+(?:TEMPORARY\s+|FOREIGN\s+)?TABLES?\s+(?:IF\s+EXISTS\s+)?{_NAMES}\s*(?:CASCADE|RESTRICT)?{_END}", re.I)),
+    ("drop_all", re.compile(rf"\s*DROP\s+(?:DATABASE|SCHEMA)\s+(?:IF\s+EXISTS\s+)?(?P<names>{_WORD})\s*(?:CASCADE|RESTRICT)?{_END}", re.I)),
+    ("clear", re.compile(rf"\s*TRUNCATE\s+(?:TABLE\s+)?{_NAMES}\s*(?:RESTART\s+IDENTITY|CONTINUE\s+IDENTITY)?\s*(?:CASCADE|RESTRICT)?{_END}", re.I)),
+    ("clear", re.compile(rf"\s*DELETE\s+FROM\s+(?P<names>{_NAME}){_END}", re.I)),
+    ("key", re.compile(rf"\s*ALTER\s+TABLE\s+(?:ONLY\s+)?(?P<names>{_NAME})\s+ADD\s+(?:CONSTRAINT\s+{_WORD}\s+)?PRIMARY\s+KEY\s*\((?P<cols>[^)]*)\){_END}", re.I)),
+    ("like", re.compile(rf"\s*CREATE\s+(?:TEMPORARY\s+)?TABLE\s+(?:IF\s+NOT\s+EXISTS\s+)?(?P<names>{_NAME})\s*\(?\s*LIKE\s+(?P<cols>{_NAME})[^,]*{_END}", re.I)),
+]
+#: Statements that move rows or columns elsewhere, which a load doesn't follow.
+_MOVES = re.compile(rf"\s*(?:RENAME\s+TABLE\b|ALTER\s+TABLE\s+(?:IF\s+EXISTS\s+)?(?:ONLY\s+)?{_NAME}\s+(?:RENAME\b(?!\s+(?:INDEX|KEY|CONSTRAINT)\b)|SET\s+SCHEMA\b))", re.I)
+_FILLED = re.compile(r"\bAUTO_INCREMENT\b|\bGENERATED\b|\bIDENTITY\b|\bnextval\s*\(|\bAS\s*\(", re.I)
+
+
+@dataclass
+class Scope:
+    """What a statement does to the tables of a dump: the namespace it enters, or (namespace, table) pairs it concerns."""
+
+    kind: str
+    names: list[tuple[str | None, str]]
+    columns: list[str] = field(default_factory=list)
+
+
+def moves(stmt: str) -> bool:
+    """Whether a statement renames a table or a column, or takes a table to another namespace."""
+    return bool(_MOVES.match(stmt))
+
+
+def scope_of(stmt: str) -> Scope | None:
+    """The scope statement that ``stmt`` is, if any; CREATE TABLE with its columns has the kind ``create``."""
+    for kind, pattern in _SCOPES:
+        if m := pattern.match(stmt):
+            text = m.group("names")
+            if kind in ("use", "drop_all"):
+                name = text[1:-1] if text.startswith("'") else _plain(text)
+                return Scope(kind, [(None, "" if name.lower() in ("", "pg_catalog") else name)])
+            names = [_qualified(re.sub(r"^ONLY\s+", "", x.strip(), flags=re.I)) for x in _split_names(text)]
+            return Scope(kind, names, name_parts(m.group("cols")) if kind in ("key", "like") else [])
+    m = _CREATE.match(stmt)
+    return Scope("create", [_qualified(m.group("name"))]) if m else None
+
+
+def _split_names(text: str) -> list[str]:
+    return re.findall(rf"(?:ONLY\s+)?{_NAME}", text, re.I)

@@ -10,12 +10,14 @@ loader turns into a failed batch (A13).
 from __future__ import annotations
 
 import re
+from dataclasses import dataclass, field
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.ddl import moves, name_parts, scope_of
 from ..functions.dialect import norm_dialect
 
 _NAME = r"(?:`(?:[^`]|``)+`|\"(?:[^\"]|\"\")+\"|[\w$]+)"
@@ -26,12 +28,17 @@ _HEAD = re.compile(
     re.I | re.S,
 )
 _PART = re.compile(_NAME, re.S)
+_VERB = re.compile(r"\s*(INSERT|REPLACE)(?:\s+(?:LOW_PRIORITY|DELAYED|HIGH_PRIORITY))?(\s+IGNORE\b)?", re.I)
 #: What may follow the tuples: it concerns rows that are already in the target.
 _TAIL = re.compile(r"\s*(?:AS\s+\w+\s+)?ON\s+(?:DUPLICATE\s+KEY\s+UPDATE|CONFLICT)\b", re.I)
 #: Statements that hold no rows: definitions, session settings, transactions, locks.
 _NO_ROWS = re.compile(r"\s*(?:(?:CREATE|DROP|ALTER|SET|USE|LOCK|UNLOCK|START|BEGIN|COMMIT|ROLLBACK|ANALYZE|GRANT|REVOKE|COMMENT|SELECT\s+pg_catalog|TRUNCATE|DELIMITER|VACUUM|OPTIMIZE|FLUSH)\b|;|$)", re.I)
 #: Marks the raw text of a hex literal; other text that starts with MARK has it doubled.
 MARK, HEX = "\x01", "\x01x"
+#: Marks bit literals, and stands for the keyword DEFAULT.
+BIT, DEFAULT = "\x01b", "\x01d"
+#: Between column names that are kept in one string.
+JOINT = "\x1f"
 _IDENT = re.compile(r"\s*(?:`((?:[^`]|``)*)`|\"((?:[^\"]|\"\")*)\"|([^,\s]+))\s*(?:,|$)", re.S)
 
 _VALUE = {
@@ -40,6 +47,9 @@ _VALUE = {
         |(?:_\w+\s*)?'(?P<s>(?:[^'\\]+|\\.|'')*)'
         |(?:_\w+\s*)?[xX]'(?P<hex>[0-9A-Fa-f]*)'
         |(?:_\w+\s+)?0x(?P<hex0>[0-9A-Fa-f]+)\b
+        |[bB]'(?P<bits>[01]*)'
+        |0b(?P<bits0>[01]+)\b
+        |(?P<default>DEFAULT)\b
         |(?P<num>[-+]?(?:\d+\.?\d*|\.\d+)(?:[eE][-+]?\d+)?)
         |(?P<bool>TRUE|FALSE)\b
         |"(?P<d>(?:[^"\\]+|\\.|"")*)")\s*""",
@@ -50,6 +60,8 @@ _VALUE = {
         |'(?P<s>(?:[^']+|'')*)'
         |E'(?P<e>(?:[^'\\]+|\\.|'')*)'
         |[xX]'(?P<hex>[0-9A-Fa-f]*)'
+        |[bB]'(?P<bits>[01]*)'
+        |(?P<default>DEFAULT)\b
         |(?P<num>[-+]?(?:\d+\.?\d*|\.\d+)(?:[eE][-+]?\d+)?)
         |(?P<bool>TRUE|FALSE)\b)\s*(?:::\s*[\w" ]+(?:\(\s*\d+\s*(?:,\s*\d+\s*)?\))?(?:\[\])*\s*)*""",
         re.X | re.S | re.I,
@@ -148,28 +160,114 @@ def _fast_rows(stmt: str, pos: int, width: int, d: str):
         return None
 
 
-def parse_insert(stmt: str, dialect: str = "mysql", width: int | None = None):
-    """(columns or None, list of tuples of raw text / None). Raises ValueError on bad text.
+def _raw(m: re.Match, d: str) -> str | None:
+    """The raw text of a matched value."""
+    kind, text = m.lastgroup, m.group(m.lastgroup)
+    if kind == "null":
+        return None
+    if kind in ("s", "d"):
+        return _text(_unescape_mysql(text) if d == "mysql" else text.replace("''", "'"))
+    if kind == "e":
+        return _text(_unescape_pg(text))
+    if kind in ("hex", "hex0"):
+        return HEX + text
+    if kind in ("bits", "bits0"):
+        return BIT + text
+    return DEFAULT if kind == "default" else text
+
+
+def constant(text: str, dialect: str) -> tuple[bool, str | None]:
+    """Whether a default is a constant, and its raw text."""
+    d, text = norm_dialect(dialect), text.strip()
+    while text.startswith("(") and text.endswith(")"):
+        text = text[1:-1].strip()
+    m = _VALUE[d].fullmatch(text)
+    return (True, _raw(m, d)) if m and m.lastgroup != "default" else (False, None)
+
+
+@dataclass
+class Insert:
+    """A decoded INSERT: its columns (None: all), rows of raw text, and what it does where a key is there already.
+
+    ``mode``: i (an error), r (replaces), g (keeps the old row), u (sets ``updates`` to the new values), x (computes).
+    """
+
+    columns: list[str] | None
+    rows: list[list[str | None]]
+    mode: str = "i"
+    updates: list[str] = field(default_factory=list)
+    target: list[str] | None = None
+
+
+_CONFLICT = re.compile(rf"\s*ON\s+CONFLICT\s*(?:\((?P<target>[^)]*)\)|ON\s+CONSTRAINT\s+{_NAME})?\s*DO\s+(?:(?P<nothing>NOTHING)|UPDATE\s+SET\s+(?P<sets>.*?))\s*(?:RETURNING\b.*)?;?\s*$", re.I | re.S)
+_DUPLICATE = re.compile(r"\s*(?:AS\s+(?P<alias>\w+)\s+)?ON\s+DUPLICATE\s+KEY\s+UPDATE\s+(?P<sets>.*?);?\s*$", re.I | re.S)
+_SET = re.compile(rf"\s*(?:{_NAME}\s*\.\s*)?(?P<to>{_NAME})\s*=\s*(?:VALUES\s*\(\s*(?P<from>{_NAME})\s*\)|(?P<of>{_NAME})\s*\.\s*(?P<col>{_NAME}))\s*(?:,|$)", re.I | re.S)
 
-    With a known tuple width (column list or ``width``) whole tuples are matched
-    in one regex each; anything unusual falls back to the value-by-value parser.
+
+def _assignments(text: str, alias: str) -> list[str] | None:
+    """The columns that a list of assignments sets to their new values, None where it does anything else."""
+    out, at = [], 0
+    while at < len(text.rstrip()):
+        m = _SET.match(text, at)
+        if not m or (m.group("of") and table_name(m.group("of")).lower() != alias):
+            return None
+        to, source = table_name(m.group("to")), table_name(m.group("from") or m.group("col"))
+        if to.lower() != source.lower():
+            return None
+        out.append(to)
+        at = m.end()
+    return out
+
+
+def _tail(stmt: str, pos: int, mode: str) -> Insert | None:
+    """What the text behind the tuples says about existing keys; None where it cannot be read."""
+    if m := _CONFLICT.match(stmt, pos):
+        target = [table_name(x) for x in m.group("target").split(",")] if m.group("target") else None
+        if m.group("nothing"):
+            return Insert(None, [], "g", target=target)
+        sets = _assignments(m.group("sets"), "excluded")
+        return Insert(None, [], "x" if sets is None else "u", sets or [], target)
+    if m := _DUPLICATE.match(stmt, pos):
+        sets = _assignments(m.group("sets"), (m.group("alias") or "").lower())
+        return Insert(None, [], "x" if sets is None else "u", sets or [])
+    return Insert(None, [], mode) if _TAIL.match(stmt, pos) else None
+
+
+def _width(stmt: str, pos: int, vre: re.Pattern) -> int | None:
+    """Number of values of the tuple at ``pos``."""
+    m = re.compile(r"\s*\(").match(stmt, pos)
+    n, pos = 0, m.end() if m else len(stmt)
+    while (vm := vre.match(stmt, pos)) and vm.end() > pos:
+        n, pos = n + 1, vm.end() + 1
+        if stmt[vm.end() : pos] != ",":
+            return n
+    return None
+
+
+def parse_upsert(stmt: str, dialect: str = "mysql", width: int | None = None) -> Insert:
+    """An INSERT or REPLACE statement, decoded. Raises ValueError on bad text.
+
+    With a known tuple width (column list, ``width``, or that of the first tuple) whole tuples are matched in one regex
+    each; anything unusual falls back to the value-by-value parser.
     """
     d = norm_dialect(dialect)
     m = _HEAD.match(stmt)
     if not m:
         raise ValueError("not an INSERT ... VALUES statement")
+    verb = _VERB.match(stmt)
+    mode = "r" if verb.group(1).upper() == "REPLACE" else "g" if verb.group(2) else "i"
     cols = None
     if m.group("cols") is not None:
         cols = []
         for im in _IDENT.finditer(m.group("cols")):
             a, b, c = im.groups()
             cols.append(a.replace("``", "`") if a is not None else b.replace('""', '"') if b is not None else c)
-    w = len(cols) if cols is not None else width
+    vre = _VALUE[d]
+    w = len(cols) if cols is not None else width or _width(stmt, m.end(), vre)
     if w:
         fast = _fast_rows(stmt, m.end(), w, d)
         if fast is not None:
-            return cols, fast
-    vre = _VALUE[d]
+            return Insert(cols, fast, mode)
     pos, n, rows = m.end(), len(stmt), []
     while True:
         while pos < n and stmt[pos].isspace():
@@ -182,18 +280,7 @@ def parse_insert(stmt: str, dialect: str = "mysql", width: int | None = None):
             vm = vre.match(stmt, pos)
             if not vm or vm.end() == pos:
                 raise ValueError(f"bad value at offset {pos}")
-            g = vm.lastgroup
-            raw = vm.group(g)
-            if g == "null":
-                vals.append(None)
-            elif g == "s" or g == "d":
-                vals.append(_text(_unescape_mysql(raw) if d == "mysql" else raw.replace("''", "'")))
-            elif g == "e":
-                vals.append(_text(_unescape_pg(raw)))
-            elif g == "hex" or g == "hex0":
-                vals.append(HEX + raw)
-            else:
-                vals.append(raw)
+            vals.append(_raw(vm, d))
             pos = vm.end()
             if pos < n and stmt[pos] == ",":
                 pos += 1
@@ -212,12 +299,18 @@ def parse_insert(stmt: str, dialect: str = "mysql", width: int | None = None):
             rest = stmt[pos + 1 :].strip() if pos < n else ""
             if rest:
                 raise ValueError("text after the statement end")
-            return cols, rows
-        if _TAIL.match(stmt, pos):
-            return cols, rows
+            return Insert(cols, rows, mode)
+        if (tail := _tail(stmt, pos, mode)) is not None:
+            return Insert(cols, rows, tail.mode, tail.updates, tail.target)
         raise ValueError(f"expected ',' or ';' at offset {pos}")
 
 
+def parse_insert(stmt: str, dialect: str = "mysql", width: int | None = None):
+    """(columns or None, list of tuples of raw text / None). Raises ValueError on bad text."""
+    got = parse_upsert(stmt, dialect, width)
+    return got.columns, got.rows
+
+
 GENERIC_DDL = "_table string, _file string, _stmt_no long, _bad boolean, _error string, _vals array<string>"
 
 
@@ -291,6 +384,90 @@ def decode_all(stmts: DataFrame, schemas: dict[str, T.StructType], dialect: str
     return stmts.select("file", "stmt_no", "stmt").mapInArrow(_tokenize_all(cols, norm_dialect(dialect), skip_others), GENERIC_DDL)
 
 
+# ---------------------------------------------------------------------------
+# decoding before any schema is known
+# ---------------------------------------------------------------------------
+#: Between namespace and name in ``_table``.
+DOT = "\x02"
+RAW_DDL = ("_table string, _kind string, _file string, _stmt_no long, _row_no int, _mode string, _cols string, _sets string, "
+           "_width int, _error string, _stmt string, _vals array<string>")
+
+
+def table_key(qualified: str) -> str:
+    """Namespace (if any) and name of a written table name, as in ``_table``."""
+    return DOT.join(name_parts(qualified)[-2:])
+
+
+def _raw_rows(dialect: str, wanted: frozenset[str] | None):
+    schema = pa.schema([("_table", pa.string()), ("_kind", pa.string()), ("_file", pa.string()), ("_stmt_no", pa.int64()), ("_row_no", pa.int32()), ("_mode", pa.string()),
+                        ("_cols", pa.string()), ("_sets", pa.string()), ("_width", pa.int32()), ("_error", pa.string()), ("_stmt", pa.string()), ("_vals", pa.list_(pa.string()))])
+    into = re.compile(_INTO, re.I | re.S)
+
+    def decoded(stmt: str):
+        """(table, kind, decoded INSERT, error) of a statement; all None for one that concerns no rows."""
+        m = into.match(stmt)
+        if not m:
+            if (scope := scope_of(stmt)) is not None:
+                return None, scope.kind, None, None
+            if _NO_ROWS.match(stmt) and not moves(stmt):
+                return None, None, None, None
+            return None, None, None, f"statement kind {stmt.split(None, 1)[0][:20]} is not loaded"
+        if wanted is not None and table_name(m.group("name")) not in wanted:
+            return None, None, None, None
+        table = table_key(m.group("name"))
+        try:
+            ins = parse_upsert(stmt, dialect)
+            if ins.columns is not None and len({c.lower() for c in ins.columns}) != len(ins.columns):
+                return table, None, None, "duplicate column in INSERT"
+            if wide := next((r for r in ins.rows if len(r) != len(ins.rows[0])), None):
+                return table, None, None, f"row has {len(wide)} values, expected {len(ins.rows[0])}"
+            if ins.columns is not None and len(ins.rows[0]) != len(ins.columns):
+                return table, None, None, f"row has {len(ins.rows[0])} values, expected {len(ins.columns)}"
+            return table, None, ins, None
+        except ValueError as e:
+            return table, None, None, str(e)
+
+    def run(batches):
+        out, held = {k: [] for k in schema.names}, 0
+        for b in batches:
+            for f, no, s in zip(b.column("file").to_pylist(), b.column("stmt_no").to_pylist(), b.column("stmt").to_pylist()):
+                table, kind, ins, error = decoded(s)
+                if ins is None:
+                    if kind is None and error is None:
+                        continue
+                    one = (table, kind, f, no, 0, None, None, None, None, error, s, None)
+                    for k, v in zip(schema.names, one):
+                        out[k].append(v)
+                else:
+                    n = len(ins.rows)
+                    given = any(DEFAULT in r for r in ins.rows) if "default" in s or "DEFAULT" in s or "Default" in s else False
+                    cols = None if ins.columns is None else JOINT.join(ins.columns)
+                    sets = JOINT.join([*ins.updates, "", *ins.target]) if ins.target else JOINT.join(ins.updates) if ins.updates else None
+                    same = {"_table": table, "_kind": None, "_file": f, "_stmt_no": no, "_mode": ins.mode + ("d" if given else ""), "_cols": cols, "_sets": sets, "_width": len(ins.rows[0]), "_error": None, "_stmt": None}
+                    for k, v in same.items():
+                        out[k].extend([v] * n)
+                    out["_row_no"].extend(range(n))
+                    out["_vals"].extend(ins.rows)
+                held += len(s)
+                if len(out["_table"]) >= FLUSH_ROWS or held >= FLUSH_CHARS:
+                    yield pa.RecordBatch.from_pydict(out, schema=schema)
+                    out, held = {k: [] for k in schema.names}, 0
+        if out["_table"]:
+            yield pa.RecordBatch.from_pydict(out, schema=schema)
+
+    return run
+
+
+def decode_raw(stmts: DataFrame, dialect: str = "mysql", wanted: list[str] | None = None) -> DataFrame:
+    """One pass over all statements, before any schema is known (RAW_DDL).
+
+    A row per tuple of an INSERT with its raw values; a row with ``_kind`` and the text for every statement that decides
+    over tables or namespaces; a row with ``_error`` and the text for every statement that cannot be loaded. With
+    ``wanted`` (plain names) INSERTs of other tables are passed over.
+    """
+    return stmts.select("file", "stmt_no", "stmt").mapInArrow(_raw_rows(norm_dialect(dialect), None if wanted is None else frozenset(wanted)), RAW_DDL)
+
+
 def typed_rows(generic: DataFrame, schema: T.StructType, dialect: str = "mysql") -> DataFrame:
     """Typed columns of one table from the generic decoded rows (+ _file, _stmt_no, _bad, _error)."""
     raw = [F.col("_vals")[i] for i in range(len(schema.fields))]
@@ -310,9 +487,11 @@ def typed(raw: Column, dtype: T.DataType, dialect: str) -> Column:
     """
     is_hex = raw.startswith(HEX)
     bytes_ = F.try_to_binary(F.substring(raw, F.lit(len(HEX) + 1), F.length(raw)), F.lit("hex"))
-    plain = F.when(raw.startswith(MARK), F.substring(raw, F.lit(2), F.length(raw))).otherwise(raw)
+    bits = F.substring(raw, F.lit(len(BIT) + 1), F.length(raw))
+    plain = F.when(raw.startswith(MARK) & ~raw.startswith(BIT), F.substring(raw, F.lit(2), F.length(raw))).when(raw.startswith(BIT), F.conv(bits, 2, 10)).otherwise(raw)
     if isinstance(dtype, T.BinaryType):
-        text = F.encode(plain, "UTF-8")
+        size = (F.ceil(F.length(bits) / 8) * 2).cast("int")
+        text = F.when(raw.startswith(BIT), F.unhex(F.lpad(F.conv(bits, 2, 16), size, "0"))).otherwise(F.encode(plain, "UTF-8"))
         if norm_dialect(dialect) == "postgres":
             text = F.when(plain.startswith("\\x"), F.try_to_binary(F.substring(plain, F.lit(3), F.length(plain)), F.lit("hex"))).otherwise(text)
         return F.when(is_hex, bytes_).otherwise(text)

@@ -5,8 +5,9 @@ work as close+open); a backslash inside a string escapes the next byte;
 outside strings ``--`` and ``#`` start a comment to the line feed (the line
 feed is swallowed) and ``/* ... */`` is a block comment (not nested);
 ``;`` outside strings ends a statement and stays in its text; a dropped
-comment becomes one space. Dialect ``postgres``: backslash is no escape and
-``#`` is no comment.
+comment becomes one space. What stands in an executable comment
+(``/*!50001 ... */``, ``/*M! ... */``) is part of its statement. Dialect
+``postgres``: backslash is no escape, ``#`` is no comment and no comment is executable.
 
 The automaton is driven by compiled regular expressions: in the normal state
 one possessive match consumes plain text and whole string literals, so Python
@@ -43,6 +44,7 @@ class Automaton:
         else:
             raise ValueError(f"unknown dialect {dialect}")
         self.dialect = d
+        self.executable = d in ("mysql", "mariadb")
 
     def advance(self, buf: bytes, pos: int, st: int, stop: int, final: bool, semis: list | None = None,
                 comments: list | None = None, base: int = 0) -> tuple[int, int, int]:
@@ -116,8 +118,11 @@ class Automaton:
         return pos, st, nsemi
 
 
-def strip_comments(text: bytes, start: int, spans: list[tuple[int, int]]) -> bytes:
-    """Replace each comment span (absolute offsets) inside ``text`` by one space."""
+_EXECUTABLE = re.compile(rb"/\*M?!(?:\d{5,6})?(.*?)(?:\*/)?$", re.S)
+
+
+def strip_comments(text: bytes, start: int, spans: list[tuple[int, int]], executable: bool = False) -> bytes:
+    """Replace each comment span (absolute offsets) inside ``text`` by one space; an ``executable`` one by its content."""
     if not spans:
         return text
     out, cur = [], 0
@@ -127,7 +132,8 @@ def strip_comments(text: bytes, start: int, spans: list[tuple[int, int]]) -> byt
             continue
         a = max(a, cur)
         out.append(text[cur:a])
-        out.append(b" ")
+        inner = _EXECUTABLE.match(text[a:b]) if executable and text[a : a + 4].startswith((b"/*!", b"/*M!")) else None
+        out.append(b" " + inner.group(1) + b" " if inner else b" ")
         cur = b
     out.append(text[cur:])
     return b"".join(out)
@@ -150,7 +156,7 @@ def split_all(data: bytes, dialect: str = "mysql", max_bytes: int | None = None)
         if end > start:
             if max_bytes is not None and end - start > max_bytes:
                 raise ValueError(f"statement exceeds maximum size of {max_bytes} bytes")
-            out.append((start, end, strip_comments(data[start:end], start, [s for s in spans if s[1] > start and s[0] < end])))
+            out.append((start, end, strip_comments(data[start:end], start, [s for s in spans if s[1] > start and s[0] < end], a.executable)))
         start = end
     return out
 

@@ -111,7 +111,7 @@ def _stream_statements(blocks, base, state, own_first, owned_end, aut: Automaton
         pos, state, _ = aut.advance(buf, pos, state, len(buf), final, semis, marks, base=buf_base)
         for q in semis:
             if stmt_start is not None:
-                yield _stmt(buf, buf_base, stmt_start, q + 1, marks, max_bytes)
+                yield _stmt(buf, buf_base, stmt_start, q + 1, marks, max_bytes, aut.executable)
             if q + 1 < owned_end:
                 stmt_start = q + 1
             else:
@@ -119,7 +119,7 @@ def _stream_statements(blocks, base, state, own_first, owned_end, aut: Automaton
         eof = buf_base + len(buf)
         if final:
             if stmt_start is not None and stmt_start < eof:
-                yield _stmt(buf, buf_base, stmt_start, eof, marks, max_bytes)
+                yield _stmt(buf, buf_base, stmt_start, eof, marks, max_bytes, aut.executable)
             return
         if stmt_start is None and buf_base + pos >= owned_end:
             return
@@ -142,7 +142,7 @@ def _prune(marks: list[int], keep: int) -> None:
         del marks[:i]
 
 
-def _stmt(buf, buf_base, s, e, marks, max_bytes):
+def _stmt(buf, buf_base, s, e, marks, max_bytes, executable):
     if max_bytes is not None and e - s > max_bytes:
         raise ValueError(f"statement at byte {s} exceeds maximum size of {max_bytes} bytes")
     spans = []
@@ -151,7 +151,7 @@ def _stmt(buf, buf_base, s, e, marks, max_bytes):
         ce = marks[i + 1] if i + 1 < len(marks) else e
         if ce > s and cs < e:
             spans.append((cs, ce))
-    text = strip_comments(buf[s - buf_base : e - buf_base], s, spans)
+    text = strip_comments(buf[s - buf_base : e - buf_base], s, spans, executable)
     return s, e, text
 
 
