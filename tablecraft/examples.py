@@ -561,15 +561,6 @@ def q_load_batch_outcomes(spark, sf_dir):
     return batch_outcomes(e, seq="stmt_no", bad="bad", size=100)
 
 
-def q_load_skip_bad_batches(spark, sf_dir):
-    e = load(spark, sf_dir, "events")
-    corrupt = e.withColumn("value", F.when(F.col("value") > 300, F.lit("bad")).otherwise(F.col("value").cast("string")))
-    out = staging_path(spark, "badload") + "/dump"
-    write_dump(TableSet({"events": corrupt}), out, "mysql", batch=10, order_by={"events": "event_id"})
-    res = load_dump(spark, out, "mysql", schemas={"events": e.schema}, batch=1, on_error="skip")
-    return res.tables["events"]
-
-
 def _corrupt_dump(spark, sf_dir, batch):
     e = load(spark, sf_dir, "events")
     corrupt = e.withColumn("value", F.when(F.col("value") > 300, F.lit("bad")).otherwise(F.col("value").cast("string")))
@@ -702,7 +693,6 @@ REGISTRY.update({
     "dump_table_subset": q_dump_table_subset,
     "export_stats": q_export_stats,
     "load_batch_outcomes": q_load_batch_outcomes,
-    "load_skip_bad_batches": q_load_skip_bad_batches,
     "load_rejects": q_load_rejects,
     "load_fail_stops": q_load_fail_stops,
     "load_by_ddl": q_load_by_ddl,
@@ -997,3 +987,9 @@ def q_uptime_report(spark, sf_dir):
 
 
 REGISTRY["uptime_report"] = q_uptime_report
+
+
+# -- dumps of other writers ------------------------------------------------------------
+from . import examples_dumps  # noqa: E402
+
+REGISTRY.update(examples_dumps.QUERIES)

@@ -287,9 +287,6 @@ ORACLES.update({
                                      coalesce(bool_or(event_type = 'error'), false) AS failed,
                                      min(event_id) FILTER (WHERE event_type = 'error') AS first_error_stmt
                               FROM events GROUP BY event_id // 100""",
-    "load_skip_bad_batches": f"""
-        WITH t AS (SELECT *, (row_number() OVER (ORDER BY event_id) - 1) // 10 AS b FROM events)
-        SELECT {EVENTS_COLS} FROM t WHERE b NOT IN (SELECT b FROM t WHERE value > 300)""",
 })
 
 
@@ -404,3 +401,7 @@ ORACLES["uptime_report"] = f"""
     WITH p AS (SELECT user_id, min(ts) AS first_ts, max(ts) AS last_ts FROM events GROUP BY user_id),
          s AS (SELECT *, CAST(round((epoch_us(last_ts) - epoch_us(first_ts)) / 1e6) AS INTEGER) AS uptime_seconds FROM p)
     SELECT user_id, first_ts, last_ts, uptime_seconds, {_format_uptime('uptime_seconds')} AS uptime_text FROM s"""
+
+from .examples_dumps import SQL as _DUMP_SQL  # noqa: E402
+
+ORACLES.update(_DUMP_SQL)

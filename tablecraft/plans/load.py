@@ -31,7 +31,7 @@ from ..operators.upsert import last_writes
 from ..session import staging_path
 from ..sources import fs
 from ..sources.inserts import DEFAULT, DOT, JOINT, RAW_DDL, constant, decode_raw, typed
-from ..sources.statements import MAX_STATEMENT, read_statements
+from ..sources.statements import DEFAULT_CHUNK, MAX_STATEMENT, detect_codec, list_dump_files, read_statements
 from ..tableset import TableSet
 from .scope import Position, Scopes, Source, Target, resolve, with_namespace
 
@@ -72,11 +72,12 @@ def dump_schemas(path: str) -> dict[str, T.StructType]:
     return out
 
 
-def _scope_rows(raw: DataFrame) -> list:
-    """One row per text of a scope statement (USE aside) and namespace it stands in; table definitions and the like, so few."""
+def _forms(raw: DataFrame) -> list:
+    """One row per table and form of its statements, and per text of a scope statement, with the last position of each."""
     use = F.col("_use") if "_use" in raw.columns else F.lit(None).cast("string")
-    return (raw.where("_kind IS NOT NULL AND _kind <> 'use'").groupBy(F.col("_kind").alias("kind"), use.alias("use"), F.col("_stmt").alias("stmt"))
-            .agg(F.max(F.struct("_file", "_stmt_no")).alias("at")).collect())
+    text = F.when(F.col("_kind") != "use", F.col("_stmt"))
+    keys = [F.col(f"_{c}").alias(c) for c in ("table", "kind", "mode", "cols", "width")]
+    return raw.groupBy(*keys, use.alias("use"), text.alias("stmt")).agg(F.max(F.struct("_file", "_stmt_no")).alias("at")).collect()
 
 
 def _targets(shapes: list, scopes: Scopes, schemas: dict | None, tables) -> tuple[list[Target], list[tuple[str, str | None, Position | None]]]:
@@ -172,14 +173,15 @@ def _converted(raw: DataFrame, target: Target, shapes: list, dialect: str) -> Da
         return out
 
     raws = [pick(lambda m, i=i: m[0][i]) if layouts else F.lit(None).cast("string") for i in range(len(fields))]
-    values = [typed(r, f.dataType, dialect).alias(f.name) for r, f in zip(raws, fields)]
     errors = [F.col("_error")]
     errors += [F.lit(m[2]) if len(layouts) == 1 else F.when(F.col("_cols").eqNullSafe(F.lit(k[0])) & F.col("_width").eqNullSafe(F.lit(k[1])), F.lit(m[2])) for k, m in made.items() if m[2]]
     errors += [e for i in range(len(fields)) if layouts and (e := pick(lambda m, i=i: m[1][i])) is not None]
-    lost = [r.isNotNull() & typed(r, f.dataType, dialect).isNull() for r, f in zip(raws, fields)]
-    errors.append(F.when(reduce(lambda a, b: a | b, lost, F.lit(False)), F.lit("value does not convert to the column type")))
-    error = F.coalesce(*errors)
-    return rows.select("_file", "_stmt_no", "_row_no", F.substring("_mode", 1, 1).alias("_mode"), "_sets", error.isNotNull().alias("_bad"), error.alias("_error"), *values)
+    # a value that is there and does not convert
+    pairs = rows.select("_file", "_stmt_no", "_row_no", F.substring("_mode", 1, 1).alias("_mode"), "_sets", F.coalesce(*errors).alias("_error"),
+                        *[F.struct(r.isNotNull().alias("given"), typed(r, f.dataType, dialect).alias("v")).alias(f"v{i}") for i, (r, f) in enumerate(zip(raws, fields))])
+    lost = reduce(lambda a, b: a | b, [F.col(f"v{i}.given") & F.col(f"v{i}.v").isNull() for i in range(len(fields))], F.lit(False))
+    error = F.coalesce("_error", F.when(lost, F.lit("value does not convert to the column type")))
+    return pairs.select("_file", "_stmt_no", "_row_no", "_mode", "_sets", error.isNotNull().alias("_bad"), error.alias("_error"), *[F.col(f"v{i}.v").alias(f.name) for i, f in enumerate(fields)])
 
 
 def _upserted(rows: DataFrame, target: Target, modes: set[str], on_error: str) -> DataFrame:
@@ -231,6 +233,10 @@ def load_dump(spark: SparkSession, path: str, dialect: str = "mysql", tables=Non
     d = norm_dialect(dialect)
     stmts = read_statements(spark, path, dialect, chunk_bytes=chunk_bytes, max_stmt_bytes=max_stmt_bytes, start_byte=start_byte, encoding=encoding)
     stmts = filter_statements(stmts, rename=bool(rename))
+    files = list_dump_files(path)
+    tasks, cores = sum(1 if detect_codec(f) else -(-size // (chunk_bytes or DEFAULT_CHUNK)) for f, size in files), spark.sparkContext.defaultParallelism
+    if tasks < cores:  # a few files or chunks: their statements are shared out before they are read value by value
+        stmts = stmts.repartition(2 * cores)
     # one pass over the statements for every table, staged once (partitioned by table)
     raw = decode_raw(stmts, d, [t.rpartition(".")[2] for t in tables] if tables else None)
     if stage:
@@ -239,13 +245,12 @@ def load_dump(spark: SparkSession, path: str, dialect: str = "mysql", tables=Non
         raw = spark.read.schema(RAW_DDL).parquet(p)  # a table may be named 01: its name stays a string
     else:
         raw = raw.persist(StorageLevel.MEMORY_AND_DISK)
-    shape = ["_table", "_kind", "_mode", "_cols", "_width"]
-    kinds = [r for r in raw.groupBy(*shape).count().collect()]  # one row per table and form of its statements
-    if any(r["_kind"] == "use" for r in kinds):
+    forms = _forms(raw)
+    if any(r["kind"] == "use" for r in forms):
         raw = with_namespace(raw)
-        kinds = raw.groupBy(*shape, "_use").count().collect()
-    shapes = [{"table": r["_table"], "mode": r["_mode"], "cols": r["_cols"], "width": r["_width"], "use": r["_use"] if "_use" in r else None} for r in kinds if r["_table"] is not None and r["_mode"] is not None]
-    scopes = resolve(_scope_rows(raw) if any(r["_kind"] not in (None, "use") for r in kinds) else [], d)
+        forms = _forms(raw)
+    shapes = [r for r in forms if r["table"] is not None and r["mode"] is not None]
+    scopes = resolve([r for r in forms if r["kind"] not in (None, "use")], d)
     schemas = schemas or (dump_schemas(path) if isinstance(path, str) else {})
     if schemas and tables:
         if missing := [t for t in tables if t not in schemas]:

@@ -18,7 +18,7 @@ from ..functions.ddl import Scope, TableDef, parse_create_table, scope_of
 from ..sources.inserts import DOT
 
 #: Statements of a block.
-BLOCK = 4096
+BLOCK = 64
 Position = tuple[str, int]
 
 
