@@ -19,8 +19,6 @@ from __future__ import annotations
 import re
 
 N, Q1, Q2, Q3, B, L = 0, 1, 2, 3, 4, 5
-# start states possible at a chunk boundary that follows a line feed
-BOUNDARY_STATES = (N, Q1, Q2, Q3, B)
 STATE_NAMES = {N: "normal", Q1: "single_quote", Q2: "double_quote", Q3: "backtick", B: "block_comment", L: "line_comment"}
 
 _SEMI, _HASH, _DASH, _SLASH, _STAR, _BSL = ord(";"), ord("#"), ord("-"), ord("/"), ord("*"), ord("\\")

@@ -1,17 +1,16 @@
 """SQL dump text -> DataFrame of statements, in parallel.
 
-Uncompressed files are cut into byte chunks whose starts are moved to just
-after a line feed. Pass 1 (one Spark task per chunk) runs the automaton of
-``splitter`` over its chunk from every state that is possible right after a
-line feed and reports the end state and the number of statement ends for
-each. A grouped task per file composes these small vectors (five numbers per
-chunk) to learn the true start state of every chunk.
-Pass 2 starts each chunk in its true state and emits the statements that
-*begin* in it, reading past the chunk end only to finish the last one.
-
-Compressed files (.gz .gzip .zst .zstd .xz, any case) cannot be entered in
-the middle, so each is one streamed task. Line mode (``DELIMITER`` aware)
-is sequential per file because its delimiter is data.
+Files are cut into chunks of about ``chunk_bytes``: plain files after a line feed, or anywhere if there is none within
+READ_BLOCK bytes; compressed files (.gz .gzip .zst .zstd .xz, any case) between members, frames or blocks, whose index
+is built by ``blocks``. Pass 1 (one Spark task per chunk, in bounded blocks) runs the automaton of ``splitter`` over its
+chunk and reports the end state and the number of statement ends; a grouped task per file composes these small rows to
+learn the true start state of every chunk. A chunk is scanned from the normal state first, and only where a file's
+chain leaves that state, once more from every state that is possible there. A state may be pending: the last byte
+before a cut (``-`` ``/`` ``*`` or a backslash) may need its successor, and is read again with the next chunk.
+Pass 2 starts each chunk in its true state and emits the statements that *begin* in it, reading past the chunk end only
+to finish the last one. Files of one chunk skip pass 1.
+
+Line mode (``DELIMITER`` aware) is sequential per file because its delimiter is data.
 """
 
 from __future__ import annotations
@@ -21,18 +20,23 @@ import io
 import itertools
 import lzma
 import re
+from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import fs
 from ..session import ensure_checkpoint_dir
-from .splitter import BOUNDARY_STATES, B, L, N, Automaton, strip_comments
+from .blocks import gzip_members, unpacked, xz_blocks, zstd_frames
+from .splitter import B, L, N, Q1, Q2, Q3, Automaton, strip_comments
 
 DEFAULT_CHUNK = 64 << 20
 MAX_STATEMENT = 64 << 20  # fixed value: largest statement accepted on load
-READ_BLOCK = 1 << 20
+READ_BLOCK = 1 << 20  # how far a cut looks for a line feed
+BLOCK = 4 << 20  # bytes read at once
+PACKED = 4  # a chunk of a compressed file has a fraction of the bytes
+MOST_TASKS = 20_000
 FLUSH_BYTES = 16 << 20  # statement text that a task holds before it passes it on
 
 STMT_SCHEMA = "file string, stmt_no long, byte_start long, byte_end long, stmt string"
@@ -70,20 +74,14 @@ def open_stream(path: str, codec: str | None):
 # per-task helpers
 # ---------------------------------------------------------------------------
 
-def _aligned_start(path: str, size: int, nominal: int, origin: int) -> int:
-    """First offset after a line feed at or after ``nominal`` (``origin`` for the first chunk)."""
+def _cut(path: str, size: int, nominal: int, origin: int) -> int:
+    """Where the chunk at ``nominal`` starts: after the first line feed of the next READ_BLOCK bytes, else right there."""
     if nominal <= origin:
         return origin
     if nominal >= size:
         return size
-    pos = nominal - 1
-    while pos < size:
-        blk = fs.read_range(path, pos, min(READ_BLOCK, size - pos))
-        k = blk.find(b"\n")
-        if k >= 0:
-            return pos + k + 1
-        pos += len(blk)
-    return size
+    k = fs.read_range(path, nominal - 1, min(READ_BLOCK, size - nominal + 1)).find(b"\n")
+    return nominal + k if k >= 0 else nominal
 
 
 def _stream_statements(blocks, base, state, own_first, owned_end, aut: Automaton, max_bytes, eof_known=None):
@@ -155,74 +153,97 @@ def _stmt(buf, buf_base, s, e, marks, max_bytes, executable):
     return s, e, text
 
 
-def _range_blocks(path: str, start: int, first_len: int, size: int):
-    pos = start
-    n = first_len
-    while pos < size:
-        n = min(n, size - pos)
-        blk = fs.read_range(path, pos, n)
-        if not blk:
-            return
+def _content(r: dict, end: int) -> Iterator[bytes]:
+    """The bytes of a file from the start of chunk ``r``: to the chunk's end (``end`` = its hi) or to the file's."""
+    if r["codec"]:
+        yield from unpacked(r["path"], r["codec"], r["size"], r["lo"], end, r["head"], r["stop"])
+        return
+    pos = r["lo"]
+    while pos < end and (blk := fs.read_range(r["path"], pos, min(BLOCK, end - pos))):
         yield blk
         pos += len(blk)
-        n = max(READ_BLOCK, n)
 
 
+# ---------------------------------------------------------------------------
+# Spark jobs
+# ---------------------------------------------------------------------------
+
 def _stream_blocks(stream, size=8 << 20):
-    while True:
-        blk = stream.read(size)
-        if not blk:
-            return
+    while blk := stream.read(size):
         yield blk
 
 
-# ---------------------------------------------------------------------------
-# Spark jobs
-# ---------------------------------------------------------------------------
+#: Bytes that may need their successor, by state. A state at a cut is its number plus 8 for the first of them pending, 16 for the second.
+_PENDING = {N: b"-/", Q1: b"\\", Q2: b"\\", Q3: b"\\", B: b"*", L: b""}
 
-def _pass1(dialect: str, chunk_bytes: int, origin: int, states=BOUNDARY_STATES, aligned: bool = False):
-    """Per chunk: end state and statement count when starting in each of ``states``.
+_CHUNK = [("path", pa.string(), "string"), ("size", pa.int64(), "long"), ("codec", pa.string(), "string"), ("j", pa.int64(), "long"), ("lo", pa.int64(), "long"), ("hi", pa.int64(), "long"),
+          ("head", pa.int64(), "long"), ("stop", pa.int64(), "long")]
+_SCAN = [*_CHUNK, ("base", pa.int64(), "long"), ("raw", pa.int64(), "long"), ("last", pa.int32(), "int"), ("before", pa.int32(), "int"), ("codes", pa.list_(pa.int32()), "array<int>"),
+         ("ends", pa.list_(pa.int32()), "array<int>"), ("semis", pa.list_(pa.int64()), "array<long>"), ("miss", pa.int32(), "int"), ("count", pa.int64(), "long")]
+_PLAN = [*_CHUNK, ("base", pa.int64(), "long"), ("raw", pa.int64(), "long"), ("code", pa.int32(), "int"), ("own", pa.bool_(), "boolean"), ("stmt_offset", pa.int64(), "long")]
+_FOLD = [*_PLAN, ("before", pa.int32(), "int"), ("miss", pa.int32(), "int"), ("count", pa.int64(), "long")]
+_ddl = lambda cols: ", ".join(f"`{n}` {t}" for n, _, t in cols)
 
-    ``aligned`` rows already carry their line-feed aligned ``a_start``/``a_end``.
-    """
+
+def _pending(code: int, mysql: bool) -> bytes:
+    """The byte before a cut that a state still has to see."""
+    k = code >> 3
+    return _PENDING[code & 7][k - 1 : k] if k else b""
+
+
+def _possible(before: int, mysql: bool) -> list[int]:
+    """States that a chunk may start in, by the byte before it."""
+    states = [N, Q1, Q2, Q3, B] + ([L] if before != 10 else [])
+    return states + [st + 8 * (k + 1) for st in states for k, c in enumerate(_PENDING[st]) if c == before and (mysql or st in (N, B))]
+
+
+class _Runner:
+    """The automaton over a chunk that comes block by block."""
+
+    def __init__(self, aut: Automaton, code: int):
+        self.aut, self.state, self.carry, self.semis = aut, code & 7, _pending(code, aut.executable), 0
+
+    def feed(self, block: bytes) -> None:
+        buf = self.carry + block
+        pos, self.state, n = self.aut.advance(buf, 0, self.state, len(buf), False)
+        self.carry, self.semis = buf[pos:], self.semis + n
+
+    def end(self) -> int:
+        """The state behind the chunk."""
+        if self.carry and (self.aut.executable or self.state in (N, B)) and (k := _PENDING[self.state].find(self.carry)) >= 0:
+            return self.state + 8 * (k + 1)
+        if self.carry:
+            _, self.state, n = self.aut.advance(self.carry, 0, self.state, len(self.carry), True)
+            self.carry, self.semis = b"", self.semis + n
+        return self.state
+
+
+def _pass1(dialect: str, chunk_bytes: int, origin: int):
+    """Per chunk: end state and statement count from the normal state, or (second time, with ``before``) from all possible ones."""
 
     def run(batches):
         aut = Automaton(dialect)
         for b in batches:
-            out = {k: [] for k in _P1_SCHEMA.names}
+            out = {n: [] for n, *_ in _SCAN}
             for r in b.to_pylist():
-                path, size, j = r["path"], r["size"], r["j"]
-                if aligned:
-                    a0, a1 = r["a_start"], r["a_end"]
-                else:
-                    a0 = _aligned_start(path, size, origin + j * chunk_bytes, origin)
-                    a1 = _aligned_start(path, size, origin + (j + 1) * chunk_bytes, origin)
-                data = fs.read_range(path, a0, a1 - a0) if a1 > a0 else b""
-                ends, semis = [], []
-                for st in states:
-                    _, e, ns = aut.advance(data, 0, st, len(data), True)
-                    ends.append(e)
-                    semis.append(ns)
-                row = {"path": path, "size": size, "j": j, "a_start": a0, "a_end": a1, "ends": ends, "semis": semis,
-                       "miss_state": r.get("miss_state"), "miss_count": r.get("miss_count")}
-                for k in out:
-                    out[k].append(row[k])
-            yield pa.RecordBatch.from_pydict(out, schema=_P1_SCHEMA)
+                again = r.get("miss") is not None
+                if not again and not r["codec"]:
+                    r["lo"], r["hi"] = (_cut(r["path"], r["size"], origin + j * chunk_bytes, origin) for j in (r["j"], r["j"] + 1))
+                codes = ([r["miss"]] if r["miss"] >= 0 else _possible(r["before"], aut.executable)) if again else [N]
+                runners, raw, last = [_Runner(aut, c) for c in codes], 0, None
+                for blk in _content(r, r["hi"]):
+                    raw, last = raw + len(blk), blk[-1]
+                    for x in runners:
+                        x.feed(blk)
+                ends = [x.end() for x in runners]
+                row = r | {"raw": raw, "last": last, "codes": codes, "ends": ends, "semis": [x.semis for x in runners]}
+                for k, v in out.items():
+                    v.append(row.get(k))
+            yield pa.RecordBatch.from_pydict(out, schema=pa.schema([(n, t) for n, t, _ in _SCAN]))
 
     return run
 
 
-_P1_SCHEMA = pa.schema(
-    [("path", pa.string()), ("size", pa.int64()), ("j", pa.int64()), ("a_start", pa.int64()), ("a_end", pa.int64()),
-     ("ends", pa.list_(pa.int32())), ("semis", pa.list_(pa.int64())), ("miss_state", pa.int32()), ("miss_count", pa.int64())]
-)
-_P1_DDL = ("path string, size long, j long, a_start long, a_end long, ends array<int>, semis array<long>, "
-           "miss_state int, miss_count long")
-_F1_DDL = ("path string, size long, j long, a_start long, a_end long, state int, stmt_offset long, resolved boolean, "
-           "miss_state int, miss_count long")
-_P2_IN = "path string, size long, j long, a_start long, a_end long, state int, stmt_offset long, codec string"
-
-
 def _decoded(text: bytes, path: str, at: int, encoding: str) -> str:
     """The statement as text; bytes that are none in ``encoding`` are an error, never replaced."""
     try:
@@ -235,16 +256,14 @@ def _pass2(dialect: str, max_bytes: int | None, encoding: str = "utf-8"):
     def run(batches):
         aut = Automaton(dialect)
         for b in batches:
-            rows = b.to_pylist()
             out, held = {"file": [], "stmt_no": [], "byte_start": [], "byte_end": [], "stmt": []}, 0
-            for r in rows:
-                path, j = r["path"], r["j"]
-                if r["codec"]:
-                    stream = open_stream(path, r["codec"])
-                    gen = _stream_statements(_stream_blocks(stream), 0, N, True, float("inf"), aut, max_bytes)
+            for r in b.to_pylist():
+                path, before = r["path"], _pending(r["code"], aut.executable)
+                if r["codec"] and r["raw"] is None:  # one task for the whole file
+                    blocks, end = _stream_blocks(open_stream(path, r["codec"])), float("inf")
                 else:
-                    blocks = _range_blocks(path, r["a_start"], r["a_end"] - r["a_start"], r["size"])
-                    gen = _stream_statements(blocks, r["a_start"], r["state"], j == 0, r["a_end"], aut, max_bytes)
+                    blocks, end = _content(r, r["size"]), r["base"] + r["raw"]
+                gen = _stream_statements(itertools.chain([before], blocks) if before else blocks, r["base"] - len(before), r["code"] & 7, r["own"], end, aut, max_bytes)
                 no = r["stmt_offset"]
                 for s, e, text in gen:
                     out["file"].append(path)
@@ -301,83 +320,149 @@ def read_statements(spark: SparkSession, path, dialect: str = "mysql", chunk_byt
     return _read_files(spark, files, dialect, chunk_bytes, max_stmt_bytes, start_byte, encoding)
 
 
+def _index(batches):
+    """Frames, blocks or members of compressed files: (path, size, codec, lo, hi, head, stop)."""
+    names = ("path", "size", "codec", "lo", "hi", "head", "stop")
+    for b in batches:
+        for r in b.to_pylist():
+            path, size = r["path"], r["size"]
+            if r["codec"] == "zstd":
+                found = ((lo, hi, None, None) for lo, hi in zstd_frames(path, size))
+            elif r["codec"] == "xz":
+                found = xz_blocks(path, size)
+            else:
+                found = [(lo, hi, None, None) for lo, hi in gzip_members(path, size, r["from"], r["to"])]
+                if r["from"] == 0 and (not found or found[0][0]):
+                    found.insert(0, (0, size, None, None))  # no whole member at the start: read as a stream, which says what is wrong
+            rows = [(path, size, r["codec"], *x) for x in found]
+            kinds = [pa.string(), pa.int64(), pa.string(), *[pa.int64()] * 4]
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in rows], t) for i, t in enumerate(kinds)], names=list(names))
+
+
+def _parts(spark: SparkSession, packed: list[tuple[str, int, str]], chunk_bytes: int) -> DataFrame:
+    """Chunks (_CHUNK) of large compressed files: neighbouring parts of one stream, of about ``chunk_bytes`` packed bytes."""
+    rows = []
+    for path, size, codec in packed:
+        step = chunk_bytes if codec == "gzip" else size
+        rows += [(path, size, codec, at, min(at + step, size)) for at in range(0, size, step)]
+    ranges = spark.createDataFrame(rows, "path string, size long, codec string, `from` long, `to` long").repartition(_tasks(len(rows)))
+    found = ranges.mapInArrow(_index, "path string, size long, codec string, lo long, hi long, head long, stop long")
+    order = Window.partitionBy("path").orderBy("lo")
+    # a member is true if the one before it ends where it begins; unpacking finds no member inside another but by chance
+    found = found.withColumn("gap", (F.col("codec") == "gzip") & (F.col("lo") != F.coalesce(F.lag("hi").over(order), F.lit(0))))
+    every = Window.partitionBy("path")
+    broken = F.max("gap").over(every) | (F.max("hi").over(every) != F.col("size"))
+    found = found.withColumn("part", F.when((F.col("codec") == "gzip") & broken, F.lit(0)).otherwise(F.floor((F.sum(F.col("hi") - F.col("lo")).over(order) - (F.col("hi") - F.col("lo"))) / chunk_bytes)))
+    parts = found.groupBy("path", "size", "codec", "head", "stop", "part").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    return parts.withColumn("j", F.row_number().over(Window.partitionBy("path").orderBy("lo")) - 1).select(*[F.col(n).cast(t) for n, _, t in _CHUNK])
+
+
+def _tasks(n: int) -> int:
+    """Tasks for ``n`` chunks: one each, but several chunks a task where there are very many."""
+    return max(1, min(n, MOST_TASKS))
+
+
 def _read_files(spark: SparkSession, files: list[tuple[str, int]], dialect: str, chunk_bytes: int, max_stmt_bytes: int | None,
                 start_byte: int, encoding: str) -> DataFrame:
     plain = [(p, s) for p, s in files if not detect_codec(p)]
     packed = [(p, s, detect_codec(p)) for p, s in files if detect_codec(p)]
-    parts = []
-    # a file that fits in one chunk starts in the normal state: no pass 1 needed
-    single = [(p, s) for p, s in plain if s - start_byte <= chunk_bytes]
+    # files of one chunk start in the normal state: no pass 1 needed. Text packs to a fraction, so packed chunks are smaller
+    packed_bytes = max(1, chunk_bytes // PACKED)
+    whole = [(p, s, None, 0, start_byte, s, None, None, start_byte, s - start_byte, N, True, 0) for p, s in plain if s - start_byte <= chunk_bytes]
+    whole += [(p, s, c, 0, 0, s, None, None, 0, None, N, True, 0) for p, s, c in packed if s <= packed_bytes]
     plain = [(p, s) for p, s in plain if s - start_byte > chunk_bytes]
-    if single:
-        rows = [(p, s, 0, start_byte, s, N, 0, None) for p, s in single]
-        parts.append(spark.createDataFrame(rows, _P2_IN).repartition(max(1, len(rows))))
+    packed = [(p, s, c) for p, s, c in packed if s > packed_bytes]
+    parts = []
+    if whole:
+        parts.append(spark.createDataFrame(whole, _ddl(_PLAN)).repartition(_tasks(len(whole))))
+    scans, total = [], 0
     if plain:
         fdf = spark.createDataFrame(plain, "path string, size long")
         nchunks = F.greatest(F.ceil((F.col("size") - F.lit(start_byte)) / F.lit(chunk_bytes)), F.lit(1)).cast("long")
         chunks = fdf.select("path", "size", F.explode(F.sequence(F.lit(0).cast("long"), nchunks - 1)).alias("j"))
-        total_chunks = sum(max(-(-(s - start_byte) // chunk_bytes), 1) for _, s in plain)
-        chunks = chunks.repartition(max(1, total_chunks))
+        none = lambda t: F.lit(None).cast(t)
+        scans.append(chunks.select("path", "size", none("string").alias("codec"), "j", *[none("long").alias(c) for c in ("lo", "hi", "head", "stop")]))
+        total += sum(-(-(s - start_byte) // chunk_bytes) for _, s in plain)
+    if packed:
+        ensure_checkpoint_dir(spark)
+        found = _parts(spark, packed, packed_bytes).withColumn("of", F.count(F.lit(1)).over(Window.partitionBy("path"))).checkpoint(eager=True)  # a small row per chunk
+        streams = found.where("of = 1").select("path", "size", "codec", F.lit(0).cast("long").alias("j"), F.lit(0).cast("long").alias("lo"), F.col("size").alias("hi"), "head", "stop", F.lit(0).cast("long").alias("base"),
+                                               F.lit(None).cast("long").alias("raw"), F.lit(N).alias("code"), F.lit(True).alias("own"), F.lit(0).cast("long").alias("stmt_offset"))
+        parts.append(streams.repartition(_tasks(len(packed))))
+        scans.append(found.where("of > 1").drop("of"))
+        total += sum(-(-s // packed_bytes) for _, s, _ in packed)
+    if scans:
+        chunks = scans[0] if len(scans) == 1 else scans[0].unionByName(scans[1])
+        ensure_checkpoint_dir(spark)
         # pass 1a: one scan per chunk, from the normal state only (right for nearly every
         # line-aligned chunk); the per-file fold keeps the chain while it stays normal
-        ensure_checkpoint_dir(spark)
-        p1 = chunks.mapInArrow(_pass1(dialect, chunk_bytes, start_byte, (N,)), _P1_DDL)
-        f1 = p1.groupBy("path").applyInPandas(_fold_normal, _F1_DDL).checkpoint(eager=True)  # one small row per chunk
-        plan_cols = ["path", "size", "j", "a_start", "a_end", "state", "stmt_offset", F.lit(None).cast("string").alias("codec")]
-        done = f1.where("resolved").select(*plan_cols)
-        # pass 1b: chunks after a file's chain left the normal state, scanned from all five states
-        tail = f1.where(~F.col("resolved")).repartition(max(1, total_chunks))
-        p1b = tail.mapInArrow(_pass1(dialect, chunk_bytes, start_byte, BOUNDARY_STATES, aligned=True), _P1_DDL)
-        rest = p1b.groupBy("path").applyInPandas(_fold_tail, _P2_IN)
-        parts.append(done.unionByName(rest).repartition(max(1, total_chunks)))
-    if packed:
-        rows = [(p, s, 0, 0, s, N, 0, c) for p, s, c in packed]
-        parts.append(spark.createDataFrame(rows, _P2_IN).repartition(max(1, len(rows))))
+        p1 = chunks.withColumn("miss", F.lit(None).cast("int")).repartition(_tasks(total)).mapInArrow(_pass1(dialect, chunk_bytes, start_byte), _ddl(_SCAN))
+        f1 = p1.groupBy("path").applyInPandas(_fold_normal, _ddl(_FOLD)).checkpoint(eager=True)  # one small row per chunk
+        plan_cols = [n for n, *_ in _PLAN]
+        # pass 1b: chunks after a file's chain left the normal state, scanned from all states that are possible there
+        tail = f1.where("miss IS NOT NULL").repartition(_tasks(total))
+        rest = tail.mapInArrow(_pass1(dialect, chunk_bytes, start_byte), _ddl(_SCAN)).groupBy("path").applyInPandas(_fold_tail, _ddl(_PLAN))
+        parts.append(f1.where("miss IS NULL").select(*plan_cols).unionByName(rest).repartition(_tasks(total)))
     inp = parts[0]
     for extra in parts[1:]:
         inp = inp.unionByName(extra)
     return inp.mapInArrow(_pass2(dialect, max_stmt_bytes, encoding), STMT_SCHEMA)
 
 
+def _planned(r, base: int, code: int, count: int, before: int) -> dict:
+    """The plan row of a chunk that starts in state ``code`` after ``count`` statement ends and the byte ``before``."""
+    own = r.j == 0 or (code == N and before == 59)  # a statement begins right at the cut behind a ;
+    return {n: getattr(r, n) for n, *_ in _CHUNK} | {"base": base, "raw": r.raw, "code": code, "own": own, "stmt_offset": count + (0 if own else 1)}
+
+
+def _frame(rows: list[dict], cols):
+    import pandas as pd
+
+    kinds = {"string": "object", "array<int>": "object", "boolean": "boolean", "long": "Int64", "int": "Int32"}
+    return pd.DataFrame({n: pd.array([r.get(n) for r in rows], dtype=kinds[t]) for n, _, t in cols})
+
+
+def _in_order(pdf):
+    """Chunks of one file that hold anything, in order, with their place in the unpacked file."""
+    pdf = pdf[pdf["raw"] > 0].sort_values("j")
+    for c in ("head", "stop"):
+        pdf[c] = pdf[c].astype("object").where(pdf[c].notna(), None)
+    first = pdf["lo"] if len(pdf) and pdf["codec"].iloc[0] is None else 0
+    pdf["base"] = first if len(pdf) and pdf["codec"].iloc[0] is None else pdf["raw"].cumsum() - pdf["raw"]
+    return pdf
+
+
 def _fold_normal(pdf):
     """Pass-1a rows of one file (end state from the normal state only), in chunk order.
 
-    While the chain stays in the normal state each chunk gets its plan row;
-    from the first chunk that starts elsewhere on, rows are marked unresolved
-    and carry that chunk's start state and statement count for pass 1b.
+    While the chain stays in the normal state each chunk gets its plan row; from the first chunk that starts elsewhere
+    on, rows carry ``miss`` (that chunk's start state, -1 for the later ones), the byte before them, and the statement
+    ends before the first of them.
     """
-    import pandas as pd
-
-    pdf = pdf.sort_values("j")
-    st, count, out, miss = N, 0, [], None
-    for r in pdf.itertuples(index=False):
-        if r.a_end <= r.a_start:
-            continue  # empty chunk (no line feed after its nominal start)
-        if miss is None and st == N:
-            out.append((r.path, r.size, r.j, r.a_start, r.a_end, N, count + (1 if r.j > 0 else 0), True, None, None))
-            st = int(r.ends[0])
-            count += int(r.semis[0])
+    code, count, before, out, missed = N, 0, 10, [], False
+    for r in _in_order(pdf).itertuples(index=False):
+        row = _planned(r, int(r.base), code, count, before)
+        if not missed and code == N:
+            out.append(row)
+            code, count = int(r.ends[0]), count + int(r.semis[0])
         else:
-            if miss is None:
-                miss = (st, count)
-            out.append((r.path, r.size, r.j, r.a_start, r.a_end, -1, -1, False, miss[0], miss[1]))
-    cols = ["path", "size", "j", "a_start", "a_end", "state", "stmt_offset", "resolved", "miss_state", "miss_count"]
-    return pd.DataFrame(out, columns=cols)
+            out.append(row | {"before": before, "miss": -1 if missed else code, "count": count})
+            missed = True
+        before = int(r.last)
+    return _frame(out, _FOLD)
 
 
 def _fold_tail(pdf):
-    """Pass-1b rows of one file (all five start states) from its first unresolved chunk on."""
-    import pandas as pd
-
+    """Pass-1b rows of one file from its first unresolved chunk on, each with all its possible start states."""
     pdf = pdf.sort_values("j")
-    index = {s: i for i, s in enumerate(BOUNDARY_STATES)}
-    st, count, out = int(pdf["miss_state"].iloc[0]), int(pdf["miss_count"].iloc[0]), []
+    for c in ("head", "stop"):
+        pdf[c] = pdf[c].astype("object").where(pdf[c].notna(), None)
+    code, count, out = int(pdf["miss"].iloc[0]), int(pdf["count"].iloc[0]), []
     for r in pdf.itertuples(index=False):
-        k = index[st]
-        out.append((r.path, r.size, r.j, r.a_start, r.a_end, st, count + (1 if r.j > 0 else 0), None))
-        st = int(r.ends[k])
-        count += int(r.semis[k])
-    return pd.DataFrame(out, columns=["path", "size", "j", "a_start", "a_end", "state", "stmt_offset", "codec"])
+        k = list(r.codes).index(code)
+        out.append(_planned(r, int(r.base), code, count, int(r.before)))
+        code, count = int(r.ends[k]), count + int(r.semis[k])
+    return _frame(out, _PLAN)
 
 
 # ---------------------------------------------------------------------------
