@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .functions.dialect import sql_literal
+from .functions.dialect import insert_prefix, sql_literal
 from .plans.dump import render_inserts_ordered
 from .plans.load import load_dump
 from .plans.textsink import write_text
 from .session import staging_path
 from .sources import fs
+from .sources.statements import read_statements, read_statements_lines
 
 
 def _read(spark, sf_dir: str, name: str) -> DataFrame:
@@ -87,7 +88,46 @@ def q_load_skip_bad_batches(spark, sf_dir):
     return load_dump(spark, out, "mysql", schemas={"events": e.schema}, batch=5, on_error="skip").tables["events"]
 
 
+def _page_statements(spark, sf_dir: str) -> DataFrame:
+    p = _read(spark, sf_dir, "pages")
+    return p.select(F.concat(F.lit(insert_prefix("pages", p.columns, "mysql")), _values(p, p.columns), F.lit(";")).alias("stmt"))
+
+
+def _trimmed(stmts: DataFrame) -> DataFrame:
+    return stmts.select(F.regexp_replace("stmt", r"^\s+|\s+$", "").alias("stmt")).where("stmt <> ''")
+
+
+def q_dump_statements_one_line(spark, sf_dir):
+    """Files without a line feed, cut at any byte."""
+    out = staging_path(spark, "one-line")
+    _page_statements(spark, sf_dir).select(F.replace("stmt", F.lit("\n"), F.lit(" ")).alias("stmt")).write.option("lineSep", " ").text(out)
+    return _trimmed(read_statements(spark, out, "mysql", chunk_bytes=1 << 14))
+
+
+def q_dump_statements_parts(codec):
+    def build(spark, sf_dir):
+        """Compressed files of many frames or streams, read by many tasks."""
+        out = staging_path(spark, "parts")
+        write_text(_page_statements(spark, sf_dir), out, codec, part_bytes=1 << 14)
+        return _trimmed(read_statements(spark, out, "mysql", chunk_bytes=1 << 14))
+    return build
+
+
+def q_line_mode_chunks(spark, sf_dir):
+    """Line mode over chunks: statements of several lines, with delimiters inside strings and two DELIMITER lines each."""
+    p = _read(spark, sf_dir, "pages")
+    body = F.concat(F.lit("INSERT INTO t VALUES\n("), _values(p, ["page_id", "url"]), F.lit(",\n'a;\n//\n')"))
+    text = F.when(F.col("page_id") % 2 == 0, F.concat(F.lit("DELIMITER //\n"), body, F.lit(" //\n-- done //\nDELIMITER ;"))).otherwise(F.concat(body, F.lit(";")))
+    out = staging_path(spark, "line-chunks")
+    write_text(p.select(text.alias("stmt")), out)
+    return read_statements_lines(spark, out, chunk_bytes=1 << 13).select("stmt")
+
+
 QUERIES = {
+    "dump_statements_one_line": q_dump_statements_one_line,
+    "dump_statements_zst_parts": q_dump_statements_parts("zstd"),
+    "dump_statements_xz_parts": q_dump_statements_parts("xz"),
+    "line_mode_chunks": q_line_mode_chunks,
     "load_two_databases": q_load_two_databases,
     "load_defaults": q_load_defaults,
     "load_upserts": q_load_upserts,

@@ -404,4 +404,17 @@ ORACLES["uptime_report"] = f"""
 
 from .examples_dumps import SQL as _DUMP_SQL  # noqa: E402
 
+_PAGE = """'INSERT INTO `pages` (`page_id`, `url`, `html`) VALUES' || {gap} || '(' || CAST(page_id AS VARCHAR) || ', ' || {url} || ', ' || {html} || ');'"""
+
+
+def _pages(gap: str) -> str:
+    return f"SELECT {_PAGE.format(gap=gap, url=lit_str('url'), html=lit_str('html'))} AS stmt FROM pages"
+
+
 ORACLES.update(_DUMP_SQL)
+ORACLES.update({
+    "dump_statements_one_line": _pages("' '"),
+    "dump_statements_zst_parts": _pages("chr(10)"),
+    "dump_statements_xz_parts": _pages("chr(10)"),
+    "line_mode_chunks": f"SELECT 'INSERT INTO t VALUES' || chr(10) || '((' || CAST(page_id AS VARCHAR) || ', ' || {lit_str('url')} || '),' || chr(10) || chr(39) || 'a;' || chr(10) || '//' || chr(10) || chr(39) || ')' AS stmt FROM pages",
+})

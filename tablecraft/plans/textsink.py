@@ -3,7 +3,7 @@
 gzip (and no codec) go through Spark's own text writer. zstd (level 3) and
 xz (level 6) are not available to it, so they go through a Python data
 source writer: each task streams its partition through the compressor into
-a private temporary file; rows arrive as Arrow batches and are joined with
+a private temporary file, a new frame or stream every PART_BYTES; rows arrive as Arrow batches and are joined with
 line feeds by Arrow kernels (no Python per row); the driver's commit moves the files of the
 successful task attempts into place, abort removes them. A lost executor
 therefore leaves no partial file behind.
@@ -26,6 +26,7 @@ from ..sources import fs
 
 ZSTD_LEVEL = 3  # fixed value
 XZ_LEVEL = 6  # fixed value
+PART_BYTES = 16 << 20  # text of a frame or stream
 EXT = {"zstd": ".sql.zst", "xz": ".sql.xz", "gzip": ".sql.gz", None: ".sql"}
 
 
@@ -55,6 +56,14 @@ class _CompressedWriter(DataSourceArrowWriter):
         self.path = options["path"].rstrip("/")
         self.codec = options.get("codec", "zstd")
         self.job = options["job"]
+        self.part_bytes = int(options.get("part_bytes", PART_BYTES))
+
+    def _part(self, raw):
+        if self.codec == "zstd":
+            import zstandard
+
+            return zstandard.ZstdCompressor(level=ZSTD_LEVEL).stream_writer(raw, closefd=False)
+        return lzma.LZMAFile(raw, "wb", preset=XZ_LEVEL)
 
     def write(self, iterator):
         from pyspark import TaskContext
@@ -73,17 +82,17 @@ class _CompressedWriter(DataSourceArrowWriter):
         fsys.create_dir(p.rsplit("/", 1)[0], recursive=True)
         n = 0
         with fsys.open_output_stream(p, compression=None) as raw:
-            if self.codec == "zstd":
-                import zstandard
-
-                out = zstandard.ZstdCompressor(level=ZSTD_LEVEL).stream_writer(raw, closefd=False)
-            elif self.codec == "xz":
-                out = lzma.LZMAFile(raw, "wb", preset=XZ_LEVEL)
-            else:
+            if self.codec not in ("zstd", "xz"):
                 raise ValueError(f"codec {self.codec} is written by Spark's text writer")
+            out, held = self._part(raw), 0
             for batch in itertools.chain([first], iterator):
                 n += batch.num_rows
-                out.write(_lines(batch.column(0)))
+                lines = _lines(batch.column(0))
+                if held and held + len(lines) > self.part_bytes:  # a frame or stream of its own, so that readers can share the file out
+                    out.close()
+                    out, held = self._part(raw), 0
+                out.write(lines)
+                held += len(lines)
             out.close()
         return _Written(tmp, final, n)
 
@@ -109,7 +118,7 @@ class CompressedText(DataSource):
         return _CompressedWriter(self.options)
 
 
-def write_text(df: DataFrame, path: str, codec: str | None = None) -> None:
+def write_text(df: DataFrame, path: str, codec: str | None = None, part_bytes: int = PART_BYTES) -> None:
     """Write a one-column string frame, one row per line (plus the row's own line feeds)."""
     codec = {"gz": "gzip", "zst": "zstd"}.get(codec, codec)
     if codec in (None, "none", "gzip"):
@@ -121,4 +130,4 @@ def write_text(df: DataFrame, path: str, codec: str | None = None) -> None:
     df.sparkSession.dataSource.register(CompressedText)
     if fs.exists(path):
         raise FileExistsError(path)
-    df.write.format("tablecraft_text").option("path", path).option("codec", codec).option("job", uuid.uuid4().hex).mode("append").save()
+    df.write.format("tablecraft_text").option("path", path).option("codec", codec).option("part_bytes", part_bytes).option("job", uuid.uuid4().hex).mode("append").save()

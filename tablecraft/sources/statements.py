@@ -10,7 +10,7 @@ before a cut (``-`` ``/`` ``*`` or a backslash) may need its successor, and is r
 Pass 2 starts each chunk in its true state and emits the statements that *begin* in it, reading past the chunk end only
 to finish the last one. Files of one chunk skip pass 1.
 
-Line mode (``DELIMITER`` aware) is sequential per file because its delimiter is data.
+Line mode (``DELIMITER`` aware) composes in the same way, over states that hold the delimiter in force as well.
 """
 
 from __future__ import annotations
@@ -18,9 +18,11 @@ from __future__ import annotations
 import gzip
 import io
 import itertools
+import json
 import lzma
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -418,7 +420,7 @@ def _planned(r, base: int, code: int, count: int, before: int) -> dict:
 def _frame(rows: list[dict], cols):
     import pandas as pd
 
-    kinds = {"string": "object", "array<int>": "object", "boolean": "boolean", "long": "Int64", "int": "Int32"}
+    kinds = {"string": "object", "array<int>": "object", "array<string>": "object", "boolean": "boolean", "long": "Int64", "int": "Int32"}
     return pd.DataFrame({n: pd.array([r.get(n) for r in rows], dtype=kinds[t]) for n, _, t in cols})
 
 
@@ -484,45 +486,177 @@ def _open_quote(line: str, quote: str, at: int) -> tuple[str, int]:
         quote, at = "" if quote else line[at], at + 1
 
 
-def split_lines(lines, delimiter: str = ";"):
+@dataclass(frozen=True)
+class LineState:
+    """Where a line splitter stands between two lines: the delimiter in force, and what an open statement left open."""
+
+    delimiter: str = ";"
+    inside: bool = False
+    quote: str = ""
+    skip: int = 0
+
+    def after(self, line: str) -> tuple[LineState, bool, bool]:
+        """The state behind ``line``, whether a statement opens with it, and whether one closes."""
+        opens = not self.inside
+        if opens:
+            head = line.strip()
+            if not head or head.startswith(("--", "#")):
+                return self, False, False
+            if (set_to := _new_delimiter(head)) is not None:
+                return LineState(set_to), False, False
+        quote, skip = _open_quote(line, self.quote, self.skip)
+        if not quote and line.rstrip().endswith(self.delimiter):
+            return LineState(self.delimiter), opens, True
+        return LineState(self.delimiter, True, quote, skip), opens, False
+
+    def packed(self) -> str:
+        return json.dumps([self.delimiter, self.inside, self.quote, self.skip])
+
+
+def _new_delimiter(head: str) -> str | None:
+    """What a DELIMITER line sets."""
+    command, _, value = head.partition(" ")
+    return value.strip() if command.upper() == "DELIMITER" and value else None
+
+
+def split_lines(lines, delimiter: str = ";", state: LineState | None = None, own: int | None = None):
     """Line-oriented splitter: (first line number, statement) per statement.
 
     Rules: between statements, blank lines and lines starting with ``--`` or ``#`` are passed over and
     ``DELIMITER xx`` sets the delimiter. Any other line opens a statement, which takes lines until one ends with
     the delimiter (white space aside) outside quotes. A backslash escapes the next character anywhere. The
     delimiter is cut off; what is open at the end of the input is a statement as well.
+
+    From another ``state`` the rest of its open statement is passed over; only statements that open within the first
+    ``own`` lines are returned, the last one whole.
     """
-    numbered = ((no, raw.removesuffix("\n")) for no, raw in enumerate(lines, 1))
-    for first, opening in numbered:
-        head = opening.strip()
-        if not head or head.startswith(("--", "#")):
-            continue
-        command, _, value = head.partition(" ")
-        if command.upper() == "DELIMITER" and value:
-            delimiter = value.strip()
-            continue
-        taken, quote, skip = [], "", 0
-        for line in itertools.chain([opening], (text for _, text in numbered)):
+    state, taken, first = state or LineState(delimiter), None, 0
+    for no, raw in enumerate(lines, 1):
+        line = raw.removesuffix("\n")
+        if own is not None and no > own and taken is None:
+            return
+        now, opens, closes = state.after(line)
+        if opens:
+            taken, first = [], no
+        if taken is not None:
             taken.append(line)
-            quote, skip = _open_quote(line, quote, skip)
-            if not quote and line.rstrip().endswith(delimiter):
-                yield first, "\n".join(taken).strip()[: -len(delimiter)].strip()
-                break
+            if closes:
+                yield first, "\n".join(taken).strip()[: -len(state.delimiter)].strip()
+                taken = None
+        state = now
+    if taken is not None and (rest := "\n".join(taken).strip()):
+        yield first, rest
+
+
+_LINES = [("path", pa.string(), "string"), ("size", pa.int64(), "long"), ("j", pa.int64(), "long"), ("lo", pa.int64(), "long"), ("hi", pa.int64(), "long")]
+_LINE_SCAN = [*_LINES, ("lines", pa.int64(), "long"), ("delims", pa.list_(pa.string()), "array<string>"), ("starts", pa.list_(pa.string()), "array<string>"), ("ends", pa.list_(pa.string()), "array<string>"),
+              ("opened", pa.list_(pa.int64()), "array<long>"), ("miss", pa.string(), "string"), ("count", pa.int64(), "long"), ("before", pa.int64(), "long")]
+_LINE_PLAN = [*_LINES, ("lines", pa.int64(), "long"), ("state", pa.string(), "string"), ("stmt_offset", pa.int64(), "long"), ("before", pa.int64(), "long")]
+_LINE_FOLD = [*_LINE_PLAN, ("delims", pa.list_(pa.string()), "array<string>"), ("miss", pa.string(), "string"), ("count", pa.int64(), "long")]
+#: Encodings in which a line feed is the byte 10 and no other character has that byte.
+_BY_BYTE = re.compile(r"(?i)^(utf[-_]?8|ascii|us-ascii|latin[-_]?1|iso[-_]?8859[-_]\d+|cp125\d|windows-125\d)$")
+
+
+def _line_cut(path: str, size: int, nominal: int) -> int:
+    """The first place behind a line feed at or after ``nominal``."""
+    pos = nominal - 1
+    while 0 <= pos < size:
+        blk = fs.read_range(path, pos, min(READ_BLOCK, size - pos))
+        if (k := blk.find(b"\n")) >= 0:
+            return pos + k + 1
+        pos += len(blk)
+    return 0 if nominal <= 0 else size
+
+
+def _text_lines(path: str, lo: int, hi: int, encoding: str) -> Iterator[str]:
+    """Lines in [lo, hi) of a plain file, without their line feeds."""
+    rest, pos = b"", lo
+    while pos < hi and (blk := fs.read_range(path, pos, min(BLOCK, hi - pos))):
+        pos += len(blk)
+        *lines, rest = (rest + blk).split(b"\n")
+        for x in lines:
+            yield x.decode(encoding)
+    if rest:
+        yield rest.decode(encoding)
+
+
+def _line_states(delims: list[str]) -> list[str]:
+    """States that a chunk may start in."""
+    out = []
+    for d in sorted({";", *delims}):
+        out += [LineState(d)] + [LineState(d, True, q, k) for q in ("", "'", '"', "`") for k in (0, 1)]
+    return [x.packed() for x in out]
+
+
+def _line_pass1(chunk_bytes: int, encoding: str):
+    """Per chunk: its lines, the state behind it and the statements that open in it, by the state it starts in."""
+
+    def run(batches):
+        for b in batches:
+            out = {n: [] for n, *_ in _LINE_SCAN}
+            for r in b.to_pylist():
+                if r["miss"] is None:
+                    r["lo"], r["hi"] = (_line_cut(r["path"], r["size"], j * chunk_bytes) for j in (r["j"], r["j"] + 1))
+                starts = [LineState().packed()] if r["miss"] is None else [r["miss"]] if r["miss"] else _line_states(r["delims"])
+                states, opened, lines, delims = [LineState(*json.loads(x)) for x in starts], [0] * len(starts), 0, set()
+                for line in _text_lines(r["path"], r["lo"], r["hi"], encoding):
+                    lines += 1
+                    if line.lstrip()[:9].upper() == "DELIMITER" and (d := _new_delimiter(line.strip())) is not None:
+                        delims.add(d)
+                    for i, st in enumerate(states):
+                        states[i], opens, _ = st.after(line)
+                        opened[i] += opens
+                row = r | {"lines": lines, "delims": sorted(delims), "starts": starts, "ends": [x.packed() for x in states], "opened": opened}
+                for k, v in out.items():
+                    v.append(row.get(k))
+            yield pa.RecordBatch.from_pydict(out, schema=pa.schema([(n, t) for n, t, _ in _LINE_SCAN]))
+
+    return run
+
+
+def _line_fold(pdf):
+    """Chunks of one file in order, from the first state on; where it is another, they wait for the scan from all states."""
+    pdf = pdf[pdf["hi"] > pdf["lo"]].sort_values("j")
+    delims = sorted({d for x in pdf["delims"] for d in x})
+    normal = LineState().packed()
+    state, count, before, out, missed = normal, 0, 0, [], False
+    for r in pdf.itertuples(index=False):
+        row = {n: getattr(r, n) for n, *_ in _LINES} | {"lines": r.lines, "state": state, "stmt_offset": count, "before": before}
+        if not missed and state == normal:
+            out.append(row)
+            state, count = r.ends[0], count + int(r.opened[0])
         else:
-            if rest := "\n".join(taken).strip():
-                yield first, rest
+            out.append(row | {"delims": delims, "miss": "" if missed else state, "count": count})
+            missed = True
+        before += int(r.lines)
+    return _frame(out, _LINE_FOLD)
+
+
+def _line_fold_tail(pdf):
+    pdf = pdf.sort_values("j")
+    state, count, out = pdf["miss"].iloc[0], int(pdf["count"].iloc[0]), []
+    for r in pdf.itertuples(index=False):
+        k = list(r.starts).index(state)
+        out.append({n: getattr(r, n) for n, *_ in _LINES} | {"lines": r.lines, "state": state, "stmt_offset": count, "before": r.before})
+        state, count = r.ends[k], count + int(r.opened[k])
+    return _frame(out, _LINE_PLAN)
 
 
 _LINE_ARROW = pa.schema([("file", pa.string()), ("stmt_no", pa.int64()), ("start_line", pa.int64()), ("stmt", pa.string())])
 
 
-def _line_task(encoding: str):
+def _line_pass2(encoding: str):
     def run(batches):
-        for path in (p for b in batches for p in b.column("path").to_pylist()):
-            out, held = [], 0
-            stream = io.TextIOWrapper(open_stream(path, detect_codec(path)), encoding=encoding, newline="\n")
-            for no, (line, stmt) in enumerate(split_lines(stream)):
-                out.append({"file": path, "stmt_no": no, "start_line": line, "stmt": stmt})
+        for r in (r for b in batches for r in b.to_pylist()):
+            path, out, held = r["path"], [], 0
+            if r["state"] is None:  # one task for the whole file
+                lines = io.TextIOWrapper(open_stream(path, detect_codec(path)), encoding=encoding, newline="\n")
+                found = split_lines(lines)
+            else:
+                lines = _text_lines(path, r["lo"], r["size"], encoding)
+                found = split_lines(lines, state=LineState(*json.loads(r["state"])), own=r["lines"])
+            for no, (line, stmt) in enumerate(found, r["stmt_offset"]):
+                out.append({"file": path, "stmt_no": no, "start_line": line + r["before"], "stmt": stmt})
                 held += len(stmt)
                 if held >= FLUSH_BYTES or len(out) >= 2048:
                     yield pa.RecordBatch.from_pylist(out, schema=_LINE_ARROW)
@@ -533,8 +667,29 @@ def _line_task(encoding: str):
     return run
 
 
-def read_statements_lines(spark: SparkSession, path: str, encoding: str = "utf-8") -> DataFrame:
-    """DataFrame(file, stmt_no, start_line, stmt), one task per file."""
+def read_statements_lines(spark: SparkSession, path: str, encoding: str = "utf-8", chunk_bytes: int | None = None) -> DataFrame:
+    """DataFrame(file, stmt_no, start_line, stmt).
+
+    Plain files are cut into chunks at line feeds. A chunk's effect on (delimiter, open quote, escape) is found from the
+    usual state first, and where a file leaves that state, from all states with a delimiter that the file sets anywhere;
+    the chunks of a file compose to the state in which each starts. Compressed files, and encodings in which a line feed
+    cannot be told by its byte, are one task per file.
+    """
+    chunk_bytes = chunk_bytes or DEFAULT_CHUNK
     files = list_dump_files(path)
-    fdf = spark.createDataFrame([(p,) for p, _ in files], "path string").repartition(max(1, len(files)))
-    return fdf.mapInArrow(_line_task(encoding), LINE_SCHEMA)
+    split = [(p, s) for p, s in files if s > chunk_bytes and not detect_codec(p) and _BY_BYTE.match(encoding)]
+    whole = [(p, s, 0, 0, s, None, None, 0, 0) for p, s in files if (p, s) not in set(split)]
+    parts = [spark.createDataFrame(whole, _ddl(_LINE_PLAN)).repartition(_tasks(len(whole)))] if whole else []
+    if split:
+        total = sum(-(-s // chunk_bytes) for _, s in split)
+        ensure_checkpoint_dir(spark)
+        none = lambda t: F.lit(None).cast(t)
+        chunks = spark.createDataFrame(split, "path string, size long").select("path", "size", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("size") / chunk_bytes) - 1)).alias("j"))
+        chunks = chunks.withColumns({"lo": none("long"), "hi": none("long"), "miss": none("string")}).repartition(_tasks(total))
+        folded = chunks.mapInArrow(_line_pass1(chunk_bytes, encoding), _ddl(_LINE_SCAN)).groupBy("path").applyInPandas(_line_fold, _ddl(_LINE_FOLD)).checkpoint(eager=True)  # one small row per chunk
+        tail = folded.where("miss IS NOT NULL").repartition(_tasks(total)).mapInArrow(_line_pass1(chunk_bytes, encoding), _ddl(_LINE_SCAN))
+        plan = folded.where("miss IS NULL").select(*[n for n, *_ in _LINE_PLAN]).unionByName(tail.groupBy("path").applyInPandas(_line_fold_tail, _ddl(_LINE_PLAN)))
+        parts.append(plan.repartition(_tasks(total)))
+    if not parts:
+        return spark.createDataFrame([], LINE_SCHEMA)
+    return (parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])).mapInArrow(_line_pass2(encoding), LINE_SCHEMA)

@@ -13,7 +13,7 @@ from test_splitter import rnd
 
 from tablecraft.sources import blocks
 from tablecraft.sources.splitter import N, Automaton, split_all
-from tablecraft.sources.statements import _possible, _Runner, read_statements
+from tablecraft.sources.statements import LineState, _possible, _Runner, read_statements, read_statements_lines, split_lines
 
 
 def packed(parts, codec):
@@ -156,3 +156,32 @@ def test_large_files_have_many_tasks(spark):
         st = read_statements(spark, path, chunk_bytes=100_000)
         assert st.rdd.getNumPartitions() > 4
         assert st.count() == 20_000 == st.select("stmt_no").distinct().count()
+
+
+def line_file(seed, n):
+    r = random.Random(seed)
+    words = ["SELECT 1", "'", '"', "`", "\\", ";", "//", "-- c", "# c", "DELIMITER //", "delimiter ;", "DELIMITER $$", "$$", "", "  ", "é", "a;b"]
+    return "\n".join(r.choice(["", " "]) + r.choice(words) + r.choice(["", ";", "//", "$$", " ;", "'x'", "\\"]) for _ in range(n))
+
+
+def test_line_states_compose():
+    for seed in range(200):
+        lines = line_file(seed, 30).split("\n")
+        want = list(split_lines(lines))
+        for cut in range(0, 30, 7):
+            state, opened = LineState(), 0
+            for line in lines[:cut]:
+                state, opens, _ = state.after(line)
+                opened += opens
+            first = list(split_lines(lines, own=cut)) if cut else []
+            rest = [(no + cut, t) for no, t in split_lines(lines[cut:], state=state, own=len(lines) - cut)]
+            assert first + rest == want and len(first) == opened, (seed, cut)
+
+
+def test_line_mode_by_chunks(spark, tmp_path):
+    for seed in range(2):
+        text = line_file(300 + seed, 60) + "\nlast 'open"
+        path, _ = put(tmp_path, text.encode(), f"{seed}.sql")
+        want = [(no, line, t) for no, (line, t) in enumerate(split_lines(text.split("\n")))]
+        got = sorted((r.stmt_no, r.start_line, r.stmt) for r in read_statements_lines(spark, path, chunk_bytes=20 + 70 * seed).collect())
+        assert got == want
