@@ -990,6 +990,7 @@ REGISTRY["uptime_report"] = q_uptime_report
 
 
 # -- dumps of other writers ------------------------------------------------------------
-from . import examples_dumps  # noqa: E402
+from . import examples_dumps, examples_jobs  # noqa: E402
 
 REGISTRY.update(examples_dumps.QUERIES)
+REGISTRY.update(examples_jobs.QUERIES)

@@ -288,3 +288,32 @@ def _union_all(parts: list[DataFrame]) -> DataFrame:
     for p in parts[1:]:
         out = out.unionByName(p)
     return out
+
+
+# ---------------------------------------------------------------------------
+# J2 index sizes, J7 renames, A12 totals of a job
+# ---------------------------------------------------------------------------
+def index_sizes(indexes: DataFrame, classes: DataFrame, namespaces: DataFrame, schema: str = "public") -> DataFrame:
+    """table_name, index_name, size of every index on a table of ``schema``, largest first.
+
+    ``indexes`` (index_id, table_id), ``classes`` (id, name, namespace_id, size) of tables and indexes alike,
+    ``namespaces`` (id, name). The schema is that of the table.
+    """
+    inside = namespaces.where(F.col("name") == schema).select(F.col("id").alias("namespace_id"))
+    tables = classes.join(inside, "namespace_id").select(F.col("id").alias("table_id"), F.col("name").alias("table_name"))
+    named = classes.select(F.col("id").alias("index_id"), F.col("name").alias("index_name"), "size")
+    return indexes.join(tables, "table_id").join(named, "index_id").select("table_name", "index_name", "size").orderBy(F.desc("size"), "table_name", "index_name")
+
+
+def rename_lookup(df: DataFrame, mapping: dict[str, str], col: str = "name", out: str = "target") -> DataFrame:
+    """``out`` is the new name that ``mapping`` has for ``col``, or the name itself."""
+    new = F.lit(None).cast("string")
+    if mapping:
+        new = F.create_map(*[F.lit(x) for pair in mapping.items() for x in pair])[F.col(f"`{col}`")]
+    return df.withColumn(out, F.coalesce(new, F.col(f"`{col}`")))
+
+
+def job_totals(files: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Files, tables, rows and bytes of a job, from one row per file (size, tables, rows); 0 without files."""
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long")
+    return files.groupBy(*by).agg(F.count(F.lit(1)).alias("files"), total("tables").alias("tables"), total("rows").alias("rows"), total("size").alias("bytes"))

@@ -403,6 +403,7 @@ ORACLES["uptime_report"] = f"""
     SELECT user_id, first_ts, last_ts, uptime_seconds, {_format_uptime('uptime_seconds')} AS uptime_text FROM s"""
 
 from .examples_dumps import SQL as _DUMP_SQL  # noqa: E402
+from .examples_jobs import SQL as _JOB_SQL  # noqa: E402
 
 _PAGE = """'INSERT INTO `pages` (`page_id`, `url`, `html`) VALUES' || {gap} || '(' || CAST(page_id AS VARCHAR) || ', ' || {url} || ', ' || {html} || ');'"""
 
@@ -411,7 +412,8 @@ def _pages(gap: str) -> str:
     return f"SELECT {_PAGE.format(gap=gap, url=lit_str('url'), html=lit_str('html'))} AS stmt FROM pages"
 
 
-ORACLES.update(_DUMP_SQL)
+ORACLES.update(_DUMP_SQL | _JOB_SQL)
+ORACLES["sync_by_digest"] = ORACLES["sync_changes"] + " WHERE action <> 'same'"
 ORACLES.update({
     "dump_statements_one_line": _pages("' '"),
     "dump_statements_zst_parts": _pages("chr(10)"),

@@ -17,6 +17,7 @@ numbered in key order (W3) and batches are global, like a sequential dump.
 
 from __future__ import annotations
 
+import itertools
 import json
 import time
 from concurrent.futures import ThreadPoolExecutor
@@ -32,6 +33,7 @@ from ..functions.dialect import create_table_sql, drop_table_sql, insert_prefix,
 from ..operators.sequence import with_sequence
 from ..sources import fs
 from ..tableset import TableSet
+from .progress import Event
 from .textsink import write_text
 
 ROWS_PER_INSERT = 1000  # fixed value: default rows per INSERT statement
@@ -177,14 +179,15 @@ def table_dir(root: str, i: int, table: str) -> str:
 
 def write_dump(ts: TableSet, path: str, dialect: str = "mysql", tables=None, data: bool = True, create: bool = True,
                drop: bool = True, codec: str | None = None, batch: int = ROWS_PER_INSERT, order_by: dict | None = None,
-               parts: int | None = None, parallel: int = 4, primary_keys: dict | None = None) -> JobStats:
+               parts: int | None = None, parallel: int = 4, primary_keys: dict | None = None, progress=None) -> JobStats:
     """K1: dump every (or the listed) table; returns job accounting (K8).
 
     ``codec``: None, gzip, zstd or xz. ``parts``: output files per table
     (coalesce without shuffle); default keeps the input partitioning.
-    ``order_by``: {table: key} for key-ordered global batches.
+    ``order_by``: {table: key} for key-ordered global batches. ``progress`` gets an ``Event`` per table (H3).
     """
     t0 = time.time()
+    done = itertools.count(1)
     sel = ts.select(tables)
     root = path.rstrip("/")
     fs.write_bytes(f"{root}/000000_header.sql", _header(dialect).encode())
@@ -221,6 +224,8 @@ def write_dump(ts: TableSet, path: str, dialect: str = "mysql", tables=None, dat
         files = fs.list_files(d)
         info.files = [p for p, _ in files]
         info.bytes = sum(s for _, s in files)
+        if progress:
+            progress(Event("dump", "table", name, None, next(done), len(sel), info.rows, info.bytes))
         return info
 
     items = list(enumerate(sel.names(), start=1))

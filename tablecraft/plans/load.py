@@ -33,6 +33,7 @@ from ..sources import fs
 from ..sources.inserts import DEFAULT, DOT, JOINT, RAW_DDL, constant, decode_raw, typed
 from ..sources.statements import DEFAULT_CHUNK, MAX_STATEMENT, detect_codec, list_dump_files, read_statements
 from ..tableset import TableSet
+from .progress import Event
 from .scope import Position, Scopes, Source, Target, resolve, with_namespace
 
 
@@ -77,7 +78,7 @@ def _forms(raw: DataFrame) -> list:
     use = F.col("_use") if "_use" in raw.columns else F.lit(None).cast("string")
     text = F.when(F.col("_kind") != "use", F.col("_stmt"))
     keys = [F.col(f"_{c}").alias(c) for c in ("table", "kind", "mode", "cols", "width")]
-    return raw.groupBy(*keys, use.alias("use"), text.alias("stmt")).agg(F.max(F.struct("_file", "_stmt_no")).alias("at")).collect()
+    return raw.groupBy(*keys, use.alias("use"), text.alias("stmt")).agg(F.max(F.struct("_file", "_stmt_no")).alias("at"), F.count(F.lit(1)).alias("rows")).collect()
 
 
 def _targets(shapes: list, scopes: Scopes, schemas: dict | None, tables) -> tuple[list[Target], list[tuple[str, str | None, Position | None]]]:
@@ -214,14 +215,15 @@ def stage_rows(df: DataFrame, name: str) -> DataFrame:
 def load_dump(spark: SparkSession, path: str, dialect: str = "mysql", tables=None, schemas: dict | None = None,
               rename: dict | None = None, batch: int = STATEMENTS_PER_BATCH, on_error: str = "fail",
               chunk_bytes: int | None = None, max_stmt_bytes: int = MAX_STATEMENT, start_byte: int | dict = 0,
-              stage: bool = True, encoding: str = "utf-8") -> LoadResult:
+              stage: bool = True, encoding: str = "utf-8", progress=None, only: Column | None = None) -> LoadResult:
     """Load a dump directory (or file) into typed DataFrames.
 
     ``schemas``: {table: StructType}; defaults to the dump's own schema files, and without such to its CREATE TABLE
     statements. A plain name stands for the table in every namespace, ``ns.name`` for that of one. From CREATE TABLE
     statements, tables of several namespaces are named ``ns.name`` and kept apart. ``tables`` restricts the load to
     some; INSERTs of all others are then passed over, else an INSERT of a table without a schema is a reject.
-    ``rename``: {old: new} names.
+    ``rename``: {old: new} names. ``only`` restricts the load to some statements (a condition on file, stmt_no and the
+    like). ``progress`` gets an ``Event`` per table (H3): its rows as they were read from the dump.
 
     The result holds what the dump leaves in the tables: rows before a DROP, TRUNCATE or unconditional DELETE of their
     table are gone, columns that a statement leaves out have the defaults of the definition, and where a table with a
@@ -232,7 +234,7 @@ def load_dump(spark: SparkSession, path: str, dialect: str = "mysql", tables=Non
     began = time.time()
     d = norm_dialect(dialect)
     stmts = read_statements(spark, path, dialect, chunk_bytes=chunk_bytes, max_stmt_bytes=max_stmt_bytes, start_byte=start_byte, encoding=encoding)
-    stmts = filter_statements(stmts, rename=bool(rename))
+    stmts = filter_statements(stmts if only is None else stmts.where(only), rename=bool(rename))
     files = list_dump_files(path)
     tasks, cores = sum(1 if detect_codec(f) else -(-size // (chunk_bytes or DEFAULT_CHUNK)) for f, size in files), spark.sparkContext.defaultParallelism
     if tasks < cores:  # a few files or chunks: their statements are shared out before they are read value by value
@@ -277,7 +279,10 @@ def load_dump(spark: SparkSession, path: str, dialect: str = "mysql", tables=Non
             text = stmts.where((F.col("file") == r["_file"]) & (F.col("stmt_no") == r["_stmt_no"])).select("stmt").take(1)
             raise ValueError(f"batch {r['_stmt_no'] // batch} of {r['_file']} failed at statement {r['_stmt_no']}: {r['_error']}: {text[0].stmt[:200] if text else ''}")
     out = {}
-    for t in targets:
+    for done, t in enumerate(targets, 1):
+        if progress:
+            read = sum(r["rows"] for r in shapes if any(r["table"] == x.table and r["use"] == x.use for x in t.sources))
+            progress(Event("load", "table", t.name, None, done, len(targets), read))
         good = decoded[t.name]
         if on_error == "skip":  # otherwise no batch has failed
             good = good_rows(good.where(~F.col("_bad")), outcomes, seq="_stmt_no", size=batch, by=("_file",))

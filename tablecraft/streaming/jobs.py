@@ -17,6 +17,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.health import health_levels
 from ..plans.load import load_dump
+from ..sources import fs
 
 
 BINARY_FILE_SCHEMA = "path string, modificationTime timestamp, length long, content binary"
@@ -84,6 +85,49 @@ def run_to_table(df: DataFrame, path: str, mode: str = "complete", checkpoint: s
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def upsert_latest(spark: SparkSession, batch: DataFrame, batch_id: int, path: str, key: str, ts: str, buckets: int = 16) -> None:
+    """One micro-batch into a table of the newest row per key; doing it again changes nothing.
+
+    Keys are dealt to buckets, each a folder per version. Only buckets that the batch touches get a new version, made of
+    their last older one and the batch; a version is there once its ``_SUCCESS`` is.
+    """
+    rows = batch.withColumn("_bucket", F.pmod(F.xxhash64(F.col(f"`{key}`").cast("string")), F.lit(buckets)).cast("int"))
+    cols = [c for c in batch.columns if c != key]
+    newest = lambda df: df.groupBy(key).agg(F.max_by(F.struct(*cols), F.struct(F.col(ts), F.xxhash64(*cols))).alias("_row")).select(key, "_row.*").select(*batch.columns)
+    rows = rows.persist()
+    try:
+        for bucket in sorted(r[0] for r in rows.select("_bucket").distinct().collect()):  # at most ``buckets``
+            folder = f"{path.rstrip('/')}/bucket={bucket}"
+            older = [v for v in _versions(folder) if v < batch_id]
+            own = newest(rows.where(F.col("_bucket") == bucket).drop("_bucket"))
+            if older:
+                own = newest(own.unionByName(spark.read.schema(batch.schema).parquet(f"{folder}/version={older[-1]}")))
+            own.write.mode("overwrite").parquet(f"{folder}/version={batch_id}")
+            for v in older[:-1]:
+                fs.delete_dir(f"{folder}/version={v}")
+    finally:
+        rows.unpersist()
+
+
+def _versions(folder: str) -> list[int]:
+    dirs = fs.list_dirs(folder) if fs.exists(folder) else []
+    return sorted(int(d.rsplit("=", 1)[1]) for d in dirs if "version=" in d and fs.exists(f"{d}/_SUCCESS"))
+
+
+def read_latest(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """The table that ``upsert_latest`` keeps."""
+    newest = [f"{d}/version={vs[-1]}" for d in (fs.list_dirs(path) if fs.exists(path) else []) if (vs := _versions(d))]
+    return spark.read.schema(schema).parquet(*newest) if newest else spark.createDataFrame([], schema)
+
+
+def run_latest_to_table(stream: DataFrame, path: str, checkpoint: str, key: str = "server", ts: str = "ts", buckets: int = 16) -> DataFrame:
+    """T2 into a table: every micro-batch changes the keys that it holds only."""
+    spark = stream.sparkSession
+    w = stream.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True)
+    w.foreachBatch(lambda batch, batch_id: upsert_latest(spark, batch, batch_id, path, key, ts, buckets)).start().awaitTermination()
+    return read_latest(spark, path, stream.schema)
+
+
 def stream_health(stream: DataFrame, lag: str = "lag_seconds") -> DataFrame:
     """T3 on a stream: stateless level / health columns per arriving row."""
     return health_levels(stream, lag)

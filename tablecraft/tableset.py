@@ -7,6 +7,7 @@ S1 scan, S2 paging, P3 subset, K7 save. Nothing here runs a job except
 from __future__ import annotations
 
 import math
+import uuid
 from collections import OrderedDict
 from collections.abc import Iterable, Mapping
 
@@ -92,6 +93,13 @@ class TableSet(Mapping):
             df.createOrReplaceTempView(f"{prefix}{n}")
         return self
 
+    def save_to_catalog(self, namespace: str, if_exists: str = "error") -> "TableSet":
+        """K7 for every table, into the session catalog; with ``error`` nothing is written if any table is there."""
+        spark = next(iter(self._tables.values())).sparkSession
+        if if_exists == "error" and (there := [n for n in self._tables if spark.catalog.tableExists(f"{quote_spark(namespace)}.{quote_spark(n)}")]):
+            raise FileExistsError(f"tables exist in {namespace}: {there}")
+        return TableSet({n: save_catalog_table(df, namespace, n, if_exists) for n, df in self._tables.items()}, name=namespace)
+
     def save(self, root: str, mode: str = "errorifexists") -> None:
         """K7 for every table: ``<root>/<table>.parquet``."""
         for n, df in self._tables.items():
@@ -137,6 +145,42 @@ def save_table(df: DataFrame, path: str, mode: str = "errorifexists", fmt: str =
     df.write.mode(mode).format(fmt).save(path)
 
 
+def save_catalog_table(df: DataFrame, namespace: str, name: str, if_exists: str = "error", fmt: str = "parquet") -> DataFrame:
+    """K7 into the session catalog: a table of ``namespace``, which is created if need be; returns the table.
+
+    ``replace`` writes the rows into a new table first and then swaps names, so the present table may be read by ``df``,
+    and stays as it is if the write fails; ``append`` adds rows by column name; ``skip`` keeps a present table.
+    """
+    if if_exists not in ("error", "replace", "append", "skip"):
+        raise ValueError("if_exists is 'error', 'replace', 'append' or 'skip'")
+    spark = df.sparkSession
+    full = lambda n: f"{quote_spark(namespace)}.{quote_spark(n)}"
+    spark.sql(f"CREATE DATABASE IF NOT EXISTS {quote_spark(namespace)}")
+    there = spark.catalog.tableExists(full(name))
+    if there and if_exists == "error":
+        raise FileExistsError(f"table {namespace}.{name} exists")
+    if not there:
+        df.write.format(fmt).saveAsTable(full(name))
+    elif if_exists == "append":
+        df.select(*spark.table(full(name)).columns).write.insertInto(full(name))
+    elif if_exists == "replace":
+        tag = uuid.uuid4().hex[:12]
+        new, old = f"{name}__new_{tag}", f"{name}__old_{tag}"
+        try:
+            df.write.format(fmt).saveAsTable(full(new))
+        except BaseException:
+            spark.sql(f"DROP TABLE IF EXISTS {full(new)}")
+            raise
+        spark.sql(f"ALTER TABLE {full(name)} RENAME TO {full(old)}")
+        try:
+            spark.sql(f"ALTER TABLE {full(new)} RENAME TO {full(name)}")
+        except BaseException:
+            spark.sql(f"ALTER TABLE {full(old)} RENAME TO {full(name)}")
+            raise
+        spark.sql(f"DROP TABLE {full(old)}")
+    return spark.table(full(name))
+
+
 # ---------------------------------------------------------------------------
 # Section 3.1: plain SQL text
 # ---------------------------------------------------------------------------
