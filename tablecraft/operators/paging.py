@@ -52,5 +52,6 @@ def page_index(df: DataFrame, keys: Sequence[str], path: str, ranges: int | None
     n = ranges or int(spark.conf.get("spark.sql.shuffle.partitions"))
     path = path.rstrip("/")
     df.repartitionByRange(n, *keys).sortWithinPartitions(*keys).withColumn("_range", F.spark_partition_id()).write.partitionBy("_range").parquet(path)
-    counts = sorted((r["_range"], r["count"]) for r in spark.read.parquet(path).groupBy("_range").count().collect())
+    placed = T.StructType([*df.schema.fields, T.StructField("_range", T.IntegerType())])
+    counts = sorted((r["_range"], r["count"]) for r in spark.read.schema(placed).parquet(path).groupBy("_range").count().collect())
     return PageIndex(spark, path, keys, df.schema, [k for k, _ in counts], list(accumulate(c for _, c in counts)))

@@ -17,6 +17,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.health import health_levels
 from ..plans.load import load_dump
+from ..session import staging_path
 from ..sources import fs
 
 
@@ -88,35 +89,49 @@ def run_to_table(df: DataFrame, path: str, mode: str = "complete", checkpoint: s
 def upsert_latest(spark: SparkSession, batch: DataFrame, batch_id: int, path: str, key: str, ts: str, buckets: int = 16) -> None:
     """One micro-batch into a table of the newest row per key; doing it again changes nothing.
 
-    Keys are dealt to buckets, each a folder per version. Only buckets that the batch touches get a new version, made of
-    their last older one and the batch; a version is there once its ``_SUCCESS`` is.
+    Keys are dealt to buckets. A micro-batch writes one version that holds the buckets it touches, made of their last
+    older version and the batch; a version counts once its ``_SUCCESS`` is there. Versions that no bucket needs any more
+    are removed, but for the one before, which doing the batch again needs.
     """
-    rows = batch.withColumn("_bucket", F.pmod(F.xxhash64(F.col(f"`{key}`").cast("string")), F.lit(buckets)).cast("int"))
+    path = path.rstrip("/")
     cols = [c for c in batch.columns if c != key]
+    bucket = F.pmod(F.xxhash64(F.col(f"`{key}`").cast("string")), F.lit(buckets)).cast("int")
     newest = lambda df: df.groupBy(key).agg(F.max_by(F.struct(*cols), F.struct(F.col(ts), F.xxhash64(*cols))).alias("_row")).select(key, "_row.*").select(*batch.columns)
-    rows = rows.persist()
-    try:
-        for bucket in sorted(r[0] for r in rows.select("_bucket").distinct().collect()):  # at most ``buckets``
-            folder = f"{path.rstrip('/')}/bucket={bucket}"
-            older = [v for v in _versions(folder) if v < batch_id]
-            own = newest(rows.where(F.col("_bucket") == bucket).drop("_bucket"))
-            if older:
-                own = newest(own.unionByName(spark.read.schema(batch.schema).parquet(f"{folder}/version={older[-1]}")))
-            own.write.mode("overwrite").parquet(f"{folder}/version={batch_id}")
-            for v in older[:-1]:
-                fs.delete_dir(f"{folder}/version={v}")
-    finally:
-        rows.unpersist()
-
-
-def _versions(folder: str) -> list[int]:
-    dirs = fs.list_dirs(folder) if fs.exists(folder) else []
+    held = staging_path(spark, "latest-batch")
+    newest(batch).withColumn("_bucket", bucket).write.parquet(held)
+    own = spark.read.parquet(held)
+    touched = {r[0] for r in own.select("_bucket").distinct().collect()}  # at most ``buckets``
+    if not touched:
+        return
+    present = _newest(path, batch_id)
+    rows = own.select(*batch.columns)
+    if old := [f"{path}/version={v}/bucket={b}" for b, v in present.items() if b in touched]:
+        rows = rows.unionByName(spark.read.schema(batch.schema).parquet(*old))
+    newest(rows).withColumn("bucket", bucket).write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/version={batch_id}")
+    needed = set(_newest(path).values()) | set(present.values())
+    for v in _versions(path):
+        if v not in needed and v < batch_id:
+            fs.delete_dir(f"{path}/version={v}")
+
+
+def _versions(path: str) -> list[int]:
+    dirs = fs.list_dirs(path) if fs.exists(path) else []
     return sorted(int(d.rsplit("=", 1)[1]) for d in dirs if "version=" in d and fs.exists(f"{d}/_SUCCESS"))
 
 
+def _newest(path: str, before: int | None = None) -> dict[int, int]:
+    """The newest version (older than ``before``) of each bucket."""
+    out = {}
+    for v in _versions(path):
+        if before is None or v < before:
+            out |= {int(d.rsplit("=", 1)[1]): v for d in fs.list_dirs(f"{path}/version={v}") if "bucket=" in d}
+    return out
+
+
 def read_latest(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """The table that ``upsert_latest`` keeps."""
-    newest = [f"{d}/version={vs[-1]}" for d in (fs.list_dirs(path) if fs.exists(path) else []) if (vs := _versions(d))]
+    path = path.rstrip("/")
+    newest = [f"{path}/version={v}/bucket={b}" for b, v in _newest(path).items()]
     return spark.read.schema(schema).parquet(*newest) if newest else spark.createDataFrame([], schema)
 
 
