@@ -7,12 +7,16 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .operators import bulk, digest, paging, stats
+from .functions import formats as fmt
+from .functions.ddl import rename_table
+from .functions.dialect import create_table_sql, sql_literal
+from .operators import digest, paging, retention, stats
 from .plans import backup
 from .plans.dump import write_dump
 from .plans.journal import load_journaled, read_journaled
 from .plans.load import load_dump
 from .plans.progress import ProgressTable
+from .plans.textsink import write_text
 from .session import staging_path
 from .sources import fs
 from .streaming import jobs as streams
@@ -117,7 +121,36 @@ def q_stream_latest_upsert(spark, sf_dir):
     return streams.read_latest(spark, out, e.schema)
 
 
+def q_replication_lag(spark, sf_dir):
+    """Users as replicas (odd ones) and primaries; errors never replayed anything."""
+    e = _read(spark, sf_dir, "events")
+    replay = F.when(F.col("event_type") != "error", F.col("ts"))
+    return e.select("event_id", fmt.replication_lag(F.col("user_id") % 2 == 1, replay, F.lit("2030-01-01 00:00:00").cast("timestamp_ntz")).alias("lag_seconds"))
+
+
+def q_schedules_json(spark, sf_dir):
+    """Nations as schedules: written as a JSON document by each region, read back."""
+    n = _read(spark, sf_dir, "nation")
+    due = F.when(F.col("n_nationkey") > 5, F.timestamp_seconds(F.lit(1_700_000_000) + F.col("n_nationkey") * 60))
+    rows = n.select("n_regionkey", F.struct(F.col("n_name").alias("id"), F.lit("shop").alias("database"), (F.col("n_nationkey") % 2 == 0).alias("enabled"), F.lit("daily").alias("interval"), F.col("n_nationkey").cast("int").alias("retain_count"), due.alias("next_run")).alias("s"))
+    docs = rows.groupBy("n_regionkey").agg(F.to_json(F.struct(F.collect_list("s").alias("schedules"))).alias("value"))
+    out = staging_path(spark, "schedules")
+    docs.repartitionByRange("n_regionkey").write.partitionBy("n_regionkey").text(out)  # a file for each region
+    return retention.read_schedules(spark, out).select("id", "database", "enabled", "interval", "retain_count", F.unix_seconds("next_run").alias("next_run"))
+
+
+def q_ddl_defaults(spark, sf_dir):
+    """Definitions with defaults and lengths, written (K4), renamed (F21) and read back by a load of all customers."""
+    c = _read(spark, sf_dir, "customer")
+    out = staging_path(spark, "ddl-defaults")
+    ddl = create_table_sql(c.select("c_custkey", "c_name", "c_mktsegment").schema, "customer", "mysql", ["c_custkey"], {"c_mktsegment": "'NONE, (yet)'"}, {"c_mktsegment": 20})
+    fs.write_bytes(f"{out}/00.sql", rename_table(ddl, "customer", "people").encode())
+    write_text(c.select(F.concat(F.lit("INSERT INTO people (c_custkey, c_name) VALUES ("), F.col("c_custkey"), F.lit(", "), sql_literal(F.col("c_name"), c.schema["c_name"].dataType, "mysql"), F.lit(");")).alias("stmt")), f"{out}/data")
+    return load_dump(spark, out, "mysql").tables["people"]
+
+
 QUERIES = {
+    "replication_lag": q_replication_lag, "schedules_json": q_schedules_json, "ddl_defaults": q_ddl_defaults,
     "index_sizes": q_index_sizes, "rename_lookup": q_rename_lookup, "job_totals": q_job_totals, "progress_rows": q_progress_rows, "catalog_roundtrip": q_catalog_roundtrip,
     "sync_by_digest": q_sync_by_digest, "load_resumed": q_load_resumed, "page_at": q_page_at, "stream_latest_upsert": q_stream_latest_upsert,
 }
@@ -126,6 +159,10 @@ _COUNT = " UNION ALL ".join(f"SELECT '{t}' AS name, count(*) AS n FROM {t}" for
 _TOTAL = " + ".join(f"(SELECT count(*) FROM {t})" for t in SHOP + REF)
 
 SQL = {
+    "replication_lag": """SELECT event_id, CASE WHEN user_id % 2 = 1 AND event_type <> 'error' THEN date_diff('microsecond', ts, TIMESTAMP '2030-01-01 00:00:00') / 1e6 ELSE 0.0::DOUBLE END AS lag_seconds FROM events""",
+    "schedules_json": """SELECT n_name AS id, 'shop' AS database, n_nationkey % 2 = 0 AS enabled, 'daily' AS interval, CAST(n_nationkey AS INTEGER) AS retain_count,
+                                CASE WHEN n_nationkey > 5 THEN CAST(1700000000 + n_nationkey * 60 AS BIGINT) END AS next_run FROM nation""",
+    "ddl_defaults": "SELECT c_custkey, c_name, 'NONE, (yet)' AS c_mktsegment FROM customer",
     "index_sizes": """SELECT n_name AS table_name, c_name AS index_name, CAST(round(c_acctbal * 100) AS BIGINT) AS size
                       FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE r_name = 'EUROPE'""",
     "rename_lookup": "SELECT o_orderkey, o_orderstatus, CASE o_orderstatus WHEN 'F' THEN 'finished' WHEN 'O' THEN 'open' ELSE o_orderstatus END AS target FROM orders",

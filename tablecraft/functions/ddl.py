@@ -36,6 +36,7 @@ class TableDef:
     namespace: str | None = None
     filled: set[str] = field(default_factory=set)
     required: set[str] = field(default_factory=set)
+    lengths: dict[str, int] = field(default_factory=dict)
 
 
 def _plain(name: str) -> str:
@@ -93,7 +94,7 @@ def parse_create_table(stmt: str, dialect: str = "mysql") -> TableDef | None:
     if not m:
         return None
     namespace, name = _qualified(m.group("name"))
-    fields, defaults, key, filled, needed = [], {}, [], set(), set()
+    fields, defaults, key, filled, needed, lengths = [], {}, [], set(), set(), {}
     for item in _items(stmt[m.end() :]):
         if pk := _KEY.match(item):
             key = [_plain(c) for c in re.findall(_WORD, pk.group("cols"))]
@@ -108,12 +109,25 @@ def parse_create_table(stmt: str, dialect: str = "mysql") -> TableDef | None:
         if d := re.search(r"\bDEFAULT\s+('(?:[^'\\]|\\.|'')*'|[^\s,]+)", rest, re.I):
             if not d.group(1).lower().startswith("nextval("):
                 defaults[column] = d.group(1)
+        if re.match(r"(?:VAR)?CHAR|CHARACTER", c.group("type"), re.I) and (c.group("args") or "").strip().isdigit():
+            lengths[column] = int(c.group("args"))
         if _FILLED.search(rest) or "serial" in c.group("type").lower():
             filled.add(column)
         if re.search(r"\bNOT\s+NULL\b", rest, re.I):
             needed.add(column)
         fields.append(T.StructField(column, spark_type(c.group("type"), c.group("args"), rest, dialect)))
-    return TableDef(name, T.StructType(fields), defaults, key, namespace, filled, needed - set(defaults) - filled)
+    return TableDef(name, T.StructType(fields), defaults, key, namespace, filled, needed - set(defaults) - filled, lengths)
+
+
+def rename_table(stmt: str, old: str, new: str) -> str:
+    """a CREATE TABLE statement with the name ``old`` (quoted or not, qualified or not) replaced by ``new``; else as it is."""
+    m = _CREATE.match(stmt)
+    if not m or name_parts(m.group("name"))[-1] != old:
+        return stmt
+    last = list(re.finditer(_WORD, m.group("name")))[-1]
+    quote = last.group()[0] if last.group()[0] in "`\"" else "" if re.fullmatch(r"[A-Za-z_]\w*", new) else '"'
+    at = m.start("name")
+    return stmt[: at + last.start()] + quote + new.replace(quote, quote * 2 if quote else "") + quote + stmt[at + last.end() :]
 
 
 # ---------------------------------------------------------------------------

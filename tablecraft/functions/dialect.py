@@ -159,13 +159,23 @@ def sql_type(dtype: T.DataType, dialect: str) -> str:
     return "JSON" if d == "mysql" else "JSONB"
 
 
-def create_table_sql(schema: T.StructType, table: str, dialect: str = "mysql", primary_key: list[str] | None = None) -> str:
-    """K4: CREATE TABLE text from a schema: name, type, NOT NULL, PRIMARY KEY."""
+def create_table_sql(schema: T.StructType, table: str, dialect: str = "mysql", primary_key: list[str] | None = None,
+                     defaults: dict[str, str] | None = None, lengths: dict[str, int] | None = None) -> str:
+    """K4: CREATE TABLE text from a schema: name, type, NOT NULL, DEFAULT, PRIMARY KEY.
+
+    ``defaults``: {column: SQL text of its default}. ``lengths``: {column: most characters of a text}; MySQL text columns
+    with a length are VARCHAR, and only those can have a default.
+    """
     lines = []
     for f in schema.fields:
-        line = f"  {quote_ident(f.name, dialect)} {sql_type(f.dataType, dialect)}"
+        kind = sql_type(f.dataType, dialect)
+        if isinstance(f.dataType, T.StringType) and f.name in (lengths or {}):
+            kind = f"VARCHAR({lengths[f.name]})"
+        line = f"  {quote_ident(f.name, dialect)} {kind}"
         if not f.nullable:
             line += " NOT NULL"
+        if f.name in (defaults or {}):
+            line += f" DEFAULT {defaults[f.name]}"
         lines.append(line)
     if primary_key:
         lines.append(f"  PRIMARY KEY ({', '.join(quote_ident(c, dialect) for c in primary_key)})")

@@ -60,6 +60,11 @@ def seconds_between(start: Column, end: Column) -> Column:
     return F.timestamp_diff("MICROSECOND", start, end) / 1e6
 
 
+def replication_lag(is_replica: Column, last_replay: Column, now: Column) -> Column:
+    """seconds since a replica's last replayed transaction; 0 on a primary, and where nothing was replayed yet."""
+    return F.when(is_replica, F.coalesce(seconds_between(last_replay, now), F.lit(0.0))).otherwise(F.lit(0.0))
+
+
 def uptime_seconds(start: Column, now: Column) -> Column:
     """F16: whole seconds since ``start``, rounded like ``EXTRACT(EPOCH ...)::integer``."""
     return F.round(seconds_between(start, now)).cast("int")

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..sources import fs
+
 
 def retention_plan(backups: DataFrame, retain: int | DataFrame, id_col: str = "id", ts_col: str = "timestamp",
                    dbs_col: str = "databases") -> DataFrame:
@@ -69,3 +71,30 @@ def due_schedules(df: DataFrame, now: Column, enabled: str = "enabled", next_col
     """Enabled schedules whose next run is set and before ``now``, with the following run."""
     due = df.where(F.col(enabled) & F.col(next_col).isNotNull() & (F.col(next_col) < now))
     return due.withColumn("following_run", next_run(F.col(next_col), F.col(interval)))
+
+
+# schedules as a JSON document {"schedules": [...]}; fields that are empty may be left out.
+SCHEDULE_SCHEMA = (
+    "id string, database string, enabled boolean, interval string, compression string, retain_count int, "
+    "last_run timestamp, next_run timestamp, profile string, created_at timestamp, updated_at timestamp"
+)
+
+
+def read_schedules(spark: SparkSession, path: str) -> DataFrame:
+    """one row per schedule of the JSON files at ``path``; no file, no schedules. Unreadable JSON is an error.
+
+    A time that was never set (year 1) is null, as one that is left out.
+    """
+    if not fs.exists(path):
+        return spark.createDataFrame([], SCHEDULE_SCHEMA)
+    files = [p for p, _ in fs.list_files(path)]
+    if not files:
+        return spark.createDataFrame([], SCHEDULE_SCHEMA)
+    doc = spark.read.schema(f"schedules array<struct<{SCHEDULE_SCHEMA.replace(' ', ':').replace(',:', ',')}>>").option("multiLine", True).option("mode", "FAILFAST").json(files)
+    rows = doc.select(F.explode("schedules").alias("s")).select("s.*")
+    return rows.withColumns({c: F.when(F.year(c) > 1, F.col(c)) for c in ("last_run", "next_run")})
+
+
+def schedules_json(df: DataFrame) -> DataFrame:
+    """one JSON text per schedule (column value); null fields are left out."""
+    return df.select(F.to_json(F.struct(*df.columns)).alias("value"))

@@ -20,10 +20,16 @@ _LOW = (1 << 33) - 1
 
 
 def with_sequence(df: DataFrame, order_by: list[str | Column] | str, out: str = "seq", partitions: int | None = None) -> DataFrame:
-    """Adds ``out`` = 0-based rank of each row in ``order_by`` order (ties keep scan order)."""
+    """Adds ``out`` = 0-based rank of each row in ``order_by`` order.
+
+    Ties are in the order of a hash of the whole row, so they are the same in every run, and rows of one key that are
+    very many go to several partitions. (Columns that hold maps do not enter the hash.)
+    """
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
     keys = [order_by] if isinstance(order_by, (str, Column)) else list(order_by)
+    hashed = [F.col(f"`{f.name}`") for f in df.schema.fields if "map<" not in f.dataType.simpleString()]
+    keys = [*keys, F.xxhash64(*hashed)] if hashed else keys
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     pinned = (
         df.repartitionByRange(n, *keys)

@@ -148,3 +148,26 @@ def test_catalog_operators(spark):
     files = spark.createDataFrame([(10, 2, 5), (1, 1, None)], "size long, tables int, rows long")
     assert stats.job_totals(files).collect()[0].asDict() == {"files": 2, "tables": 3, "rows": 5, "bytes": 11}
     assert stats.job_totals(files.limit(0)).collect()[0].asDict() == {"files": 0, "tables": 0, "rows": 0, "bytes": 0}
+
+
+def test_definitions_and_schedules(spark):
+    from tablecraft.functions.ddl import parse_create_table, rename_table
+    from tablecraft.functions.dialect import create_table_sql
+    from tablecraft.functions.formats import replication_lag
+    from tablecraft.operators import retention
+
+    for dialect in ("mysql", "postgres"):
+        text = create_table_sql(AB, "t", dialect, ["a"], {"b": "'x, (y'", "a": "-1"}, {"b": 9})
+        d = parse_create_table(text, dialect)
+        assert (d.defaults, d.lengths, d.primary_key) == ({"b": "'x, (y'", "a": "-1"}, {"b": 9}, ["a"])
+    assert rename_table("CREATE TABLE `d`.`t` (t int)", "t", "u`v") == "CREATE TABLE `d`.`u``v` (t int)"
+    assert rename_table("create table if not exists t (t int)", "t", "u") == "create table if not exists u (t int)"
+    assert rename_table("CREATE TABLE x (t int)", "t", "u") == "CREATE TABLE x (t int)"
+    path = fresh("sched") + ".json"
+    assert retention.read_schedules(spark, path).count() == 0
+    fs.write_bytes(path, b'{"schedules": [{"id": "a", "enabled": true, "next_run": "0001-01-01T00:00:00Z", "last_run": "2024-01-02T03:04:05Z"}, {"id": "b"}]}')
+    got = {r["id"]: (r["enabled"], r["next_run"] is None, r["last_run"] is None) for r in retention.read_schedules(spark, path).collect()}
+    assert got == {"a": (True, True, False), "b": (None, True, True)}
+    assert [r["value"] for r in retention.schedules_json(spark.createDataFrame([("a", None)], "id string, profile string")).collect()] == ['{"id":"a"}']
+    lag = spark.sql("SELECT * FROM VALUES (true, timestamp_ntz'2024-01-01 00:00:00'), (true, null), (false, null) t(r, at)").select(replication_lag(F.col("r"), F.col("at"), F.expr("timestamp_ntz'2024-01-01 00:01:00'")).alias("s"))
+    assert sorted(r["s"] for r in lag.collect()) == [0.0, 0.0, 60.0]
