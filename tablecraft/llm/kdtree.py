@@ -110,8 +110,8 @@ def _search(k: int):
     def run(queries: pd.DataFrame, candidates: pd.DataFrame) -> pd.DataFrame:
         tree = Tree(np.stack(candidates["v"].to_numpy()), candidates["id"].to_numpy())
         out = []
-        for own, v, s, i in zip(queries["id"], queries["v"], queries["floor_score"], queries["floor_id"], strict=True):
-            floor = (LOWEST, MOST_ID) if pd.isna(i) else (int(s), int(i))
+        for own, v, known, s, i in zip(queries["id"], queries["v"], queries["floored"], queries["floor_score"], queries["floor_id"], strict=True):
+            floor = (int(s), int(i)) if known else (LOWEST, MOST_ID)
             out += [(own, i, s) for s, i in tree.search(np.asarray(v), own, k, floor)]
         return pd.DataFrame(out, columns=["query_id", "vec_id", "score"]).astype(np.int64)
 
@@ -129,11 +129,13 @@ def search(candidates: DataFrame, queries: DataFrame, k: int = 5, shard_rows: in
     rows = vectors.sharded(candidates, shards, parts)
     home = F.pmod(F.xxhash64("id", F.lit("home")), F.lit(shards)).cast("int")
     asked = queries.select(F.size("v").alias("dim"), vectors.part_of(parts).alias("part"), "id", "v", home.alias("home"))
-    none = F.lit(None).cast("long")
-    first = stage(vectors.meet(asked.select("dim", F.col("home").alias("shard"), "part", "id", "v", none.alias("floor_score"), none.alias("floor_id")), rows, _search(k), "long"), "kd-home")
+    # floors without nulls, which pandas would turn into doubles
+    none = [F.lit(False).alias("floored"), F.lit(0).cast("long").alias("floor_score"), F.lit(0).cast("long").alias("floor_id")]
+    first = stage(vectors.meet(asked.select("dim", F.col("home").alias("shard"), "part", "id", "v", *none), rows, _search(k), "long"), "kd-home")
     kth = vectors.best(first, k).where(F.col("rank") == k).select(F.col("query_id").alias("id"), F.col("score").alias("floor_score"), F.col("vec_id").alias("floor_id"))
     others = F.filter(F.sequence(F.lit(0), F.lit(shards - 1)), lambda s: s != F.col("home"))
-    again = asked.join(kth, "id", "left").select("dim", F.explode(others).alias("shard"), "part", "id", "v", "floor_score", "floor_id")
+    floors = [F.col("floor_id").isNotNull().alias("floored"), *[F.coalesce(c, F.lit(0)).alias(c) for c in ("floor_score", "floor_id")]]
+    again = asked.join(kth, "id", "left").select("dim", F.explode(others).alias("shard"), "part", "id", "v", *floors)
     return vectors.best(first.unionByName(vectors.meet(again, rows, _search(k), "long")), k)
 
 

@@ -174,12 +174,13 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "do
     """Fit a model on at most ``sample`` labelled rows outside the held-out fold.
 
     ``labels``: the key and ``quality``. Rows are taken by the hash of the key, so that the sample depends on
-    neither the order nor the partitions of the tables. At most ``sample`` ids and labels are broadcast.
+    neither the order nor the partitions of the tables. At most ``sample`` ids and labels are broadcast, and of rows that
+    repeat those ids the first ``sample`` by the hash of their features are taken.
     """
     known = labels.select(F.col(key).alias("_key"), F.col("quality").cast("int").alias("_y")).where("_y IN (0, 1)").where(fold(F.col("_key")) != 0)
     known = known.orderBy(F.xxhash64("_key"), "_key", "_y").limit(sample)
     rows = docs.select(F.col(f"`{key}`").alias("_key"), F.col(f"`{text}`").alias("_text")).join(F.broadcast(known), "_key")
-    got = rows.select("_y", _features("_text").alias("x")).orderBy(F.xxhash64("x"), "_y").limit(2 * sample).toPandas()
+    got = rows.select("_y", _features("_text").alias("x")).orderBy(F.xxhash64("x"), "_y").limit(sample).toPandas()
     x = np.array(got["x"].tolist(), dtype=float).reshape(-1, len(FEATURES))
     return fit(x, got["_y"].to_numpy(dtype=float))
 

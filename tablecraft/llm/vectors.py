@@ -33,8 +33,11 @@ def blocks(rows: int, size: int) -> int:
 
 
 def sharded(candidates: DataFrame, shards: int, groups: int) -> DataFrame:
-    """Candidates (id, v) with dim, shard and each group of queries that they have to meet."""
-    shard = F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int")
+    """Candidates (id, v) with dim, shard and each group of queries that they have to meet.
+
+    Rows are dealt by id and vector, so that rows that repeat an id are spread as well.
+    """
+    shard = F.pmod(F.xxhash64("id", "v"), F.lit(shards)).cast("int")
     return candidates.select(F.size("v").alias("dim"), shard.alias("shard"), F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("part"), "id", "v")
 
 

@@ -2,7 +2,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from tablecraft.llm import ann, kdtree
+from tablecraft.llm import ann, kdtree, vectors
 
 
 def brute(rows, score, k=5):
@@ -73,3 +73,15 @@ def test_ann_odd_inputs(spark):
     assert [i for i, _ in found[0]] == [7, 9, 201, 202, 203] and {s for _, s in found[0]} == {found[0][0][1]}
     assert sorted(found) == [0, 50] and len(found[50]) == 5
     assert ann.search(df.limit(0), df.limit(0)).collect() == []
+
+
+def test_rows_of_one_id_are_spread(spark):
+    """A third of all rows under one id: no shard holds much more than its share, and results stay exact."""
+    rows = [(1, [i % 7, i % 11, i % 13]) for i in range(1000)] + [(i, [i % 5, i % 3, -i % 17]) for i in range(2, 2002)]
+    df = spark.createDataFrame(rows, "id long, v array<long>").repartition(3)
+    per_shard = [r["count"] for r in vectors.sharded(df, 10, 1).groupBy("shard").count().collect()]
+    assert len(per_shard) == 10 and max(per_shard) < 2 * 300
+    big = 1 << 60
+    far = spark.createDataFrame([(big + i, [big + i % 2]) for i in range(40)] + [(20, [1])], "id long, v array<long>")
+    got = kdtree.search(far, far.where("id = 20"), k=3, shard_rows=4).collect()
+    assert [(r["vec_id"], r["score"]) for r in sorted(got, key=lambda r: r["rank"])] == [(big + i, big + 1) for i in (1, 3, 5)]
