@@ -31,12 +31,16 @@ from ..operators.upsert import last_writes
 from ..session import staging_path
 from ..sources import fs
 from ..sources.inserts import DEFAULT, DOT, JOINT, RAW_DDL, constant, decode_raw, typed
-from ..sources.statements import DEFAULT_CHUNK, MAX_STATEMENT, detect_codec, list_dump_files, read_statements
+from ..sources.statements import DEFAULT_CHUNK, MAX_STATEMENT, PACKED, detect_codec, list_dump_files, read_statements
 from ..tableset import TableSet
 from .progress import Event
 from .scope import Position, Scopes, Source, Target, resolve, with_namespace
 
 
+#: Text of a dump that is worth a task of its own.
+SHARE_BYTES = 256 << 10
+
+
 @dataclass
 class LoadResult:
     """Loaded tables; outcomes per batch; rejects (table, file, batch_id, stmt_no, error, stmt); the statements."""
@@ -236,9 +240,10 @@ def load_dump(spark: SparkSession, path: str, dialect: str = "mysql", tables=Non
     stmts = read_statements(spark, path, dialect, chunk_bytes=chunk_bytes, max_stmt_bytes=max_stmt_bytes, start_byte=start_byte, encoding=encoding)
     stmts = filter_statements(stmts if only is None else stmts.where(only), rename=bool(rename))
     files = list_dump_files(path)
-    tasks, cores = sum(1 if detect_codec(f) else -(-size // (chunk_bytes or DEFAULT_CHUNK)) for f, size in files), spark.sparkContext.defaultParallelism
-    if tasks < cores:  # a few files or chunks: their statements are shared out before they are read value by value
-        stmts = stmts.repartition(2 * cores)
+    tasks = sum(1 if detect_codec(f) else -(-size // (chunk_bytes or DEFAULT_CHUNK)) for f, size in files)
+    shares = min(2 * spark.sparkContext.defaultParallelism, sum(size * (PACKED if detect_codec(f) else 1) for f, size in files) // SHARE_BYTES)
+    if tasks < shares:  # a few files or chunks: their statements are shared out before they are read value by value
+        stmts = stmts.repartition(shares)
     # one pass over the statements for every table, staged once (partitioned by table)
     raw = decode_raw(stmts, d, [t.rpartition(".")[2] for t in tables] if tables else None)
     if stage:
