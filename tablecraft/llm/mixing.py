@@ -8,12 +8,13 @@ that its interval crosses. So copies differ by at most one within a source, and
 size (an eighth of a power of two wide), words taken stay near the target as well.
 
 At scale: a prefix sum needs a rank within the source, and one source may hold a third of all rows. Rows are
-therefore dealt into blocks (source, size class, range of the hashed id) of about ``block_rows`` rows. Ranks are
-counted inside a block, and blocks are offset by a running sum over one row per block.
+therefore dealt into blocks (source, size class, range of the hashed id) of about ``block_rows`` rows. A block that
+holds several times as many, as an id repeats in many rows, is cut further by a hash of whole rows. Ranks are counted
+inside a block, and blocks are offset by a running sum over one row per block.
 
 Defined results: null or empty sources form a source each, the null one sorts last; null sizes count as 0; a
-source of size 0 has target 0 and takes nothing; rows with the same id are told apart by size, and identical
-rows share their copies in any order; an empty table gives an empty mix; all other columns pass unchanged.
+source of size 0 has target 0 and takes nothing; rows with the same id are told apart by size, then by a hash of all
+their columns (but maps), so reruns agree, and identical rows share their copies in any order; an empty table gives an empty mix; all other columns pass unchanged.
 """
 
 from __future__ import annotations
@@ -32,6 +33,8 @@ SHARE = 1.5
 CAP = 2.0
 SEED = "mix-1"
 BLOCK_ROWS = 1024
+#: A block of so many times its rows is cut; blocks of ids that differ never come near it.
+LARGE = 4
 RESULT = ("size", "source_size", "target", "copies")
 
 
@@ -80,30 +83,44 @@ def plan(docs: DataFrame, size: Column, source: str = "source", key: str = "doc_
     """
     s, c, t, n, b = (fresh([*docs.columns, *RESULT], x) for x in ("_src", "_class", "_tie", "_size", "_block"))
     rate, start, before, parts = (fresh([*docs.columns, *RESULT], x) for x in ("_rate", "_start", "_before", "_parts"))
+    whole, cut, cuts = (fresh([*docs.columns, *RESULT], x) for x in ("_whole", "_cut", "_cuts"))
+    hashed = [F.col(f"`{f.name}`") for f in docs.schema.fields if "map<" not in f.dataType.simpleString()]
     base = docs.withColumn(n, F.coalesce(size.cast("long"), F.lit(0)))
     base = base.withColumns({
         s: F.coalesce(F.concat(F.lit("s"), F.col(f"`{source}`").cast("string")), F.lit("t")),
         c: _size_class(F.col(n)),
         t: F.md5(F.coalesce(F.col(f"`{key}`").cast("string"), F.lit("null"))),
+        whole: F.xxhash64(*hashed),
     })
-    narrow = stage(base.select(s, c, t, n), "mix-sizes")
+    narrow = stage(base.select(s, c, t, n, whole), "mix-sizes")
     classes = stage(narrow.groupBy(s, c).agg(F.count("*").alias("_rows"), F.sum(n).alias("_sum")), "mix-classes")
     sources = classes.groupBy(s).agg(F.sum("_sum").alias("source_size"))
     goal = targets(sources, s, weights, share, cap)
     split = stage(classes.select(s, c, F.ceil(F.col("_rows") / block_rows).cast("double").alias(parts)), "mix-parts")
     block = F.floor(_hex32(F.col(t)) * F.col(parts) / F.lit(4294967296.0)).cast("long")
 
-    counts = lookup(narrow, split, [s, c]).withColumn(b, block).groupBy(s, c, b).count()
-    running = Window.partitionBy(s).orderBy(c, b).rowsBetween(Window.unboundedPreceding, -1)
+    placed = lookup(narrow, split, [s, c]).withColumn(b, block)
+    large = stage(placed.groupBy(s, c, b).count().where(F.col("count") > LARGE * block_rows).select(s, c, b, F.ceil(F.col("count") / block_rows).cast("long").alias(cuts)), "mix-large")
+    some = bool(large.take(1))
+
+    def dealt_out(rows: DataFrame) -> DataFrame:
+        """Rows with their block, and its cut."""
+        if not some:
+            return rows.withColumn(cut, F.lit(0).cast("long"))
+        rest = rows.join(large, [s, c, b], "left_anti").withColumn(cut, F.lit(0).cast("long"))
+        return rest.unionByName(lookup(rows, large, [s, c, b]).withColumn(cut, F.pmod(F.col(whole), F.col(cuts))).drop(cuts))
+
+    counts = dealt_out(placed).groupBy(s, c, b, cut).count()
+    running = Window.partitionBy(s).orderBy(c, b, cut).rowsBetween(Window.unboundedPreceding, -1)
     u = _hex32(F.md5(F.concat(F.lit(seed), F.col(s)))) / F.lit(4294967296.0)
     blocks = counts.withColumn(before, F.coalesce(F.sum("count").over(running), F.lit(0))).join(goal, s).select(
-        s, c, b, before, "source_size", "target", u.alias(start),
+        s, c, b, cut, before, "source_size", "target", u.alias(start),
         F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0)).alias(rate),
     )
     keep = [x for x in docs.columns if x not in RESULT]
-    dealt = lookup(base.drop(*RESULT), split, [s, c]).withColumn(b, block)
-    ranked = dealt.join(stage(blocks, "mix-blocks"), [s, c, b])
-    rank = F.row_number().over(Window.partitionBy(s, c, b).orderBy(t, n)) + F.col(before)
+    dealt = dealt_out(lookup(base.drop(*RESULT), split, [s, c]).withColumn(b, block))
+    ranked = dealt.join(stage(blocks, "mix-blocks"), [s, c, b, cut])
+    rank = F.row_number().over(Window.partitionBy(s, c, b, cut).orderBy(t, n, whole)) + F.col(before)
     edge = lambda r: F.floor(F.col(rate) * r.cast("double") + F.col(start))
     return ranked.withColumn(before, rank).select(
         *[F.col(f"`{x}`") for x in keep], F.col(n).alias("size"), "source_size", "target",

@@ -75,3 +75,14 @@ def test_mix_keeps_columns(spark):
     assert out.count() == 15
     assert {r["n"] for r in out.groupBy("doc_id").agg(F.count("*").alias("n")).collect()} == {1, 2}
     assert out.select("size", "copies").distinct().collect() == [("x", 9)]
+
+
+def test_rows_of_one_id(spark):
+    """Many rows under one id: reruns take the same texts, words stay near the target, and no block holds them all."""
+    rows = [(7, f"{i} " + "w " * 5, "s") for i in range(3000)] + [(i, "a b c", "s") for i in range(100, 700)]
+    runs = [sorted(r["text"] for r in mixing.mix(docs(spark, order).repartition(n), weights=(1,), share=0.5, block_rows=64).collect()) for order, n in ((rows, 3), (rows[::-1], 5))]
+    assert runs[0] == runs[1]
+    words = sum(len(t.split()) for t in runs[0])
+    assert abs(words - 0.5 * sum(len(t.split()) for _, t, _ in rows)) <= 0.02 * words
+    same = docs(spark, [(1, "x y", "s")] * 1000)
+    assert mixing.mix(same, weights=(1,), share=0.5, block_rows=16).count() == 500
