@@ -79,7 +79,7 @@ WORDS = {
 }
 
 
-def _account(head: Column, text: Column) -> Column:
+def _account(head: Column, paged: Column) -> Column:
     """The span of the account number that begins with ``head``, null if none does.
 
     Words and numbers may follow, so its end is that of its country's length; without one, the last end that has the remainder 1.
@@ -89,15 +89,15 @@ def _account(head: Column, text: Column) -> Column:
     lengths = F.when(own.isNotNull(), F.array(own)).otherwise(F.sequence(F.lit(MOST), F.lit(LEAST), F.lit(-1)))
     cut = lambda ahead, n: F.regexp_substr(ahead, F.concat(F.lit(r"^[A-Z0-9](?:\x20?[A-Z0-9]){"), (n - 1).cast("string"), F.lit("}(?![A-Za-z0-9])")))
     tried = lambda ahead: F.filter(F.transform(lengths, lambda n: cut(ahead, n)), lambda m: m.isNotNull() & mod97(m))
-    matches = F.flatten(F.transform(F.array(F.substring(text, head["start"] + 1, F.lit(2 * MOST))), tried))
+    matches = F.flatten(F.transform(F.array(spans.stretch(paged, head["start"], F.lit(2 * MOST))), tried))
     span = lambda m: F.struct(head["start"].alias("start"), head["ord"].alias("ord"), head["kind"].alias("kind"), (head["start"] + F.length(m)).alias("end"), m.alias("match"))
     return F.get(F.transform(matches, span), F.lit(0))
 
 
-def score(span: Column, text: Column) -> Column:
-    """The kind's prior, plus NEARBY if one of its words is within REACH characters; 1 at most."""
+def score(span: Column, paged: Column) -> Column:
+    """The kind's prior, plus NEARBY if one of its words is within REACH characters; 1 at most. ``paged``: the text's pages."""
     begin = F.greatest(span["start"] - REACH, F.lit(0))
-    near = F.concat(F.substring(text, begin + 1, span["start"] - begin), F.lit(" "), F.substring(text, span["end"] + 1, F.lit(REACH)))
+    near = F.concat(spans.stretch(paged, begin, span["start"] - begin), F.lit(" "), spans.stretch(paged, span["end"], F.lit(REACH)))
     out = F.lit(0.0)
     for kind, prior in PRIOR.items():
         lift = F.when(near.rlike(rf"(?i)(?<![A-Za-z])(?:{WORDS[kind]})(?![A-Za-z])"), F.lit(NEARBY)).otherwise(F.lit(0.0))
@@ -107,15 +107,14 @@ def score(span: Column, text: Column) -> Column:
 
 def scan(docs: DataFrame, text: str = "text", out: str = "spans") -> DataFrame:
     """``docs`` with the array ``out`` of (start, ord, kind, end, match, score) of all personal data in the text."""
-    every = fresh(docs.columns, "_spans")
-    found = spans.find(docs, text, [*BASE, *ADDED], every)
-    whole = F.coalesce(F.col(f"`{text}`"), F.lit(""))
-    ended = F.transform(every, lambda s: F.when(s["kind"] == "iban", _account(s, whole)).otherwise(s))
+    every, paged = fresh([*docs.columns, out], "_spans"), fresh([*docs.columns, out], "_pages")
+    found = spans.find(docs, text, [*BASE, *ADDED], every).withColumn(paged, F.when(F.size(every) > 0, spans.pages(F.col(f"`{text}`"))))
+    ended = F.transform(every, lambda s: F.when(s["kind"] == "iban", _account(s, F.col(paged))).otherwise(s))
     found = found.withColumn(every, F.filter(ended, lambda s: s.isNotNull()))
-    scored = F.transform(every, lambda s: F.struct(s["start"].alias("start"), s["ord"].alias("ord"), s["kind"].alias("kind"), s["end"].alias("end"), s["match"].alias("match"), score(s, whole).alias("score")))
+    scored = F.transform(every, lambda s: F.struct(s["start"].alias("start"), s["ord"].alias("ord"), s["kind"].alias("kind"), s["end"].alias("end"), s["match"].alias("match"), score(s, F.col(paged)).alias("score")))
     none = F.filter(scored, lambda s: F.lit(False))
     kept = F.filter(scored, lambda s: (s["ord"] < len(BASE)) | (s["score"] >= MIN_SCORE))
-    return found.withColumn(out, F.when(F.size(every) > 0, kept).otherwise(none)).drop(every)
+    return found.withColumn(out, F.when(F.size(every) > 0, kept).otherwise(none)).drop(every, paged)
 
 
 def redact(docs: DataFrame, text: str = "text", mark: str = "[PII]") -> DataFrame:

@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 
 from .common import fresh
 
+#: Characters of a page, and elements of a block, as powers of 2.
+PAGE, BLOCK = 9, 8
 SPAN = "struct<start:int,ord:int,kind:string,end:int,match:string>"
 
 
@@ -27,16 +29,42 @@ class Kind:
     keep: Callable[[Column], Column] = lambda match: F.lit(True)
 
 
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` computed once, also where a function of an array's elements needs it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def running(values: Column, step: Callable[[Column, Column], Column]) -> Column:
+    """For each of an array of ints, what ``step`` makes of 0 and the elements before it."""
+    empty = F.expr("cast(array() as array<int>)")
+    begin = lambda at: F.struct(at.alias("at"), empty.alias("out"))
+    note = lambda acc, at: F.struct(at.alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out"))
+    along = lambda block, head: F.aggregate(block, begin(head), lambda acc, x: note(acc, step(acc["at"], x)), lambda acc: acc["out"])
+    heads = lambda blocks: F.aggregate(blocks, begin(F.lit(0)), lambda acc, block: note(acc, F.aggregate(block, acc["at"], step)), lambda acc: acc["out"])
+    numbers = lambda v: F.sequence(F.lit(0), F.greatest(F.shiftright(F.size(v) - 1, BLOCK), F.lit(0)))
+    cut = lambda v: F.transform(numbers(v), lambda b: F.slice(v, F.shiftleft(b, BLOCK) + 1, F.lit(1 << BLOCK)))
+    return once(values, lambda v: once(cut(v), lambda blocks: F.flatten(F.zip_with(blocks, heads(blocks), along))))
+
+
+def pages(text: Column) -> Column:
+    """A text as an array of strings of one length, for ``stretch``."""
+    return F.regexp_extract_all(text, F.lit(rf"(?s).{{1,{1 << PAGE}}}"), F.lit(0))
+
+
+def stretch(paged: Column, start: Column, length: Column) -> Column:
+    """``length`` characters of a text from ``start`` on, from its pages."""
+    first = F.shiftright(start, PAGE)
+    some = F.slice(paged, first + 1, F.shiftright(start + length - 1, PAGE) - first + 1)
+    return F.substring(F.array_join(some, ""), start - F.shiftleft(first, PAGE) + 1, length)
+
+
 def _placed(text: Column, matches: Column, kind: Kind, order: int) -> Column:
     """The kept matches as an array of SPAN."""
-    start = lambda acc, x: acc["pos"] + F.length(x["gap"])
-    end = lambda acc, x: start(acc, x) + F.length(x["match"])
-    span = lambda acc, x: F.struct(start(acc, x).alias("start"), F.lit(order).alias("ord"), F.lit(kind.name).alias("kind"), end(acc, x).alias("end"), x["match"].alias("match"))
-    step = lambda acc, x: F.struct(end(acc, x).alias("pos"), F.when(kind.keep(x["match"]), F.concat(acc["out"], F.array(span(acc, x)))).otherwise(acc["out"]).alias("out"))
-    gaps = F.split(text, kind.pattern, -1)
-    pairs = F.arrays_zip(F.slice(gaps, 1, F.size(matches)).alias("gap"), matches.alias("match"))
-    found = F.aggregate(pairs, F.struct(F.lit(0).alias("pos"), F.expr(f"cast(array() as array<{SPAN}>)").alias("out")), step, lambda acc: acc["out"])
-    return F.when(F.exists(matches, kind.keep), found).otherwise(F.expr(f"cast(array() as array<{SPAN}>)"))
+    pairs = F.arrays_zip(F.slice(F.split(text, kind.pattern, -1), 1, F.size(matches)).alias("gap"), matches.alias("match"))
+    span = lambda start, match: F.struct(start.alias("start"), F.lit(order).alias("ord"), F.lit(kind.name).alias("kind"), (start + F.length(match)).alias("end"), match.alias("match"))
+    before = lambda p: running(F.transform(p, lambda x: F.length(x["gap"]) + F.length(x["match"])), lambda at, n: at + n)
+    found = once(pairs, lambda p: F.zip_with(before(p), p, lambda at, x: span(at + F.length(x["gap"]), x["match"])))
+    return F.when(F.exists(matches, kind.keep), F.filter(found, lambda s: kind.keep(s["match"]))).otherwise(F.expr(f"cast(array() as array<{SPAN}>)"))
 
 
 def find(docs: DataFrame, text: str, kinds: Sequence[Kind], out: str) -> DataFrame:
@@ -59,9 +87,8 @@ def count(spans: Column, kind: str) -> Column:
 
 def mask(text: Column, spans: Column, mark: str) -> Column:
     """``text`` with every stretch that spans cover replaced by ``mark``; null text stays null."""
-    empty = F.expr("cast(array() as array<string>)")
-    clean = lambda acc, s: F.substring(text, acc["pos"] + 1, s["start"] - acc["pos"])
-    step = lambda acc, s: F.struct(F.greatest(acc["pos"], s["end"]).alias("pos"), F.when(s["start"] >= acc["pos"], F.concat(acc["out"], F.array(clean(acc, s), F.lit(mark)))).otherwise(acc["out"]).alias("out"))
-    last = lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(text, acc["pos"] + 1, F.length(text)))
-    masked = F.aggregate(spans, F.struct(F.lit(0).alias("pos"), empty.alias("out")), step, last)
+    ends = F.transform(spans, lambda s: s["end"])
+    piece = lambda paged, at, s: F.when(s["start"] >= at, F.concat(stretch(paged, at, s["start"] - at), F.lit(mark))).otherwise("")
+    clean = lambda paged: F.array_join(F.zip_with(running(ends, lambda at, end: F.greatest(at, end)), spans, lambda at, s: piece(paged, at, s)), "")
+    masked = once(pages(text), lambda paged: F.concat(clean(paged), stretch(paged, F.array_max(ends), F.length(text))))
     return F.when(F.size(spans) > 0, masked).otherwise(text)

@@ -97,3 +97,15 @@ def test_text_after_account_numbers(spark):
         assert [s["match"] for s in spans] == want and all(text[s["start"] : s["end"]] == s["match"] for s in spans)
     out = {r["i"]: r["t"] for r in pii.redact(df, "t").collect()}
     assert out[0] == "IBAN: [PII] BIC COBADEFF"
+
+
+@pytest.mark.parametrize(("op", "kinds", "unit"), [(secrets, SECRETS, "\U0001f389 token=abcdefgh{:05d} x "), (pii, PII, "\u00e9 10.0.{}.7 a{}@b.c ")])
+def test_texts_of_many_matches(spark, op, kinds, unit):
+    """Tens of thousands of matches in one text, whose places lie on all sides of pages and blocks."""
+    text = "".join(unit.format(i % 256, i) for i in range(20_000))
+    df = spark.createDataFrame([(text,), (unit.format(1, 1) * 256,), (unit.format(1, 1) * 257,)], "text string")
+    for r in op.scan(df).collect():
+        base = [(s["start"], s["ord"], s["kind"], s["end"]) for s in r["spans"] if s["ord"] < len(op.BASE)]
+        assert base == by_hand(r["text"], kinds) and all(r["text"][s["start"] : s["end"]] == s["match"] for s in r["spans"])
+    clean = re.sub("|".join(f"(?:{p})" for _, p, _ in kinds), "#", text)
+    assert op.redact(df.limit(1), mark="#").first()["text"] == clean
