@@ -1,4 +1,5 @@
 """Secrets and personal data against Python's regular expressions over whole texts."""
+import random
 import re
 
 import pytest
@@ -109,3 +110,59 @@ def test_texts_of_many_matches(spark, op, kinds, unit):
         assert base == by_hand(r["text"], kinds) and all(r["text"][s["start"] : s["end"]] == s["match"] for s in r["spans"])
     clean = re.sub("|".join(f"(?:{p})" for _, p, _ in kinds), "#", text)
     assert op.redact(df.limit(1), mark="#").first()["text"] == clean
+
+
+def _value(account):
+    return int("".join(str(int(c, 36)) for c in account[4:] + account[:4]))
+
+
+def _added_by_hand(text):
+    """(kind, start, end) of account numbers and ssns, tried at every place of the text."""
+    alnum = lambda c: c.isascii() and c.isalnum()
+    capital = lambda c: alnum(c) and c == c.upper()
+    out = []
+    for i in range(len(text)):
+        if not (i and alnum(text[i - 1])) and re.match("[A-Z][A-Z][0-9][0-9]", text[i:]):
+            # places of the characters that follow one another with at most one space between
+            places = [i]
+            while True:
+                j = places[-1] + 1
+                j += text[j : j + 1] == " "
+                if j >= len(text) or not capital(text[j]):
+                    break
+                places.append(j)
+            own, good = pii.LENGTHS.get(text[i : i + 2]), []
+            for n in [own] if own else range(pii.LEAST, pii.MOST + 1):
+                if n <= len(places) and len(places) >= 15 and places[3] == i + 3:
+                    end = places[n - 1] + 1
+                    if not (end < len(text) and alnum(text[end])) and _value("".join(text[k] for k in places[:n])) % 97 == 1:
+                        good.append(("iban", i, end))
+            out += good[-1:]
+        if re.match("[0-9]{3}-[0-9]{2}-[0-9]{4}", text[i:]) and not (i and text[i - 1] in "0123456789-") and text[i + 11 : i + 12] not in [*"0123456789-"]:
+            near = re.split("[^a-z]+", text[max(0, i - pii.REACH) : i].lower()), re.split("[^a-z]+", text[i + 11 : i + 11 + pii.REACH].lower())
+            if {"ssn", "taxpayer", "tin"} & {*near[0], *near[1]}:
+                out.append(("ssn", i, i + 11))
+    return sorted(out)
+
+
+def test_added_personal_data_against_brute_force(spark):
+    r = random.Random(11)
+
+    def account():
+        country = r.choice(["DE", "BE", "NO", "GB", "ZZ", "QX", "MT"])
+        body = "".join(r.choice("0123456789" if r.random() < 0.8 else "ABCXYZ") for _ in range(pii.LENGTHS.get(country, r.randrange(15, 35)) - 4))
+        check = (98 - _value(f"{country}00{body}") % 97 + r.choice([0, 0, 0, 1])) % 100
+        whole = f"{country}{check:02d}{body}"
+        return " ".join(whole[k : k + 4] for k in range(0, len(whole), 4)) if r.random() < 0.6 else whole
+
+    pieces = [
+        account, account, lambda: f"{r.randrange(1000):03d}-{r.randrange(100):02d}-{r.randrange(10000):04d}",
+        lambda: r.choice(["SSN", "ssn:", "tin", "Taxpayer", "satin", "order", "BIC", "100 EUR", "\u00e9\U0001f600", "-", "7", "lorem ipsum dolor sit amet consectetur adipiscing"]),
+    ]
+    texts = ["".join(r.choice(pieces)() + r.choice([" ", " ", ". ", "\n", "", ", "]) for _ in range(r.randrange(1, 14))) for _ in range(400)]
+    found = pii.scan(spark.createDataFrame(list(enumerate(texts)), "id long, text string")).collect()
+    got = {x["id"]: sorted((s["kind"], s["start"], s["end"]) for s in x["spans"] if s["kind"] in ("iban", "ssn")) for x in found}
+    expected = {i: _added_by_hand(t) for i, t in enumerate(texts)}
+    kinds = [k for spans in expected.values() for k, *_ in spans]
+    assert kinds.count("iban") > 200 and kinds.count("ssn") > 50
+    assert {i: (got[i], texts[i]) for i in got if got[i] != expected[i]} == {}
