@@ -1,4 +1,5 @@
 """Secrets and personal data against Python's regular expressions over whole texts."""
+import math
 import random
 import re
 
@@ -166,3 +167,44 @@ def test_added_personal_data_against_brute_force(spark):
     kinds = [k for spans in expected.values() for k, *_ in spans]
     assert kinds.count("iban") > 200 and kinds.count("ssn") > 50
     assert {i: (got[i], texts[i]) for i in got if got[i] != expected[i]} == {}
+
+
+def test_markov_spans_against_brute_force(spark):
+    samples = [(x["token"], x["random"]) for x in secrets.default_samples(spark).where("pmod(xxhash64(token), 10) = 0").collect()] + [("", True), ("a\u00e9b", False)]
+    assert min(sum(kind for _, kind in samples), sum(not kind for _, kind in samples)) > 20
+    model = secrets.train(spark.createDataFrame(samples, "token string, random boolean"))
+    code = lambda c: min(ord(c), secrets.ALPHABET - 1)
+    steps = [(kind, a, b) for token, kind in samples for a, b in zip([0, *map(code, token)], map(code, token))]
+    used = len({b for *_, b in steps})
+
+    def chance(kind, a, b):
+        after = [y for k, x, y in steps if k == kind and x == a]
+        return (after.count(b) + secrets.SMOOTHING) / (len(after) + secrets.SMOOTHING * used)
+
+    seen = {b for *_, b in steps}
+    logs = {(a, b): math.log(chance(True, a, b) / chance(False, a, b)) for a in {0, *map(ord, "abcdefXYZ0189_")} for b in map(ord, "abcdefXYZ0189_") if b in seen}
+    assert all(abs(model[a * secrets.ALPHABET + b] - v) < 1e-9 for (a, b), v in logs.items())
+
+    r = random.Random(5)
+    any_of = lambda chars, n: "".join(r.choice(chars) for _ in range(n))
+    letters = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+    pieces = [
+        lambda: any_of(letters + "+/_-=", r.randrange(15, 60)), lambda: any_of("0123456789abcdef", r.randrange(28, 40)), lambda: "AKIA" + any_of(letters[26:], r.randrange(10, 20)),
+        lambda: "token=" + any_of(letters, 24), lambda: r.choice(["get_user_name_from_table_2", "a plain text", "\u00e9\U0001f600", "12345678901234567890123"]),
+    ]
+    texts = ["".join(r.choice(pieces)() + r.choice([" ", "\n", ", ", "."]) for _ in range(r.randrange(8))) for _ in range(300)]
+    found = secrets.scan(spark.createDataFrame(list(enumerate(texts)), "id long, text string"), model=model).collect()
+    total = 0
+    for x in found:
+        text, covered = texts[x["id"]], {i for s in x["spans"] if s["kind"] != "markov" for i in range(s["start"], s["end"])}
+        got = {(s["start"], s["end"]) for s in x["spans"] if s["kind"] == "markov"}
+        for m in re.finditer("[A-Za-z0-9+/_=-]+", text):
+            run = m.group()
+            ratio = sum(model[a * secrets.ALPHABET + b] for a, b in zip([0, *map(ord, run)], map(ord, run)))
+            if abs(ratio - secrets.THRESHOLD) > 0.01:
+                is_random = len(run) >= 20 and re.search("[0-9]", run) and re.search("[A-Za-z]", run) and ratio >= secrets.THRESHOLD
+                assert (m.span() in got) == bool(is_random and not covered.issuperset(range(*m.span()))), run
+            got.discard(m.span())
+            total += len(run) >= 20 and ratio >= secrets.THRESHOLD
+        assert not got
+    assert total > 100
