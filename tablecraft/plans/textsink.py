@@ -46,8 +46,8 @@ def _lines(col: pa.Array) -> bytes:
 
 @dataclass
 class _Written(WriterCommitMessage):
-    tmp: str
-    final: str
+    tmp: str | None
+    final: str | None
     rows: int
 
 
@@ -77,7 +77,7 @@ class _CompressedWriter(DataSourceArrowWriter):
         while first is not None and first.num_rows == 0:
             first = next(iterator, None)
         if first is None:
-            return None  # no file for an empty partition
+            return _Written(None, None, 0)  # no file for an empty partition; Spark takes no None for a message
         fsys, p = fs.resolve(tmp)
         fsys.create_dir(p.rsplit("/", 1)[0], recursive=True)
         n = 0
@@ -98,7 +98,7 @@ class _CompressedWriter(DataSourceArrowWriter):
 
     def commit(self, messages):
         for m in messages:
-            if m is not None:
+            if m is not None and m.tmp is not None:
                 fs.move(m.tmp, m.final)
         fs.delete_dir(f"{self.path}/_temporary")
 

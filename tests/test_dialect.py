@@ -8,7 +8,10 @@ from pyspark.sql import types as T
 from tablecraft.functions.dialect import create_table_sql, escape_mysql, looks_binary, quote_ident, sql_literal
 from tablecraft.plans.dump import render_inserts, write_dump
 from tablecraft.plans.load import load_dump
+from tablecraft.plans.textsink import write_text
+from tablecraft.sources import fs
 from tablecraft.sources.inserts import parse_insert
+from tablecraft.sources.statements import read_statements
 from tablecraft.tableset import TableSet
 
 EDGE_TEXT = [None, "", "'", '"', "\\", "tail\\", "a\nb", "a\rb", "a\tb", "nul\x00x", "sub\x1ax", ";", "--", "#", "/* */", "NULL", "emoji \U0001F600"]
@@ -151,3 +154,16 @@ def test_wide_rows_cut_statements_by_bytes(spark):
     assert sum(r.rows for r in st) == 40
     assert max(len(r.stmt) for r in st) < 300000 + 200000  # never more than the cap plus one row
     assert max(r.rows for r in st) <= 3
+
+
+def test_compressed_text_of_empty_partitions(spark):
+    """A partition without rows writes no file and is no error."""
+    df = spark.createDataFrame([("a",), ("b",)], "stmt string").repartition(1)
+    mixed = df.unionByName(df.where("stmt = 'none'"))  # the second partition is empty
+    for codec in ("zstd", "xz"):
+        out = tempfile.mkdtemp(prefix="empty-") + "/x"
+        write_text(mixed, out, codec)
+        assert len(fs.list_files(out)) == 1
+        assert "".join(r.stmt for r in read_statements(spark, out).collect()) == "a\nb\n"
+        write_text(df.where("stmt = 'none'"), out + "2", codec)
+        assert not fs.exists(out + "2") or fs.list_files(out + "2") == []
