@@ -1,4 +1,5 @@
 import datetime as dt
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -131,3 +132,21 @@ def test_table_changes(spark):
                   "same": spark.createDataFrame([(1,)], "y int")}, name="a")
     b = TableSet({"t": spark.createDataFrame([(1,)], "id long"), "same": spark.createDataFrame([(2,)], "y int")}, name="b")
     assert bulk.table_changes(a, b) == {"created": ["new"], "modified": ["t"], "skipped": ["same"]}
+
+
+def test_retention_deals_backups_before_it_sorts_them(spark):
+    rows = [(i, i % 7, ["a", "b"][: 1 + i % 2]) for i in range(40)] + [(3, 3, ["a"]), (None, 3, ["b"])]
+    df = spark.createDataFrame(rows, "id long, timestamp long, databases array<string>").coalesce(1)
+    per = spark.createDataFrame([("a", 2), ("b", 3)], "database string, retain int")
+    for retain in (2, per):
+        plan = retention.retention_plan(df, retain)
+        got = sorted((r.id if r.id is not None else -1, r.timestamp, r.action) for r in plan.collect())
+        n = {"a": 2, "b": 2 if retain == 2 else 3}
+        at = lambda r: (r[1], -1 if r[0] is None else r[0])
+        newest = {d: sorted({at(r) for r in rows if d in r[2]}, reverse=True)[n[d] - 1] for d in "ab"}
+        want = {}
+        for r in rows:
+            want.setdefault(at(r), []).extend(at(r) < newest[d] for d in r[2])
+        assert got == sorted((k[1], k[0], "delete" if all(v) else "keep") for k, v in want.items())
+        text = plan._jdf.queryExecution().executedPlan().toString()
+        assert set(re.findall(r"hashpartitioning\(id#.*?\), (\w+)", text)) == {"REPARTITION_BY_NUM"}
