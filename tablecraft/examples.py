@@ -535,7 +535,7 @@ def q_dump_resume(spark, sf_dir):
     data_dir = f"{out}/000001_orders/data"
     # every data file holds only INSERTs, in key order: resume each at its middle statement
     st = filter_statements(read_statements(spark, data_dir, "mysql", chunk_bytes=1 << 16))
-    half = st.groupBy("file").agg(F.floor(F.count(F.lit(1)) / 2).alias("half"))
+    half = F.broadcast(st.groupBy("file").agg(F.floor(F.count(F.lit(1)) / 2).alias("half")))  # one number per file, never the statements
     at = st.join(half, "file").where(F.col("stmt_no") >= F.col("half")).groupBy("file").agg(F.min("byte_start").alias("at"))
     resume = {r["file"]: r["at"] for r in at.collect()}  # one number per file
     from .sources.inserts import decode_inserts

@@ -37,8 +37,10 @@ DEFAULT_CHUNK = 64 << 20
 MAX_STATEMENT = 64 << 20  # fixed value: largest statement accepted on load
 READ_BLOCK = 1 << 20  # how far a cut looks for a line feed
 BLOCK = 4 << 20  # bytes read at once
+NEAR = 64 << 10  # bytes of the first read behind a place of which little may be needed; each further one is twice as long
 PACKED = 4  # a chunk of a compressed file has a fraction of the bytes
 MOST_TASKS = 20_000
+TASK_BYTES = 8 << 20  # small chunks share a task of about so many bytes
 FLUSH_BYTES = 16 << 20  # statement text that a task holds before it passes it on
 
 STMT_SCHEMA = "file string, stmt_no long, byte_start long, byte_end long, stmt string"
@@ -76,14 +78,23 @@ def open_stream(path: str, codec: str | None):
 # per-task helpers
 # ---------------------------------------------------------------------------
 
-def _cut(path: str, size: int, nominal: int, origin: int) -> int:
+def _cut(path: str, size: int, nominal: int) -> int:
     """Where the chunk at ``nominal`` starts: after the first line feed of the next READ_BLOCK bytes, else right there."""
-    if nominal <= origin:
-        return origin
     if nominal >= size:
         return size
-    k = fs.read_range(path, nominal - 1, min(READ_BLOCK, size - nominal + 1)).find(b"\n")
-    return nominal + k if k >= 0 else nominal
+    pos = nominal - 1
+    for blk in _ranges(path, pos, min(pos + READ_BLOCK, size), NEAR):
+        if (k := blk.find(b"\n")) >= 0:
+            return pos + k + 1
+        pos += len(blk)
+    return nominal
+
+
+def _ranges(path: str, start: int, end: int, step: int) -> Iterator[bytes]:
+    """The bytes of a plain file in [start, end), first ``step`` of them and then twice as many each time, up to BLOCK."""
+    while start < end and (blk := fs.read_range(path, start, min(step, end - start))):
+        yield blk
+        start, step = start + len(blk), min(2 * step, BLOCK)
 
 
 def _stream_statements(blocks, base, state, own_first, owned_end, aut: Automaton, max_bytes, eof_known=None):
@@ -160,10 +171,8 @@ def _content(r: dict, end: int) -> Iterator[bytes]:
     if r["codec"]:
         yield from unpacked(r["path"], r["codec"], r["size"], r["lo"], end, r["head"], r["stop"])
         return
-    pos = r["lo"]
-    while pos < end and (blk := fs.read_range(r["path"], pos, min(BLOCK, end - pos))):
-        yield blk
-        pos += len(blk)
+    yield from _ranges(r["path"], r["lo"], min(r["hi"], end), BLOCK)
+    yield from _ranges(r["path"], r["hi"], end, NEAR)  # the last statement's rest, which is mostly short
 
 
 # ---------------------------------------------------------------------------
@@ -220,8 +229,11 @@ class _Runner:
         return self.state
 
 
-def _pass1(dialect: str, chunk_bytes: int, origin: int):
-    """Per chunk: end state and statement count from the normal state, or (second time, with ``before``) from all possible ones."""
+def _pass1(dialect: str):
+    """Per chunk: end state and statement count from the normal state, or (second time, with ``before``) from all possible ones.
+
+    The first time, plain chunks come with the places where they would start and end but for line feeds.
+    """
 
     def run(batches):
         aut = Automaton(dialect)
@@ -230,7 +242,8 @@ def _pass1(dialect: str, chunk_bytes: int, origin: int):
             for r in b.to_pylist():
                 again = r.get("miss") is not None
                 if not again and not r["codec"]:
-                    r["lo"], r["hi"] = (_cut(r["path"], r["size"], origin + j * chunk_bytes, origin) for j in (r["j"], r["j"] + 1))
+                    r["lo"] = _cut(r["path"], r["size"], r["lo"]) if r["j"] else r["lo"]
+                    r["hi"] = _cut(r["path"], r["size"], r["hi"])
                 codes = ([r["miss"]] if r["miss"] >= 0 else _possible(r["before"], aut.executable)) if again else [N]
                 runners, raw, last = [_Runner(aut, c) for c in codes], 0, None
                 for blk in _content(r, r["hi"]):
@@ -310,16 +323,12 @@ def read_statements(spark: SparkSession, path, dialect: str = "mysql", chunk_byt
             raise ValueError(f"no such files to resume: {missing}")
         if packed := [p for p in start_byte if detect_codec(p)]:
             raise ValueError(f"compressed files cannot be resumed: {packed}")
-        parts = [_read_files(spark, [(p, sizes[p])], dialect, chunk_bytes, max_stmt_bytes, at, encoding) for p, at in sorted(start_byte.items()) if at > 0]
-        if whole := [(p, sizes[p]) for p, at in sorted(start_byte.items()) if at <= 0]:
-            parts.append(_read_files(spark, whole, dialect, chunk_bytes, max_stmt_bytes, 0, encoding))
-        out = parts[0] if parts else spark.createDataFrame([], STMT_SCHEMA)
-        for more in parts[1:]:
-            out = out.unionByName(more)
-        return out
+        if not start_byte:
+            return spark.createDataFrame([], STMT_SCHEMA)
+        return _read_files(spark, [(p, sizes[p]) for p in sorted(start_byte)], dialect, chunk_bytes, max_stmt_bytes, start_byte, encoding)
     if start_byte and (len(files) != 1 or detect_codec(files[0][0])):
         raise ValueError("start_byte as a number needs exactly one uncompressed file")
-    return _read_files(spark, files, dialect, chunk_bytes, max_stmt_bytes, start_byte, encoding)
+    return _read_files(spark, files, dialect, chunk_bytes, max_stmt_bytes, {p: start_byte for p, _ in files}, encoding)
 
 
 def _index(batches):
@@ -347,7 +356,7 @@ def _parts(spark: SparkSession, packed: list[tuple[str, int, str]], chunk_bytes:
     for path, size, codec in packed:
         step = chunk_bytes if codec == "gzip" else size
         rows += [(path, size, codec, at, min(at + step, size)) for at in range(0, size, step)]
-    ranges = spark.createDataFrame(rows, "path string, size long, codec string, `from` long, `to` long").repartition(_tasks(len(rows)))
+    ranges = spark.createDataFrame(rows, "path string, size long, codec string, `from` long, `to` long").repartition(_tasks(spark, len(rows), PACKED * sum(s for _, s, _ in packed)))
     found = ranges.mapInArrow(_index, "path string, size long, codec string, lo long, hi long, head long, stop long")
     order = Window.partitionBy("path").orderBy("lo")
     # a member is true if the one before it ends where it begins; unpacking finds no member inside another but by chance
@@ -359,52 +368,60 @@ def _parts(spark: SparkSession, packed: list[tuple[str, int, str]], chunk_bytes:
     return parts.withColumn("j", F.row_number().over(Window.partitionBy("path").orderBy("lo")) - 1).select(*[F.col(n).cast(t) for n, _, t in _CHUNK])
 
 
-def _tasks(n: int) -> int:
-    """Tasks for ``n`` chunks: one each, but several chunks a task where there are very many."""
-    return max(1, min(n, MOST_TASKS))
+def _tasks(spark: SparkSession, n: int, size: int) -> int:
+    """Tasks for ``n`` chunks of ``size`` bytes in all: one each, but several chunks a task where they are small or very many."""
+    return max(1, min(n, MOST_TASKS, max(4 * spark.sparkContext.defaultParallelism, -(-size // TASK_BYTES))))
 
 
 def _read_files(spark: SparkSession, files: list[tuple[str, int]], dialect: str, chunk_bytes: int, max_stmt_bytes: int | None,
-                start_byte: int, encoding: str) -> DataFrame:
+                starts: dict[str, int], encoding: str) -> DataFrame:
+    """Statements of all files, of plain ones from the byte in ``starts`` on: one plan, however many files there are."""
+    starts = {p: max(at, 0) for p, at in starts.items()}
     plain = [(p, s) for p, s in files if not detect_codec(p)]
     packed = [(p, s, detect_codec(p)) for p, s in files if detect_codec(p)]
     # files of one chunk start in the normal state: no pass 1 needed. Text packs to a fraction, so packed chunks are smaller
     packed_bytes = max(1, chunk_bytes // PACKED)
-    whole = [(p, s, None, 0, start_byte, s, None, None, start_byte, s - start_byte, N, True, 0) for p, s in plain if s - start_byte <= chunk_bytes]
+    whole = [(p, s, None, 0, starts[p], s, None, None, starts[p], s - starts[p], N, True, 0) for p, s in plain if s - starts[p] <= chunk_bytes]
     whole += [(p, s, c, 0, 0, s, None, None, 0, None, N, True, 0) for p, s, c in packed if s <= packed_bytes]
-    plain = [(p, s) for p, s in plain if s - start_byte > chunk_bytes]
+    plain = [(p, s) for p, s in plain if s - starts[p] > chunk_bytes]
     packed = [(p, s, c) for p, s, c in packed if s > packed_bytes]
     parts = []
     if whole:
-        parts.append(spark.createDataFrame(whole, _ddl(_PLAN)).repartition(_tasks(len(whole))))
-    scans, total = [], 0
+        size = sum((s if c is None else PACKED * s) for _, s, c, *_ in whole)
+        parts.append(spark.createDataFrame(whole, _ddl(_PLAN)).repartition(_tasks(spark, len(whole), size)))
+    scans, total, size = [], 0, 0
     if plain:
-        fdf = spark.createDataFrame(plain, "path string, size long")
-        nchunks = F.greatest(F.ceil((F.col("size") - F.lit(start_byte)) / F.lit(chunk_bytes)), F.lit(1)).cast("long")
-        chunks = fdf.select("path", "size", F.explode(F.sequence(F.lit(0).cast("long"), nchunks - 1)).alias("j"))
+        fdf = spark.createDataFrame([(p, s, starts[p]) for p, s in plain], "path string, size long, start long")
+        nchunks = F.ceil((F.col("size") - F.col("start")) / F.lit(chunk_bytes)).cast("long")
+        chunks = fdf.select("path", "size", "start", F.explode(F.sequence(F.lit(0).cast("long"), nchunks - 1)).alias("j"))
         none = lambda t: F.lit(None).cast(t)
-        scans.append(chunks.select("path", "size", none("string").alias("codec"), "j", *[none("long").alias(c) for c in ("lo", "hi", "head", "stop")]))
-        total += sum(-(-(s - start_byte) // chunk_bytes) for _, s in plain)
+        lo = F.col("start") + F.col("j") * chunk_bytes
+        scans.append(chunks.select("path", "size", none("string").alias("codec"), "j", lo.alias("lo"), (lo + chunk_bytes).alias("hi"), *[none("long").alias(c) for c in ("head", "stop")]))
+        total += sum(-(-(s - starts[p]) // chunk_bytes) for p, s in plain)
+        size += sum(s - starts[p] for p, s in plain)
     if packed:
         ensure_checkpoint_dir(spark)
         found = _parts(spark, packed, packed_bytes).withColumn("of", F.count(F.lit(1)).over(Window.partitionBy("path"))).checkpoint(eager=True)  # a small row per chunk
         streams = found.where("of = 1").select("path", "size", "codec", F.lit(0).cast("long").alias("j"), F.lit(0).cast("long").alias("lo"), F.col("size").alias("hi"), "head", "stop", F.lit(0).cast("long").alias("base"),
                                                F.lit(None).cast("long").alias("raw"), F.lit(N).alias("code"), F.lit(True).alias("own"), F.lit(0).cast("long").alias("stmt_offset"))
-        parts.append(streams.repartition(_tasks(len(packed))))
+        packed_size = PACKED * sum(s for _, s, _ in packed)
+        parts.append(streams.repartition(_tasks(spark, len(packed), packed_size)))
         scans.append(found.where("of > 1").drop("of"))
         total += sum(-(-s // packed_bytes) for _, s, _ in packed)
+        size += packed_size
     if scans:
         chunks = scans[0] if len(scans) == 1 else scans[0].unionByName(scans[1])
         ensure_checkpoint_dir(spark)
+        tasks = _tasks(spark, total, size)
         # pass 1a: one scan per chunk, from the normal state only (right for nearly every
         # line-aligned chunk); the per-file fold keeps the chain while it stays normal
-        p1 = chunks.withColumn("miss", F.lit(None).cast("int")).repartition(_tasks(total)).mapInArrow(_pass1(dialect, chunk_bytes, start_byte), _ddl(_SCAN))
+        p1 = chunks.withColumn("miss", F.lit(None).cast("int")).repartition(tasks).mapInArrow(_pass1(dialect), _ddl(_SCAN))
         f1 = p1.groupBy("path").applyInPandas(_fold_normal, _ddl(_FOLD)).checkpoint(eager=True)  # one small row per chunk
         plan_cols = [n for n, *_ in _PLAN]
         # pass 1b: chunks after a file's chain left the normal state, scanned from all states that are possible there
-        tail = f1.where("miss IS NOT NULL").repartition(_tasks(total))
-        rest = tail.mapInArrow(_pass1(dialect, chunk_bytes, start_byte), _ddl(_SCAN)).groupBy("path").applyInPandas(_fold_tail, _ddl(_PLAN))
-        parts.append(f1.where("miss IS NULL").select(*plan_cols).unionByName(rest).repartition(_tasks(total)))
+        tail = f1.where("miss IS NOT NULL").repartition(tasks)
+        rest = tail.mapInArrow(_pass1(dialect), _ddl(_SCAN)).groupBy("path").applyInPandas(_fold_tail, _ddl(_PLAN))
+        parts.append(f1.where("miss IS NULL").select(*plan_cols).unionByName(rest).repartition(tasks))
     inp = parts[0]
     for extra in parts[1:]:
         inp = inp.unionByName(extra)
@@ -560,19 +577,19 @@ _BY_BYTE = re.compile(r"(?i)^(utf[-_]?8|ascii|us-ascii|latin[-_]?1|iso[-_]?8859[
 def _line_cut(path: str, size: int, nominal: int) -> int:
     """The first place behind a line feed at or after ``nominal``."""
     pos = nominal - 1
-    while 0 <= pos < size:
-        blk = fs.read_range(path, pos, min(READ_BLOCK, size - pos))
+    if pos < 0:
+        return 0
+    for blk in _ranges(path, pos, size, NEAR):
         if (k := blk.find(b"\n")) >= 0:
             return pos + k + 1
         pos += len(blk)
-    return 0 if nominal <= 0 else size
+    return size
 
 
-def _text_lines(path: str, lo: int, hi: int, encoding: str) -> Iterator[str]:
-    """Lines in [lo, hi) of a plain file, without their line feeds."""
-    rest, pos = b"", lo
-    while pos < hi and (blk := fs.read_range(path, pos, min(BLOCK, hi - pos))):
-        pos += len(blk)
+def _text_lines(path: str, lo: int, hi: int, encoding: str, end: int | None = None) -> Iterator[str]:
+    """Lines in [lo, hi) of a plain file, without their line feeds, and then those up to ``end``."""
+    rest = b""
+    for blk in itertools.chain(_ranges(path, lo, hi, BLOCK), _ranges(path, hi, end or hi, NEAR)):
         *lines, rest = (rest + blk).split(b"\n")
         for x in lines:
             yield x.decode(encoding)
@@ -653,7 +670,7 @@ def _line_pass2(encoding: str):
                 lines = io.TextIOWrapper(open_stream(path, detect_codec(path)), encoding=encoding, newline="\n")
                 found = split_lines(lines)
             else:
-                lines = _text_lines(path, r["lo"], r["size"], encoding)
+                lines = _text_lines(path, r["lo"], r["hi"], encoding, r["size"])
                 found = split_lines(lines, state=LineState(*json.loads(r["state"])), own=r["lines"])
             for no, (line, stmt) in enumerate(found, r["stmt_offset"]):
                 out.append({"file": path, "stmt_no": no, "start_line": line + r["before"], "stmt": stmt})
@@ -679,17 +696,17 @@ def read_statements_lines(spark: SparkSession, path: str, encoding: str = "utf-8
     files = list_dump_files(path)
     split = [(p, s) for p, s in files if s > chunk_bytes and not detect_codec(p) and _BY_BYTE.match(encoding)]
     whole = [(p, s, 0, 0, s, None, None, 0, 0) for p, s in files if (p, s) not in set(split)]
-    parts = [spark.createDataFrame(whole, _ddl(_LINE_PLAN)).repartition(_tasks(len(whole)))] if whole else []
+    parts = [spark.createDataFrame(whole, _ddl(_LINE_PLAN)).repartition(_tasks(spark, len(whole), sum(s for _, s, *_ in whole)))] if whole else []
     if split:
-        total = sum(-(-s // chunk_bytes) for _, s in split)
+        tasks = _tasks(spark, sum(-(-s // chunk_bytes) for _, s in split), sum(s for _, s in split))
         ensure_checkpoint_dir(spark)
         none = lambda t: F.lit(None).cast(t)
         chunks = spark.createDataFrame(split, "path string, size long").select("path", "size", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("size") / chunk_bytes) - 1)).alias("j"))
-        chunks = chunks.withColumns({"lo": none("long"), "hi": none("long"), "miss": none("string")}).repartition(_tasks(total))
+        chunks = chunks.withColumns({"lo": none("long"), "hi": none("long"), "miss": none("string")}).repartition(tasks)
         folded = chunks.mapInArrow(_line_pass1(chunk_bytes, encoding), _ddl(_LINE_SCAN)).groupBy("path").applyInPandas(_line_fold, _ddl(_LINE_FOLD)).checkpoint(eager=True)  # one small row per chunk
-        tail = folded.where("miss IS NOT NULL").repartition(_tasks(total)).mapInArrow(_line_pass1(chunk_bytes, encoding), _ddl(_LINE_SCAN))
+        tail = folded.where("miss IS NOT NULL").repartition(tasks).mapInArrow(_line_pass1(chunk_bytes, encoding), _ddl(_LINE_SCAN))
         plan = folded.where("miss IS NULL").select(*[n for n, *_ in _LINE_PLAN]).unionByName(tail.groupBy("path").applyInPandas(_line_fold_tail, _ddl(_LINE_PLAN)))
-        parts.append(plan.repartition(_tasks(total)))
+        parts.append(plan.repartition(tasks))
     if not parts:
         return spark.createDataFrame([], LINE_SCHEMA)
     return (parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])).mapInArrow(_line_pass2(encoding), LINE_SCHEMA)

@@ -11,7 +11,7 @@ import pytest
 import zstandard
 from test_splitter import rnd
 
-from tablecraft.sources import blocks
+from tablecraft.sources import blocks, fs, statements
 from tablecraft.sources.splitter import N, Automaton, split_all
 from tablecraft.sources.statements import LineState, _possible, _Runner, read_statements, read_statements_lines, split_lines
 
@@ -185,3 +185,34 @@ def test_line_mode_by_chunks(spark, tmp_path):
         want = [(no, line, t) for no, (line, t) in enumerate(split_lines(text.split("\n")))]
         got = sorted((r.stmt_no, r.start_line, r.stmt) for r in read_statements_lines(spark, path, chunk_bytes=20 + 70 * seed).collect())
         assert got == want
+
+
+def test_small_chunks_read_little_and_share_tasks(spark, tmp_path, monkeypatch):
+    text = b"".join(b"INSERT INTO t VALUES (%d,'%s');\n" % (i, b"x" * 80) for i in range(60_000)).rstrip()
+    path, size = put(tmp_path, text, "many.sql")
+    st = read_statements(spark, path, chunk_bytes=10_000)
+    assert st.rdd.getNumPartitions() <= 4 * spark.sparkContext.defaultParallelism  # 600 chunks
+    assert st.count() == 60_000 == st.select("stmt_no").distinct().count()
+    read, whole = [], fs.read_range
+    monkeypatch.setattr(fs, "read_range", lambda p, at, n: read.append(len(b := whole(p, at, n))) or b)
+    lo = statements._cut(path, size, 1_000_000)
+    hi = statements._cut(path, size, 1_010_000)
+    row = {"path": path, "size": size, "codec": None, "j": 1, "lo": lo, "hi": hi, "head": None, "stop": None, "base": lo, "raw": hi - lo, "code": 0, "own": True, "stmt_offset": 7}
+    import pyarrow as pa
+
+    got = [x for b in statements._pass2("mysql", None)([pa.RecordBatch.from_pylist([row])]) for x in b.to_pylist()]
+    assert got[0]["stmt_no"] == 7 and "".join(x["stmt"] for x in got).encode() == text[lo : got[-1]["byte_end"]]
+    assert sum(read) < 300_000
+
+
+def test_resume_of_many_files_is_one_plan(spark, tmp_path):
+    starts, want = {}, []
+    for k in range(12):
+        stmts = [f"INSERT INTO t VALUES ({k},{i},'{'y' * i}');\n" for i in range(40)]
+        path, _ = put(tmp_path, "".join(stmts).encode(), f"{k:02d}.sql")
+        starts[path] = len("".join(stmts[: k * 3]))
+        want += [x.strip() for x in stmts[k * 3 :]]
+    st = read_statements(spark, str(tmp_path), start_byte=starts, chunk_bytes=500)
+    assert sorted(x for r in st.collect() if (x := r.stmt.strip())) == sorted(want)
+    plan = st._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") < 12
