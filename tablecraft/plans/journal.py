@@ -60,17 +60,23 @@ def load_journaled(spark: SparkSession, path, schemas: dict[str, T.StructType],
     files = list_dump_files(path)
     if changed := [f for f, s in files if sizes.get(f, s) != s]:
         raise ValueError(f"files changed since they were loaded: {changed}")
-    ended = {f for e in applied if e["ended"] for f in e["files"]}
-    reached = {e["files"][0]: 0 for e in applied if not e["ended"]}
+    ended = {f for e in applied if e["first_batch"] is None for f in e["files"]}
+    ranges: dict[str, dict[int, dict]] = {}
     for e in applied:
-        if e["first_batch"] is not None and e["files"][0] in reached:
-            reached[e["files"][0]] = max(reached[e["files"][0]], e["last_batch"] + 1)
+        if e["first_batch"] is not None:
+            ranges.setdefault(e["files"][0], {})[e["first_batch"]] = e
+    for f, held in ranges.items():  # a file is done when its ranges follow one another to its end, whichever entries there are
+        at = 0
+        while at in held and not held[at]["ended"]:
+            at = held[at]["last_batch"] + 1
+        if at in held:
+            ended.add(f)
     done = 0
 
     def apply(step: list[tuple[str, int]], first: int | None, last: int | None, whole: bool) -> None:
         only = None if first is None else (F.col("stmt_no") >= first * batch) & (F.col("stmt_no") < (last + 1) * batch)
         name = hashlib.sha256(json.dumps([step, first]).encode()).hexdigest()[:20]
-        res = load_dump(spark, [f for f, _ in step], dialect, tables=list(schemas), schemas=schemas, batch=batch, on_error=on_error, only=only)
+        res = load_dump(spark, [f for f, _ in step], dialect, tables=list(schemas), schemas=schemas, batch=batch, on_error=on_error, only=only, drops=False)
         for table, df in res.tables.items():
             df.write.mode("overwrite").parquet(f"{out}/{table}/step={name}")
         entry = {"step": name, "files": [f for f, _ in step], "sizes": [s for _, s in step], "first_batch": first, "last_batch": last, "ended": whole}
@@ -78,7 +84,7 @@ def load_journaled(spark: SparkSession, path, schemas: dict[str, T.StructType],
 
     for step in _steps([f for f in files if f[0] not in ended], step_bytes):
         path_, size = step[0]
-        if len(step) > 1 or (size <= step_bytes and path_ not in reached):
+        if len(step) > 1 or (size <= step_bytes and path_ not in ranges):
             if done == most_steps:
                 return False
             apply(step, None, None, True)
@@ -86,12 +92,16 @@ def load_journaled(spark: SparkSession, path, schemas: dict[str, T.StructType],
             continue
         end = read_statements(spark, [path_], dialect).agg(F.max("stmt_no")).first()[0]
         batches = 0 if end is None else end // batch + 1
-        for first in range(reached.get(path_, 0), max(batches, 1), step_batches):
+        held, first = ranges.get(path_, {}), 0
+        while first < max(batches, 1):
+            if first in held:
+                first = held[first]["last_batch"] + 1
+                continue
             if done == most_steps:
                 return False
-            last = min(first + step_batches, max(batches, 1)) - 1
+            last = min([first + step_batches, max(batches, 1), *[k for k in held if k > first]]) - 1
             apply(step, first, last, last + 1 >= batches)
-            done += 1
+            first, done = last + 1, done + 1
     return True
 
 
