@@ -216,10 +216,17 @@ def stage_rows(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _by_table(raw: DataFrame, ddl: str) -> DataFrame:
+    """Decoded rows, written to a folder for each table and read again."""
+    p = staging_path(raw.sparkSession, "load")
+    raw.write.partitionBy("_table").parquet(p)
+    return raw.sparkSession.read.schema(ddl).parquet(p)  # a table may be named 01: its name stays a string
+
+
 def load_dump(spark: SparkSession, path: str, dialect: str = "mysql", tables=None, schemas: dict | None = None,
               rename: dict | None = None, batch: int = STATEMENTS_PER_BATCH, on_error: str = "fail",
               chunk_bytes: int | None = None, max_stmt_bytes: int = MAX_STATEMENT, start_byte: int | dict = 0,
-              stage: bool = True, encoding: str = "utf-8", progress=None, only: Column | None = None) -> LoadResult:
+              stage: bool = True, encoding: str = "utf-8", progress=None, only: Column | None = None, drops: bool = True) -> LoadResult:
     """Load a dump directory (or file) into typed DataFrames.
 
     ``schemas``: {table: StructType}; defaults to the dump's own schema files, and without such to its CREATE TABLE
@@ -227,7 +234,7 @@ def load_dump(spark: SparkSession, path: str, dialect: str = "mysql", tables=Non
     statements, tables of several namespaces are named ``ns.name`` and kept apart. ``tables`` restricts the load to
     some; INSERTs of all others are then passed over, else an INSERT of a table without a schema is a reject.
     ``rename``: {old: new} names. ``only`` restricts the load to some statements (a condition on file, stmt_no and the
-    like). ``progress`` gets an ``Event`` per table (H3): its rows as they were read from the dump.
+    like). ``drops=False`` keeps the rows before a DROP, TRUNCATE or DELETE as well. ``progress`` gets an ``Event`` per table (H3): its rows as they were read from the dump.
 
     The result holds what the dump leaves in the tables: rows before a DROP, TRUNCATE or unconditional DELETE of their
     table are gone, columns that a statement leaves out have the defaults of the definition, and where a table with a
@@ -247,17 +254,20 @@ def load_dump(spark: SparkSession, path: str, dialect: str = "mysql", tables=Non
     # one pass over the statements for every table, staged once (partitioned by table)
     raw = decode_raw(stmts, d, [t.rpartition(".")[2] for t in tables] if tables else None)
     if stage:
-        p = staging_path(spark, "load")
-        raw.write.partitionBy("_table").parquet(p)
-        raw = spark.read.schema(RAW_DDL).parquet(p)  # a table may be named 01: its name stays a string
+        raw = _by_table(raw, RAW_DDL)
     else:
         raw = raw.persist(StorageLevel.MEMORY_AND_DISK)
     forms = _forms(raw)
     if any(r["kind"] == "use" for r in forms):
         raw = with_namespace(raw)
+        if stage:  # every table, the check and the rejects read it
+            raw = _by_table(raw, f"{RAW_DDL}, _use string")
         forms = _forms(raw)
     shapes = [r for r in forms if r["table"] is not None and r["mode"] is not None]
     scopes = resolve([r for r in forms if r["kind"] not in (None, "use")], d)
+    if not drops:
+        scopes.cleared.clear()
+        scopes.dropped.clear()
     schemas = schemas or (dump_schemas(path) if isinstance(path, str) else {})
     if schemas and tables:
         if missing := [t for t in tables if t not in schemas]:
@@ -294,5 +304,6 @@ def load_dump(spark: SparkSession, path: str, dialect: str = "mysql", tables=Non
         modes = {s["mode"][:1] for s in shapes if s["table"] in {x.table for x in t.sources}}
         out[(rename or {}).get(t.name, t.name)] = _upserted(good, t, modes, on_error)
     bad = flags.where("bad").select("table", F.col("_file").alias("file"), F.floor(F.col("_stmt_no") / batch).cast("long").alias("batch_id"), F.col("_stmt_no").alias("stmt_no"), "error")
-    rejects = bad.join(stmts.select("file", "stmt_no", "stmt"), ["file", "stmt_no"], "left").select("table", "file", "batch_id", "stmt_no", "error", "stmt")
+    # by merge: the text of a dump has no size until it is read, and must not be taken for small and sent to the driver
+    rejects = bad.join(stmts.select("file", "stmt_no", "stmt").hint("merge"), ["file", "stmt_no"], "left").select("table", "file", "batch_id", "stmt_no", "error", "stmt")
     return LoadResult(TableSet(out), outcomes, rejects, stmts, time.time() - began)

@@ -184,3 +184,11 @@ def test_newest_snapshot_decides(spark):
     data += snap(2, 1, replicas=2) + snap(3, 1, in_recovery="t", replay_lag_seconds=5) + snap(4, 1, wsrep_cluster_size=3, wsrep_ready="ON", wsrep_connected="ON") + snap(4, 2, uptime=1)
     got = {r["server"]: (r["type"], r["role"], r["is_primary"], r["is_healthy"], r["lag_seconds"]) for r in health.cluster_health(spark.createDataFrame(data)).collect()}
     assert got == {1: ("replication", "replica", False, False, 500.0), 2: ("replication", "master", True, True, 0.0), 3: ("postgres_streaming", "standby", False, True, 5.0), 4: ("standalone", "standalone", True, True, 0.0)}
+
+
+def test_rejects_never_broadcast_the_dump(spark):
+    src = put("".join(f"INSERT INTO t VALUES ({'x' if i % 50 == 7 else i},'b{i}');\n" for i in range(500)).replace("(x,", "('x',"))
+    res = load_dump(spark, src, schemas={"t": AB}, batch=1, on_error="skip")
+    got = res.rejects.select("stmt_no", "stmt")
+    assert sorted((r.stmt_no, r.stmt.strip()) for r in got.collect()) == [(i, f"INSERT INTO t VALUES ('x','b{i}');") for i in range(7, 500, 50)]
+    assert "Broadcast" not in got._jdf.queryExecution().executedPlan().toString()

@@ -120,3 +120,11 @@ def test_scope_statements():
     assert (d.namespace, d.filled, d.required) == ("s", {"a", "c"}, {"b"})
     ins = parse_upsert("INSERT INTO t VALUES (1) ON CONFLICT (a, b) DO UPDATE SET b = excluded.b WHERE t.b < 1", "postgres")
     assert (ins.mode, ins.target) == ("x", ["a", "b"])
+
+
+def test_namespaces_are_looked_up_once(spark):
+    src = put("CREATE TABLE a.t (x bigint);\nCREATE TABLE b.t (y bigint);\n" + "".join(f"USE {'ab'[i % 2]};\nINSERT INTO t VALUES ({i});\n" for i in range(300)))
+    tables = load_dump(spark, src).tables
+    for k, name in enumerate(("a.t", "b.t")):
+        assert rows(tables[name]) == [(i,) for i in range(k, 300, 2)]
+        assert "Join" not in tables[name]._jdf.queryExecution().executedPlan().toString()
