@@ -39,6 +39,8 @@ from .scope import Position, Scopes, Source, Target, resolve, with_namespace
 
 #: Text of a dump that is worth a task of its own.
 SHARE_BYTES = 256 << 10
+#: Tables that a task writes side by side; rows of more are sorted by table first.
+WRITERS = 8
 
 
 @dataclass
@@ -82,7 +84,11 @@ def _forms(raw: DataFrame) -> list:
     use = F.col("_use") if "_use" in raw.columns else F.lit(None).cast("string")
     text = F.when(F.col("_kind") != "use", F.col("_stmt"))
     keys = [F.col(f"_{c}").alias(c) for c in ("table", "kind", "mode", "cols", "width")]
-    return raw.groupBy(*keys, use.alias("use"), text.alias("stmt")).agg(F.max(F.struct("_file", "_stmt_no")).alias("at"), F.count(F.lit(1)).alias("rows")).collect()
+    keys += [use.alias("use"), text.alias("stmt")]
+    # by file first: the last number is a hash aggregate, while the last (file, number) would sort all rows
+    files = raw.groupBy(*keys, "_file").agg(F.max("_stmt_no").alias("_stmt_no"), F.count(F.lit(1)).alias("rows"))
+    names = ["table", "kind", "mode", "cols", "width", "use", "stmt"]
+    return files.groupBy(*names).agg(F.max(F.struct("_file", "_stmt_no")).alias("at"), F.sum("rows").alias("rows")).collect()
 
 
 def _targets(shapes: list, scopes: Scopes, schemas: dict | None, tables) -> tuple[list[Target], list[tuple[str, str | None, Position | None]]]:
@@ -129,7 +135,7 @@ def _converted(raw: DataFrame, target: Target, shapes: list, dialect: str) -> Da
     names = {f.name.lower(): i for i, f in enumerate(fields)}
     own = [s for s in shapes if s["table"] in {x.table for x in target.sources}]
     layouts = sorted({(s["cols"], s["width"]) for s in own}, key=str)
-    asked = any("d" in (s["mode"] or "")[1:] for s in own)
+    asked, marked = (any(x in (s["mode"] or "")[1:] for s in own) for x in "dm")
 
     def default(name: str) -> tuple[Column, str | None]:
         """The raw default of a column, and why there is none."""
@@ -183,7 +189,7 @@ def _converted(raw: DataFrame, target: Target, shapes: list, dialect: str) -> Da
     errors += [e for i in range(len(fields)) if layouts and (e := pick(lambda m, i=i: m[1][i])) is not None]
     # a value that is there and does not convert
     pairs = rows.select("_file", "_stmt_no", "_row_no", F.substring("_mode", 1, 1).alias("_mode"), "_sets", F.coalesce(*errors).alias("_error"),
-                        *[F.struct(r.isNotNull().alias("given"), typed(r, f.dataType, dialect).alias("v")).alias(f"v{i}") for i, (r, f) in enumerate(zip(raws, fields))])
+                        *[F.struct(r.isNotNull().alias("given"), typed(r, f.dataType, dialect, marked or asked or d is not None and bool(d.defaults)).alias("v")).alias(f"v{i}") for i, (r, f) in enumerate(zip(raws, fields))])
     lost = reduce(lambda a, b: a | b, [F.col(f"v{i}.given") & F.col(f"v{i}.v").isNull() for i in range(len(fields))], F.lit(False))
     error = F.coalesce("_error", F.when(lost, F.lit("value does not convert to the column type")))
     return pairs.select("_file", "_stmt_no", "_row_no", "_mode", "_sets", error.isNotNull().alias("_bad"), error.alias("_error"), *[F.col(f"v{i}.v").alias(f.name) for i, f in enumerate(fields)])
@@ -219,7 +225,13 @@ def stage_rows(df: DataFrame, name: str) -> DataFrame:
 def _by_table(raw: DataFrame, ddl: str) -> DataFrame:
     """Decoded rows, written to a folder for each table and read again."""
     p = staging_path(raw.sparkSession, "load")
-    raw.write.partitionBy("_table").parquet(p)
+    spark, key = raw.sparkSession, "spark.sql.maxConcurrentOutputFileWriters"
+    before = spark.conf.get(key)
+    spark.conf.set(key, WRITERS)  # the rows of a task are mostly of one table and need no sort
+    try:
+        raw.write.partitionBy("_table").parquet(p)
+    finally:
+        spark.conf.set(key, before)
     return raw.sparkSession.read.schema(ddl).parquet(p)  # a table may be named 01: its name stays a string
 
 
