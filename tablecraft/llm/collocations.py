@@ -12,8 +12,8 @@ the counts of all its beginnings, and for each phrase its most frequent extensio
 gives the endings and the extensions to the left. No table is looked up by hash; at last the two streams are merged.
 (A phrase inside any longer candidate is also inside one that is longer by one word and at least as frequent.)
 
-At scale: texts are never shuffled. A task counts blocks of about BLOCK words and passes on one row per phrase of a
-block, and Spark adds these up with its own aggregation. The streams are range-partitioned by the whole phrase, so a
+At scale: texts are never shuffled. A task counts blocks of about BLOCK words, adds the counts of its blocks up and
+passes on one row per phrase that it has read (more only if these pass HELD), and Spark adds these up with its own aggregation. The streams are range-partitioned by the whole phrase, so a
 word that begins a third of all phrases is spread; a range gets the beginnings of its first phrase (at most three) from
 the ranges before it. The driver sees the bitmaps only.
 
@@ -41,6 +41,8 @@ MIN_COUNT, TOP, WORDS = 30, 2000, 4
 KEEP = 80
 #: Words of a block, bytes of a text that are split at once, log2 of the bits of a filter, phrases of a range.
 BLOCK, SLICE, FILTER_BITS, RANGE_ROWS = 1 << 20, 4 << 20, 27, 100_000
+#: Phrases, and hashes, that a task adds up over its blocks before it passes them on, and phrases that are cut out at once.
+HELD, HELD_HASHES, STEP = 500_000, 1 << 20, 100_000
 #: Ends a piece; a byte that UTF-8 never uses.
 CUT = b"\xff"
 #: A-Z lowered, ends of pieces cut, tabs blanked, everything else kept.
@@ -146,24 +148,56 @@ def _word_rows(batches):
         yield pa.RecordBatch.from_arrays(cols, schema=WORD_ROWS)
 
 
+def _added(hashes: list[np.ndarray], ns: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct hashes of several counts, and their sums."""
+    distinct, at = np.unique(np.concatenate(hashes), return_inverse=True)
+    sums = np.zeros(len(distinct), np.int64)
+    np.add.at(sums, at, np.concatenate(ns))
+    return distinct, sums
+
+
 def _hash_rows(order: int, filters, bits: int):
     def run(batches):
         maps = [np.frombuffer(f.value, np.uint8) for f in filters]
+        hashes, ns = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
         for b in blocks(batches):
-            hashes, n = np.unique(alive(b, order, maps, bits)[1], return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), pa.array(n)], schema=HASH_ROWS)
+            for held, new in zip((hashes, ns), np.unique(alive(b, order, maps, bits)[1], return_counts=True)):
+                held.append(new)
+            if sum(map(len, hashes)) >= HELD_HASHES:
+                hashes, ns = ([x] for x in _added(hashes, ns))
+                if 2 * len(hashes[0]) >= HELD_HASHES:
+                    yield pa.RecordBatch.from_arrays([pa.array(hashes[0].view(np.int64)), pa.array(ns[0])], schema=HASH_ROWS)
+                    hashes, ns = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+        distinct, sums = _added(hashes, ns)
+        yield pa.RecordBatch.from_arrays([pa.array(distinct.view(np.int64)), pa.array(sums)], schema=HASH_ROWS)
 
     return run
 
 
+def _phrase_batches(held: dict[str, dict[bytes, int]]) -> Iterator[pa.RecordBatch]:
+    for lang, counts in held.items():
+        phrases = list(counts)
+        for i in range(0, len(phrases), STEP):
+            some = phrases[i : i + STEP]
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(some), pa.string()), pa.array(some, pa.binary()).cast(pa.string()), pa.array([counts[p] for p in some], pa.int64())], schema=PHRASE_ROWS)
+
+
 def _phrase_rows(filters, bits: int):
     def run(batches):
         maps = [np.frombuffer(f.value, np.uint8) for f in filters]
+        held: dict[str, dict[bytes, int]] = defaultdict(dict)
         for b in blocks(batches):
             for order in range(2, WORDS + 1):
                 at, n = b.counts(alive(b, order, maps, bits)[0], order)
-                phrases = [b" ".join(b.words[i : i + order]) for i in at.tolist()]
-                yield pa.RecordBatch.from_arrays([pa.array([b.lang] * len(phrases), pa.string()), pa.array(phrases, pa.binary()).cast(pa.string()), pa.array(n)], schema=PHRASE_ROWS)
+                for i in range(0, len(at), STEP):
+                    counts = held[b.lang]
+                    for k, x in zip(at[i : i + STEP].tolist(), n[i : i + STEP].tolist()):
+                        phrase = b" ".join(b.words[k : k + order])
+                        counts[phrase] = counts.get(phrase, 0) + x
+                    if sum(map(len, held.values())) >= HELD:
+                        yield from _phrase_batches(held)
+                        held.clear()
+        yield from _phrase_batches(held)
 
     return run
 

@@ -102,6 +102,34 @@ def test_blocks_and_slices_lose_nothing(monkeypatch):
             assert phrases_of(rows, order) == {la: f for la, f in one.items() if f}
 
 
+class Sent:
+    def __init__(self, value):
+        self.value = value
+
+
+def test_a_task_passes_on_each_phrase_once(monkeypatch):
+    rows = [(la or "und", t) for la, t in corpus(60)]
+    want = {(la, " ".join(w)): c for la, f in counted(rows)[0].items() for w, c in f.items() if len(w) > 1}
+    monkeypatch.setattr(co, "BLOCK", 50)
+    everything = [Sent(b"\xff" * 2)] * 3
+    for held, step in ((500_000, 100_000), (20, 7)):
+        monkeypatch.setattr(co, "HELD", held)
+        monkeypatch.setattr(co, "STEP", step)
+        out = [tuple(r.values()) for b in co._phrase_rows(everything, 4)(iter(batches(rows))) for r in b.to_pylist()]
+        got = Counter()
+        for la, phrase, n in out:
+            got[la, phrase] += n
+        assert got == want
+        assert held < 500_000 or len(out) == len(want)
+    for held in (1 << 20, 40):
+        monkeypatch.setattr(co, "HELD_HASHES", held)
+        for order in (2, 3):
+            out = [(r["hash"], r["n"]) for b in co._hash_rows(order, everything[: order - 1], 4)(iter(batches(rows))) for r in b.to_pylist()]
+            kinds = [w for w in want if w[1].count(" ") == order - 1]
+            assert len({h for h, _ in out}) == len(kinds) and sum(n for _, n in out) == sum(want[w] for w in kinds)
+            assert held < 1 << 20 or len(out) == len(kinds)
+
+
 def test_filters_never_miss(spark):
     hashes = np.random.default_rng(1).integers(-(1 << 63), 1 << 63, 500, dtype=np.int64)
     bits = np.frombuffer(co.bitmap(spark.createDataFrame([(int(h),) for h in hashes], "hash long"), 17), np.uint8)
