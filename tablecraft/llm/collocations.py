@@ -4,7 +4,10 @@ Counting. Texts are cut into pieces at punctuation and line ends, pieces into wo
 times has no part that occurs less often, so phrases are counted order by order: words first, then only pairs of
 frequent words, then triples of frequent pairs, then phrases of four. What is frequent is passed to the next order as a
 bitmap of hashes of a fixed size (``filter_bits``). A hash collision lets a rare phrase be counted, never a frequent one
-be missed; at last the phrases that pass are counted by their words, so that all counts are exact.
+be missed. Phrases are counted by the 64-bit hashes of all their words: a row holds the words before the last one and the
+hash of the phrase, from which the last word follows (``last_hash``). The words of the texts are searched for two with the
+same hash, so all counts are exact; if two have, the phrases are counted by their words instead (``by_words``). Only
+phrases found frequent are spelled, each once, by a lookup of their words.
 
 Streams. The frequent phrases are kept in two orders: by their words (prefix order) and by their words from the last
 one (suffix order). In prefix order the beginnings of a phrase stand right before it, so one pass with a stack reads off
@@ -13,7 +16,8 @@ gives the endings and the extensions to the left. No table is looked up by hash;
 (A phrase inside any longer candidate is also inside one that is longer by one word and at least as frequent.)
 
 At scale: texts are never shuffled. A task counts blocks of about BLOCK words, adds the counts of its blocks up and
-passes on one row per phrase that it has read (more only if these pass HELD), and Spark adds these up with its own aggregation. The streams are range-partitioned by the whole phrase, so a
+passes on one row per phrase that it has read (more only if these pass HELD_HASHES), and Spark adds these up with its own
+aggregation. The streams are range-partitioned by the whole phrase, so a
 word that begins a third of all phrases is spread; a range gets the beginnings of its first phrase (at most three) from
 the ranges before it. The driver sees the bitmaps only.
 
@@ -26,6 +30,7 @@ from __future__ import annotations
 
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -49,7 +54,8 @@ CUT = b"\xff"
 TABLE = bytes(0xFF if chr(b) in ".,;:!?\n\x0b\x0c\r" else 0x20 if b == 9 else b | 32 if 65 <= b <= 90 else b for b in range(256))
 
 WORD_ROWS = pa.schema([("lang", pa.string()), ("word", pa.string()), ("hash", pa.int64()), ("n", pa.int64())])
-HASH_ROWS = pa.schema([("hash", pa.int64()), ("n", pa.int64())])
+HASH_ROWS = pa.schema([*((c, pa.int64()) for c in ("hash", "a", "b", "c", "n"))])
+HASH_DDL = "hash long, a long, b long, c long, n long"
 PHRASE_ROWS = pa.schema([("lang", pa.string()), ("phrase", pa.string()), ("n", pa.int64())])
 STREAM_DDL = "lang string, words array<string>, n long, parts array<long>, longer long"
 
@@ -115,12 +121,23 @@ def blocks(batches) -> Iterator[Block]:
     yield from (Block(k, w, seen[k]) for k, w in words.items() if w)
 
 
+#: Odd numbers that mix hashes.
+SPREAD, MIX = 0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9
+
+
 def _longer(hashes: np.ndarray, more: np.ndarray) -> np.ndarray:
-    x = hashes * np.uint64(0x9E3779B97F4A7C15) + more
-    x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = hashes * np.uint64(SPREAD) + more
+    x = (x ^ (x >> np.uint64(29))) * np.uint64(MIX)
     return x ^ (x >> np.uint64(32))
 
 
+def last_hash(hashes: np.ndarray, before: np.ndarray) -> np.ndarray:
+    """The last words' hashes of phrases, from the hashes of the phrases and of all their words but the last."""
+    x = (hashes ^ (hashes >> np.uint64(32))) * np.uint64(pow(MIX, -1, 1 << 64))
+    x = x ^ (x >> np.uint64(29)) ^ (x >> np.uint64(58))
+    return x - before * np.uint64(SPREAD)
+
+
 def alive(block: Block, order: int, filters: list[np.ndarray], bits: int) -> tuple[np.ndarray, np.ndarray]:
     """Positions where a phrase of ``order`` words may be frequent (and not all of it was seen before), and its hashes.
 
@@ -148,28 +165,53 @@ def _word_rows(batches):
         yield pa.RecordBatch.from_arrays(cols, schema=WORD_ROWS)
 
 
-def _added(hashes: list[np.ndarray], ns: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct hashes of several counts, and their sums."""
-    distinct, at = np.unique(np.concatenate(hashes), return_inverse=True)
-    sums = np.zeros(len(distinct), np.int64)
-    np.add.at(sums, at, np.concatenate(ns))
-    return distinct, sums
+def _added(counts: list[tuple[list[np.ndarray], np.ndarray]]) -> tuple[list[np.ndarray], np.ndarray]:
+    """The distinct rows (hash, then the words before the last) of several counts, and their sums; equal first words in a row.
+
+    Rows are sorted by halves of two columns, so one may come more than once where these halves do not tell it apart.
+    """
+    columns = [np.concatenate(c) for c in zip(*(c for c, _ in counts))]
+    by = np.argsort((columns[1] & np.uint64(0xFFFFFFFF << 32)) | (columns[0] >> np.uint64(32)))
+    columns = [c[by] for c in columns]
+    new = np.ones(len(by), bool)
+    new[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in columns])
+    at = np.flatnonzero(new)
+    return [c[at] for c in columns], np.add.reduceat(np.concatenate([n for _, n in counts])[by], at) if len(at) else np.zeros(0, np.int64)
 
 
 def _hash_rows(order: int, filters, bits: int):
+    def batch(columns, n):
+        columns = [pa.array(c.view(np.int64)) for c in columns] + [pa.nulls(len(n), pa.int64())] * (WORDS - order)
+        return pa.RecordBatch.from_arrays([*columns, pa.array(n)], schema=HASH_ROWS)
+
     def run(batches):
         maps = [np.frombuffer(f.value, np.uint8) for f in filters]
-        hashes, ns = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+        held = []
         for b in blocks(batches):
-            for held, new in zip((hashes, ns), np.unique(alive(b, order, maps, bits)[1], return_counts=True)):
-                held.append(new)
-            if sum(map(len, hashes)) >= HELD_HASHES:
-                hashes, ns = ([x] for x in _added(hashes, ns))
-                if 2 * len(hashes[0]) >= HELD_HASHES:
-                    yield pa.RecordBatch.from_arrays([pa.array(hashes[0].view(np.int64)), pa.array(ns[0])], schema=HASH_ROWS)
-                    hashes, ns = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
-        distinct, sums = _added(hashes, ns)
-        yield pa.RecordBatch.from_arrays([pa.array(distinct.view(np.int64)), pa.array(sums)], schema=HASH_ROWS)
+            at, hashes = alive(b, order, maps, bits)
+            held.append(_added([([hashes, *(b.hashes[b.ids[at + k]] for k in range(order - 1))], np.ones(len(at), np.int64))]))
+            if sum(len(n) for _, n in held) >= HELD_HASHES:
+                held = [_added(held)]
+                if 2 * len(held[0][1]) >= HELD_HASHES:
+                    yield batch(*held.pop())
+        if held:
+            yield batch(*_added(held))
+
+    return run
+
+
+def _word_hashes(order: int):
+    """The hashes of all words of phrases from HASH_ROWS."""
+
+    def run(batches):
+        for b in batches:
+            phrase, *heads = (b.column(c).to_numpy().view(np.uint64) for c in ("hash", "a", "b", "c")[:order])
+            before = heads[0]
+            for more in heads[1:]:
+                before = _longer(before, more)
+            flat = np.stack([*heads, last_hash(phrase, before)], axis=1).ravel().view(np.int64)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, order, dtype=np.int32)), pa.array(flat))
+            yield pa.RecordBatch.from_arrays([lists, b.column("n")], names=["hashes", "n"])
 
     return run
 
@@ -213,24 +255,46 @@ def bitmap(hashes: DataFrame, bits: int) -> bytes:
     return out.tobytes()
 
 
+def shared_hash(words: DataFrame) -> bool:
+    """Whether two of the distinct ``words`` (column hash) have the same hash."""
+    return not words.groupBy("hash").count().where("count > 1").isEmpty()
+
+
+def by_words(docs: DataFrame, filters: list, min_count: int, filter_bits: int) -> DataFrame:
+    """Frequent phrases of 2 words and more (lang, words, n) that pass the filters, counted by their words."""
+    phrases = docs.mapInArrow(_phrase_rows(filters, filter_bits), "lang string, phrase string, n long").groupBy("lang", "phrase").agg(F.sum("n").alias("n"))
+    return phrases.where(F.col("n") >= min_count).select("lang", F.split("phrase", " ").alias("words"), "n")
+
+
+def spelled(phrases: DataFrame, words: DataFrame) -> DataFrame:
+    """(lang, words, n) of ``phrases`` (hashes, n) by ``words`` (hash, lang, word), which has each of their words once."""
+    each = phrases.select("hashes", "n", F.posexplode("hashes").alias("at", "hash"))
+    found = measured_lookup(each, words, ["hash"]).groupBy("hashes", "n").agg(F.min("lang").alias("lang"), F.array_sort(F.collect_list(F.struct("at", "word"))).alias("words"))
+    return found.select("lang", F.col("words.word").alias("words"), "n")
+
+
 def frequent(docs: DataFrame, min_count: int = MIN_COUNT, filter_bits: int = FILTER_BITS) -> tuple[DataFrame, DataFrame]:
     """From (lang, text): frequent phrases of 1 to 4 words (lang, words, n), and the number of words by language (lang, total)."""
     spark: SparkSession = docs.sparkSession
     send = spark.sparkContext.broadcast
+    many = F.col("n") >= min_count
     with small_batches(spark):
-        words = docs.mapInArrow(_word_rows, "lang string, word string, hash long, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"), F.min("hash").alias("hash"))
-        words = stage(words.where(F.col("word").isNull() | (F.col("n") >= min_count)), "collocations-words")
-        filters = [send(bitmap(words.where("word IS NOT NULL"), filter_bits))]
-        for order in range(2, WORDS):
-            met = docs.mapInArrow(_hash_rows(order, list(filters), filter_bits), "hash long, n long").groupBy("hash").agg(F.sum("n").alias("n"))
-            filters.append(send(bitmap(met.where(F.col("n") >= min_count), filter_bits)))
-        phrases = docs.mapInArrow(_phrase_rows(filters, filter_bits), "lang string, phrase string, n long").groupBy("lang", "phrase").agg(F.sum("n").alias("n"))
-        longer = phrases.where(F.col("n") >= min_count).select("lang", F.split("phrase", " ").alias("words"), "n")
-        single = words.where("word IS NOT NULL").select("lang", F.array("word").alias("words"), "n")
-        found = stage(single.unionByName(longer), "collocations-phrases")
+        met = stage(docs.mapInArrow(_word_rows, "lang string, word string, hash long, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"), F.min("hash").alias("hash")), "collocations-words")
+        every, words = met.where("word IS NOT NULL"), met.where(F.col("word").isNotNull() & many)
+        clash = shared_hash(every)
+        filters, phrases = [send(bitmap(words, filter_bits))], []
+        for order in range(2, WORDS if clash else WORDS + 1):
+            counts = docs.mapInArrow(_hash_rows(order, list(filters), filter_bits), HASH_DDL).groupBy("hash", "a", "b", "c").agg(F.sum("n").alias("n"))
+            found = stage(counts.where(many), f"collocations-{order}")
+            phrases.append(found.mapInArrow(_word_hashes(order), "hashes array<long>, n long"))
+            if order < WORDS:
+                filters.append(send(bitmap(found, filter_bits)))
+        longer = by_words(docs, filters, min_count, filter_bits) if clash else spelled(reduce(DataFrame.unionByName, phrases), words.select("hash", "lang", "word"))
+        single = words.select("lang", F.array("word").alias("words"), "n")
+        result = stage(single.unionByName(longer), "collocations-phrases")
     for f in filters:
         f.unpersist()
-    return found, words.where("word IS NULL").select("lang", F.col("n").alias("total"))
+    return result, met.where("word IS NULL").select("lang", F.col("n").alias("total"))
 
 
 def _lockstep(pdf: pd.DataFrame) -> pd.DataFrame:

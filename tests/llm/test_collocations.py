@@ -130,6 +130,44 @@ def test_a_task_passes_on_each_phrase_once(monkeypatch):
             assert held < 1 << 20 or len(out) == len(kinds)
 
 
+def test_phrases_are_spelled_once(spark, monkeypatch):
+    rows = corpus(250)
+    want = by_hand(rows, 6)
+    # no task spells phrases, however many tasks read them
+    monkeypatch.setattr(co, "_phrase_rows", None)
+    assert got(frame(spark, rows).repartition(7), min_count=6) == want
+
+
+def test_words_of_one_hash_are_counted_apart(spark, monkeypatch):
+    words = spark.createDataFrame([("en", "a", 1), ("de", "a", 2), ("en", "b", 3)], "lang string, word string, hash long")
+    assert not co.shared_hash(words) and co.shared_hash(words.union(words.where("hash = 3")))
+    rows = corpus(250)
+    monkeypatch.setattr(co, "shared_hash", lambda words: True)
+    assert got(frame(spark, rows).repartition(3), min_count=6) == by_hand(rows, 6)
+
+
+def test_hashes_of_all_words_name_a_phrase(monkeypatch):
+    rows = [(la or "und", t) for la, t in corpus(60)]
+    want = {(la, w): c for la, f in counted(rows)[0].items() for w, c in f.items()}
+    names = {int(h): (b.lang, w.decode()) for b in co.blocks(batches(rows)) for h, w in zip(b.hashes.view(np.int64), b.names) if w != co.CUT}
+    for block, held in ((50, 1 << 20), (50, 40), (1 << 20, 1 << 20)):
+        monkeypatch.setattr(co, "BLOCK", block)
+        monkeypatch.setattr(co, "HELD_HASHES", held)
+        for order in (2, 3, 4):
+            counts = co._hash_rows(order, [Sent(b"\xff" * 2)] * (order - 1), 4)(iter(batches(rows)))
+            out = Counter()
+            for r in (r for b in co._word_hashes(order)(counts) for r in b.to_pylist()):
+                out[names[r["hashes"][0]][0], tuple(names[h][1] for h in r["hashes"])] += r["n"]
+            assert out == {k: c for k, c in want.items() if len(k[1]) == order}
+    # phrases whose hashes are the same are told apart by their first words
+    same = [np.array([7, 7, 7], np.uint64), np.array([1, 2, 1], np.uint64)]
+    (hashes, firsts), n = co._added([(same, np.array([1, 5, 2]))])
+    sums = Counter()
+    for first, x in zip(firsts.tolist(), n.tolist()):
+        sums[first] += x
+    assert sums == {1: 3, 2: 5} and set(hashes.tolist()) == {7}
+
+
 def test_filters_never_miss(spark):
     hashes = np.random.default_rng(1).integers(-(1 << 63), 1 << 63, 500, dtype=np.int64)
     bits = np.frombuffer(co.bitmap(spark.createDataFrame([(int(h),) for h in hashes], "hash long"), 17), np.uint8)
