@@ -94,9 +94,8 @@ def q_load_resumed(spark, sf_dir):
     write_dump(TableSet({"orders": o.where("o_custkey % 2 = 1")}), f"{src}/b", "mysql", batch=100, codec="zstd")
     size = max(s for _, s in fs.list_files(src))
     step = dict(schemas={"orders": o.schema}, out=out, ledger=ledger, batch=10, step_bytes=size - 1, step_batches=8, most_steps=2)
-    for _ in range(1000):
-        if load_journaled(spark, src, **step):
-            break
+    while not load_journaled(spark, src, **step):
+        pass
     load_journaled(spark, src, **step)  # nothing is left to do
     return read_journaled(spark, "orders", o.schema, out, ledger)
 

@@ -4,6 +4,9 @@ Files are loaded in steps: as many whole files as have ``step_bytes`` together,
 ``step_batches`` batches. A step writes its rows into a folder of its own (overwriting what a stopped run left there)
 and then its ledger entry. Steps with an entry are never done again and only their folders are read, so every row is
 there once, whatever was stopped; compressed files as well, as batches are counted in statements, not bytes.
+
+Where the ranges of a file begin is found once and noted beside the ledger's entries, so that a range of a plain file
+reads its own bytes only; of a compressed one it reads the whole file.
 """
 
 from __future__ import annotations
@@ -17,7 +20,7 @@ from pyspark.sql import types as T
 
 from ..operators.statements import STATEMENTS_PER_BATCH
 from ..sources import fs
-from ..sources.statements import list_dump_files, read_statements
+from ..sources.statements import detect_codec, list_dump_files, read_statements
 from .load import load_dump
 
 STEP_BYTES, STEP_BATCHES = 8 << 30, 10_000
@@ -34,6 +37,23 @@ def _entries(ledger: str) -> list[dict]:
     return [json.loads(fs.read_bytes(p)) for p, _ in fs.list_files(ledger)] if fs.exists(ledger) else []
 
 
+def _begins(spark: SparkSession, ledger: str, path: str, size: int, dialect: str, each: int) -> tuple[int, list[int]]:
+    """The number of statements of a file, and the byte at which every ``each``-th of them begins."""
+    asked = [path, size, fs.modified(path), dialect, each]
+    note = f"{ledger}/.ranges-{hashlib.sha256(json.dumps(asked).encode()).hexdigest()[:20]}.json"  # no entry: its name is passed over
+    if fs.exists(note):
+        try:
+            held = json.loads(fs.read_bytes(note))
+            return held["statements"], held["begins"]
+        except (ValueError, KeyError, TypeError):
+            pass  # a run stopped while it wrote the note
+    marks = read_statements(spark, [path], dialect).groupBy(F.floor(F.col("stmt_no") / each).alias("k")).agg(F.min(F.struct("stmt_no", "byte_start")).alias("first"), F.max("stmt_no").alias("last"))
+    found = sorted((r["k"], r["first"]["byte_start"], r["last"]) for r in marks.collect())
+    statements, begins = (found[-1][2] + 1 if found else 0), [at for _, at, _ in found]
+    fs.write_bytes(note, json.dumps({"statements": statements, "begins": begins}).encode())
+    return statements, begins
+
+
 def _steps(files: list[tuple[str, int]], step_bytes: int) -> list[list[tuple[str, int]]]:
     out: list[list[tuple[str, int]]] = []
     held = 0
@@ -73,10 +93,10 @@ def load_journaled(spark: SparkSession, path, schemas: dict[str, T.StructType],
             ended.add(f)
     done = 0
 
-    def apply(step: list[tuple[str, int]], first: int | None, last: int | None, whole: bool) -> None:
+    def apply(step: list[tuple[str, int]], first: int | None, last: int | None, whole: bool, ranges: list | None = None) -> None:
         only = None if first is None else (F.col("stmt_no") >= first * batch) & (F.col("stmt_no") < (last + 1) * batch)
         name = hashlib.sha256(json.dumps([step, first]).encode()).hexdigest()[:20]
-        res = load_dump(spark, [f for f, _ in step], dialect, tables=list(schemas), schemas=schemas, batch=batch, on_error=on_error, only=only, drops=False)
+        res = load_dump(spark, [f for f, _ in step], dialect, tables=list(schemas), schemas=schemas, batch=batch, on_error=on_error, only=only, drops=False, ranges=ranges)
         for table, df in res.tables.items():
             df.write.mode("overwrite").parquet(f"{out}/{table}/step={name}")
         entry = {"step": name, "files": [f for f, _ in step], "sizes": [s for _, s in step], "first_batch": first, "last_batch": last, "ended": whole}
@@ -90,8 +110,8 @@ def load_journaled(spark: SparkSession, path, schemas: dict[str, T.StructType],
             apply(step, None, None, True)
             done += 1
             continue
-        end = read_statements(spark, [path_], dialect).agg(F.max("stmt_no")).first()[0]
-        batches = 0 if end is None else end // batch + 1
+        statements, begins = _begins(spark, ledger, path_, size, dialect, batch * step_batches)
+        batches, plain = -(-statements // batch), not detect_codec(path_)
         held, first = ranges.get(path_, {}), 0
         while first < max(batches, 1):
             if first in held:
@@ -100,7 +120,9 @@ def load_journaled(spark: SparkSession, path, schemas: dict[str, T.StructType],
             if done == most_steps:
                 return False
             last = min([first + step_batches, max(batches, 1), *[k for k in held if k > first]]) - 1
-            apply(step, first, last, last + 1 >= batches)
+            k, behind = first // step_batches, -(-(last + 1) // step_batches)  # a range between others may begin between two marks
+            own = [(path_, begins[k], begins[behind] if behind < len(begins) else size, k * step_batches * batch)] if plain and begins else None
+            apply(step, first, last, last + 1 >= batches, own)
             first, done = last + 1, done + 1
     return True
 

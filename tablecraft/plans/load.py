@@ -31,7 +31,7 @@ from ..operators.upsert import last_writes
 from ..session import staging_path
 from ..sources import fs
 from ..sources.inserts import DEFAULT, DOT, JOINT, RAW_DDL, constant, decode_raw, typed
-from ..sources.statements import DEFAULT_CHUNK, MAX_STATEMENT, PACKED, detect_codec, list_dump_files, read_statements
+from ..sources.statements import DEFAULT_CHUNK, MAX_STATEMENT, PACKED, detect_codec, list_dump_files, read_ranges, read_statements
 from ..tableset import TableSet
 from .progress import Event
 from .scope import Position, Scopes, Source, Target, resolve, with_namespace
@@ -238,7 +238,7 @@ def _by_table(raw: DataFrame, ddl: str) -> DataFrame:
 def load_dump(spark: SparkSession, path: str, dialect: str = "mysql", tables=None, schemas: dict | None = None,
               rename: dict | None = None, batch: int = STATEMENTS_PER_BATCH, on_error: str = "fail",
               chunk_bytes: int | None = None, max_stmt_bytes: int = MAX_STATEMENT, start_byte: int | dict = 0,
-              stage: bool = True, encoding: str = "utf-8", progress=None, only: Column | None = None, drops: bool = True) -> LoadResult:
+              stage: bool = True, encoding: str = "utf-8", progress=None, only: Column | None = None, drops: bool = True, ranges: list | None = None) -> LoadResult:
     """Load a dump directory (or file) into typed DataFrames.
 
     ``schemas``: {table: StructType}; defaults to the dump's own schema files, and without such to its CREATE TABLE
@@ -246,7 +246,7 @@ def load_dump(spark: SparkSession, path: str, dialect: str = "mysql", tables=Non
     statements, tables of several namespaces are named ``ns.name`` and kept apart. ``tables`` restricts the load to
     some; INSERTs of all others are then passed over, else an INSERT of a table without a schema is a reject.
     ``rename``: {old: new} names. ``only`` restricts the load to some statements (a condition on file, stmt_no and the
-    like). ``drops=False`` keeps the rows before a DROP, TRUNCATE or DELETE as well. ``progress`` gets an ``Event`` per table (H3): its rows as they were read from the dump.
+    like), ``ranges`` to those in byte ranges of plain files (see ``read_ranges``), and no more of them is read. ``drops=False`` keeps the rows before a DROP, TRUNCATE or DELETE as well. ``progress`` gets an ``Event`` per table (H3): its rows as they were read from the dump.
 
     The result holds what the dump leaves in the tables: rows before a DROP, TRUNCATE or unconditional DELETE of their
     table are gone, columns that a statement leaves out have the defaults of the definition, and where a table with a
@@ -256,9 +256,12 @@ def load_dump(spark: SparkSession, path: str, dialect: str = "mysql", tables=Non
         raise ValueError("on_error is 'skip' or 'fail'")
     began = time.time()
     d = norm_dialect(dialect)
-    stmts = read_statements(spark, path, dialect, chunk_bytes=chunk_bytes, max_stmt_bytes=max_stmt_bytes, start_byte=start_byte, encoding=encoding)
+    if ranges is None:
+        stmts = read_statements(spark, path, dialect, chunk_bytes=chunk_bytes, max_stmt_bytes=max_stmt_bytes, start_byte=start_byte, encoding=encoding)
+    else:
+        stmts = read_ranges(spark, ranges, dialect, max_stmt_bytes, encoding)
     stmts = filter_statements(stmts if only is None else stmts.where(only), rename=bool(rename))
-    files = list_dump_files(path)
+    files = list_dump_files(path) if ranges is None else [(p, hi - lo) for p, lo, hi, _ in ranges]
     tasks = sum(1 if detect_codec(f) else -(-size // (chunk_bytes or DEFAULT_CHUNK)) for f, size in files)
     shares = min(2 * spark.sparkContext.defaultParallelism, sum(size * (PACKED if detect_codec(f) else 1) for f, size in files) // SHARE_BYTES)
     if tasks < shares:  # a few files or chunks: their statements are shared out before they are read value by value

@@ -79,6 +79,12 @@ def file_size(path: str) -> int:
     return fs.get_file_info(p).size
 
 
+def modified(path: str) -> int | None:
+    """When a file was last written, in nanoseconds, where its file system tells."""
+    fs, p = resolve(qualify(path))
+    return fs.get_file_info(p).mtime_ns
+
+
 def exists(path: str) -> bool:
     fs, p = resolve(qualify(path))
     return fs.get_file_info(p).type != pafs.FileType.NotFound

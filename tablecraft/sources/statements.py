@@ -331,6 +331,16 @@ def read_statements(spark: SparkSession, path, dialect: str = "mysql", chunk_byt
     return _read_files(spark, files, dialect, chunk_bytes, max_stmt_bytes, {p: start_byte for p, _ in files}, encoding)
 
 
+def read_ranges(spark: SparkSession, ranges: list[tuple[str, int, int, int]], dialect: str = "mysql", max_stmt_bytes: int | None = MAX_STATEMENT, encoding: str = "utf-8") -> DataFrame:
+    """The statements of ``ranges`` (path, first byte, byte behind, number of the first statement) of plain files, as ``read_statements`` gives them.
+
+    Both bytes begin a statement or are the file's ends; nothing else of the files is read.
+    """
+    rows = [(p, hi, None, 0, lo, hi, None, None, lo, hi - lo, N, True, no) for p, lo, hi, no in ranges]
+    plan = spark.createDataFrame(rows, _ddl(_PLAN)).repartition(_tasks(spark, len(rows), sum(hi - lo for _, lo, hi, _ in ranges)))
+    return plan.mapInArrow(_pass2(dialect, max_stmt_bytes, encoding), STMT_SCHEMA)
+
+
 def _index(batches):
     """Frames, blocks or members of compressed files: (path, size, codec, lo, hi, head, stop)."""
     names = ("path", "size", "codec", "lo", "hi", "head", "stop")

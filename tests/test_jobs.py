@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from test_loading import AB, put, rows
 
 from tablecraft.operators import bulk, digest, paging, stats
+from tablecraft.plans import journal
 from tablecraft.plans.dump import write_dump
 from tablecraft.plans.journal import load_journaled, read_journaled, read_ledger
 from tablecraft.plans.load import load_dump
@@ -186,3 +187,28 @@ def test_ledger_gaps_and_drops(spark):
     for path, _ in fs.list_files(ledger):
         os.remove(path)
         assert load_journaled(spark, src, **options) and rows(read_journaled(spark, "t", AB, out, ledger)) == want
+
+
+def test_ranges_read_their_own_bytes(spark, monkeypatch):
+    """A file's ranges are found once, over all calls, and a range of a plain file reads no more than its bytes."""
+    src, out, ledger = tempfile.mkdtemp(prefix="ranges-"), fresh("out"), fresh("led")
+    texts = [f"INSERT INTO t VALUES ({i},'{'a;--b' * (i % 4)}'); /* {i}; */\n" for i in range(45)] + [" -- end\n"]
+    with open(path := os.path.join(src, "b.sql"), "w") as f:
+        f.write("".join(texts))
+    whole, read = [], []
+    found, dumped = journal.read_statements, journal.load_dump
+    monkeypatch.setattr(journal, "read_statements", lambda *a, **b: whole.append(a) or found(*a, **b))
+    monkeypatch.setattr(journal, "load_dump", lambda *a, **b: read.append(b.get("ranges")) or dumped(*a, **b))
+    options = dict(schemas={"t": AB}, out=out, ledger=ledger, batch=2, step_bytes=300, most_steps=1)
+    want = sorted((i, "a;--b" * (i % 4)) for i in range(45))
+    while not load_journaled(spark, src, **options, step_batches=6):
+        pass
+    assert rows(read_journaled(spark, "t", AB, out, ledger)) == want and len(whole) == 1
+    bytes_ = [(lo, hi) for ((p, lo, hi, _),) in read]
+    assert bytes_[0][0] == 0 and bytes_[-1][1] == os.path.getsize(path) and all(a[1] == b[0] for a, b in zip(bytes_, bytes_[1:])) and len(bytes_) == 4
+    # entries are lost and the steps are of another size
+    for entry, _ in fs.list_files(ledger)[1:3]:
+        os.remove(entry)
+    while not load_journaled(spark, src, **options, step_batches=4):
+        pass
+    assert rows(read_journaled(spark, "t", AB, out, ledger)) == want and len(whole) == 2
